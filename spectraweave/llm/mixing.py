@@ -81,7 +81,7 @@ def min_cost_flow(sizes: dict[frozenset, float], quota: dict, repeats: int) -> d
                 while s is not start:
                     path.append((came[s][0], s, came[s][1]))
                     s = came[s][1]
-                x = min([level * sizes[p] - used[p], room[end], *(sent[q, b] for q, _, b in path if b is not None)])
+                x = min([level * sizes[p] - used[p], room[end], *(sent[q, b] for q, _, b in path if b is not start)])
                 for q, a, b in path:
                     sent[q, a] += x
                     if b is not start:
