@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, langid, mixing, quality, simhash, url_filter
+from . import ann, decontaminate, html_extract, langid, mixing, pii, quality, simhash, url_filter
 from .common import table
 
 
@@ -39,6 +39,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="found")
+    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    return out.select("doc_id", "text", *counts)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
