@@ -1,8 +1,86 @@
-"""The corpus pipeline: stages that each apply one training-data operator to all that the stage before kept."""
+"""The corpus pipeline: stages that each apply one training-data operator to all that the stage before kept.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns documents with the columns it
+got; the last adds how often each document is taken. A stage's result is written
+as Parquet and read again, so that a lost executor costs no more than a stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from spectraweave.llm import decontaminate, langid, line_dedup, mixing, simhash
+from spectraweave.llm.common import rewritten, shared_folder, table
+
+#: A language must have at least this posterior probability.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language: null texts, texts without letters, and those of no likely language.
+
+    The model learns from the documents' own language labels; without any, all
+    documents with letters stay.
+    """
+    model = langid.fit(docs)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rest = tuple(F.col(c) for c in docs.columns if c != "doc_id")
+    found = langid.identify(docs, model, extra=rest)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out lines that an earlier line is near to, and documents of which nothing else is left."""
+    out = line_dedup.deduplicated(docs, removed_col="__gone")
+    kept = out.where((F.size("__gone") == 0) | F.col("text").rlike(r"\S"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id in each group of linked fingerprints, once; documents without an id stay."""
+    found = simhash.near_duplicates(docs)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = docs.join(first, "doc_id", "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that share a run of ten words, or a whole shorter item, with the benchmark."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with `copies`, their size in words and their source's target."""
+    mixed = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")))
+    taken = mixed.where("taken > 0").groupBy("doc_id").agg(
+        F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"), F.max("size").alias("n_words"), F.round(F.max("target"), 6).alias("source_target")
+    )
+    kept = docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return kept.select(*docs.columns, "copies", "n_words", "source_target")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+]
+
+#: The first stage's model has no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = rewritten(stage(spark, docs, sf_dir), folder, name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+
+
+def rewritten(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df written as Parquet to the folder and read again."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a written copy in the shared checkpoint folder.
 
@@ -21,15 +32,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
-def width(df: DataFrame) -> int:
-    """The number of shuffle partitions the session asks for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(u, v): root is the smallest node reachable.
 

@@ -213,13 +213,13 @@ def identify(
     """
     langs, chance = model
     shared = docs.sparkSession.sparkContext.broadcast(chance)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *extra, F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *extra, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, seen = pieces(vocabulary), {}
         scores = np.zeros((0, len(langs)))
         for b in batches:
-            found = [Counter(text_words(t)) for t in b["text"]]
+            found = [Counter(text_words(t)) for t in b["__text"]]
             if len(seen) > 500_000:
                 seen, scores = {}, scores[:0]
             new = list({w: None for c in found for w in c if w not in seen}) if langs else []
@@ -237,8 +237,8 @@ def identify(
                 pred.append(langs[k])
                 score.append(float(1 / np.exp(np.maximum(total - total[k], -700)).sum()))
                 margin.append(float((total[k] - np.delete(total, k).max()) / n.sum()) if len(langs) > 1 else 0.0)
-            b = b.drop(columns="text").assign(lang_pred=pred, score=score, margin=margin)
+            b = b.drop(columns="__text").assign(lang_pred=pred, score=score, margin=margin)
             yield b
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
     return rows.mapInPandas(run, f"{schema}, lang_pred string, score double, margin double")

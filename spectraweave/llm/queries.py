@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, langid, mixing, pii, quality, simhash, url_filter
+from . import ann, decontaminate, html_extract, langid, line_dedup, mixing, pii, quality, simhash, url_filter
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"))
+    out = line_dedup.deduplicated(docs, removed_col="removed")
+    return out.select(
+        "doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.length("text").alias("n_chars_kept"), F.md5("text").alias("text_md5")
+    )
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")))
