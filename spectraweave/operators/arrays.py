@@ -95,7 +95,7 @@ def aperture_extract(frame: DataFrame, trace: DataFrame, keys: Sequence[str], va
 
 def profile_chi2(frame: DataFrame, flat: DataFrame, trace: DataFrame, keys: Sequence[str], value: str, error: str, floor: float = 0.01, offsets: Sequence[int] = (-2, -1, 0, 1, 2)) -> DataFrame:
     """Reduced chi-square by (fiber, col) of the science profile against the flat's, both scaled to sum 1, with a relative error floor."""
-    cells = trace.withColumn("row", F.explode(F.array(*[F.lit(o) for o in offsets])) + F.round("trace").cast("int"))
+    cells = trace.withColumn("row", F.explode(F.array(*[F.round("trace").cast("int") + o for o in offsets])))
     met = cells.join(frame, [*keys, "row", "col"]).join(flat.select(*keys, "row", "col", F.col(value).alias("__flat")), [*keys, "row", "col"])
     w = Window.partitionBy(*keys, "fiber", "col")
     scale = F.try_divide(F.sum(value).over(w), F.sum("__flat").over(w))

@@ -139,7 +139,7 @@ def match_lines(peaks: DataFrame, lines: DataFrame, keys: Sequence[str], x: str,
     """
     size = tolerance if tolerance > 0 else 1.0
     a = lines.select(F.col(line).alias("line")).withColumn("__c", F.floor(F.col("line") / size))
-    b = peaks.select(*keys, F.col(x).alias("peak")).withColumn("__c", F.explode(F.array(*[F.floor(F.col(x) / size) + s for s in (-1, 0, 1)])))
+    b = peaks.select(*keys, F.col(x).alias("peak")).withColumn("__c", F.explode(F.array(*[F.floor(F.col("peak") / size) + s for s in (-1, 0, 1)])))
     met = a.join(b, "__c").withColumn("gap", F.abs(F.col("line") - F.col("peak"))).where(F.col("gap") <= tolerance)
     best = met.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "line").orderBy("gap", "peak"))).where("__r = 1")
     once = best.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "peak").orderBy("line"))).where("__r = 1")
@@ -157,5 +157,6 @@ def interval_mask(df: DataFrame, intervals: DataFrame, keys: Sequence[str], date
 def project_mask(mask: DataFrame, trace: DataFrame, keys: Sequence[str], fiber: str, col: str, half: int, n_rows: int) -> DataFrame:
     """Detector pixels (row, col) within `half` rows of a masked bin's trace, each once."""
     met = mask.select(*keys, fiber, col).join(trace.select(*keys, fiber, col, "trace"), [*keys, fiber, col])
-    near = met.withColumn("row", F.explode(F.sequence(F.lit(-half), F.lit(half))) + F.round("trace").cast("int"))
+    at = F.round("trace").cast("int")
+    near = met.withColumn("row", F.explode(F.sequence(at - half, at + half)))
     return near.where((F.col("row") >= 0) & (F.col("row") < n_rows)).select(*keys, "row", col).distinct()

@@ -36,7 +36,7 @@ def jn_nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT a.vec_id, bool_or({SEP} <= 30) AS near FROM {POS} a, {POS} b WHERE b.label = 3 GROUP BY 1")
 def jn_flag_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = positions(spark, sf_dir)
-    return joins.flag_near(p.select("vec_id", "ra", "dec"), p.where("label = 3"), 30.0, "vec_id")
+    return joins.flag_near(p.select("vec_id", "ra", "dec"), p.where("label = 3"), 30.0, "vec_id").select("vec_id", "near")
 
 
 @query(f"SELECT * FROM (SELECT a.vec_id AS vec_id_l, b.vec_id AS vec_id_r, {s6(SEP)} AS sep FROM {POS} a, {POS} b WHERE a.label < b.label) WHERE sep <= 15")
