@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .joins import within_radius
+from .lineage import cut
 from .robust import MAD_TO_SIGMA, biweight, with_deviation
 
 
@@ -50,18 +51,17 @@ def duplicates_in_shot(sources: DataFrame, shot: str, order: str, radius: float
     return sources.join(later.select(F.col(f"{shot}_l").alias(shot), F.col(f"{order}_l").alias(order)).distinct(), [shot, order], "left_anti")
 
 
-def _groups(links: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
+def _groups(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable, by passing labels and jumping to the label's label until nothing changes."""
     now = nodes.select("id", F.col("id").alias("root"))
-    for _ in range(rounds):
+    while True:
         low = links.join(now, links.b == now.id).groupBy("a").agg(F.min("root").alias("__low"))
         step = now.join(low, now.id == low.a, "left").select("id", F.least("root", "__low").alias("new"), "root")
         hop = step.join(step.select(F.col("id").alias("__i"), F.col("new").alias("__new")), F.col("new") == F.col("__i")).select("id", F.least("new", "__new").alias("root"), (F.col("__new") != F.col("root")).alias("__moved"))
-        hop = hop.checkpoint() if hop.sparkSession.sparkContext.getCheckpointDir() else hop.persist()
+        hop = cut(hop)
         if not hop.where("__moved").limit(1).count():
             return hop.select("id", "root")
         now = hop.select("id", "root")
-    return now
 
 
 def dedupe_sources(sources: DataFrame, id_col: str, sn: str, radius: float = 1.0) -> DataFrame:
@@ -71,7 +71,7 @@ def dedupe_sources(sources: DataFrame, id_col: str, sn: str, radius: float = 1.0
     and each connected group, of a few sources, is visited in one task.
     """
     base = sources.select(F.col(id_col).alias("id"), "ra", "dec", F.col(sn).cast("double").alias("sn"))
-    links = within_radius(base, base, radius).where("id_l <> id_r").select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
+    links = cut(within_radius(base, base, radius).where("id_l <> id_r").select(F.col("id_l").alias("a"), F.col("id_r").alias("b")))
     nodes = links.select(F.col("a").alias("id")).distinct()
     groups = _groups(links, nodes)
     near = groups.join(base, "id").join(links.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("near")), "id")

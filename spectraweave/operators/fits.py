@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sky import to_plane
+from .lineage import cut
 from .robust import MAD_TO_SIGMA, median
 
 
@@ -66,14 +67,14 @@ def poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int, we
 
 def robust_poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int, kind: str = "huber", rounds: int = 5, out: str = "model") -> DataFrame:
     """poly_fit reweighted in fixed rounds: Huber (1.35) or Tukey (4.685) weights of residuals over 1.4826 MAD."""
-    cut = {"huber": 1.35, "tukey": 4.685}[kind]
-    now, w = df.withColumn("__w", F.lit(1.0)), Window.partitionBy(*keys)
+    limit = {"huber": 1.35, "tukey": 4.685}[kind]
+    now, w = cut(df.withColumn("__w", F.lit(1.0))), Window.partitionBy(*keys)
     for _ in range(rounds):
-        now = poly_fit(now.drop(out), keys, x, y, degree, F.col("__w"), out)
+        now = cut(poly_fit(now.drop(out), keys, x, y, degree, F.col("__w"), out))
         now = now.withColumn("__r", F.col(y) - F.col(out))
         now = now.withColumn("__s", median(F.abs("__r")).over(w) * MAD_TO_SIGMA)
         u = F.abs(F.try_divide(F.col("__r"), F.col("__s")))
-        weight = F.when(u <= cut, 1.0).otherwise(cut / u) if kind == "huber" else F.when(u < cut, F.pow(1 - F.pow(u / cut, 2), 2)).otherwise(0.0)
+        weight = F.when(u <= limit, 1.0).otherwise(limit / u) if kind == "huber" else F.when(u < limit, F.pow(1 - F.pow(u / limit, 2), 2)).otherwise(0.0)
         now = now.withColumn("__w", F.coalesce(weight, F.lit(1.0))).drop("__r", "__s")
     return now.select(*df.columns, out)
 
@@ -85,7 +86,7 @@ def plane_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str, clip:
     now = df.withColumn("__z", F.col(z).cast("double"))
     for n in range(rounds):
         fit = linear_fit(now, keys, terms, F.col("__z")).select(*keys, F.col("coef").alias("__coef"))
-        now = now.drop(out).join(fit, list(keys), "left").withColumn(out, evaluate(F.col("__coef"), terms)).drop("__coef")
+        now = cut(now.drop(out).join(fit, list(keys), "left").withColumn(out, evaluate(F.col("__coef"), terms)).drop("__coef"))
         if clip and n < rounds - 1:
             now = now.withColumn("__r", F.col("__z") - F.col(out)).withColumn("__s", median(F.abs("__r")).over(w) * MAD_TO_SIGMA)
             now = now.withColumn("__z", F.when(F.abs("__r") <= clip * F.col("__s"), F.col("__z"))).drop("__r", "__s")
