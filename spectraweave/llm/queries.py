@@ -86,5 +86,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+MIX_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('7:' || doc_id) AS turn FROM documents),
+s AS (SELECT source, sum(size) AS n FROM d GROUP BY 1),
+w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w FROM s),
+o AS (SELECT *, row_number() OVER v AS r, (SELECT 1.5 * sum(n) FROM s) - coalesce(sum(2 * n) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pool FROM w WINDOW v AS (ORDER BY 2.0 * n / w, source IS NULL, source)),
+l AS (SELECT arg_min(rest / pool, r) FILTER (2.0 * n / w > rest / pool) AS share FROM o),
+t AS (SELECT source, n, least(2.0 * n, coalesce(w * share, 2.0 * n)) AS target FROM w, l),
+c AS (SELECT d.*, n, target, CASE WHEN n > 0 THEN least(2, floor(target / n)) ELSE 0 END AS whole, sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(target, 6) AS target, CAST(size * least(2, whole + (upto - size / 2.0 <= target - whole * n)::INT) AS BIGINT) AS taken FROM c"""
+
+WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LEAKS_SQL = f"""WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents), b AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE len({WORDS}) > 0),
+g AS (SELECT item_id, p, least(10, len(w)) AS n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b)),
+e AS (SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM g))),
+h AS (SELECT DISTINCT e.doc_id, e.p, e.n, g.item_id, e.p - g.p AS line FROM e JOIN g USING (n, g)),
+k AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1),
+m AS (SELECT doc_id, max(c) AS longest FROM (SELECT doc_id, count(*) + n - 1 AS c FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, line, n ORDER BY p) AS isle FROM h) GROUP BY doc_id, item_id, line, n, isle) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+CAST(coalesce(longest, 0) AS INT) AS longest FROM d LEFT JOIN k USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same; the others are tested against brute force, round trips or held-out rows."""
+    return {"op2_mix_sources": MIX_SQL, "op7_decontaminate": LEAKS_SQL}
