@@ -17,9 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
 
 
-def rewritten(df: DataFrame, folder: str, name: str) -> DataFrame:
+def rewritten(df: DataFrame, folder: str, name: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the folder and read again."""
-    df.write.parquet(f"{folder}/{name}")
+    df.write.parquet(f"{folder}/{name}", compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 

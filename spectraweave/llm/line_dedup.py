@@ -9,25 +9,57 @@ lengths below. What meets is verified with the banded bit-parallel edit distance
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import checkpointed, rewritten, shared_folder
 
 DISTANCE, MIN_CHARS = 2, 40
-_CLASSES = ("ae", "io", "nt", "rs")
+#: Most rows, of a few numbers each, of a table that is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 300_000
+_LETTERS = "etaoinsrhldu"
 
 
 def edit_distance_within(a: Column, b: Column, k: int) -> Column:
-    """Whether a and b are within k edits, for length(a) >= length(b) >= k and lengths at most k apart.
+    """Whether a and b are within k edits, for length(a) >= length(b) >= 2 k + 2 and lengths at most k apart.
 
     Column j of the dynamic-programming matrix is held only in the band of rows
     j - k .. j + k, as one bit a row of each sign of the vertical differences.
     The band's lowest row is followed down the diagonal until the last row is
     reached, and then along that row to its end, which is the distance.
     """
+    a, b = _differing(a, b, 2 * k + 2)
+    chars = F.struct(*[F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)).alias(n) for x, n in ((b, "text"), (a, "pattern"))])
+    # an array of one element names the characters, so that they are split once
+    return F.get(F.transform(F.array(chars), lambda x: _within(x["text"], x["pattern"], k)), F.lit(0))
+
+
+def _differing(a: Column, b: Column, least: int) -> tuple[Column, Column]:
+    """a and b without what they share at both ends, but with at least `least` characters of the shorter b left.
+
+    The shared lengths are found by halving steps, on whole substrings.
+    """
+    steps = F.array(*[F.lit(1 << n) for n in range(22, -1, -1)])
+    room = F.length(b) - least
+
+    def shared(end: str, most: Column) -> Column:
+        part = lambda x, n: F.substring(x, F.lit(1), n) if end == "start" else F.substring(x, F.length(x) - n + 1, n)
+        return F.aggregate(steps, F.lit(0), lambda s, n: F.when(s + n > most, s).when(part(a, s + n) == part(b, s + n), s + n).otherwise(s))
+
+    head = shared("start", room)
+    ends = F.get(F.transform(F.array(head), lambda h: F.struct(h.alias("head"), shared("end", room - h).alias("tail"))), F.lit(0))
+    cut = lambda e: F.struct(*[F.substring(x, e["head"] + 1, F.length(x) - e["head"] - e["tail"]).alias(n) for n, x in (("a", a), ("b", b))])
+    both = F.get(F.transform(F.array(ends), cut), F.lit(0))
+    return both["a"], both["b"]
+
+
+def _within(text: Column, pattern: Column, k: int) -> Column:
     width = 2 * k + 1
     ones = (1 << width) - 1
-    text, pattern = (F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)) for x in (b, a))
-    rows = F.length(a)
+    rows = F.size(pattern)
 
     def column(s: Column, j: Column) -> Column:
         char = F.get(text, j)
@@ -55,59 +87,103 @@ def edit_distance_within(a: Column, b: Column, k: int) -> Column:
         return F.struct(new_vp.alias("vp"), down.bitwiseAND(hp).alias("vn"), d.alias("d"))
 
     start = F.struct(F.lit(ones & ~((1 << k) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("d"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), start, step, lambda s: s["d"] <= k)
+    return F.aggregate(F.sequence(F.lit(0), F.size(text) - 1), start, step, lambda s: s["d"] <= k)
+
+
+def _segments(norm: Column, n: Column, places: list[tuple[int, int, int]], k: int) -> Column:
+    """The hashed keys of segments of a line of n characters: for (below, i, shift), segment i of a line
+    `below` shorter, read in this one at its place there plus `shift`; NULL where it would leave the line.
 
+    One small function over the list of places, as one large expression would be
+    too long a method for the JVM to compile.
+    """
+    listed = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("below", "i", "shift"), p)]) for p in places])
+
+    def key(p: Column) -> Column:
+        length = n - p["below"]
+        short = (k + 1) - length % (k + 1)
+        base = F.floor(length / (k + 1)).cast("int")
+        start = base * p["i"] + F.greatest(F.lit(0), p["i"] - short) + p["shift"]
+        size = base + F.when(short <= p["i"], 1).otherwise(0)
+        return F.when((start >= 0) & (start + size <= n), F.xxhash64(length, p["i"], F.substring(norm, start + 1, size)))
 
-def _segment(norm: Column, length: Column, i: int, k: int, shift: int = 0) -> Column:
-    """The hashed key of segment i of a line of `length`, read in `norm` at its place there plus `shift`."""
-    base = F.floor(length / (k + 1)).cast("int")
-    short = (k + 1) - length % (k + 1)
-    start = base * i + F.greatest(F.lit(0), i - short) + shift
-    size = base + F.when(short <= i, 1).otherwise(0)
-    key = F.xxhash64(length, F.lit(i), F.substring(norm, start + 1, size))
-    return F.when((start >= 0) & (start + size <= F.length(norm)), key)
+    return F.transform(listed, key)
 
 
 def _probes(k: int) -> list[tuple[int, int, int]]:
-    """(lengths below, segment, shift) of all places where a segment can be met."""
+    """(lengths below, segment, shift) of the places where a segment can be met, but for a line's own.
+
+    Of two lines of one length each probes the other, so that one of two
+    opposite shifts is enough.
+    """
     return [
         (below, i, shift)
         for below in range(k + 1)
         for i in range(k + 1)
         for shift in range(max(-i, below - (k - i)), min(i, below + (k - i)) + 1)
+        if below or shift > 0
     ]
 
 
+def _counts(norm: Column, n: Column) -> Column:
+    """Length and counts of some letters, each modulo 16, in 4 bits each."""
+    letters = F.array(*map(F.lit, _LETTERS))
+    return F.aggregate(letters, (n % 16).cast("long"), lambda s, c: s * 16 + (n - F.length(F.replace(norm, c, F.lit("")))) % 16)
+
+
+def _apart(a: Column, b: Column, k: int) -> Column:
+    """Whether two lines' counts are further apart than k edits can make them.
+
+    An edit changes the length by one and two letters' counts by one, at most;
+    differences are taken round the circle of 16, and so never too large.
+    """
+    digits = F.sequence(F.lit(0), F.lit(4 * len(_LETTERS)), F.lit(4))
+    ahead = lambda i: (F.call_function("shiftrightunsigned", a, i) - F.call_function("shiftrightunsigned", b, i)).bitwiseAND(F.lit(15))
+    gap = lambda i: F.least(ahead(i), 16 - ahead(i)).cast("int")
+    top = F.lit(4 * len(_LETTERS))
+    return (gap(top) > k) | (F.aggregate(digits, F.lit(0), lambda s, i: s + gap(i)) - gap(top) > 2 * k)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    rows = rows.select("id", "tag", "pos", F.lower(F.trim("line")).alias("norm")).withColumn("n", F.length("norm")).where(F.col("n") >= min_chars)
-    return rows.withColumn("h", F.xxhash64("norm"))
+    rows = rows.where(F.length("line") >= min_chars).select("id", "tag", "pos", F.lower(F.trim("line")).alias("norm"))
+    return rows.where(F.length("norm") >= min_chars).select(F.xxhash64("norm").alias("h"), F.struct("id", "tag", "pos").alias("at"), "norm")
+
+
+def _met(small: DataFrame) -> DataFrame:
+    """small, to be broadcast if it is small enough: its size is known, as it is a written copy."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
 def near_pairs(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(h, n, h2, n2), both ways round: distinct lines (h, n, norm) within the distance.
+    """(h, h2), both ways round: distinct lines (h, n, counts, norm) within the distance.
 
-    All lines must be at least 2 * distance + 2 characters long.
+    All lines must be at least 2 * distance + 2 characters long. Most segments
+    are met by no other line: those are dropped where the segments are first
+    brought together, and only the others are joined.
     """
     k = distance
-    count = lambda c: F.least(F.col("n") - F.length(F.translate("norm", c, "")), F.lit(65_535)).cast("long")
-    packed = sum((F.shiftleft(count(c), 16 * i) for i, c in enumerate(_CLASSES[1:])), count(_CLASSES[0]))
-    rows = distinct.withColumn("counts", packed)
-    index = rows.select("h", "n", "counts", F.explode(F.array(*[_segment(F.col("norm"), F.col("n"), i, k) for i in range(k + 1)])).alias("seg"))
-    probes = [_segment(F.col("norm"), F.col("n") - below, i, k, shift) for below, i, shift in _probes(k)]
-    probe = rows.select(F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("counts").alias("counts2"), F.explode(F.array(*probes)).alias("seg")).where("seg is not null")
-    part = lambda c, i: F.shiftrightunsigned(c, 16 * i).bitwiseAND(F.lit(65_535))
-    # an edit changes two counts of characters, each by one, at most
-    apart = sum((F.abs(part("counts", i) - part("counts2", i)) for i in range(len(_CLASSES))), F.lit(0))
-    met = index.join(probe, "seg").where((F.col("n2") - F.col("n")).between(0, k) & ((F.col("n") < F.col("n2")) | (F.col("h") < F.col("h2"))) & (apart <= 2 * k))
-    pairs = met.select("h", "n", "h2", "n2").distinct()
-    short = pairs.join(distinct, ["h", "n"]).withColumnRenamed("norm", "b")
-    both = short.join(distinct.select(F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("norm").alias("a")), ["h2", "n2"])
-    near = both.where(edit_distance_within(F.col("a"), F.col("b"), k)).select("h", "n", "h2", "n2")
-    return near.select("h", "n", "h2", "n2", F.explode(F.array(F.lit(True), F.lit(False))).alias("way")).select(
-        *[F.when(F.col("way"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("h", "h2"), ("n", "n2"), ("h2", "h"), ("n2", "n"))]
-    )
+    n = F.col("n")
+    places = [(0, i, 0) for i in range(k + 1)] + _probes(k)
+    keys = _segments(F.col("norm"), n, places, k)
+    rows = distinct.select("h", "counts", F.posexplode(keys).alias("place", "seg")).where("seg is not null").select("h", "counts", "seg", (F.col("place") <= k).alias("own"))
+    # a bucket counts if it holds a line's own segment and another line
+    bucket = Window.partitionBy("seg")
+    shared = rows.withColumn("some", F.max("own").over(bucket)).withColumn("lines", F.min("h").over(bucket) != F.max("h").over(bucket))
+    shared = checkpointed(shared.where("some and lines").select("h", "counts", "seg", "own"))
+    other = shared.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), "seg", F.col("own").alias("own2"))
+    # two lines' own segments meet both ways round: once is enough
+    met = shared.where("own").join(other, "seg").where("h < h2 or (h > h2 and not own2)")
+    met = met.where(~_apart(F.col("counts"), F.col("counts2"), k))
+    pairs = checkpointed(met.select(F.greatest("h", "h2").alias("h"), F.least("h", "h2").alias("h2")).distinct())
+    ids = checkpointed(pairs.select(F.explode(F.array("h", "h2")).alias("h")).distinct())
+    texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm"))
+    both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")), "h2")
+    longer = F.length("norm") >= F.length("norm2")
+    both = both.select("h", "h2", F.when(longer, F.col("norm")).otherwise(F.col("norm2")).alias("a"), F.when(longer, F.col("norm2")).otherwise(F.col("norm")).alias("b"))
+    near = both.where(edit_distance_within(F.col("a"), F.col("b"), k)).select("h", "h2")
+    return near.unionByName(near.select(F.col("h2").alias("h"), F.col("h").alias("h2")))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -116,18 +192,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tag is the hash of the text. Lines come in the order of document id (null
     first), tag and place; a line is near another if, trimmed and in lower case,
     they are within `distance` edits. Lines of under `min_chars` characters take
-    no part. Lines are told apart by a 64-bit hash and their length.
+    no part. Lines are told apart by a 64-bit hash.
     """
     if min_chars < 2 * distance + 2:
         raise ValueError("min_chars must be at least 2 * distance + 2")
     lines = _lines(docs, id_col, text_col, min_chars)
-    at = F.struct("id", "tag", "pos")
-    firsts = lines.groupBy("h", "n").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    pairs = near_pairs(lines.groupBy("h", "n").agg(F.first("norm").alias("norm")), distance)
-    near = pairs.join(firsts.select(F.col("h").alias("h2"), F.col("n").alias("n2"), "first"), ["h2", "n2"]).groupBy("h", "n").agg(F.min("first").alias("near"))
-    # least() skips a null
-    cuts = firsts.join(near, ["h", "n"], "left").select("h", "n", F.least("first", "near").alias("cut"), "last").where("last > cut")
-    removed = lines.select("h", "n", at.alias("at")).join(cuts.select("h", "n", "cut"), ["h", "n"]).where("at > cut")
+    grouped = lines.groupBy("h").agg(F.first("norm").alias("norm"), F.min("at").alias("first"), F.max("at").alias("last"))
+    distinct = rewritten(grouped.withColumn("n", F.length("norm")).withColumn("counts", _counts(F.col("norm"), F.col("n"))), shared_folder(docs.sparkSession), f"lines-{uuid.uuid4().hex}", compression="zstd")
+    pairs = checkpointed(near_pairs(distinct, distance))
+    firsts = distinct.select("h", "first", "last")
+    ends = checkpointed(firsts.join(_met(checkpointed(pairs.select("h").distinct())), "h"))
+    near = pairs.join(ends.select(F.col("h").alias("h2"), "first"), "h2").groupBy("h").agg(F.min("first").alias("near"))
+    near = ends.join(near, "h").select("h", F.least("first", "near").alias("cut"), "last")
+    alone = firsts.where("last > first").join(_met(checkpointed(near.select("h"))), "h", "left_anti").select("h", F.col("first").alias("cut"), "last")
+    cuts = checkpointed(near.unionByName(alone).where("last > cut").select("h", "cut"))
+    removed = lines.select("h", "at").join(_met(cuts), "h").where("at > cut")
     return removed.groupBy("at.id", "at.tag").agg(F.collect_set("at.pos").alias("removed"))
 
 
@@ -141,14 +220,15 @@ def deduplicated(
     new column with the places of the lines taken out. Null texts stay null.
     Equal rows are one document and keep equal texts. An empty table gives none.
     """
-    found = repeated_lines(docs, id_col, text_col, distance, min_chars)
+    found = checkpointed(repeated_lines(docs, id_col, text_col, distance, min_chars))
     text = F.col(text_col).cast("string")
-    mine = found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed"))
+    mine = _met(found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed")))
     joined = docs.join(mine, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tag")), "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
-    new = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(F.col("__removed").isNull(), text).otherwise(new)}
+    # an array of one element names the lines, so that they are split once
+    rest = F.get(F.transform(F.array(lines), lambda x: F.transform(kept, lambda i: F.get(x, i))), F.lit(0))
+    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(F.col("__removed").isNull(), text).otherwise(F.array_join(rest, "\n"))}
     if removed_col:
         out[removed_col] = F.coalesce(F.array_sort("__removed"), F.array().cast("array<int>"))
     return joined.select(*[x.alias(c) for c, x in out.items()])
