@@ -49,8 +49,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="found")
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
-    return out.select("doc_id", "text", *counts)
+    kinds = F.transform("found", lambda x: x["kind"])
+    count = lambda kind: F.size(F.filter(kinds, lambda x: x == F.lit(kind))).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", "text", *[count(k) for k in pii.PATTERNS])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
