@@ -27,7 +27,8 @@ MAX_LANGUAGES = 200
 #: Longest piece, and the length that longer words are cut to, in characters.
 PIECE, WORD = 10, 32
 _LETTERS = re.compile(r"[^\W\d_]+")
-_BLOCK = 20_000
+#: Words that are segmented at once, texts that are looked at together, and words whose scores a worker keeps.
+_BLOCK, _TEXTS, _WORDS = 20_000, 500, 300_000
 #: Share of the pooled probabilities in each language's, and of a character outside the vocabulary.
 POOLED, UNKNOWN = 0.02, 1e-7
 
@@ -219,26 +220,26 @@ def identify(
         known, seen = pieces(vocabulary), {}
         scores = np.zeros((0, len(langs)))
         for b in batches:
-            found = [Counter(text_words(t)) for t in b["__text"]]
-            if len(seen) > 500_000:
-                seen, scores = {}, scores[:0]
-            new = list({w: None for c in found for w in c if w not in seen}) if langs else []
-            if new:
-                seen |= dict(zip(new, range(len(seen), len(seen) + len(new))))
-                scores = np.concatenate((scores, forward(new, known, shared.value)))
             pred, score, margin = [], [], []
-            for c in found:
-                if not c or not langs:
-                    pred.append("und"), score.append(0.0), margin.append(0.0)
-                    continue
-                n = np.fromiter(c.values(), float, len(c))
-                total = n @ scores[[seen[w] for w in c]]
-                k = int(total.argmax())
-                pred.append(langs[k])
-                score.append(float(1 / np.exp(np.maximum(total - total[k], -700)).sum()))
-                margin.append(float((total[k] - np.delete(total, k).max()) / n.sum()) if len(langs) > 1 else 0.0)
-            b = b.drop(columns="__text").assign(lang_pred=pred, score=score, margin=margin)
-            yield b
+            for at in range(0, len(b), _TEXTS):
+                found = [Counter(text_words(t)) for t in b["__text"].iloc[at : at + _TEXTS]]
+                if len(seen) > _WORDS:
+                    seen, scores = {}, scores[:0]
+                new = list({w: None for c in found for w in c if w not in seen}) if langs else []
+                if new:
+                    seen |= dict(zip(new, range(len(seen), len(seen) + len(new))))
+                    scores = np.concatenate((scores, forward(new, known, shared.value)))
+                for c in found:
+                    if not c or not langs:
+                        pred.append("und"), score.append(0.0), margin.append(0.0)
+                        continue
+                    n = np.fromiter(c.values(), float, len(c))
+                    total = n @ scores[[seen[w] for w in c]]
+                    k = int(total.argmax())
+                    pred.append(langs[k])
+                    score.append(float(1 / np.exp(np.maximum(total - total[k], -700)).sum()))
+                    margin.append(float((total[k] - np.delete(total, k).max()) / n.sum()) if len(langs) > 1 else 0.0)
+            yield b.drop(columns="__text").assign(lang_pred=pred, score=score, margin=margin)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
     return rows.mapInPandas(run, f"{schema}, lang_pred string, score double, margin double")

@@ -157,29 +157,29 @@ def _met(small: DataFrame) -> DataFrame:
 
 
 def near_pairs(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(h, h2), both ways round: distinct lines (h, n, counts, norm) within the distance.
+    """(h, h2), both ways round: distinct lines (h, n, norm) within the distance.
 
     All lines must be at least 2 * distance + 2 characters long. Most segments
     are met by no other line: those are dropped where the segments are first
     brought together, and only the others are joined.
     """
     k = distance
-    n = F.col("n")
     places = [(0, i, 0) for i in range(k + 1)] + _probes(k)
-    keys = _segments(F.col("norm"), n, places, k)
-    rows = distinct.select("h", "counts", F.posexplode(keys).alias("place", "seg")).where("seg is not null").select("h", "counts", "seg", (F.col("place") <= k).alias("own"))
+    keys = _segments(F.col("norm"), F.col("n"), places, k)
+    rows = distinct.select("h", F.posexplode(keys).alias("place", "seg")).where("seg is not null").select("h", "seg", (F.col("place") <= k).alias("own"))
     # a bucket counts if it holds a line's own segment and another line
     bucket = Window.partitionBy("seg")
     shared = rows.withColumn("some", F.max("own").over(bucket)).withColumn("lines", F.min("h").over(bucket) != F.max("h").over(bucket))
-    shared = checkpointed(shared.where("some and lines").select("h", "counts", "seg", "own"))
-    other = shared.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), "seg", F.col("own").alias("own2"))
+    shared = checkpointed(shared.where("some and lines").select("h", "seg", "own"))
+    ids = checkpointed(shared.select("h").distinct())
+    texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm", _counts(F.col("norm"), F.col("n")).alias("counts")))
+    counted = shared.join(texts.select("h", "counts"), "h")
+    other = counted.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), "seg", F.col("own").alias("own2"))
     # two lines' own segments meet both ways round: once is enough
-    met = shared.where("own").join(other, "seg").where("h < h2 or (h > h2 and not own2)")
+    met = counted.where("own").join(other, "seg").where("h < h2 or (h > h2 and not own2)")
     met = met.where(~_apart(F.col("counts"), F.col("counts2"), k))
-    pairs = checkpointed(met.select(F.greatest("h", "h2").alias("h"), F.least("h", "h2").alias("h2")).distinct())
-    ids = checkpointed(pairs.select(F.explode(F.array("h", "h2")).alias("h")).distinct())
-    texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm"))
-    both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")), "h2")
+    pairs = met.select(F.greatest("h", "h2").alias("h"), F.least("h", "h2").alias("h2")).distinct()
+    both = pairs.join(texts.select("h", "norm"), "h").join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")), "h2")
     longer = F.length("norm") >= F.length("norm2")
     both = both.select("h", "h2", F.when(longer, F.col("norm")).otherwise(F.col("norm2")).alias("a"), F.when(longer, F.col("norm2")).otherwise(F.col("norm")).alias("b"))
     near = both.where(edit_distance_within(F.col("a"), F.col("b"), k)).select("h", "h2")
@@ -198,7 +198,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("min_chars must be at least 2 * distance + 2")
     lines = _lines(docs, id_col, text_col, min_chars)
     grouped = lines.groupBy("h").agg(F.first("norm").alias("norm"), F.min("at").alias("first"), F.max("at").alias("last"))
-    distinct = rewritten(grouped.withColumn("n", F.length("norm")).withColumn("counts", _counts(F.col("norm"), F.col("n"))), shared_folder(docs.sparkSession), f"lines-{uuid.uuid4().hex}", compression="zstd")
+    distinct = rewritten(grouped.withColumn("n", F.length("norm")), shared_folder(docs.sparkSession), f"lines-{uuid.uuid4().hex}", compression="zstd")
     pairs = checkpointed(near_pairs(distinct, distance))
     firsts = distinct.select("h", "first", "last")
     ends = checkpointed(firsts.join(_met(checkpointed(pairs.select("h").distinct())), "h"))
