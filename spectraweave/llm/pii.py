@@ -9,6 +9,8 @@ keyed digest of their own form.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: an array of one element names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _noise(key: str, tweak: Column, r: Column, half: Column, side: Column) -> Column:
     """A keyed number below `side` from one half."""
     h = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), half.cast("string")), 256)
@@ -57,8 +64,8 @@ def digits(d: Column, key: str, kind: str, inverse: bool = False) -> Column:
     high = F.ceil(n / 2).cast("int")
     ten = lambda k: F.rpad(F.lit("1"), k + 1, F.lit("0")).cast("long")
     tweak = F.concat_ws("/", F.lit(kind), n.cast("string"))
-    x = feistel(F.substring(d, F.lit(1), high), F.substring(d, high + 1, n), ten(high), ten(n - high), key, tweak, inverse)
-    return F.concat(F.lpad(x["a"].cast("string"), high, F.lit("0")), F.lpad(x["b"].cast("string"), n - high, F.lit("0")))
+    both = feistel(F.substring(d, F.lit(1), high), F.substring(d, high + 1, n), ten(high), ten(n - high), key, tweak, inverse)
+    return _let(both, lambda x: F.concat(F.lpad(x["a"].cast("string"), high, F.lit("0")), F.lpad(x["b"].cast("string"), n - high, F.lit("0"))))
 
 
 def luhn(body: Column) -> Column:
@@ -74,39 +81,43 @@ def _refill(m: Column, new: Column) -> Column:
     """m with its digits replaced, in order, by those of `new`."""
     char = lambda i: F.substring(m, i, F.lit(1))
     place = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^0-9]", ""))
-    put = lambda i: F.when(char(i).rlike("[0-9]"), F.substring(new, place(i), F.lit(1))).otherwise(char(i))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), put), "")
+    put = lambda d: lambda i: F.when(char(i).rlike("[0-9]"), F.substring(d, place(i), F.lit(1))).otherwise(char(i))
+    return _let(new, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), put(d)), ""))
 
 
 def _card(m: Column, key: str, inverse: bool) -> Column:
-    d = F.regexp_replace(m, "[^0-9]", "")
-    body = F.substring(d, F.lit(1), F.length(d) - 1)
-    new = digits(body, key, "card", inverse)
-    valid = (luhn(body) == F.right(d, F.lit(1))) & ~d.rlike(r"^(.)\1*$")
-    return F.when(valid, _refill(m, F.concat(new, luhn(new))))
+    def renew(d: Column) -> Column:
+        body = F.substring(d, F.lit(1), F.length(d) - 1)
+        valid = (luhn(body) == F.right(d, F.lit(1))) & ~d.rlike(r"^(.)\1*$")
+        return F.when(valid, _let(digits(body, key, "card", inverse), lambda x: _refill(m, F.concat(x, luhn(x)))))
+
+    return _let(F.regexp_replace(m, "[^0-9]", ""), renew)
 
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
     """The digits after the first of an international number, else all."""
-    d = F.regexp_replace(m, "[^0-9]", "")
     kept = F.when(m.startswith("+"), 1).otherwise(0)
-    return _refill(m, F.concat(F.substring(d, F.lit(1), kept), digits(F.substring(d, kept + 1, F.length(d)), key, "phone", inverse)))
+
+    def renew(d: Column) -> Column:
+        return _refill(m, F.concat(F.substring(d, F.lit(1), kept), _let(F.substring(d, kept + 1, F.length(d)), lambda x: digits(x, key, "phone", inverse))))
+
+    return _let(F.regexp_replace(m, "[^0-9]", ""), renew)
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
     """Each of the three groups keeps to its valid range: 898 areas (without 666), 99 and 9,999 numbers."""
     area, group, serial = (F.substring(m, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     area = area - 1 - F.when(area > 666, 1).otherwise(0)
-    x = feistel(area, (group - 1) * 9_999 + serial - 1, F.lit(898), F.lit(99 * 9_999), key, F.lit("ssn"), inverse)
-    out = x["a"] + 1 + F.when(x["a"] + 1 >= 666, 1).otherwise(0)
-    return F.format_string("%03d-%02d-%04d", out, F.floor(x["b"] / 9_999).cast("long") + 1, x["b"] % 9_999 + 1)
+    both = feistel(area, (group - 1) * 9_999 + serial - 1, F.lit(898), F.lit(99 * 9_999), key, F.lit("ssn"), inverse)
+    out = lambda x: x["a"] + 1 + F.when(x["a"] + 1 >= 666, 1).otherwise(0)
+    return _let(both, lambda x: F.format_string("%03d-%02d-%04d", out(x), F.floor(x["b"] / 9_999).cast("long") + 1, x["b"] % 9_999 + 1))
 
 
 def _ip(m: Column, key: str, inverse: bool) -> Column:
     o = F.split(m, r"\.")
     half = lambda i: F.get(o, F.lit(i)).cast("long") * 256 + F.get(o, F.lit(i + 1)).cast("long")
-    x = feistel(half(0), half(2), F.lit(65_536), F.lit(65_536), key, F.lit("ip"), inverse)
-    return F.concat_ws(".", *[(F.shiftright(x[k], n) % 256).cast("string") for k, n in (("a", 8), ("a", 0), ("b", 8), ("b", 0))])
+    both = feistel(half(0), half(2), F.lit(65_536), F.lit(65_536), key, F.lit("ip"), inverse)
+    return _let(both, lambda x: F.concat_ws(".", *[(F.shiftright(x[k], n) % 256).cast("string") for k, n in (("a", 8), ("a", 0), ("b", 8), ("b", 0))]))
 
 
 def _date(m: Column, key: str, inverse: bool) -> Column:
@@ -117,15 +128,21 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
     year_first = F.length(p[0]) == 4
     month_first = ~year_first & (p[1].cast("int") > 12)
     year, month, day = F.when(year_first, p[0]).otherwise(p[2]), F.when(month_first, p[0]).otherwise(p[1]), F.when(year_first, p[2]).when(month_first, p[1]).otherwise(p[0])
-    n = F.datediff(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
+    days = F.datediff(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
     a, b = map(F.lit, DAY_SIDES)
-    x = feistel(F.floor(n / b), n % b, a, b, key, F.lit("date"), inverse)
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (x["a"] * b + x["b"]).cast("int"))
     full = (F.length(month) == 2) & (F.length(day) == 2)
-    m2, d2 = (F.when(full, F.date_format(new, f * 2)).otherwise(F.date_format(new, f)) for f in "Md")
-    y2 = F.date_format(new, "yyyy")
-    ymd = F.when(year_first, F.concat_ws("-", y2, m2, d2)).otherwise(F.concat_ws("-", d2, m2, y2))
-    return F.when((n >= 0) & (n < DAY_SIDES[0] * DAY_SIDES[1]), F.regexp_replace(ymd, "-", mark))
+
+    def written(new: Column) -> Column:
+        m2, d2 = (F.when(full, F.date_format(new, f * 2)).otherwise(F.date_format(new, f)) for f in "Md")
+        y2 = F.date_format(new, "yyyy")
+        ymd = F.when(year_first, F.concat_ws("-", y2, m2, d2)).otherwise(F.concat_ws("-", d2, m2, y2))
+        return F.regexp_replace(ymd, "-", mark)
+
+    def renew(n: Column) -> Column:
+        moved = _let(feistel(F.floor(n / b), n % b, a, b, key, F.lit("date"), inverse), lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["a"] * b + x["b"]).cast("int")))
+        return F.when((n >= 0) & (n < DAY_SIDES[0] * DAY_SIDES[1]), _let(moved, written))
+
+    return _let(days, renew)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -148,7 +165,10 @@ def kind_of(m: Column) -> Column:
 
 def pseudonym(m: Column, key: str = KEY, inverse: bool = False) -> Column:
     """The pseudonym of a found value; the value itself if it fails validation."""
-    kind = kind_of(m)
+    return _let(kind_of(m), lambda kind: _renewed(m, kind, key, inverse))
+
+
+def _renewed(m: Column, kind: Column, key: str, inverse: bool) -> Column:
     new = (
         F.when(kind == "email", m if inverse else _email(m, key))
         .when(kind == "ip", _ip(m, key, inverse))
@@ -171,13 +191,18 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY, found
     shuffle: each row is worked on alone, and long texts in one pass.
     """
     text = F.col(text_col)
-    found = F.when(text.rlike("[0-9@]|[0-9A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    new = F.transform(found, lambda m: pseudonym(m, key, inverse))
-    pieces = F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    out = docs.withColumn(text_col, F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text))
+    none = F.array().cast("array<struct<value:string,kind:string,pseudonym:string>>")
+    values = F.when(text.rlike("[0-9@]|[0-9A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+
+    def renewed(m: Column) -> Column:
+        return _let(kind_of(m), lambda kind: F.struct(m.alias("value"), kind.alias("kind"), _renewed(m, kind, key, inverse).alias("pseudonym")))
+
+    # worked out once a row, as what follows reads it more than once
+    rows = docs.withColumn("__found", F.coalesce(F.transform(values, renewed), none))
+    pieces = F.zip_with(F.split(text, ANY, -1), "__found", lambda a, x: F.concat(a, F.coalesce(x["pseudonym"], F.lit(""))))
+    new = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(text)
+    out = {c: F.col(c) for c in docs.columns} | {text_col: new}
     if found_col:
-        pairs = F.zip_with(found, new, lambda m, x: F.struct(kind_of(m).alias("kind"), x.alias("pseudonym"), (m != x).alias("changed")))
-        kept = F.transform(F.filter(pairs, lambda x: x["changed"]), lambda x: F.struct(x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym")))
-        held = docs.withColumn(found_col, F.coalesce(kept, F.array().cast("array<struct<kind:string,pseudonym:string>>")))
-        out = held.withColumn(text_col, F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text))
-    return out
+        changed = F.filter("__found", lambda x: x["value"] != x["pseudonym"])
+        out[found_col] = F.transform(changed, lambda x: F.struct(x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym")))
+    return rows.select(*[x.alias(c) for c, x in out.items()])
