@@ -42,8 +42,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each group of linked fingerprints, once; documents without an id stay."""
-    found = simhash.near_duplicates(docs)
+    """Keeps the document of the smallest id in each group of near copies (five words, similarity 0.8), once; documents without an id stay."""
+    found = simhash.near_copies(docs)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     one = docs.join(first, "doc_id", "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1")

@@ -6,11 +6,15 @@ counts of their two halves; a pair of tiles whose counts differ beyond the
 radius holds no link and is never made. The other pairs are compared in full,
 with numpy exclusive-or and bit counts, and each returns a spanning forest of
 its links, so a large group of near copies doesn't become all its pairs.
+
+Near copies by similarity (`near_copies`) take longer sketches with wide limits
+only to find candidates, and link those whose sets of shingles really are that
+similar.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,23 +29,41 @@ SEED = 42
 TILE = 4096
 _ROWS = 256
 _CHUNK = 1 << 16
+#: Near copies share this part of all their shingles at least.
+SIMILARITY = 0.8
+#: Bits in which the first 64 and all 256 bits of two near copies' sketches may differ. At similarity 0.8 about 10 and 39
+#: differ (12 and 48 for sets of five); the limits lie 3.9 standard deviations or more above that.
+SKETCH_BITS = (24, 72)
+#: Candidates a node may have in one pair of tiles in the first round, and the factor from round to round.
+FIRST_CANDIDATES, MORE_CANDIDATES = 16, 8
 
 
-def fingerprint_text(text: str | None, shingle: int = 4) -> int:
-    """The fingerprint of one text, as an unsigned number (no words: 0)."""
+def _digests(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, in parts; a text of fewer words is one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, len(ends), _CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:], ends[at : at + _CHUNK])], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:], ends[at : at + _CHUNK])], "<u8")
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    """The majority vote over the bits of 64-bit numbers, as an unsigned number (none: 0)."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(ends), bitorder="little").view("<u8")[0])
+        n += len(h)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint_text(text: str | None, shingle: int = 4) -> int:
+    """The fingerprint of one text, as an unsigned number (no words: 0)."""
+    return _majority(_digests(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -131,3 +153,145 @@ def near_duplicates(
     lows = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "root").join(lows, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *_digests(text, shingle)]))
+
+
+def _sketch(hashes: np.ndarray) -> list[int]:
+    """Four fingerprints of a set, each over the set's hashes mixed in another way."""
+    out = []
+    for n in range(1, 5):
+        h = hashes + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        out.append(_majority(h[at : at + _CHUNK] for at in range(0, len(h), _CHUNK)))
+    return out
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, tag, key, n, sketch) for each row: hashes of the text and of its set of shingles, the set's size and its sketch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b["text"]]
+            key = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            sketch = [np.array(_sketch(h), np.uint64).view(np.int64) for h in sets]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "tag": b["tag"], "key": key, "n": [len(h) for h in sets], "sketch": sketch})
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"), text.alias("text"))
+    return rows.mapInPandas(run, "doc_id long, tag long, key long, n long, sketch array<long>")
+
+
+def _candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (u, v) of keys that may be similar, of two tiles or within one, from rows (key, n, group, sketch).
+
+    Pairs of one group need no look. A node gets `limit` pairs at most; both ends
+    of a pair beyond that come as (key, key), to be looked at again.
+    """
+    other = a if b is None else b
+    for at in range(0, len(a), _ROWS):
+        x = a[at : at + _ROWS]
+        i, j = np.nonzero(np.bitwise_count(x[:, None, 3] ^ other[None, :, 3]) <= SKETCH_BITS[0])
+        open_ = x[i, 2] != other[j, 2]
+        if b is None:
+            open_ &= j > i + at
+        i, j = i[open_], j[open_]
+        sizes = x[i, 1].astype(float), other[j, 1].astype(float)
+        fits = np.minimum(*sizes) / np.maximum(*sizes) >= similarity
+        i, j = i[fits], j[fits]
+        fits = np.bitwise_count(x[i, 3:] ^ other[j, 3:]).sum(axis=1) <= SKETCH_BITS[1]
+        i, j = i[fits], j[fits]
+        late = np.arange(len(i)) - np.searchsorted(i, i) >= limit
+        yield x[i[~late], 0], other[j[~late], 0]
+        again = np.unique(np.concatenate((x[i[late], 0], other[j[late], 0])))
+        yield again, again
+
+
+def _met(nodes: DataFrame, similarity: float, limit: int, tile: int) -> DataFrame:
+    """(u, v): candidates among nodes(key, n, group, sketch), and (u, u) for nodes that have more of them.
+
+    Sets of one band of sizes and of the next are compared: others differ too much in size.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(1.0001 / similarity))).cast("long")
+    banded = nodes.select("key", F.array("key", "n", "group", *[F.get("sketch", F.lit(k)) for k in range(4)]).alias("row"), band.alias("band"))
+    # a row for each band, whose number grows with the logarithm of the longest text
+    cells = banded.groupBy("band").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    dealt = banded.join(F.broadcast(cells), "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("long"))
+    tiles = checkpointed(
+        dealt.groupBy("band", "part").agg(F.flatten(F.collect_list("row")).alias("rows")).withColumn("tile", F.col("band") * (1 << 40) + F.col("part"))
+    )
+    left = tiles.select(F.col("tile").alias("a"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    pairs = left.join(tiles.select(F.col("tile").alias("b"), "band"), "band").where("a <= b").select("a", "b")
+    work = (
+        pairs.join(tiles.select(F.col("tile").alias("a"), F.col("rows").alias("ra")), "a")
+        .join(tiles.select(F.col("tile").alias("b"), F.col("rows").alias("rb")), "b")
+        .select((F.col("a") == F.col("b")).alias("same"), "ra", "rb")
+    )
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for same, ra, rb in zip(batch["same"], batch["ra"], batch["rb"]):
+                a, b = (np.asarray(r, np.int64).view(np.uint64).reshape(-1, 7) for r in (ra, rb))
+                for u, v in _candidates(a, None if same else b, similarity, limit):
+                    if len(u):
+                        yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    return work.mapInPandas(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs(u, v) of nodes whose sets of shingles are similar, by the sets themselves."""
+    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    tags = checkpointed(nodes.join(keys, "key").select("key", "tag"))
+    text = F.col(text_col).cast("string")
+    texts = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("tag"), text.alias("text")).join(tags, "tag").groupBy("key").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "shingles": [shingle_set(t, shingle).view(np.int64) for t in b["text"]]})
+
+    sets = checkpointed(texts.mapInPandas(run, "key long, shingles array<long>"))
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("sv")), "v")
+    sized = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("both"), (F.size("su") + F.size("sv")).alias("sum"))
+    return sized.where(F.col("both") / (F.col("sum") - F.col("both")) >= similarity).select("u", "v")
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = 5, tile: int = 2 * TILE
+) -> DataFrame:
+    """(doc_id, component_id long) for each row of docs.
+
+    component_id is the smallest doc_id that links reach; two texts are linked
+    if the Jaccard similarity of their sets of word shingles is at least
+    `similarity` (0.8 or more, for which the sketches' limits are made). Texts
+    without words are copies of each other. A null doc_id keeps its row.
+
+    Candidates are verified in rounds: a node with very many gets only some at
+    first; what these link is one group, within which nothing more need be
+    compared, and the rest of its candidates follow in later, larger rounds.
+    """
+    rows = checkpointed(_sketched(docs, id_col, text_col, shingle))
+    nodes = checkpointed(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    looked, limit = nodes.where("n > 0").select("key", "n", F.col("key").alias("group"), "sketch"), FIRST_CANDIDATES
+    tested = linked = roots = None
+    while True:
+        met = checkpointed(_met(looked, similarity, limit, tile))
+        fresh = met.where("u <> v")
+        fresh = checkpointed(fresh.join(tested, ["u", "v"], "left_anti")) if tested is not None else fresh
+        near = checkpointed(_similar(fresh, nodes, docs, text_col, shingle, similarity))
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        linked = near if linked is None else linked.unionByName(near)
+        roots = connected_components(linked).select(F.col("node").alias("key"), "root")
+        again = met.where("u = v").select(F.col("u").alias("key"))
+        if again.isEmpty():
+            break
+        looked = nodes.join(again, "key").join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("group"), "sketch")
+        limit *= MORE_CANDIDATES
+    named = nodes.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    lows = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(named.select("key", "root").join(lows, "root"), "key").select("doc_id", "component_id")
