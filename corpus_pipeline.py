@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that an earlier line is near to, and documents of which nothing else is left."""
-    out = line_dedup.deduplicated(docs, removed_col="__gone")
+    out = line_dedup.deduplicated(docs, removed_col="__gone", **line_dedup.WHOLE)
     kept = out.where((F.size("__gone") == 0) | F.col("text").rlike(r"\S"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -5,11 +5,16 @@ one's distance + 1 segments, at a place that the lengths and the segment's
 number bound. So each distinct line is indexed by its segments (keyed by length,
 number and text) and probes the indexes of its own length and of the `distance`
 lengths below. What meets is verified with the banded bit-parallel edit distance.
+
+The distance can differ by bands of lengths, and count words instead of
+characters: a long line with one word replaced is many characters away, but one
+word.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +23,10 @@ from pyspark.sql.window import Window
 from .common import checkpointed, rewritten, shared_folder
 
 DISTANCE, MIN_CHARS = 2, 40
+#: (unit, least and greatest length of the shorter line in it, edits): of the least length in words a twentieth may differ.
+WORD_BANDS = [("words", 20, 39, 1), ("words", 40, 79, 2), ("words", 80, 159, 4), ("words", 160, None, 8)]
+#: What the query and the pipeline's stage take.
+WHOLE = {"min_chars": MIN_CHARS, "bands": [("chars", MIN_CHARS, None, DISTANCE), *WORD_BANDS]}
 #: Most rows, of a few numbers each, of a table that is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 300_000
 _LETTERS = "etaoinsrhldu"
@@ -90,8 +99,8 @@ def _within(text: Column, pattern: Column, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(text) - 1), start, step, lambda s: s["d"] <= k)
 
 
-def _segments(norm: Column, n: Column, places: list[tuple[int, int, int]], k: int) -> Column:
-    """The hashed keys of segments of a line of n characters: for (below, i, shift), segment i of a line
+def _segments(norm: Column, n: Column, places: list[tuple[int, int, int]], k: int, band: int, part: Callable[..., Column] = F.substring) -> Column:
+    """The hashed keys of segments of a line of n characters or words: for (below, i, shift), segment i of a line
     `below` shorter, read in this one at its place there plus `shift`; NULL where it would leave the line.
 
     One small function over the list of places, as one large expression would be
@@ -105,7 +114,7 @@ def _segments(norm: Column, n: Column, places: list[tuple[int, int, int]], k: in
         base = F.floor(length / (k + 1)).cast("int")
         start = base * p["i"] + F.greatest(F.lit(0), p["i"] - short) + p["shift"]
         size = base + F.when(short <= p["i"], 1).otherwise(0)
-        return F.when((start >= 0) & (start + size <= n), F.xxhash64(length, p["i"], F.substring(norm, start + 1, size)))
+        return F.when((start >= 0) & (start + size <= n), F.xxhash64(F.lit(band), length, p["i"], part(norm, start + 1, size)))
 
     return F.transform(listed, key)
 
@@ -114,14 +123,16 @@ def _probes(k: int) -> list[tuple[int, int, int]]:
     """(lengths below, segment, shift) of the places where a segment can be met, but for a line's own.
 
     Of two lines of one length each probes the other, so that one of two
-    opposite shifts is enough.
+    opposite shifts is enough up to three edits: they shift all that is not in
+    place to one side, and what is intact in place meets without a probe. Four
+    can shift one part to the left and another to the right.
     """
     return [
         (below, i, shift)
         for below in range(k + 1)
         for i in range(k + 1)
         for shift in range(max(-i, below - (k - i)), min(i, below + (k - i)) + 1)
-        if below or shift > 0
+        if below or shift > 0 or (shift and k > 3)
     ]
 
 
@@ -131,10 +142,17 @@ def _counts(norm: Column, n: Column) -> Column:
     return F.aggregate(letters, (n % 16).cast("long"), lambda s, c: s * 16 + (n - F.length(F.replace(norm, c, F.lit("")))) % 16)
 
 
-def _apart(a: Column, b: Column, k: int) -> Column:
+def _word_counts(words: Column) -> Column:
+    """As _counts: the number of words, and of those whose hash falls in each of some buckets."""
+    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(len(_LETTERS))).cast("int"))
+    count = lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(len(_LETTERS) - 1)), (F.size(x) % 16).cast("long"), lambda s, c: s * 16 + F.size(F.filter(x, lambda y: y == c)) % 16)
+    return F.get(F.transform(F.array(buckets), count), F.lit(0))
+
+
+def _apart(a: Column, b: Column, k: int | Column) -> Column:
     """Whether two lines' counts are further apart than k edits can make them.
 
-    An edit changes the length by one and two letters' counts by one, at most;
+    An edit changes the length by one and two counts by one, at most;
     differences are taken round the circle of 16, and so never too large.
     """
     digits = F.sequence(F.lit(0), F.lit(4 * len(_LETTERS)), F.lit(4))
@@ -156,50 +174,92 @@ def _met(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
-def near_pairs(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(h, h2), both ways round: distinct lines (h, n, norm) within the distance.
+def _words(norm: Column) -> Column:
+    return F.split(norm, " ", -1)
+
+
+def near_pairs(distinct: DataFrame, bands: list[tuple[str, int, int | None, int]]) -> DataFrame:
+    """(h, h2), both ways round: distinct lines (h, n, norm) within the distance of the shorter one's band, of any of its bands.
 
-    All lines must be at least 2 * distance + 2 characters long. Most segments
-    are met by no other line: those are dropped where the segments are first
-    brought together, and only the others are joined.
+    All lines of a band must be at least 2 * distance + 2 units long. Most
+    segments are met by no other line: those are dropped where the segments are
+    first brought together, and only the others are joined.
     """
-    k = distance
-    places = [(0, i, 0) for i in range(k + 1)] + _probes(k)
-    keys = _segments(F.col("norm"), F.col("n"), places, k)
-    rows = distinct.select("h", F.posexplode(keys).alias("place", "seg")).where("seg is not null").select("h", "seg", (F.col("place") <= k).alias("own"))
+    units = {"chars": (F.col("norm"), F.col("n"), F.substring), "words": (F.col("words"), F.size("words"), F.slice)}
+    with_words = any(unit == "words" for unit, *_ in bands)
+    lines = distinct.withColumn("words", _words(F.col("norm"))) if with_words else distinct
+    every = []
+    for band, (unit, least, greatest, k) in enumerate(bands):
+        norm, n, part = units[unit]
+        keys = _segments(norm, n, [(0, i, 0) for i in range(k + 1)] + _probes(k), k, band, part)
+        # lines beyond the band only probe the lines within
+        inside = (n >= least) & (n <= greatest + k) if greatest else n >= least
+        placed = F.transform(keys, lambda seg, place: F.struct(place.alias("place"), seg.alias("seg")))  # noqa: B023
+        kept = F.when(inside, F.filter(placed, lambda x: x["seg"].isNotNull()))
+        every.append((kept, n <= greatest if greatest else F.lit(True)))
+    parts = F.array(*[F.struct(F.lit(b).alias("band"), within.alias("within"), kept.alias("keys")) for b, (kept, within) in enumerate(every)])
+    rows = lines.select("h", F.explode(parts).alias("p")).select("h", "p.band", "p.within", F.explode("p.keys").alias("x"))
+    ks = F.array(*[F.lit(k) for *_, k in bands])
+    rows = rows.select("h", F.col("band").cast("byte").alias("band"), "x.seg", ((F.col("x.place") <= F.get(ks, "band")) & F.col("within")).alias("own"))
     # a bucket counts if it holds a line's own segment and another line
     bucket = Window.partitionBy("seg")
     shared = rows.withColumn("some", F.max("own").over(bucket)).withColumn("lines", F.min("h").over(bucket) != F.max("h").over(bucket))
-    shared = checkpointed(shared.where("some and lines").select("h", "seg", "own"))
+    shared = checkpointed(shared.where("some and lines").select("h", "band", "seg", "own"))
     ids = checkpointed(shared.select("h").distinct())
-    texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm", _counts(F.col("norm"), F.col("n")).alias("counts")))
-    counted = shared.join(texts.select("h", "counts"), "h")
-    other = counted.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), "seg", F.col("own").alias("own2"))
+    counts = [_counts(F.col("norm"), F.col("n")).alias("chars"), (_word_counts(_words(F.col("norm"))) if with_words else F.lit(None).cast("long")).alias("words")]
+    texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm", *counts))
+    in_words = F.get(F.array(*[F.lit(unit == "words") for unit, *_ in bands]), "band")
+    counted = shared.join(texts.select("h", "chars", "words"), "h").select("h", "band", "seg", "own", F.when(in_words, F.col("words")).otherwise(F.col("chars")).alias("counts"))
+    other = counted.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), "seg", "band", F.col("own").alias("own2"))
     # two lines' own segments meet both ways round: once is enough
-    met = counted.where("own").join(other, "seg").where("h < h2 or (h > h2 and not own2)")
-    met = met.where(~_apart(F.col("counts"), F.col("counts2"), k))
-    pairs = met.select(F.greatest("h", "h2").alias("h"), F.least("h", "h2").alias("h2")).distinct()
+    met = counted.where("own").join(other, ["seg", "band"]).where("h < h2 or (h > h2 and not own2)")
+    met = met.where(~_apart(F.col("counts"), F.col("counts2"), F.get(ks, "band")))
+    pairs = met.select(F.greatest("h", "h2").alias("h"), F.least("h", "h2").alias("h2"), "band").distinct()
     both = pairs.join(texts.select("h", "norm"), "h").join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")), "h2")
-    longer = F.length("norm") >= F.length("norm2")
-    both = both.select("h", "h2", F.when(longer, F.col("norm")).otherwise(F.col("norm2")).alias("a"), F.when(longer, F.col("norm2")).otherwise(F.col("norm")).alias("b"))
-    near = both.where(edit_distance_within(F.col("a"), F.col("b"), k)).select("h", "h2")
+
+    def ordered(size: Column, size2: Column) -> list[Column]:
+        longer = size >= size2
+        return [F.when(longer, F.col("norm")).otherwise(F.col("norm2")).alias("a"), F.when(longer, F.col("norm2")).otherwise(F.col("norm")).alias("b")]
+
+    near = None
+    for unit in dict.fromkeys(unit for unit, *_ in bands):
+        length = F.length if unit == "chars" else lambda x: F.size(_words(F.col(x)))
+        mine = both.where(in_words == F.lit(unit == "words")).select("h", "h2", "band", *ordered(length("norm"), length("norm2")))
+        verdict = None
+        for band, (kind, _, _, k) in enumerate(bands):
+            if kind == unit:
+                within = edit_distance_within(F.col("a"), F.col("b"), k) if unit == "chars" else _words_within(F.col("a"), F.col("b"), k)
+                verdict = (F if verdict is None else verdict).when(F.col("band") == band, within)
+        found = mine.where(verdict).select("h", "h2")
+        near = found if near is None else near.unionByName(found)
+    near = checkpointed(near.distinct()) if len(bands) > 1 else near
     return near.unionByName(near.select(F.col("h2").alias("h"), F.col("h").alias("h2")))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
+def _words_within(a: Column, b: Column, k: int) -> Column:
+    """edit_distance_within, with words for characters."""
+    words = F.struct(_words(b).alias("text"), _words(a).alias("pattern"))
+    return F.get(F.transform(F.array(words), lambda x: _within(x["text"], x["pattern"], k)), F.lit(0))
+
+
+def repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, min_chars: int = MIN_CHARS, bands: list[tuple[str, int, int | None, int]] | None = None
+) -> DataFrame:
     """(id, tag, removed): for each document with some, the places (from 0) of its lines that an earlier line is near to.
 
     tag is the hash of the text. Lines come in the order of document id (null
     first), tag and place; a line is near another if, trimmed and in lower case,
     they are within `distance` edits. Lines of under `min_chars` characters take
-    no part. Lines are told apart by a 64-bit hash.
+    no part. Lines are told apart by a 64-bit hash. bands, if given, takes the
+    place of the one distance: lines outside of all of them only go if equal.
     """
-    if min_chars < 2 * distance + 2:
+    bands = bands or [("chars", min_chars, None, distance)]
+    if any(least < 2 * k + 2 for _, least, _, k in bands):
         raise ValueError("min_chars must be at least 2 * distance + 2")
     lines = _lines(docs, id_col, text_col, min_chars)
     grouped = lines.groupBy("h").agg(F.first("norm").alias("norm"), F.min("at").alias("first"), F.max("at").alias("last"))
     distinct = rewritten(grouped.withColumn("n", F.length("norm")), shared_folder(docs.sparkSession), f"lines-{uuid.uuid4().hex}", compression="zstd")
-    pairs = checkpointed(near_pairs(distinct, distance))
+    pairs = checkpointed(near_pairs(distinct, bands))
     firsts = distinct.select("h", "first", "last")
     ends = checkpointed(firsts.join(_met(checkpointed(pairs.select("h").distinct())), "h"))
     near = pairs.join(ends.select(F.col("h").alias("h2"), "first"), "h2").groupBy("h").agg(F.min("first").alias("near"))
@@ -211,8 +271,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def deduplicated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, min_chars: int = MIN_CHARS, removed_col: str | None = None
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, min_chars: int = MIN_CHARS, removed_col: str | None = None,
+    bands: list[tuple[str, int, int | None, int]] | None = None,
+) -> DataFrame:
     """docs with the lines that an earlier line is near to taken out of its texts, all other columns as they are.
 
     The first line of each kind stays, so no line is lost altogether; rows are
@@ -220,7 +281,7 @@ def deduplicated(
     new column with the places of the lines taken out. Null texts stay null.
     Equal rows are one document and keep equal texts. An empty table gives none.
     """
-    found = checkpointed(repeated_lines(docs, id_col, text_col, distance, min_chars))
+    found = checkpointed(repeated_lines(docs, id_col, text_col, distance, min_chars, bands))
     text = F.col(text_col).cast("string")
     mine = _met(found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed")))
     joined = docs.join(mine, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tag")), "left")

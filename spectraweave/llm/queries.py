@@ -13,7 +13,7 @@ from .common import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"))
-    out = line_dedup.deduplicated(docs, removed_col="removed")
+    out = line_dedup.deduplicated(docs, removed_col="removed", **line_dedup.WHOLE)
     return out.select(
         "doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.length("text").alias("n_chars_kept"), F.md5("text").alias("text_md5")
     )
