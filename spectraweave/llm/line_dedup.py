@@ -25,8 +25,8 @@ from .common import checkpointed, rewritten, shared_folder
 DISTANCE, MIN_CHARS = 2, 40
 #: (unit, least and greatest length of the shorter line in it, edits): of the least length in words a twentieth may differ.
 WORD_BANDS = [("words", 20, 39, 1), ("words", 40, 79, 2), ("words", 80, 159, 4), ("words", 160, None, 8)]
-#: What the query and the pipeline's stage take.
-WHOLE = {"min_chars": MIN_CHARS, "bands": [("chars", MIN_CHARS, None, DISTANCE), *WORD_BANDS]}
+#: What the query and the pipeline's stage take: equal lines of any length, and one edit in twenty characters at most in short lines.
+WHOLE = {"min_chars": 1, "bands": [("chars", 20, MIN_CHARS - 1, 1), ("chars", MIN_CHARS, None, DISTANCE), *WORD_BANDS]}
 #: Most rows, of a few numbers each, of a table that is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 300_000
 _LETTERS = "etaoinsrhldu"

@@ -80,3 +80,15 @@ def test_query_takes_the_bands(spark, tmp_path):
     rows = [(1, " ".join(words)), (2, " ".join(words[:30] + ["another"] + words[31:]))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.doc_id, r.removed) for r in op1_line_dedup(spark, str(tmp_path)).collect()} == {(1, ""), (2, "0")}
+
+
+def test_short_lines(spark):
+    texts = ["yes\n\n1.\na heading of few words\n ", "Yes \n\n2.\nA heading of few word\n ", "no\n1.\na heading of many words", "nineteen characters\nyes\ntwenty characters no", "nineteen character\ntwenty characters n"]
+    got = check(spark, list(enumerate(texts)))
+    assert got[1] == "\n2.\n "  # empty lines stay, and so does another number
+    assert got[3] == "nineteen characters\ntwenty characters no" and got[4] == "nineteen character\ntwenty characters n"
+
+
+def test_query_takes_short_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "short\nnew"), (2, "Short\nother")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.removed) for r in op1_line_dedup(spark, str(tmp_path)).collect()} == {(1, ""), (2, "0")}
