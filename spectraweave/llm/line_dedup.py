@@ -1,10 +1,11 @@
 """Near-duplicate lines by a segment-partition edit join, with SQL functions only.
 
 A line within `distance` edits of another must share, unchanged, one of that
-one's distance + 1 segments, at a place that the lengths and the segment's
-number bound. So each distinct line is indexed by its segments (keyed by length,
-number and text) and probes the indexes of its own length and of the `distance`
-lengths below. What meets is verified with the banded bit-parallel edit distance.
+one's distance + 1 segments, at a place that the segment's number bounds. So each
+distinct line is indexed by its segments (keyed by class of lengths, number and
+text) and probes the indexes of its own class, and of the class below if it is
+within `distance` of it. What meets is verified with the banded bit-parallel edit
+distance.
 
 The distance can differ by bands of lengths, and count words instead of
 characters: a long line with one word replaced is many characters away, but one
@@ -27,8 +28,8 @@ DISTANCE, MIN_CHARS = 2, 40
 WORD_BANDS = [("words", 20, 39, 1), ("words", 40, 79, 2), ("words", 80, 159, 4), ("words", 160, None, 8)]
 #: What the query and the pipeline's stage take: equal lines of any length, and one edit in twenty characters at most in short lines.
 WHOLE = {"min_chars": 1, "bands": [("chars", 20, MIN_CHARS - 1, 1), ("chars", MIN_CHARS, None, DISTANCE), *WORD_BANDS]}
-#: Most rows, of a few numbers each, of a table that is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 300_000
+#: Most bytes of a table that is broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 16_000_000
 _LETTERS = "etaoinsrhldu"
 
 
@@ -99,67 +100,128 @@ def _within(text: Column, pattern: Column, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(text) - 1), start, step, lambda s: s["d"] <= k)
 
 
-def _segments(norm: Column, n: Column, places: list[tuple[int, int, int]], k: int, band: int, part: Callable[..., Column] = F.substring) -> Column:
-    """The hashed keys of segments of a line of n characters or words: for (below, i, shift), segment i of a line
-    `below` shorter, read in this one at its place there plus `shift`; NULL where it would leave the line.
+def _places(k: int) -> list[tuple[int, bool, int, int]]:
+    """(segment, whether counted from the end, segments from there, shift) of the places where a segment can be met.
 
-    One small function over the list of places, as one large expression would be
-    too long a method for the JVM to compile.
+    Let i be the first of k + 1 segments that ends with no more than i edits up
+    to there: it is intact, i edits are before it and k - i after it at most. So
+    it is met within i places of where it is from the start, and within k - i of
+    where it is from the end: segments of the first half are placed from the
+    start, the others from the end, whatever the other line's length.
     """
-    listed = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("below", "i", "shift"), p)]) for p in places])
+    out = []
+    for i in range(k + 1):
+        first = 2 * i <= k
+        reach = i if first else k - i
+        out += [(i, not first, i if first else k + 1 - i, shift) for shift in range(-reach, reach + 1)]
+    return out
 
-    def key(p: Column) -> Column:
-        length = n - p["below"]
-        short = (k + 1) - length % (k + 1)
-        base = F.floor(length / (k + 1)).cast("int")
-        start = base * p["i"] + F.greatest(F.lit(0), p["i"] - short) + p["shift"]
-        size = base + F.when(short <= p["i"], 1).otherwise(0)
-        return F.when((start >= 0) & (start + size <= n), F.xxhash64(F.lit(band), length, p["i"], part(norm, start + 1, size)))
 
-    return F.transform(listed, key)
+Band = tuple[str, int, int | None, int]
 
 
-def _probes(k: int) -> list[tuple[int, int, int]]:
-    """(lengths below, segment, shift) of the places where a segment can be met, but for a line's own.
+def _width(least: int, k: int) -> int:
+    """The width of a band's first two classes of lengths; each next pair is twice as wide."""
+    return 1 << max(k - 1, -(-least // 4) - 1, 0).bit_length()
 
-    Of two lines of one length each probes the other, so that one of two
-    opposite shifts is enough up to three edits: they shift all that is not in
-    place to one side, and what is intact in place meets without a probe. Four
-    can shift one part to the left and another to the right.
+
+def _class(n: Column, bands: list[tuple[int, Band]]) -> Column:
+    """(band, k, start): the class of lengths that a length is in; its segments are as long as those of its least length, `start`."""
+    out = F.lit(None)
+    for number, (_, least, greatest, k) in reversed(bands):
+        x = n - least + 2 * _width(least, k)
+        step = F.call_function("shiftleft", F.lit(1), F.length(F.bin(x)) - 2)
+        inside = n.between(least, greatest) if greatest else n >= least
+        out = F.when(inside, F.struct(F.lit(number).alias("band"), F.lit(k).alias("k"), (n - x % step).cast("int").alias("start"))).otherwise(out)
+    return out
+
+
+def _top(m: Column, bands: list[tuple[int, Band]]) -> Column:
+    """The largest length up to m that is in a band."""
+    out = F.lit(None).cast("int")
+    for _, (_, least, greatest, _) in bands:
+        out = F.when(m >= least, F.least(m, F.lit(greatest)) if greatest else m).otherwise(out)
+    return out
+
+
+def _below(bands: list[tuple[int, Band]]) -> int:
+    """How many classes below its own a line can have a partner in, at most."""
+    edges, most = [], 0
+    for _, (_, least, greatest, k) in bands:
+        at, last = least, greatest or 16 * (least + k)
+        while at <= last:
+            x = at - least + 2 * _width(least, k)
+            edges.append((at, k))
+            at += (1 << (x.bit_length() - 2)) - x % (1 << (x.bit_length() - 2))
+    for i, (start, _) in enumerate(edges):
+        most = max(most, sum(edges[j + 1][0] - 1 >= start - k for j, (_, k) in enumerate(edges[:i])))
+    return max(1, most)
+
+
+def _segments(lines: DataFrame, bands: list[tuple[int, Band]]) -> DataFrame:
+    """(h, seg, meta) of lines (h, norm, n, and words for bands of words): the hashed segments of one unit's bands.
+
+    A line has its own segments, in the class of its length; and what may be a
+    segment of a line of its class, or of one up to k shorter in the class
+    below, is a probe. meta: twice the band's number, and 1 for an own segment.
     """
-    return [
-        (below, i, shift)
-        for below in range(k + 1)
-        for i in range(k + 1)
-        for shift in range(max(-i, below - (k - i)), min(i, below + (k - i)) + 1)
-        if below or shift > 0 or (shift and k > 3)
-    ]
+    part = F.slice if bands[0][1][0] == "words" else F.substring
+    text = "words" if bands[0][1][0] == "words" else "norm"
+    rows, names = lines.withColumn("c0", _class(F.col("n"), bands)), ["c0"]
+    upto = F.coalesce(F.col("c0.start") - 1, F.col("n") - 1)
+    for i in range(1, _below(bands) + 1):
+        rows = rows.withColumn(f"t{i}", _top(upto, bands)).withColumn(f"c{i}", _class(F.col(f"t{i}"), bands))
+        rows = rows.withColumn(f"c{i}", F.when(F.col(f"t{i}") >= F.col("n") - F.col(f"c{i}.k"), F.col(f"c{i}")))
+        names, upto = [*names, f"c{i}"], F.col(f"c{i}.start") - 1
+    rows = rows.select("h", text, "n", F.explode(F.array(*names)).alias("c"), (F.col("c0.start")).alias("own_start")).where("c is not null")
+    places = F.lit(None)
+    for k in {k for _, (*_, k) in bands}:
+        listed = F.array(*[F.struct(*[F.lit(v).alias(x) for x, v in zip(("i", "end", "j", "shift"), p)]) for p in _places(k)])
+        places = F.when(F.col("c.k") == k, listed).otherwise(places)
+    rows = rows.select("h", text, "n", "c", "own_start", F.explode(places).alias("p"))
+    size = F.floor(F.col("c.start") / (F.col("c.k") + 1)).cast("int")
+    start = F.when(F.col("p.end"), F.col("n") - F.col("p.j") * size).otherwise(F.col("p.j") * size) + F.col("p.shift") + 1
+    own = (F.col("p.shift") == 0) & F.coalesce(F.col("own_start") == F.col("c.start"), F.lit(False))
+    seg = F.xxhash64(F.col("c.band"), F.col("c.start"), F.col("p.i"), part(F.col(text), start, size))
+    return rows.select("h", seg.alias("seg"), (F.col("c.band") * 2 + own.cast("int")).cast("byte").alias("meta"))
 
 
 def _counts(norm: Column, n: Column) -> Column:
     """Length and counts of some letters, each modulo 16, in 4 bits each."""
-    letters = F.array(*map(F.lit, _LETTERS))
-    return F.aggregate(letters, (n % 16).cast("long"), lambda s, c: s * 16 + (n - F.length(F.replace(norm, c, F.lit("")))) % 16)
+    out = (n % 16).cast("long")
+    for c in _LETTERS:
+        out = out * 16 + (n - F.length(F.replace(norm, F.lit(c), F.lit("")))) % 16
+    return out
 
 
 def _word_counts(words: Column) -> Column:
     """As _counts: the number of words, and of those whose hash falls in each of some buckets."""
-    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(len(_LETTERS))).cast("int"))
-    count = lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(len(_LETTERS) - 1)), (F.size(x) % 16).cast("long"), lambda s, c: s * 16 + F.size(F.filter(x, lambda y: y == c)) % 16)
-    return F.get(F.transform(F.array(buckets), count), F.lit(0))
+    one = F.transform(words, lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), 4 * F.pmod(F.xxhash64(w), F.lit(len(_LETTERS))).cast("int")))
+    mask = F.lit((1 << 4 * len(_LETTERS)) - 1)
+    high, low = F.lit(0xF0F0F0F0F0F0), F.lit(0x0F0F0F0F0F0F)
+    # odd and even places apart, so that no count runs over into the next
+    add = lambda s, x: (s.bitwiseAND(high) + x.bitwiseAND(high)).bitwiseAND(high).bitwiseOR((s.bitwiseAND(low) + x.bitwiseAND(low)).bitwiseAND(low))
+    counts = F.aggregate(one, F.lit(0).cast("long"), lambda s, x: add(s, x).bitwiseAND(mask))
+    return counts + F.call_function("shiftleft", (F.size(words) % 16).cast("long"), F.lit(4 * len(_LETTERS)))
 
 
-def _apart(a: Column, b: Column, k: int | Column) -> Column:
+def _apart(a: Column, b: Column, k: Column) -> Column:
     """Whether two lines' counts are further apart than k edits can make them.
 
     An edit changes the length by one and two counts by one, at most;
-    differences are taken round the circle of 16, and so never too large.
+    differences are taken round the circle of 16, and so never too large. All
+    13 differences are worked out at once, in 4 bits each.
     """
-    digits = F.sequence(F.lit(0), F.lit(4 * len(_LETTERS)), F.lit(4))
-    ahead = lambda i: (F.call_function("shiftrightunsigned", a, i) - F.call_function("shiftrightunsigned", b, i)).bitwiseAND(F.lit(15))
-    gap = lambda i: F.least(ahead(i), 16 - ahead(i)).cast("int")
-    top = F.lit(4 * len(_LETTERS))
-    return (gap(top) > k) | (F.aggregate(digits, F.lit(0), lambda s, i: s + gap(i)) - gap(top) > 2 * k)
+    every = (1 << 4 * len(_LETTERS) + 4) - 1
+    signs, rest = F.lit(0x8888888888888888 & every), F.lit(0x7777777777777777 & every)
+    right = lambda x, n: F.shiftrightunsigned(x, n)
+    gap = (a.bitwiseOR(signs) - b.bitwiseAND(rest)).bitwiseXOR(a.bitwiseXOR(b).bitwiseXOR(F.lit(every)).bitwiseAND(signs))
+    minus = right(gap.bitwiseAND(signs), 3)
+    size = gap.bitwiseXOR(minus * 15) + minus
+    total = size.bitwiseAND(F.lit(0x0F0F0F0F0F0F)) + right(size, 4).bitwiseAND(F.lit(0x0F0F0F0F0F0F))
+    total = total.bitwiseAND(F.lit(0x00FF00FF00FF)) + right(total, 8).bitwiseAND(F.lit(0x00FF00FF00FF))
+    total = (total + right(total, 16) + right(total, 32)).bitwiseAND(F.lit(0xFFFF))
+    return (right(size, 4 * len(_LETTERS)) > k) | (total > 2 * k)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -169,77 +231,100 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     return rows.where(F.length("norm") >= min_chars).select(F.xxhash64("norm").alias("h"), F.struct("id", "tag", "pos").alias("at"), "norm")
 
 
-def _met(small: DataFrame) -> DataFrame:
-    """small, to be broadcast if it is small enough: its size is known, as it is a written copy."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+def _met(small: DataFrame, size: Column | None = None) -> DataFrame:
+    """small, a written copy, to be broadcast if its rows of `size` bytes (a few numbers, if not given) are few enough."""
+    total = small.agg(F.coalesce(F.sum(F.lit(64) if size is None else size), F.lit(0))).first()[0]
+    return F.broadcast(small) if total <= BROADCAST_BYTES else small
 
 
 def _words(norm: Column) -> Column:
     return F.split(norm, " ", -1)
 
 
-def near_pairs(distinct: DataFrame, bands: list[tuple[str, int, int | None, int]]) -> DataFrame:
-    """(h, h2), both ways round: distinct lines (h, n, norm) within the distance of the shorter one's band, of any of its bands.
+def _verified(pairs: DataFrame, texts: DataFrame, bands: list[Band]) -> DataFrame:
+    """Those h of pairs (h, h2, band) that are within the band's distance of an h2."""
+    both = pairs.join(texts.select("h", "norm"), "h").join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")), "h2")
+    found = None
+    for unit in dict.fromkeys(unit for unit, *_ in bands):
+        length = F.length if unit == "chars" else lambda x: F.size(_words(F.col(x)))
+        sized = both.where(F.col("band").isin([b for b, (u, *_) in enumerate(bands) if u == unit])).withColumn("n", length("norm")).withColumn("n2", length("norm2"))
+        longer = F.col("n") >= F.col("n2")
+        a, b = F.when(longer, F.col("norm")).otherwise(F.col("norm2")), F.when(longer, F.col("norm2")).otherwise(F.col("norm"))
+        mine = sized.select("h", "band", F.abs(F.col("n") - F.col("n2")).alias("gap"), a.alias("a"), b.alias("b"))
+        verdict = F.lit(False)
+        for number, (kind, _, _, k) in enumerate(bands):
+            if kind == unit:
+                within = edit_distance_within(F.col("a"), F.col("b"), k) if unit == "chars" else _words_within(F.col("a"), F.col("b"), k)
+                verdict = F.when(F.col("band") == number, F.when(F.col("gap") <= k, within).otherwise(False)).otherwise(verdict)
+        part = mine.where(verdict).select("h")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
 
-    All lines of a band must be at least 2 * distance + 2 units long. Most
-    segments are met by no other line: those are dropped where the segments are
-    first brought together, and only the others are joined.
+def near_earlier(distinct: DataFrame, bands: list[Band]) -> DataFrame:
+    """The h of distinct lines (h, n, norm, first) that are within the distance of a line whose `first` is earlier.
+
+    The distance is that of the shorter line's band, of any band of either unit;
+    bands of a unit are in order, apart, and of at least 2 * distance + 2 units.
+
+    Most segments are met by no other line: those are dropped where the segments
+    are first brought together. A line is first compared with the earliest line
+    that has a segment in each place where it meets others, which settles most
+    lines of a large group; only the lines that this leaves open are compared
+    with all earlier lines that they meet.
     """
-    units = {"chars": (F.col("norm"), F.col("n"), F.substring), "words": (F.col("words"), F.size("words"), F.slice)}
-    with_words = any(unit == "words" for unit, *_ in bands)
-    lines = distinct.withColumn("words", _words(F.col("norm"))) if with_words else distinct
-    every = []
-    for band, (unit, least, greatest, k) in enumerate(bands):
-        norm, n, part = units[unit]
-        keys = _segments(norm, n, [(0, i, 0) for i in range(k + 1)] + _probes(k), k, band, part)
-        # lines beyond the band only probe the lines within
-        inside = (n >= least) & (n <= greatest + k) if greatest else n >= least
-        placed = F.transform(keys, lambda seg, place: F.struct(place.alias("place"), seg.alias("seg")))  # noqa: B023
-        kept = F.when(inside, F.filter(placed, lambda x: x["seg"].isNotNull()))
-        every.append((kept, n <= greatest if greatest else F.lit(True)))
-    parts = F.array(*[F.struct(F.lit(b).alias("band"), within.alias("within"), kept.alias("keys")) for b, (kept, within) in enumerate(every)])
-    rows = lines.select("h", F.explode(parts).alias("p")).select("h", "p.band", "p.within", F.explode("p.keys").alias("x"))
-    ks = F.array(*[F.lit(k) for *_, k in bands])
-    rows = rows.select("h", F.col("band").cast("byte").alias("band"), "x.seg", ((F.col("x.place") <= F.get(ks, "band")) & F.col("within")).alias("own"))
+    numbered = list(enumerate(bands))
+    of = lambda unit: [x for x in numbered if x[1][0] == unit]
+    rows = _segments(distinct.select("h", "norm", "n"), of("chars")) if of("chars") else None
+    if of("words"):
+        least = min(b[1] for _, b in of("words"))
+        long = distinct.where(F.col("n") >= 2 * least - 1).select("h", _words(F.col("norm")).alias("words"))
+        mine = _segments(long.withColumn("n", F.size("words")).where(F.col("n") >= least), of("words"))
+        rows = mine if rows is None else rows.unionByName(mine)
     # a bucket counts if it holds a line's own segment and another line
     bucket = Window.partitionBy("seg")
-    shared = rows.withColumn("some", F.max("own").over(bucket)).withColumn("lines", F.min("h").over(bucket) != F.max("h").over(bucket))
-    shared = checkpointed(shared.where("some and lines").select("h", "band", "seg", "own"))
+    some, lines = F.max(F.col("meta") % 2).over(bucket) == 1, F.min("h").over(bucket) != F.max("h").over(bucket)
+    shared = checkpointed(rows.withColumn("__met", some & lines).where("__met").select("h", "seg", "meta"))
     ids = checkpointed(shared.select("h").distinct())
-    counts = [_counts(F.col("norm"), F.col("n")).alias("chars"), (_word_counts(_words(F.col("norm"))) if with_words else F.lit(None).cast("long")).alias("words")]
-    texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm", *counts))
-    in_words = F.get(F.array(*[F.lit(unit == "words") for unit, *_ in bands]), "band")
-    counted = shared.join(texts.select("h", "chars", "words"), "h").select("h", "band", "seg", "own", F.when(in_words, F.col("words")).otherwise(F.col("chars")).alias("counts"))
-    other = counted.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), "seg", "band", F.col("own").alias("own2"))
-    # two lines' own segments meet both ways round: once is enough
-    met = counted.where("own").join(other, ["seg", "band"]).where("h < h2 or (h > h2 and not own2)")
-    met = met.where(~_apart(F.col("counts"), F.col("counts2"), F.get(ks, "band")))
-    pairs = met.select(F.greatest("h", "h2").alias("h"), F.least("h", "h2").alias("h2"), "band").distinct()
-    both = pairs.join(texts.select("h", "norm"), "h").join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")), "h2")
+    counts = [_counts(F.col("norm"), F.col("n")).alias("chars"), (_word_counts(_words(F.col("norm"))) if of("words") else F.lit(None).cast("long")).alias("words")]
+    texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm", "first", *counts))
+    in_words = F.get(F.array(*[F.lit(unit == "words") for unit, *_ in bands]), F.col("band"))
+    counted = shared.join(_met(texts.select("h", "first", "chars", "words"), F.lit(96)), "h").withColumn("band", F.floor(F.col("meta") / 2).cast("int"))
+    counted = checkpointed(counted.select("h", "seg", "band", (F.col("meta") % 2 == 1).alias("own"), "first", F.when(in_words, F.col("words")).otherwise(F.col("chars")).alias("counts")))
+    close = ~_apart(F.col("counts"), F.col("counts2"), F.get(F.array(*[F.lit(k) for *_, k in bands]), F.col("band")))
+    earlier = F.col("first") > F.col("first2")
+    other = lambda df: df.select("seg", F.col("h").alias("h2"), F.col("own").alias("own2"), F.col("first").alias("first2"), F.col("counts").alias("counts2"))
+    lead = counted.where("own").groupBy("seg").agg(F.min(F.struct("first", "h", "counts")).alias("l"))
+    lead = lead.select("seg", F.col("l.h").alias("h2"), F.col("l.first").alias("first2"), F.col("l.counts").alias("counts2"))
+    led = counted.join(lead, "seg").where(earlier & close).select("h", "h2", "band").distinct()
+    settled = checkpointed(_verified(led, texts, bands))
+    left = checkpointed(counted.join(_met(settled), "h", "left_anti"))
+    near = left.where("own").join(other(counted).where("not own2"), "seg").where(earlier & close).select("h", "h2", "band")
+    near = near.unionByName(left.join(other(counted).where("own2"), "seg").where(earlier & close).select("h", "h2", "band"))
+    return settled.unionByName(_verified(near.distinct().join(led, ["h", "h2", "band"], "left_anti"), texts, bands))
 
-    def ordered(size: Column, size2: Column) -> list[Column]:
-        longer = size >= size2
-        return [F.when(longer, F.col("norm")).otherwise(F.col("norm2")).alias("a"), F.when(longer, F.col("norm2")).otherwise(F.col("norm")).alias("b")]
 
-    near = None
-    for unit in dict.fromkeys(unit for unit, *_ in bands):
-        length = F.length if unit == "chars" else lambda x: F.size(_words(F.col(x)))
-        mine = both.where(in_words == F.lit(unit == "words")).select("h", "h2", "band", *ordered(length("norm"), length("norm2")))
-        verdict = None
-        for band, (kind, _, _, k) in enumerate(bands):
-            if kind == unit:
-                within = edit_distance_within(F.col("a"), F.col("b"), k) if unit == "chars" else _words_within(F.col("a"), F.col("b"), k)
-                verdict = (F if verdict is None else verdict).when(F.col("band") == band, within)
-        found = mine.where(verdict).select("h", "h2")
-        near = found if near is None else near.unionByName(found)
-    near = checkpointed(near.distinct()) if len(bands) > 1 else near
-    return near.unionByName(near.select(F.col("h2").alias("h"), F.col("h").alias("h2")))
+def _words_within(a: Column, b: Column, k: int) -> Column:
+    """edit_distance_within, with words for characters and for any number of them.
+
+    What both share at their ends is left out, in whole words, and words that
+    both have are put at the end, so that neither is too short for the band.
+    """
+    steps = F.array(*[F.lit(1 << n) for n in range(22, -1, -1)])
 
+    def shared(part: Callable[[Column, Column], Column], most: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda s, n: F.when(s + n > most, s).when(part(a, s + n) == part(b, s + n), s + n).otherwise(s))
 
-def _words_within(a: Column, b: Column, k: int) -> Column:
-    """edit_distance_within, with words for characters."""
-    words = F.struct(_words(b).alias("text"), _words(a).alias("pattern"))
-    return F.get(F.transform(F.array(words), lambda x: _within(x["text"], x["pattern"], k)), F.lit(0))
+    start = lambda x, n: F.substring(x, F.lit(1), n)
+    end = lambda x, n: F.substring(x, F.length(x) - n + 1, n)
+    least = F.least(F.length(a), F.length(b))
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    head = let(shared(start, least), lambda n: n - F.length(F.substring_index(start(a, n), " ", -1)))
+    tail = lambda h: let(shared(end, least - h), lambda n: n - F.length(F.substring_index(end(a, n), " ", 1)))
+    same = F.array_repeat(F.lit(" "), 2 * k + 2)
+    rest = lambda x, h, t: F.concat(_words(F.substring(x, h + 1, F.length(x) - h - t)), same)
+    words = lambda h: let(tail(h), lambda t: F.struct(rest(b, h, t).alias("text"), rest(a, h, t).alias("pattern")))
+    return let(let(head, words), lambda x: _within(x["text"], x["pattern"], k))
 
 
 def repeated_lines(
@@ -255,18 +340,15 @@ def repeated_lines(
     """
     bands = bands or [("chars", min_chars, None, distance)]
     if any(least < 2 * k + 2 for _, least, _, k in bands):
-        raise ValueError("min_chars must be at least 2 * distance + 2")
+        raise ValueError("a band's least length must be at least 2 * distance + 2")
     lines = _lines(docs, id_col, text_col, min_chars)
     grouped = lines.groupBy("h").agg(F.first("norm").alias("norm"), F.min("at").alias("first"), F.max("at").alias("last"))
     distinct = rewritten(grouped.withColumn("n", F.length("norm")), shared_folder(docs.sparkSession), f"lines-{uuid.uuid4().hex}", compression="zstd")
-    pairs = checkpointed(near_pairs(distinct, bands))
-    firsts = distinct.select("h", "first", "last")
-    ends = checkpointed(firsts.join(_met(checkpointed(pairs.select("h").distinct())), "h"))
-    near = pairs.join(ends.select(F.col("h").alias("h2"), "first"), "h2").groupBy("h").agg(F.min("first").alias("near"))
-    near = ends.join(near, "h").select("h", F.least("first", "near").alias("cut"), "last")
-    alone = firsts.where("last > first").join(_met(checkpointed(near.select("h"))), "h", "left_anti").select("h", F.col("first").alias("cut"), "last")
-    cuts = checkpointed(near.unionByName(alone).where("last > cut").select("h", "cut"))
-    removed = lines.select("h", "at").join(_met(cuts), "h").where("at > cut")
+    near = checkpointed(near_earlier(distinct, bands))
+    # a line near to an earlier one goes wherever it stands, any other but for its first place
+    ends = distinct.select("h", "first", "last").join(_met(near).withColumn("near", F.lit(True)), "h", "left").where("near or last > first")
+    cuts = checkpointed(ends.select("h", F.when(F.col("near").isNull(), F.col("first")).alias("first")))
+    removed = lines.select("h", "at").join(_met(cuts), "h").where("first is null or at > first")
     return removed.groupBy("at.id", "at.tag").agg(F.collect_set("at.pos").alias("removed"))
 
 
@@ -283,7 +365,7 @@ def deduplicated(
     """
     found = checkpointed(repeated_lines(docs, id_col, text_col, distance, min_chars, bands))
     text = F.col(text_col).cast("string")
-    mine = _met(found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed")))
+    mine = _met(found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed")), 64 + 4 * F.size("__removed"))
     joined = docs.join(mine, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tag")), "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
