@@ -33,6 +33,11 @@ BROADCAST_BYTES = 16_000_000
 _LETTERS = "etaoinsrhldu"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: an array of one element names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def edit_distance_within(a: Column, b: Column, k: int) -> Column:
     """Whether a and b are within k edits, for length(a) >= length(b) >= 2 k + 2 and lengths at most k apart.
 
@@ -71,21 +76,29 @@ def _within(text: Column, pattern: Column, k: int) -> Column:
     ones = (1 << width) - 1
     rows = F.size(pattern)
 
-    def column(s: Column, j: Column) -> Column:
+    def matches(j: Column) -> Column:
+        """Bit r: whether row j - k + r of the pattern is the text's character j; most are met once or not at all in the band."""
         char = F.get(text, j)
-        # bit r: whether row j - k + r of the pattern is this character
-        match = sum((F.when(F.get(pattern, j - k + r) == char, 1 << r).otherwise(0) for r in range(width)), F.lit(0))
-        vp, vn = s["vp"], s["vn"]
-        d0 = match.bitwiseAND(vp) + vp
-        d0 = d0.bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(F.lit(ones))
-        return F.struct(vp.alias("vp"), vn.alias("vn"), s["d"].alias("d"), d0.alias("d0"))
+        band = F.slice(pattern, F.greatest(j - k, F.lit(0)) + 1, F.least(F.lit(width), j + k + 1))
+        skipped = F.greatest(k - j, F.lit(0))
+
+        def bits(b: Column) -> Column:
+            every = F.aggregate(F.reverse(b), F.lit(0), lambda m, x: m * 2 + F.when(x == char, 1).otherwise(0))
+            at = F.array_position(b, char).cast("int")
+            again = F.array_contains(F.slice(b, at + 1, F.lit(width)), char)
+            return F.when(at == 0, 0).when(again, every).otherwise(F.call_function("shiftleft", F.lit(1), at - 1))
+
+        return F.call_function("shiftleft", _let(band, bits), skipped)
 
     def step(s: Column, j: Column) -> Column:
-        # the array of one element names d0, so that it is worked out once
-        return F.get(F.transform(F.array(column(s, j)), lambda t: after(t, j)), F.lit(0))
+        return _let(matches(j), lambda m: _let(diagonal(s, m), lambda d0: after(s, d0, j)))
+
+    def diagonal(s: Column, match: Column) -> Column:
+        d0 = match.bitwiseAND(s["vp"]) + s["vp"]
+        return d0.bitwiseXOR(s["vp"]).bitwiseOR(match).bitwiseOR(s["vn"]).bitwiseAND(F.lit(ones))
 
-    def after(t: Column, j: Column) -> Column:
-        vp, vn, d0 = t["vp"], t["vn"], t["d0"]
+    def after(t: Column, d0: Column, j: Column) -> Column:
+        vp, vn = t["vp"], t["vn"]
         hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(F.lit(ones)))
         hn = d0.bitwiseAND(vp)
         down = F.shiftright(d0, 1)
@@ -194,15 +207,11 @@ def _counts(norm: Column, n: Column) -> Column:
     return out
 
 
-def _word_counts(words: Column) -> Column:
-    """As _counts: the number of words, and of those whose hash falls in each of some buckets."""
-    one = F.transform(words, lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), 4 * F.pmod(F.xxhash64(w), F.lit(len(_LETTERS))).cast("int")))
-    mask = F.lit((1 << 4 * len(_LETTERS)) - 1)
-    high, low = F.lit(0xF0F0F0F0F0F0), F.lit(0x0F0F0F0F0F0F)
-    # odd and even places apart, so that no count runs over into the next
-    add = lambda s, x: (s.bitwiseAND(high) + x.bitwiseAND(high)).bitwiseAND(high).bitwiseOR((s.bitwiseAND(low) + x.bitwiseAND(low)).bitwiseAND(low))
-    counts = F.aggregate(one, F.lit(0).cast("long"), lambda s, x: add(s, x).bitwiseAND(mask))
-    return counts + F.call_function("shiftleft", (F.size(words) % 16).cast("long"), F.lit(4 * len(_LETTERS)))
+def _parities(words: Column, part: int) -> Column:
+    """Bit h: whether words whose hash is h in this one of two parts are odd in number."""
+    bit = lambda w: F.pmod(F.xxhash64(w), F.lit(128)).cast("int") - 64 * part
+    one = lambda b: F.when(b.between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(0)
+    return F.aggregate(F.transform(words, bit), F.lit(0).cast("long"), lambda s, b: s.bitwiseXOR(one(b)))
 
 
 def _apart(a: Column, b: Column, k: Column) -> Column:
@@ -246,17 +255,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, bands: list[Band]) -> DataFram
     both = pairs.join(texts.select("h", "norm"), "h").join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")), "h2")
     found = None
     for unit in dict.fromkeys(unit for unit, *_ in bands):
-        length = F.length if unit == "chars" else lambda x: F.size(_words(F.col(x)))
-        sized = both.where(F.col("band").isin([b for b, (u, *_) in enumerate(bands) if u == unit])).withColumn("n", length("norm")).withColumn("n2", length("norm2"))
-        longer = F.col("n") >= F.col("n2")
-        a, b = F.when(longer, F.col("norm")).otherwise(F.col("norm2")), F.when(longer, F.col("norm2")).otherwise(F.col("norm"))
-        mine = sized.select("h", "band", F.abs(F.col("n") - F.col("n2")).alias("gap"), a.alias("a"), b.alias("b"))
-        verdict = F.lit(False)
-        for number, (kind, _, _, k) in enumerate(bands):
-            if kind == unit:
-                within = edit_distance_within(F.col("a"), F.col("b"), k) if unit == "chars" else _words_within(F.col("a"), F.col("b"), k)
-                verdict = F.when(F.col("band") == number, F.when(F.col("gap") <= k, within).otherwise(False)).otherwise(verdict)
-        part = mine.where(verdict).select("h")
+        length = F.length if unit == "chars" else lambda x: F.size(_words(x))
+        sized = F.struct(*[x.alias(n) for n, x in (("a", F.col("norm")), ("b", F.col("norm2")), ("n", length(F.col("norm"))), ("m", length(F.col("norm2"))))])
+        swap = lambda x: F.struct(x["b"].alias("a"), x["a"].alias("b"), x["m"].alias("n"), x["n"].alias("m"))
+        ordered = _let(sized, lambda x: F.when(x["n"] >= x["m"], x).otherwise(swap(x)))
+
+        def verdict(x: Column) -> Column:
+            out = F.lit(False)
+            for number, (kind, _, _, k) in enumerate(bands):
+                if kind == unit:  # noqa: B023
+                    within = edit_distance_within(x["a"], x["b"], k) if unit == "chars" else _words_within(x["a"], x["b"], k)
+                    out = F.when(F.col("band") == number, F.when(x["n"] - x["m"] <= k, within).otherwise(False)).otherwise(out)
+            return out
+
+        mine = both.where(F.col("band").isin([b for b, (u, *_) in enumerate(bands) if u == unit]))
+        part = mine.where(_let(ordered, verdict)).select("h")
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
@@ -286,16 +299,23 @@ def near_earlier(distinct: DataFrame, bands: list[Band]) -> DataFrame:
     some, lines = F.max(F.col("meta") % 2).over(bucket) == 1, F.min("h").over(bucket) != F.max("h").over(bucket)
     shared = checkpointed(rows.withColumn("__met", some & lines).where("__met").select("h", "seg", "meta"))
     ids = checkpointed(shared.select("h").distinct())
-    counts = [_counts(F.col("norm"), F.col("n")).alias("chars"), (_word_counts(_words(F.col("norm"))) if of("words") else F.lit(None).cast("long")).alias("words")]
-    texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm", "first", *counts))
+    words = _words(F.col("norm")) if of("words") else F.array().cast("array<string>")
+    signs = [F.size(words).alias("n_words"), _counts(F.col("norm"), F.col("n")).alias("chars"), _parities(words, 0).alias("odd0"), _parities(words, 1).alias("odd1")]
+    texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm", "first", "n", *signs))
     in_words = F.get(F.array(*[F.lit(unit == "words") for unit, *_ in bands]), F.col("band"))
-    counted = shared.join(_met(texts.select("h", "first", "chars", "words"), F.lit(96)), "h").withColumn("band", F.floor(F.col("meta") / 2).cast("int"))
-    counted = checkpointed(counted.select("h", "seg", "band", (F.col("meta") % 2 == 1).alias("own"), "first", F.when(in_words, F.col("words")).otherwise(F.col("chars")).alias("counts")))
-    close = ~_apart(F.col("counts"), F.col("counts2"), F.get(F.array(*[F.lit(k) for *_, k in bands]), F.col("band")))
+    pick = lambda a, b: F.when(in_words, F.col(a)).otherwise(F.col(b) if isinstance(b, str) else F.lit(b))
+    sign = F.struct(pick("n_words", "n").alias("n"), pick("odd0", "chars").alias("a"), pick("odd1", 0).alias("b"))
+    counted = shared.join(_met(texts.drop("norm"), F.lit(112)), "h").withColumn("band", F.floor(F.col("meta") / 2).cast("int"))
+    counted = checkpointed(counted.select("h", "seg", "band", (F.col("meta") % 2 == 1).alias("own"), "first", sign.alias("sign")))
+    k = F.get(F.array(*[F.lit(k) for *_, k in bands]), F.col("band"))
+    # an edit changes the parity of two words at most
+    odd = F.bit_count(F.col("sign.a").bitwiseXOR(F.col("sign2.a"))) + F.bit_count(F.col("sign.b").bitwiseXOR(F.col("sign2.b")))
+    apart = F.when(in_words, odd > 2 * k).otherwise(_apart(F.col("sign.a"), F.col("sign2.a"), k))
+    close = (F.abs(F.col("sign.n") - F.col("sign2.n")) <= k) & ~apart
     earlier = F.col("first") > F.col("first2")
-    other = lambda df: df.select("seg", F.col("h").alias("h2"), F.col("own").alias("own2"), F.col("first").alias("first2"), F.col("counts").alias("counts2"))
-    lead = counted.where("own").groupBy("seg").agg(F.min(F.struct("first", "h", "counts")).alias("l"))
-    lead = lead.select("seg", F.col("l.h").alias("h2"), F.col("l.first").alias("first2"), F.col("l.counts").alias("counts2"))
+    other = lambda df: df.select("seg", F.col("h").alias("h2"), F.col("own").alias("own2"), F.col("first").alias("first2"), F.col("sign").alias("sign2"))
+    lead = counted.where("own").groupBy("seg").agg(F.min(F.struct("first", "h", "sign")).alias("l"))
+    lead = lead.select("seg", F.col("l.h").alias("h2"), F.col("l.first").alias("first2"), F.col("l.sign").alias("sign2"))
     led = counted.join(lead, "seg").where(earlier & close).select("h", "h2", "band").distinct()
     settled = checkpointed(_verified(led, texts, bands))
     left = checkpointed(counted.join(_met(settled), "h", "left_anti"))
@@ -318,13 +338,12 @@ def _words_within(a: Column, b: Column, k: int) -> Column:
     start = lambda x, n: F.substring(x, F.lit(1), n)
     end = lambda x, n: F.substring(x, F.length(x) - n + 1, n)
     least = F.least(F.length(a), F.length(b))
-    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    head = let(shared(start, least), lambda n: n - F.length(F.substring_index(start(a, n), " ", -1)))
-    tail = lambda h: let(shared(end, least - h), lambda n: n - F.length(F.substring_index(end(a, n), " ", 1)))
+    head = _let(shared(start, least), lambda n: n - F.length(F.substring_index(start(a, n), " ", -1)))
+    tail = lambda h: _let(shared(end, least - h), lambda n: n - F.length(F.substring_index(end(a, n), " ", 1)))
     same = F.array_repeat(F.lit(" "), 2 * k + 2)
     rest = lambda x, h, t: F.concat(_words(F.substring(x, h + 1, F.length(x) - h - t)), same)
-    words = lambda h: let(tail(h), lambda t: F.struct(rest(b, h, t).alias("text"), rest(a, h, t).alias("pattern")))
-    return let(let(head, words), lambda x: _within(x["text"], x["pattern"], k))
+    words = lambda h: _let(tail(h), lambda t: F.struct(rest(b, h, t).alias("text"), rest(a, h, t).alias("pattern")))
+    return _let(_let(head, words), lambda x: _within(x["text"], x["pattern"], k))
 
 
 def repeated_lines(
