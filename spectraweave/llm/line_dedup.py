@@ -208,10 +208,9 @@ def _counts(norm: Column, n: Column) -> Column:
 
 
 def _parities(words: Column, part: int) -> Column:
-    """Bit h: whether words whose hash is h in this one of two parts are odd in number."""
-    bit = lambda w: F.pmod(F.xxhash64(w), F.lit(128)).cast("int") - 64 * part
-    one = lambda b: F.when(b.between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(0)
-    return F.aggregate(F.transform(words, bit), F.lit(0).cast("long"), lambda s, b: s.bitwiseXOR(one(b)))
+    """Bit h: whether the words of hash h are odd in number; part: which six bits of the hash count."""
+    bit = lambda w: F.call_function("shiftright", F.xxhash64(w), F.lit(6 * part)).bitwiseAND(F.lit(63)).cast("int")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(w))))
 
 
 def _apart(a: Column, b: Column, k: Column) -> Column:
@@ -235,7 +234,9 @@ def _apart(a: Column, b: Column, k: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    # the text is hashed here, as below it would be for each of its lines
+    tagged = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    rows = tagged.select("id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     rows = rows.where(F.length("line") >= min_chars).select("id", "tag", "pos", F.lower(F.trim("line")).alias("norm"))
     return rows.where(F.length("norm") >= min_chars).select(F.xxhash64("norm").alias("h"), F.struct("id", "tag", "pos").alias("at"), "norm")
 
@@ -251,8 +252,10 @@ def _words(norm: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, bands: list[Band]) -> DataFrame:
-    """Those h of pairs (h, h2, band) that are within the band's distance of an h2."""
-    both = pairs.join(texts.select("h", "norm"), "h").join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")), "h2")
+    """Those h of pairs (h, h2, band), a written copy, that are within the band's distance of an h2."""
+    mine = texts.select("h", "norm").join(_met(pairs, F.lit(32)), "h")
+    yours = texts.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")).join(_met(checkpointed(pairs.select("h2").distinct()), F.lit(16)), "h2")
+    both = mine.join(yours, "h2")
     found = None
     for unit in dict.fromkeys(unit for unit, *_ in bands):
         length = F.length if unit == "chars" else lambda x: F.size(_words(x))
@@ -297,7 +300,8 @@ def near_earlier(distinct: DataFrame, bands: list[Band]) -> DataFrame:
     # a bucket counts if it holds a line's own segment and another line
     bucket = Window.partitionBy("seg")
     some, lines = F.max(F.col("meta") % 2).over(bucket) == 1, F.min("h").over(bucket) != F.max("h").over(bucket)
-    shared = checkpointed(rows.withColumn("__met", some & lines).where("__met").select("h", "seg", "meta"))
+    shared = rows.withColumn("__met", some & lines).withColumn("many", F.count("*").over(bucket) > 2)
+    shared = checkpointed(shared.where("__met").select("h", "seg", "meta", "many"))
     ids = checkpointed(shared.select("h").distinct())
     words = _words(F.col("norm")) if of("words") else F.array().cast("array<string>")
     signs = [F.size(words).alias("n_words"), _counts(F.col("norm"), F.col("n")).alias("chars"), _parities(words, 0).alias("odd0"), _parities(words, 1).alias("odd1")]
@@ -306,22 +310,24 @@ def near_earlier(distinct: DataFrame, bands: list[Band]) -> DataFrame:
     pick = lambda a, b: F.when(in_words, F.col(a)).otherwise(F.col(b) if isinstance(b, str) else F.lit(b))
     sign = F.struct(pick("n_words", "n").alias("n"), pick("odd0", "chars").alias("a"), pick("odd1", 0).alias("b"))
     counted = shared.join(_met(texts.drop("norm"), F.lit(112)), "h").withColumn("band", F.floor(F.col("meta") / 2).cast("int"))
-    counted = checkpointed(counted.select("h", "seg", "band", (F.col("meta") % 2 == 1).alias("own"), "first", sign.alias("sign")))
+    counted = checkpointed(counted.select("h", "seg", "band", (F.col("meta") % 2 == 1).alias("own"), "many", "first", sign.alias("sign")))
     k = F.get(F.array(*[F.lit(k) for *_, k in bands]), F.col("band"))
     # an edit changes the parity of two words at most
-    odd = F.bit_count(F.col("sign.a").bitwiseXOR(F.col("sign2.a"))) + F.bit_count(F.col("sign.b").bitwiseXOR(F.col("sign2.b")))
+    odd = F.greatest(F.bit_count(F.col("sign.a").bitwiseXOR(F.col("sign2.a"))), F.bit_count(F.col("sign.b").bitwiseXOR(F.col("sign2.b"))))
     apart = F.when(in_words, odd > 2 * k).otherwise(_apart(F.col("sign.a"), F.col("sign2.a"), k))
     close = (F.abs(F.col("sign.n") - F.col("sign2.n")) <= k) & ~apart
     earlier = F.col("first") > F.col("first2")
     other = lambda df: df.select("seg", F.col("h").alias("h2"), F.col("own").alias("own2"), F.col("first").alias("first2"), F.col("sign").alias("sign2"))
-    lead = counted.where("own").groupBy("seg").agg(F.min(F.struct("first", "h", "sign")).alias("l"))
-    lead = lead.select("seg", F.col("l.h").alias("h2"), F.col("l.first").alias("first2"), F.col("l.sign").alias("sign2"))
-    led = counted.join(lead, "seg").where(earlier & close).select("h", "h2", "band").distinct()
+    lead = counted.groupBy("seg").agg(F.min(F.struct("first", "h", "own", "sign")).alias("l"))
+    lead = lead.select("seg", F.col("l.h").alias("h2"), F.col("l.own").alias("own2"), F.col("l.first").alias("first2"), F.col("l.sign").alias("sign2"))
+    led = checkpointed(counted.join(lead, "seg").where((F.col("own") | F.col("own2")) & earlier & close).select("h", "h2", "band").distinct())
     settled = checkpointed(_verified(led, texts, bands))
-    left = checkpointed(counted.join(_met(settled), "h", "left_anti"))
-    near = left.where("own").join(other(counted).where("not own2"), "seg").where(earlier & close).select("h", "h2", "band")
-    near = near.unionByName(left.join(other(counted).where("own2"), "seg").where(earlier & close).select("h", "h2", "band"))
-    return settled.unionByName(_verified(near.distinct().join(led, ["h", "h2", "band"], "left_anti"), texts, bands))
+    # where two lines meet, that was all
+    more = counted.where("many")
+    left = checkpointed(more.join(_met(settled), "h", "left_anti"))
+    near = left.where("own").join(other(more).where("not own2"), "seg").where(earlier & close).select("h", "h2", "band")
+    near = near.unionByName(left.join(other(more).where("own2"), "seg").where(earlier & close).select("h", "h2", "band"))
+    return settled.unionByName(_verified(checkpointed(near.distinct().join(led, ["h", "h2", "band"], "left_anti")), texts, bands))
 
 
 def _words_within(a: Column, b: Column, k: int) -> Column:
@@ -343,7 +349,8 @@ def _words_within(a: Column, b: Column, k: int) -> Column:
     same = F.array_repeat(F.lit(" "), 2 * k + 2)
     rest = lambda x, h, t: F.concat(_words(F.substring(x, h + 1, F.length(x) - h - t)), same)
     words = lambda h: _let(tail(h), lambda t: F.struct(rest(b, h, t).alias("text"), rest(a, h, t).alias("pattern")))
-    return _let(_let(head, words), lambda x: _within(x["text"], x["pattern"], k))
+    # what differs may be few enough words to be replaced one by one
+    return _let(_let(head, words), lambda x: (F.size(x["pattern"]) <= 3 * k + 2) | _within(x["text"], x["pattern"], k))
 
 
 def repeated_lines(
