@@ -1,11 +1,12 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, smoothing, clustering.
 
 The standard library's parser gives the page as a stream of events; each block
-of text becomes a line with its characters, its tags and the elements it stands
-in. The ratio of characters to tags is smoothed along the lines with a Gaussian
-kernel and split in two clusters. The element that holds the lines of the high
-cluster is the content region; all of its lines that stand in no menu, advert or
-other side matter are the text.
+of text becomes a line with its characters, its tags and the element it stands
+in. The ratio of characters to tags is lowered for each form, and each element
+named like side matter, that a line stands in; smoothed along the lines with a
+Gaussian kernel; and split in two clusters. The element that holds the lines of
+the high cluster is the content region. Its text is all of its lines but those
+in side matter whose own ratio, so lowered, falls in the low cluster.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-SIDE = frozenset("aside button canvas dialog footer form head iframe input menu nav noscript object script select style svg template textarea".split())
+NO_TEXT = frozenset("canvas head iframe noscript object option script select style svg template textarea title".split())
+SIDE = frozenset("aside button dialog footer menu nav".split())
 SCOPES = frozenset("article aside blockquote body div footer form header html main nav ol section table td th ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Words in class, id and role that name side matter.
@@ -35,44 +37,70 @@ SIDE_WORDS = frozenset(
 )
 _WORD = re.compile(r"[a-z]+")
 SIGMA = 1.0
+#: What a ratio is multiplied by for each form, or element named like side matter, around its line.
+LOWERED = 0.05
+#: Share of the high cluster's text that the content region holds at least.
+REGION = 0.8
+_HEADS = ("article", "main", "h1")
+_LEAVES = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6 pre".split())
 
 
 class _Lines(HTMLParser):
-    """Lines of (text, characters of it in links, tags, path of element numbers), side matter left out but for its place."""
+    """Lines of (text, tags, element number); elements by number, each after its parent; side matter by tag is left out.
+
+    Open elements are counted by tag, so that nothing is looked for in the stack
+    that isn't there: the work grows with the page, however deep it is nested.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number, whether in side matter
-        self.names: dict[int, str] = {}
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.parent, self.tag, self.side = [0], [""], [False]
+        self.stack: list[int] = []
+        self.open: dict[str, int] = {}
+        self.closed = 0  # open elements whose text is never part of an article
+        self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
-        self.tags, self.count = 0, 0
+        self.tags = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            path = tuple(n for _, n, _ in self.stack)
-            self.lines.append((text, max(1, self.tags), path, bool(self.stack) and self.stack[-1][2]))
+            self.lines.append((text, max(1, self.tags), self.stack[-1] if self.stack else 0))
             self.tags = 0
 
+    def pop(self, size: int) -> None:
+        """Closes all but the first `size` open elements."""
+        while len(self.stack) > size:
+            tag = self.tag[self.stack.pop()]
+            self.open[tag] -= 1
+            self.closed -= self.hard(tag)
+
+    def hard(self, tag: str) -> bool:
+        return tag in NO_TEXT or tag in SIDE
+
     def pop_to(self, tags: frozenset | set, scopes: frozenset) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                del self.stack[k:]
+            tag = self.tag[self.stack[k]]
+            if tag in tags:
+                self.pop(k)
                 return
-            if self.stack[k][0] in scopes:
+            if tag in scopes:
                 return
 
-    def side(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
-        if tag in SIDE or tag == "header" and not inside:
+    def inside(self) -> bool:
+        return bool(self.open.get("article") or self.open.get("main"))
+
+    def named_side(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in ("form", "input") or tag == "header" and not self.inside():
             return True
         if tag in ("html", "body", "article", "main") or tag in INLINE:
             return False
         named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
         words = set(_WORD.findall(named))
-        if inside and tag == "header":
+        if tag == "header":
             words -= {"header"}
         return bool(words & SIDE_WORDS) or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
 
@@ -85,12 +113,15 @@ class _Lines(HTMLParser):
             self.pop_to({"p"}, SCOPES)
             if tag in CLOSES:
                 self.pop_to(CLOSES[tag], SCOPES - {"td", "th"} if tag == "tr" else SCOPES - CLOSES[tag])
-            if tag in ("article", "main", "body") and self.stack and any(t in ("nav", "head") for t, _, _ in self.stack):
+            if tag in ("article", "main", "body"):
                 self.pop_to({"nav", "head"}, frozenset())  # left open
         if tag not in VOID:
-            self.count += 1
-            self.names[self.count] = tag
-            self.stack.append((tag, self.count, bool(self.stack) and self.stack[-1][2] or self.side(tag, attrs)))
+            self.parent.append(self.stack[-1] if self.stack else 0)
+            self.side.append(self.named_side(tag, attrs))
+            self.stack.append(len(self.tag))
+            self.tag.append(tag)
+            self.open[tag] = self.open.get(tag, 0) + 1
+            self.closed += self.hard(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -101,13 +132,11 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self.cut()
-        if any(t == tag for t, _, _ in self.stack):
-            self.pop_to({tag}, SCOPES - {tag} if tag in INLINE or tag == "p" else frozenset())
+        self.pop_to({tag}, SCOPES - {tag} if tag in INLINE or tag == "p" else frozenset())
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] in ("script", "style"):
-            return
-        self.parts.append(data)
+        if not self.closed:
+            self.parts.append(data)
 
 
 def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -129,6 +158,13 @@ def threshold(x: np.ndarray) -> float:
     return at
 
 
+def _inside(parent: list[int], own: list[float]) -> list[float]:
+    """The sum of each element's own values and those of all within it."""
+    for e in range(len(own) - 1, 0, -1):
+        own[parent[e]] += own[e]
+    return own
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, a line per block; empty for a page without one."""
     if not html:
@@ -137,23 +173,43 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = parser.lines
-    if not any(not side for *_, side in lines):
+    lines, parent, tag = parser.lines, parser.parent, parser.tag
+    if not lines:
         return ""
-    ratio = smoothed(np.array([0.0 if side else len(t) / tags for t, tags, _, side in lines]))
-    high = ratio >= threshold(ratio)
-    weight: dict[int, int] = {}
-    seeds = [(len(t), path) for (t, _, path, side), h in zip(lines, high) if h and not side] or [(len(t), p) for t, _, p, side in lines if not side]
-    for n, path in seeds:
-        for k in path:
-            weight[k] = weight.get(k, 0) + n
-    total = sum(n for n, _ in seeds)
-    articles = [k for k in weight if parser.names[k] in ("article", "main") and weight[k] > 0.5 * total]
-    region = max(articles, default=None)
-    if region is None:
-        blocks = [k for k in weight if weight[k] >= 0.8 * total and parser.names[k] not in INLINE and parser.names[k] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td")]
-        region = max(blocks, default=None)
-    return "\n".join(t for t, _, path, side in lines if not side and (region is None or region in path))
+    size, heads = [0.0] * len(tag), [float(t in _HEADS) for t in tag]
+    for text, _, e in lines:
+        size[e] += len(text)
+    size, heads = _inside(parent, size), _inside(parent, heads)
+    # what holds most of the text and its heading is no side matter, whatever its name
+    side = [x and not (h and n > size[0] / 2) for x, n, h in zip(parser.side, size, heads)]
+    depth = [0] * len(tag)
+    for e in range(1, len(tag)):
+        depth[e] = depth[parent[e]] + side[e]
+    score = np.array([len(t) / tags * LOWERED ** depth[e] for t, tags, e in lines])
+    ratio = smoothed(score)
+    border = threshold(ratio)
+    weight = [0.0] * len(tag)
+    for (text, _, e), high in zip(lines, ratio >= border):
+        weight[e] += len(text) * LOWERED ** depth[e] if high else 0.0
+    weight = _inside(parent, weight)
+    region = max(e for e in range(len(tag)) if e == 0 or weight[e] >= REGION * weight[0] and tag[e] not in INLINE and tag[e] not in _LEAVES)
+    up = region
+    while up and tag[up] not in ("article", "main"):
+        up = parent[up]
+    region = up or region
+    # side matter in the region, by its outermost element
+    within, part = [False] * len(tag), [0] * len(tag)
+    within[region] = True
+    for e in range(region + 1, len(tag)):
+        within[e] = within[parent[e]]
+        part[e] = part[parent[e]] or (e if side[e] else 0)
+    worth: dict[int, list[float]] = {}
+    for (text, tags, e), x in zip(lines, score):
+        if within[e] and part[e]:
+            sums = worth.setdefault(part[e], [0.0, 0.0])
+            sums[0], sums[1] = sums[0] + x * tags, sums[1] + tags
+    kept = {e for e, (chars, tags) in worth.items() if chars / tags >= border}
+    return "\n".join(t for t, _, e in lines if within[e] and (not part[e] or part[e] in kept))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -161,6 +217,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
 
     Null and empty html, and pages without text, give an empty text. Equal rows
     give equal rows; an empty table gives none; columns not named aren't read.
+    Very long and very deep pages take time and memory in proportion.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), *keep, F.col(html_col).cast("string").alias("html"))
 

@@ -53,3 +53,30 @@ def test_smoothing_and_threshold():
     kernel = np.exp(-0.5 * np.arange(-3, 4) ** 2.0)
     assert s[4] == pytest.approx((x[1:8] * kernel).sum() / kernel.sum()) and s[0] == pytest.approx((x[:4] * kernel[3:]).sum() / kernel[3:].sum())
     assert 3 < html_extract.threshold(x) < 50
+
+
+SENTENCES = "<h1>Head</h1>" + "".join(f"<p>This is sentence number {i} of the article that goes on for a while.</p>" for i in range(18))
+
+
+@pytest.mark.parametrize("wrap", ['<div class="layout has-sidebar">%s</div>', '<div class="elementor-widget-wrap">%s</div>', '<div class="notice-board">%s</div>', '<div class="related-topics-article">%s</div>', "<form>%s</form>"])
+def test_an_element_that_holds_the_article_is_no_side_matter(wrap):
+    for inner in (SENTENCES, f"<article>{SENTENCES}</article>", f"{SENTENCES}<div class=sidebar><a href=x>one</a> <a>two</a></div>"):
+        got = main_text(f"<html><body><nav><a>a</a></nav>{wrap % inner}<footer>c</footer></body></html>")
+        assert got.split("\n")[0] == "Head" and got.count("\n") == 18
+
+
+def test_the_clusters_decide(monkeypatch):
+    page = f"<article>{SENTENCES}<div class=promo><p>Buy now, all the very best things!</p></div></article>"
+    comments = f"<body><div class=content>{SENTENCES}</div><div class=comments>" + "<p>Yes, I think so too, as I said a while ago.</p>" * 3 + "</div></body>"
+    want = [main_text(x) for x in (page, comments)]
+    assert all("Buy" not in x and "I said" not in x and x.count("\n") == 18 for x in want)
+    monkeypatch.setattr(html_extract, "threshold", lambda x: -1.0)
+    assert "Buy" in main_text(page)
+    monkeypatch.setattr(html_extract, "threshold", lambda x: 1e9)
+    assert main_text(comments) != want[1]
+
+
+def test_deep_pages():
+    n = 50_000
+    assert main_text("<div>" * n + "<p>hello there</p>") == "hello there"
+    assert main_text("<b>" * n + "<p>x<div>y") == "x\ny"
