@@ -12,6 +12,7 @@ probability.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -21,74 +22,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DIMS = 8
-PROBABILITY = 0.97
-SHARD_ROWS = 4_096
+from .common import checkpointed
+
+DIMS = 24
+PROBABILITY = 0.93
+SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
 _LEAF = 64
 _SEED = 20_240
 
 
-def chi2_cdf(x: np.ndarray, dims: int) -> np.ndarray:
+def chi2_cdf(x: float, dims: int) -> float:
     """The chi-square distribution function, for an even number of degrees of freedom."""
-    half = np.minimum(x, 1e6) / 2
-    return 1 - np.exp(-half) * sum(half**i / math.factorial(i) for i in range(dims // 2))
+    half = min(x, 1e3) / 2
+    term = total = math.exp(-half)
+    for i in range(1, dims // 2):
+        term *= half / i
+        total += term
+    return 1 - total
+
+
+def chi2_limit(probability: float, dims: int) -> float:
+    """Where the distribution function reaches a probability, by halving."""
+    low, high = 0.0, 1e3
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_cdf(middle, dims) < probability else (low, middle)
+    return high
 
 
 def projection(width: int, dims: int = DIMS) -> np.ndarray:
     return np.random.default_rng(_SEED).standard_normal((width, dims))
 
 
-def kd_leaves(points: np.ndarray, leaf: int = _LEAF) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The leaves of a kd-tree split at medians of the widest side: rows, low and high corners."""
-    todo, leaves = [np.arange(len(points))], []
-    while todo:
-        rows = todo.pop()
-        spread = np.ptp(points[rows], axis=0) if len(rows) else np.zeros(1)
-        if len(rows) <= leaf or not spread.max() > 0:
-            leaves.append(rows)
-            continue
-        half = len(rows) // 2
-        order = np.argpartition(points[rows, int(spread.argmax())], half)
-        todo += [rows[order[:half]], rows[order[half:]]]
-    return leaves, np.array([points[r].min(axis=0) for r in leaves]), np.array([points[r].max(axis=0) for r in leaves])
+class Tree:
+    """A kd-tree over points, split at medians of the widest side.
 
+    A node is (axis, place, left, right), or (-1, 0, leaf's number, 0).
+    """
 
-def _search(vecs: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, dims: int, probability: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the k best of the shard: scores (cosines), ids."""
+    def __init__(self, points: np.ndarray, leaf: int = _LEAF):
+        self.points, self.nodes, self.leaves = points, [], []
+        todo = [(np.arange(len(points)), -1, 0)]
+        while todo:
+            rows, parent, side = todo.pop()
+            at = len(self.nodes)
+            if parent >= 0:
+                self.nodes[parent][2 + side] = at
+            spread = np.ptp(points[rows], axis=0) if len(rows) else np.zeros(1)
+            if len(rows) <= leaf or not spread.max() > 0:
+                self.nodes.append([-1, 0.0, len(self.leaves), 0])
+                self.leaves.append(rows)
+                continue
+            axis, half = int(spread.argmax()), len(rows) // 2
+            order = np.argpartition(points[rows, axis], half)
+            self.nodes.append([axis, float(points[rows[order[half]], axis]), 0, 0])
+            todo += [(rows[order[half:]], at, 1), (rows[order[:half]], at, 0)]
+
+    def neighbours(self, p: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """(bound, rows, squared distances): leaves, nearest cell first; no row yet to come is nearer than the bound."""
+        at = p.tolist()
+        heap, count = [(0.0, 0, 0, (0.0,) * len(at))], 0
+        while heap:
+            far, _, n, off = heapq.heappop(heap)
+            axis, place, left, right = self.nodes[n]
+            while axis >= 0:
+                gap = at[axis] - place
+                near, other = (left, right) if gap < 0 else (right, left)
+                away = far - off[axis] ** 2 + gap * gap
+                count += 1
+                if away >= far:
+                    heapq.heappush(heap, (away, count, other, (*off[:axis], gap, *off[axis + 1 :])))
+                else:
+                    heapq.heappush(heap, (far, count, other, off))
+                axis, place, left, right = self.nodes[near]
+            rows = self.leaves[left]
+            d = self.points[rows] - p
+            yield heap[0][0] if heap else math.inf, rows, (d * d).sum(axis=1)
+
+
+def _search(
+    vecs: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, least: np.ndarray, k: int, dims: int, probability: float
+) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query the k best of the shard: scores (cosines) and ids, and how many rows were verified.
+
+    least: a score that k rows elsewhere reach.
+    """
     norms, q_norms = (np.sqrt((x * x).sum(axis=1)) for x in (vecs, q))
     axes = projection(vecs.shape[1], dims)
-    low, probes = (vecs / norms[:, None]) @ axes, (q / q_norms[:, None]) @ axes
-    leaves, lo, hi = kd_leaves(low)
+    tree, probes = Tree((vecs / norms[:, None]) @ axes), (q / q_norms[:, None]) @ axes
+    limit = chi2_limit(probability, dims)
     out = []
-    for v, v_norm, p, me in zip(q, q_norms, probes, own):
-        gap = np.maximum(np.maximum(lo - p, p - hi), 0)
-        box = (gap * gap).sum(axis=1)
-        order = np.argsort(box, kind="stable")
+    for v, v_norm, p, me, floor in zip(q, q_norms, probes, own, least):
         waiting, distance = np.zeros(0, np.int64), np.zeros(0)
-        score, found = np.zeros(0), np.zeros(0, np.int64)
-        at, step = 0, 4
-        while True:
-            opened = order[at : at + step]
-            at, step = at + len(opened), step * 2
-            rows = np.concatenate([leaves[x] for x in opened])
-            d = low[rows] - p
-            waiting, distance = np.concatenate((waiting, rows)), np.concatenate((distance, (d * d).sum(axis=1)))
-            # those nearer than the next unopened leaf are the next projected neighbours
-            bound = box[order[at]] if at < len(order) else np.inf
-            ready = distance <= bound
-            rows, waiting, distance = waiting[ready], waiting[~ready], distance[~ready]
-            rows = rows[ids[rows] != me]
-            # summed row by row, so that equal vectors have equal scores
-            score = np.concatenate((score, (vecs[rows] * v).sum(axis=1) / (norms[rows] * v_norm)))
-            found = np.concatenate((found, ids[rows]))
-            keep = np.lexsort((found, -score))[:k]
-            score, found = score[keep], found[keep]
-            if at >= len(order):
-                break
-            if len(score) == k and chi2_cdf(np.array(bound / max(2 - 2 * score[-1], 1e-12)), dims) >= probability:
+        score, found, verified = np.zeros(0), np.zeros(0, np.int64), 0
+
+        def reach() -> float:
+            """The squared projected distance within which a row nearer than the k-th best would be met."""
+            kth = max(floor, score[-1] if len(score) == k else -1.0)  # noqa: B023
+            return math.inf if kth <= -1.0 else limit * max(2 - 2 * kth, 1e-12)
+
+        for bound, rows, d in tree.neighbours(p):
+            waiting, distance = np.concatenate((waiting, rows)), np.concatenate((distance, d))
+            ready = np.nonzero(distance <= bound)[0]
+            if not len(ready):
+                if bound > reach():
+                    break
+                continue
+            ready = ready[np.argsort(distance[ready], kind="stable")]
+            at = 0
+            while at < len(ready) and distance[ready[at]] <= reach():
+                step = ready[at : at + max(4 * k, at)]
+                step = step[distance[step] <= reach()]
+                at += len(step)
+                rows = waiting[step]
+                rows = rows[ids[rows] != me]
+                verified += len(rows)
+                # summed row by row, so that equal vectors have equal scores
+                score = np.concatenate((score, (vecs[rows] * v).sum(axis=1) / (norms[rows] * v_norm)))
+                found = np.concatenate((found, ids[rows]))
+                keep = np.lexsort((found, -score))[:k]
+                score, found = score[keep], found[keep]
+            if at < len(ready) or bound > reach():
                 break
-        out.append((score, found))
+            left = distance > bound
+            waiting, distance = waiting[left], distance[left]
+        out.append((score, found, verified))
     return out
 
 
@@ -117,6 +176,7 @@ def nearest(
     probability: float = PROBABILITY,
     shard_rows: int = SHARD_ROWS,
     query_rows: int = QUERY_ROWS,
+    verified_col: str | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, by cosine.
 
@@ -125,24 +185,53 @@ def nearest(
     rows without an id, take no part; vectors of another length than the query's
     are no candidates of it; with fewer than k candidates all are returned. Every
     row is in a shard's tree, and blocks of queries meet each shard in turn; both
-    are of bounded size. An empty side gives an empty result.
+    are of bounded size. A query first searches one shard; its k-th best there
+    is what all others start from. An empty side gives an empty result.
+
+    verified_col, if given, names a new column: how many rows were verified on
+    the original vectors for the query, in all shards.
     """
     picked = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     base, probes = picked(rows), picked(queries)
     shards = max(1, -(-base.count() // shard_rows))
     blocks = max(1, -(-probes.count() // query_rows))
-    one = base.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    two = probes.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    sharded = base.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
+    blocked = probes.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("home", F.pmod(F.xxhash64("v", "id"), F.lit(shards)).cast("int"))
 
     def search(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "verified": np.zeros(0, np.int64)})]
+        floors = dict(zip(b["id"], b["least"].fillna(-1.0)))
         base, probes = (_taking_part(x) for x in (a, b))
         for n in sorted(base.keys() & probes.keys()):
             (ids, vecs), (q_ids, q) = base[n], probes[n]
-            for me, (score, found) in zip(q_ids, _search(vecs, ids, q, q_ids, k, dims, probability)):
-                out.append(pd.DataFrame({"query_id": me, "vec_id": found, "score": score}))
+            least = np.array([floors[i] for i in q_ids])
+            for me, (score, found, verified) in zip(q_ids, _search(vecs, ids, q, q_ids, least, k, dims, probability)):
+                # the first row of a query in a shard carries its count; a shard without a better row has one without a neighbour
+                more = score.size == 0
+                out.append(
+                    pd.DataFrame({"query_id": me, "vec_id": [-1] if more else found, "score": [np.nan] if more else score, "verified": [verified] + [0] * max(0, len(found) - 1)})
+                )
         return pd.concat(out)
 
-    near = one.groupBy("shard", "block").cogroup(two.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    def met(pairs: DataFrame) -> DataFrame:
+        """What is found for (shard, block, id, v, least), in the rows of each shard."""
+        copies = sharded if blocks == 1 else sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        copies = copies.withColumn("block", F.lit(0)) if blocks == 1 else copies
+        schema = "query_id long, vec_id long, score double, verified long"
+        return copies.groupBy("shard", "block").cogroup(pairs.groupBy("shard", "block")).applyInPandas(search, schema)
+
+    start = blocked.withColumn("shard", F.col("home")).withColumn("least", F.lit(None).cast("double"))
+    near = met(start.select("shard", "block", "id", "v", "least"))
+    if shards > 1:
+        near = checkpointed(near)
+        full = near.where("score is not null").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        full = full.where(F.col("n") == k).select(F.col("query_id").alias("id"), "least")
+        others = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home").join(full, "id", "left")
+        near = near.unionByName(met(others.select("shard", "block", "id", "v", "least")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    cols = ["query_id", "rank", "vec_id", "score"]
+    if verified_col:
+        near = near.withColumn(verified_col, F.sum("verified").over(Window.partitionBy("query_id")))
+        cols.append(verified_col)
+    near = near.where("score is not null")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*cols)
