@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, unused
+
 #: Lower-cases A-Z; keeps digits, letters and every byte of a non-ASCII character.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -108,13 +110,15 @@ def _shard(ids: list, texts: list, tests: Suffixes) -> pd.DataFrame:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
-    """The test items, in blocks of a bounded size."""
+def _block_count(benchmark: DataFrame, text_col: str) -> int:
+    """In how many blocks of a bounded size the test items are searched for."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string")) + 16), F.lit(0))).first()[0]
+    return 1 + int(size) // (BLOCK_BYTES // 2)
+
+
+def _block(benchmark: DataFrame, item_col: str, text_col: str, k: int, parts: int) -> list[tuple]:
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    parts = 1 + int(size) // (BLOCK_BYTES // 2)
-    for k in range(parts):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
+    return [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
 
 
 def matches(
@@ -138,17 +142,16 @@ def matches(
     blocks of bounded size; only one block at a time is sent to the executors.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = _blocks(benchmark, item_col, item_text_col)
-    first = next(blocks)
-    found = _search(rows, first, window)
-    rest = list(blocks)
-    if not rest:
-        return found
-    # several blocks: their spans are joined again document by document
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    parts = _block_count(benchmark, item_text_col)
+    if parts == 1:
+        return _search(rows, _block(benchmark, item_col, item_text_col, 0, 1), window)
+    # several blocks: what each finds is written before the next is read, and their spans are joined again document by
+    # document; the documents' numbers are written first, as they would not be the same when worked out again
+    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
     keyed = None
-    for block in [first, *rest]:
-        part = _search(rows.select(F.col("row").alias("doc_id"), "text"), block, window)
+    for k in range(parts):
+        part = _search(rows.select(F.col("row").alias("doc_id"), "text"), _block(benchmark, item_col, item_text_col, k, parts), window)
+        part = checkpointed(part if k == 0 else part.where("n_hit > 0"))
         keyed = part if keyed is None else keyed.unionByName(part)
     merged = keyed.groupBy("doc_id").agg(
         F.first("n_words").alias("n_words"),
@@ -186,9 +189,11 @@ def _search(rows: DataFrame, items: list[tuple], window: int) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text shares no window with the benchmark, with all their columns.
 
-    Rows with a null id are judged by their text like any other.
+    Rows with a null id are judged by their text like any other. Null and empty
+    texts stay; equal rows stay or go together; an empty table on either side
+    drops nothing; columns of any name are kept.
     """
-    own = f"{id_col}__own"
+    own = unused(docs, "__own")
     rows = docs.withColumn(own, F.xxhash64(F.col(id_col), F.col(text_col)))
     hit = matches(rows, benchmark, window, id_col=own, text_col=text_col).where("n_hit > 0").select(F.col("doc_id").alias(own)).distinct()
     return rows.join(hit, own, "left_anti").drop(own)

@@ -24,11 +24,13 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_TEXTS = 1_500
 ROUNDS = 3
 MAX_LANGUAGES = 200
-#: Longest piece, and the length that longer words are cut to, in characters.
-PIECE, WORD = 10, 32
+#: Longest word, in letters, that is learned from; longer ones are scored like any other.
+TRAIN_WORD = 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Words that are segmented at once, texts that are looked at together, and words whose scores a worker keeps.
 _BLOCK, _TEXTS, _WORDS = 20_000, 500, 300_000
+#: Characters of such words, and places after which probabilities are scaled again.
+_CHARS, _SCALED = 1_000_000, 16
 #: Share of the pooled probabilities in each language's, and of a character outside the vocabulary.
 POOLED, UNKNOWN = 0.02, 1e-7
 
@@ -41,7 +43,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-        self.pieces = sorted({p.lower() for p in found if len(p) <= PIECE and re.fullmatch(r"▁?[^\W\d_]+|▁", p)})
+        self.pieces = sorted({p.lower() for p in found if re.fullmatch(r"▁?[^\W\d_]+|▁", p)})
+        self.longest = max(map(len, self.pieces))
         nodes, ends = {"": 0}, {}
         for k, p in enumerate(self.pieces):
             for n in range(1, len(p) + 1):
@@ -62,7 +65,7 @@ class Pieces:
         for start in range(chars.shape[1]):
             rows = np.nonzero(lengths > start)[0]
             node = np.zeros(len(rows), np.int64)
-            for end in range(start + 1, min(start + PIECE, chars.shape[1]) + 1):
+            for end in range(start + 1, min(start + self.longest, chars.shape[1]) + 1):
                 node = self.step(node, chars[rows, end - 1])
                 live = (node >= 0) & (lengths[rows] >= end)
                 rows, node = rows[live], node[live]
@@ -88,33 +91,56 @@ def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return chars, lengths
 
 
+def _blocks(words: list[str]) -> Iterator[list[int]]:
+    """The words' numbers, by length, in blocks of a bounded number of characters (one word at least)."""
+    block: list[int] = []
+    for k in sorted(range(len(words)), key=lambda k: len(words[k])):
+        if block and (len(block) == _BLOCK or (len(block) + 1) * (len(words[k]) + 2) > _CHARS):
+            yield block
+            block = []
+        block.append(k)
+    if block:
+        yield block
+
+
 def forward(words: list[str], table: Pieces, chance: np.ndarray) -> np.ndarray:
-    """The log-probability of each word in each language; chance: pieces x languages."""
+    """The log-probability of each word in each language; chance: pieces x languages.
+
+    In long words the probabilities are scaled every few places, as they would
+    become too small for numbers.
+    """
     out = np.zeros((len(words), chance.shape[1]))
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(order), _BLOCK):
-        some = order[at : at + _BLOCK]
+    for some in _blocks(words):
         chars, lengths = _matrix([words[k] for k in some])
         alpha = np.zeros((chars.shape[1] + 1, len(some), chance.shape[1]))
+        scale = np.zeros((len(some), chance.shape[1]))
         alpha[0] = 1
         done = 0
+
+        def single(done: int) -> None:
+            """A character can also stand alone, unknown."""
+            alpha[done + 1] += alpha[done] * UNKNOWN  # noqa: B023
+            if (done + 1) % _SCALED == 0:
+                rows = np.nonzero(lengths > done + 1)[0]  # noqa: B023
+                top = alpha[done + 1, rows]  # noqa: B023
+                scale[rows] += np.log(top)  # noqa: B023
+                alpha[done + 1 : done + 1 + table.longest, rows] /= top  # noqa: B023
+
         for start, end, rows, piece in table.edges(chars, lengths):
-            while done < start:  # a character can also stand alone, unknown
-                alpha[done + 1] += alpha[done] * UNKNOWN
+            while done < start:
+                single(done)
                 done += 1
             alpha[end, rows] += alpha[start, rows] * chance[piece]
         for done in range(done, chars.shape[1]):
-            alpha[done + 1] += alpha[done] * UNKNOWN
-        out[some] = np.log(alpha[lengths, np.arange(len(some))])
+            single(done)
+        out[some] = np.log(alpha[lengths, np.arange(len(some))]) + scale
     return out
 
 
 def expected(words: list[str], counts: np.ndarray, table: Pieces, chance: np.ndarray) -> np.ndarray:
     """Expected counts of the pieces in words with counts (words x languages), over all splits."""
     sums = np.zeros_like(chance)
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(order), _BLOCK):
-        some = order[at : at + _BLOCK]
+    for some in _blocks(words):
         chars, lengths = _matrix([words[k] for k in some])
         edges = list(table.edges(chars, lengths))
         alpha = np.zeros((chars.shape[1] + 1, len(some), chance.shape[1]))
@@ -142,19 +168,16 @@ def expected(words: list[str], counts: np.ndarray, table: Pieces, chance: np.nda
 
 
 def text_words(text: str | None) -> list[str]:
-    """Lower-case runs of letters of the whole text, long ones in parts."""
-    out = []
-    for w in _LETTERS.findall(text.lower()) if text else ():
-        if w.isalpha() or any(map(str.isalpha, w)):
-            out += [w] if len(w) <= WORD else [w[i : i + WORD] for i in range(0, len(w), WORD)]
-    return out
+    """Lower-case runs of letters of the whole text."""
+    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, sample: int = TRAIN_TEXTS) -> tuple[list[str], np.ndarray]:
     """(languages, pieces x languages probabilities) from labelled texts.
 
     Of a language with more texts than `sample`, about that many are used, chosen
-    by a hash of the text. The word counts are gathered and the expectations
+    by a hash of the text; words of over TRAIN_WORD letters are not learned from.
+    The word counts are gathered and the expectations
     summed by Spark; a table of pieces x languages comes to the driver in each round.
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -172,7 +195,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", voc
         for b in batches:
             by: Counter = Counter()
             for t, lang in zip(b["text"], b["lang"]):
-                by.update((lang, w) for w in text_words(t))
+                by.update((lang, w) for w in text_words(t) if len(w) <= TRAIN_WORD)
             yield pd.DataFrame([(*k, n) for k, n in by.items()], columns=["lang", "word", "n"])
 
     number = {lang: k for k, lang in enumerate(langs)}

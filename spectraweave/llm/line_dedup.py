@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, rewritten, shared_folder
+from .common import checkpointed, rewritten, shared_folder, unused
 
 DISTANCE, MIN_CHARS = 2, 40
 #: (unit, least and greatest length of the shorter line in it, edits): of the least length in words a twentieth may differ.
@@ -388,16 +388,18 @@ def deduplicated(
     never dropped, and a text may become empty. removed_col, if given, names a
     new column with the places of the lines taken out. Null texts stay null.
     Equal rows are one document and keep equal texts. An empty table gives none.
+    A column of docs may have any name but removed_col, whose place it would take.
     """
     found = checkpointed(repeated_lines(docs, id_col, text_col, distance, min_chars, bands))
     text = F.col(text_col).cast("string")
-    mine = _met(found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed")), 64 + 4 * F.size("__removed"))
-    joined = docs.join(mine, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tag")), "left")
+    of, tag, gone = (unused(docs, n) for n in ("__id", "__tag", "__removed"))
+    mine = _met(found.select(F.col("id").alias(of), F.col("tag").alias(tag), F.col("removed").alias(gone)), 64 + 4 * F.size(gone))
+    joined = docs.join(mine, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(tag)), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     # an array of one element names the lines, so that they are split once
     rest = F.get(F.transform(F.array(lines), lambda x: F.transform(kept, lambda i: F.get(x, i))), F.lit(0))
-    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(F.col("__removed").isNull(), text).otherwise(F.array_join(rest, "\n"))}
+    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(F.col(gone).isNull(), text).otherwise(F.array_join(rest, "\n"))}
     if removed_col:
-        out[removed_col] = F.coalesce(F.array_sort("__removed"), F.array().cast("array<int>"))
+        out[removed_col] = F.coalesce(F.array_sort(gone), F.array().cast("array<int>"))
     return joined.select(*[x.alias(c) for c, x in out.items()])

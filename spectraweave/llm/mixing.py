@@ -110,8 +110,8 @@ def mix(
     none above `repeats` times its own. Within a pattern, documents come in the
     order of the MD5 of seed and id: each is taken whole floor(take / size)
     times, and once more until the rest is reached, to the nearest document.
-    target and source_size are sums over the row's sources. Equal ids are taken
-    alike up to one place; empty texts are size 0; an empty table gives none.
+    target and source_size are sums over the row's sources. Rows of one id come
+    in the order of their sizes, and equal rows are taken alike up to one place; empty texts are size 0; an empty table gives none.
     """
     rows = checkpointed(
         docs.select(
@@ -161,7 +161,7 @@ def mix(
     )
     out = binned.join(F.broadcast(full), F.col("sources") == F.col("pattern"), "left")
     at_edge = F.col("bin") == F.col("edge")
-    inside = Window.partitionBy("sources").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("sources").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = out.where(at_edge).withColumn("upto", F.col("before") + F.sum("size").over(inside))
     more = edge.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("int"))
     rest = out.where(~F.coalesce(at_edge, F.lit(False))).withColumn("more", F.coalesce(F.col("bin") < F.coalesce("edge", F.lit(bins)), F.lit(False)).cast("int"))

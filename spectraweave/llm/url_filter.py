@@ -3,8 +3,10 @@
 Names run together in hosts are split into words by a unigram Viterbi search
 over a public vocabulary. A multinomial naive Bayes model judges the words. It
 starts from a fixed list of words that mark unwanted hosts: hosts with one of
-them are the blocked class, all others the allowed one, and the words of both
-are counted over all pages, each once a host.
+them are blocked, all others allowed, and the words of both are counted over all
+pages, each once a host. Expectation-maximisation then goes on from there: the
+other hosts count for both classes by what the model says of them, so that words
+that come with the marks, of hosts and of paths, are learned.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import checkpointed
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 # Words that mark unwanted hosts.
@@ -31,6 +36,8 @@ MARKS = frozenset(
 MARK_SHARE, POOLED = 0.3, 100.0
 #: Log-odds of the blocked class: fixed, as the share of marked hosts must not decide.
 PRIOR = math.log(0.15 / 0.85)
+#: Rounds of expectation-maximisation, and the weight of the hosts without a mark in the blocked class.
+ROUNDS, UNMARKED = 3, 0.5
 _RUN = re.compile(r"[a-z]+")
 
 
@@ -78,7 +85,28 @@ def tokens(host: str, path: str, words: dict[str, float], seen: dict[str, list[s
     return out
 
 
-def weigh(counts: dict[tuple[str, bool], int], marks: frozenset[str]) -> tuple[dict[str, float], float]:
+def learn(pairs: DataFrame, marks: frozenset[str], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
+    """Log-odds of the words of pairs (host, token), each pair once, learned in rounds from the marked hosts.
+
+    A table of words, no larger than twice the vocabulary, comes to the driver and
+    is sent out again in each round; hosts stay where they are.
+    """
+    marked = F.max(F.col("token").isin([f"h:{w}" for w in marks])).over(Window.partitionBy("host"))
+    known = checkpointed(pairs.withColumn("marked", marked))
+    share = known.withColumn("b", F.col("marked").cast("double"))
+    while True:
+        sums = share.groupBy("token").agg(F.round(F.sum("b"), 6).alias("b"), F.round(F.sum(1 - F.col("b")), 6).alias("a")).collect()
+        odds, unseen = weigh({(r.token, c): n for r in sums for c, n in ((True, r.b), (False, r.a)) if n}, marks)
+        if rounds == 0 or not odds:
+            return odds, unseen
+        rounds -= 1
+        words = known.sparkSession.createDataFrame(list(odds.items()), "token string, odds double")
+        total = F.coalesce(F.sum("odds").over(Window.partitionBy("host")), F.lit(0.0)) + PRIOR
+        chance = UNMARKED / (1 + F.exp(-F.least(F.greatest(total, F.lit(-50.0)), F.lit(50.0))))
+        share = known.join(F.broadcast(words), "token", "left").withColumn("b", F.when(F.col("marked"), 1.0).otherwise(chance))
+
+
+def weigh(counts: dict[tuple[str, bool], float], marks: frozenset[str]) -> tuple[dict[str, float], float]:
     """Log-odds of blocked to allowed for each word, and for a word not met."""
     met = {t for t, _ in counts} | {f"h:{w}" for w in marks}
     total = {c: sum(n for (_, b), n in counts.items() if b == c) for c in (True, False)}
@@ -119,13 +147,14 @@ def judge(
     url_col: str = "url",
     vocabulary: str = VOCABULARY,
     marks: frozenset[str] = MARKS,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_probability) for each page.
 
     rules: (`host/path`, allow or block); a rule holds for its host and all
     subdomains if the path starts with the rule's, and the longest wins. Without
     a rule the model's verdict is given. A null url, or one without `://`, has an
-    empty host and path and is allowed. Words are counted once for each host, so
+    empty host and path and is allowed. Long hosts and paths are judged whole. Words are counted once for each host, so
     a host with many pages weighs as any other, and the table of counts is no
     larger than twice the vocabulary. Equal rows give equal rows; an empty table
     gives none.
@@ -142,9 +171,7 @@ def judge(
             yield pd.DataFrame(sorted(found), columns=["host", "token"])
 
     pairs = rows.where("host <> ''").select("host", "path").distinct().mapInPandas(split, "host string, token string").distinct()
-    marked = F.max(F.col("token").isin([f"h:{w}" for w in marks])).alias("blocked")
-    counts = pairs.join(pairs.groupBy("host").agg(marked), "host").groupBy("token", "blocked").count().collect()
-    log_odds, unseen = weigh({(r.token, r.blocked): r["count"] for r in counts}, marks)
+    log_odds, unseen = learn(pairs, marks, rounds)
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for rule, verdict in rules:
         at, slash, start = rule.partition("/")

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -73,7 +74,7 @@ def test_quality_edges(spark):
     got = quality.score(df, quality.fit(df, labels, metadata=df.n_chars), metadata=df.n_chars).collect()
     assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
     assert quality.score(df.limit(0), quality.fit(df, labels.limit(0))).count() == 0
-    assert {r.score for r in quality.score(df, quality.fit(df, labels.limit(0))).collect()} != set()
+    assert all(abs(r.score - 0.5) < 0.01 for r in quality.score(df, quality.fit(df, labels.limit(0))).collect())  # nothing learned
 
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -120,3 +121,47 @@ def test_segmentation_is_the_likeliest():
 
     for run in ("cheappills", "thisisit", "newhouse"):
         assert sum(words[w] for w in url_filter.segment(run, words)) == pytest.approx(best(run))
+
+
+def url_rows(marked):
+    """Hosts: some with a seed word beside words of their kind, some with the latter alone, and ordinary ones."""
+    kind, plain = ("lucky", "spin", "royal", "wild"), ("garden", "river", "school", "music", "news")
+    rows = [f"http://{m}{a}{b}.example.org/win/prize/{k}" for m in marked for k, a in enumerate(kind) for b in kind if a != b]
+    alone = [f"http://{a}{b}{c}.example.org/win/prize/{k}" for k, a in enumerate(kind) for b in kind for c in kind if len({a, b, c}) == 3]
+    rest = [f"http://{a}{b}{c}.example.org/story/{k}" for k, a in enumerate(plain) for b in plain for c in ("house", "city", "press", "book") if a != b]
+    return rows, alone, rest
+
+
+def test_words_beside_the_marks_are_learned(spark):
+    rows, alone, rest = url_rows(("casino", "poker", "bingo"))
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(rows + alone + rest)], "page_id long, url string")
+    got = [r.verdict for r in url_filter.judge(df).orderBy("page_id").collect()]
+    assert got == ["block"] * (len(rows) + len(alone)) + ["allow"] * len(rest)
+    # a seed left out: its hosts are blocked all the same
+    left = [r.verdict for r in url_filter.judge(df, marks=url_filter.MARKS - {"bingo"}).orderBy("page_id").collect()]
+    assert left == got
+
+
+def test_against_an_independent_naive_bayes(spark):
+    rows, alone, rest = url_rows(("casino", "poker"))
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(rows + alone + rest)], "page_id long, url string")
+    got = {r.page_id: r.block_probability for r in url_filter.judge(df, rounds=0).collect()}
+    words = url_filter.lexicon(url_filter.VOCABULARY)
+    urls = [u.removeprefix("http://").split("/", 1) for u in rows + alone + rest]
+    tokens = [[f"{kind}{w}" for kind, part in (("h:", h), ("p:", p)) for run in re.findall("[a-z]+", part) for w in url_filter.segment(run, words)] for h, p in urls]
+    blocked = [any(t[2:] in url_filter.MARKS for t in ts) for ts in tokens]
+    hosts = {h: (set(ts), b) for (h, _), ts, b in zip(urls, tokens, blocked)}
+    n = {c: sum(len(ts) for ts, b in hosts.values() if b == c) for c in (True, False)}
+    met = {t for ts, _ in hosts.values() for t in ts} | {f"h:{w}" for w in url_filter.MARKS}
+    size = n[True] + n[False] + len(met) + 1
+
+    def odds(t):
+        mark = t.startswith("h:") and t[2:] in url_filter.MARKS
+        count = {c: sum(t in ts for ts, b in hosts.values() if b == c) for c in (True, False)}
+        pooled = (0.02 if mark else count[True] + count[False] + 1) / size
+        own = {c: (count[c] + url_filter.POOLED * pooled) / (n[c] + url_filter.POOLED) for c in count}
+        return math.log((1 - url_filter.MARK_SHARE) * own[True] + url_filter.MARK_SHARE * mark / len(url_filter.MARKS)) - math.log(own[False])
+
+    for k, ts in enumerate(tokens):
+        want = url_filter.PRIOR + sum(map(odds, ts))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-want)), rel=1e-6)

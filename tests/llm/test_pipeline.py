@@ -37,3 +37,16 @@ def test_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_clashing_columns(spark, sf):
+    names = ["lang_pred", "score", "margin", "n_words", "copies", "source_target", "removed", "__gone", "__n", "__id", "__tag", "__document", "held_out"]
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(k, f"{text} {k} {'abcdefgh'[k]} and other words", "en", "s", 60, *["x"] * len(names)) for k in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *[f"`{c}` string" for c in names]]))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() >= 0
+        if name != "mixture":
+            assert docs.where("score = 'x' and n_words = 'x'").count() == docs.count()
+    assert len(set(docs.columns)) == len(docs.columns) and dict(docs.dtypes)["copies"] == "int"
