@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Wavelengths in Angstrom, and the shifts there in arcseconds.
+REFRACTION_WAVES = (3500.0, 4000.0, 4500.0, 5000.0, 5500.0)
+REFRACTION_SHIFTS = (-0.74, -0.4, -0.08, 0.08, 0.20)
+
 
 def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Great-circle distance in arcseconds (haversine)."""
@@ -40,6 +45,24 @@ def to_sky(x: Column, y: Column, ra0: Column, dec0: Column, rotation: Column | f
     return F.pmod(ra, F.lit(360.0)), dec
 
 
+def refraction(wave: Column) -> Column:
+    """The shift in arcseconds by differential refraction at a wavelength: the cubic that fits the five knots best."""
+    u = (wave - 4500.0) / 1000.0
+    knots = [(x - 4500.0) / 1000.0 for x in REFRACTION_WAVES]
+    cubic = np.polyfit(knots, REFRACTION_SHIFTS, 3).tolist()
+    out = F.lit(cubic[0])
+    for c in cubic[1:]:
+        out = out * u + c
+    return out
+
+
+def refracted(ra: Column, dec: Column, wave: Column, angle: Column, ra0: Column, dec0: Column) -> tuple[Column, Column]:
+    """Where a fiber at (ra, dec) looks at a wavelength: moved on the plane about (ra0, dec0) by the refraction along a position angle."""
+    x, y = to_plane(ra, dec, ra0, dec0)
+    dx, dy = refraction_offset(refraction(wave), angle)
+    return to_sky(x + dx, y + dy, ra0, dec0)
+
+
 def refraction_offset(shift: Column, angle: Column) -> tuple[Column, Column]:
     """A refraction shift in arcseconds along a position angle, as x and y."""
     return shift * F.cos(F.radians(angle)), shift * F.sin(F.radians(angle))
