@@ -207,10 +207,13 @@ def _counts(norm: Column, n: Column) -> Column:
     return out
 
 
-def _parities(words: Column, part: int) -> Column:
-    """Bit h: whether the words of hash h are odd in number; part: which six bits of the hash count."""
-    bit = lambda w: F.call_function("shiftright", F.xxhash64(w), F.lit(6 * part)).bitwiseAND(F.lit(63)).cast("int")
-    return F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(w))))
+def _parities(words: Column, low: int, part: int | None = None) -> Column:
+    """Bit h: whether the words of hash h are odd in number; the hash: six bits from `low`, of words whose next bit is `part`, if given."""
+    hashes = F.transform(words, lambda w: F.call_function("shiftright", F.xxhash64(w), F.lit(low)).bitwiseAND(F.lit(127)).cast("int"))
+    # a shift takes the lowest six bits of its count
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h)
+    mine = (lambda h: one(h)) if part is None else lambda h: F.when(h.between(64 * part, 64 * part + 63), one(h)).otherwise(0)
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(mine(h)))
 
 
 def _apart(a: Column, b: Column, k: Column) -> Column:
@@ -304,16 +307,17 @@ def near_earlier(distinct: DataFrame, bands: list[Band]) -> DataFrame:
     shared = checkpointed(shared.where("__met").select("h", "seg", "meta", "many"))
     ids = checkpointed(shared.select("h").distinct())
     words = _words(F.col("norm")) if of("words") else F.array().cast("array<string>")
-    signs = [F.size(words).alias("n_words"), _counts(F.col("norm"), F.col("n")).alias("chars"), _parities(words, 0).alias("odd0"), _parities(words, 1).alias("odd1")]
+    signs = [F.size(words).alias("n_words"), _counts(F.col("norm"), F.col("n")).alias("chars"), _parities(words, 0).alias("odd0"), _parities(words, 7, 0).alias("odd1"), _parities(words, 7, 1).alias("odd2")]
     texts = checkpointed(distinct.join(_met(ids), "h").select("h", "norm", "first", "n", *signs))
     in_words = F.get(F.array(*[F.lit(unit == "words") for unit, *_ in bands]), F.col("band"))
     pick = lambda a, b: F.when(in_words, F.col(a)).otherwise(F.col(b) if isinstance(b, str) else F.lit(b))
-    sign = F.struct(pick("n_words", "n").alias("n"), pick("odd0", "chars").alias("a"), pick("odd1", 0).alias("b"))
+    sign = F.struct(pick("n_words", "n").alias("n"), pick("odd0", "chars").alias("a"), pick("odd1", 0).alias("b"), pick("odd2", 0).alias("c"))
     counted = shared.join(_met(texts.drop("norm"), F.lit(112)), "h").withColumn("band", F.floor(F.col("meta") / 2).cast("int"))
     counted = checkpointed(counted.select("h", "seg", "band", (F.col("meta") % 2 == 1).alias("own"), "many", "first", sign.alias("sign")))
     k = F.get(F.array(*[F.lit(k) for *_, k in bands]), F.col("band"))
     # an edit changes the parity of two words at most
-    odd = F.greatest(F.bit_count(F.col("sign.a").bitwiseXOR(F.col("sign2.a"))), F.bit_count(F.col("sign.b").bitwiseXOR(F.col("sign2.b"))))
+    a, b, c = (F.bit_count(F.col(f"sign.{x}").bitwiseXOR(F.col(f"sign2.{x}"))) for x in "abc")
+    odd = F.greatest(a, b + c)
     apart = F.when(in_words, odd > 2 * k).otherwise(_apart(F.col("sign.a"), F.col("sign2.a"), k))
     close = (F.abs(F.col("sign.n") - F.col("sign2.n")) <= k) & ~apart
     earlier = F.col("first") > F.col("first2")
