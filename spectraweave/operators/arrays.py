@@ -35,8 +35,9 @@ def rectify(df: DataFrame, keys: Sequence[str], x: str, y: str, grid: DataFrame,
     cols = [y] + ([error] if error else [])
     knot = F.struct(F.col(x).cast("double").alias("x"), *[F.col(c).cast("double").alias(c) for c in cols])
     knots = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"), F.lit(None).cast("double").alias(at), knot.alias("__k"))
-    # every key meets every place: that is the result's size
-    places = df.select(*keys, F.lit(1).alias("__one")).distinct().join(grid.select(F.col(at).cast("double").alias(at), F.lit(1).alias("__one")), "__one")
+    # every key meets every place: that is the result's size; the grid, a lookup table, goes along in one row
+    one = grid.agg(F.collect_set(F.col(at).cast("double")).alias("__grid"))
+    places = df.select(*keys).distinct().crossJoin(F.broadcast(one)).withColumn(at, F.explode("__grid"))
     places = places.select(*keys, F.col(at).alias("__x"), at, F.lit(None).cast(knots.schema["__k"].dataType).alias("__k"))
     both = knots.unionByName(places)
     w = Window.partitionBy(*keys).orderBy("__x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -64,15 +65,17 @@ def continuum(df: DataFrame, keys: Sequence[str], i: str, y: str, bins: int, out
     centers = parts.groupBy(*keys, "__chunk").agg(F.avg(i).alias("__at"))
     levels = biweight(parts, [*keys, "__chunk"], y, loc="__level", scale=None)
     whole = Window.partitionBy(*keys)
-    knots = centers.join(levels, [*keys, "__chunk"]).withColumn("__n", F.count("__level").over(whole))
-    w = ordered(keys, "__at")
-    nxt = knots.where("__level is not null").withColumn("__at2", F.lead("__at").over(w)).withColumn("__level2", F.lead("__level").over(w)).withColumn("__first", F.row_number().over(w) == 1)
-    low = F.when(F.col("__first"), F.lit(float("-inf"))).otherwise(F.col("__at"))
-    spans = nxt.select(*keys, "__at", "__level", "__at2", "__level2", "__n", low.alias("__low"), F.coalesce("__at2", F.lit(float("inf"))).alias("__high"))
-    rows = df.join(spans, list(keys), "left").where(F.col("__low").isNull() | (F.col(i) >= F.col("__low")) & (F.col(i) < F.col("__high")))
-    share = F.greatest(F.lit(0.0), F.try_divide(F.col(i) - F.col("__at"), F.col("__at2") - F.col("__at")))
-    value = F.col("__level") + F.coalesce((F.col("__level2") - F.col("__level")) * share, F.lit(0.0))
-    return rows.withColumn(out, F.when(F.col("__n") > bins / 2, value).otherwise(0.0)).select(*df.columns, out)
+    knots = centers.join(levels, [*keys, "__chunk"]).where("__level is not null").withColumn("__n", F.count("*").over(whole))
+    knot = F.struct(F.col("__at").alias("at"), F.col("__level").alias("level"), F.col("__n").alias("n"))
+    knots = knots.select(*keys, F.col("__at").alias("__x"), knot.alias("__k"), F.lit(True).alias("__knot"))
+    both = df.withColumn("__x", F.col(i).cast("double")).unionByName(knots, allowMissingColumns=True)
+    w = whole.orderBy("__x")
+    past, ahead = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = both.withColumn("__a", F.last("__k", True).over(past)).withColumn("__b", F.first("__k", True).over(ahead)).where("__knot is null")
+    a, b = F.coalesce("__a", "__b"), F.coalesce("__b", "__a")
+    share = F.coalesce(F.try_divide(F.col("__x") - a["at"], b["at"] - a["at"]), F.lit(0.0))
+    value = a["level"] + (b["level"] - a["level"]) * share
+    return rows.withColumn(out, F.when(a["n"] > bins / 2, value).otherwise(0.0)).select(*df.columns, out)
 
 
 def aperture_extract(frame: DataFrame, trace: DataFrame, keys: Sequence[str], value: str, error: str | None = None, width: int = 5) -> DataFrame:
@@ -101,7 +104,7 @@ def profile_chi2(frame: DataFrame, flat: DataFrame, trace: DataFrame, keys: Sequ
     scale = F.try_divide(F.sum(value).over(w), F.sum("__flat").over(w))
     rows = met.withColumn("__model", F.col("__flat") * scale)
     var = F.pow(error, 2) + F.pow(floor * F.col("__model"), 2)
-    return rows.groupBy(*keys, "fiber", "col").agg((F.sum(F.try_divide(F.pow(F.col(value) - F.col("__model"), 2), var)) / (F.count(value) - 1)).alias("chi2"))
+    return rows.groupBy(*keys, "fiber", "col").agg(F.try_divide(F.sum(F.try_divide(F.pow(F.col(value) - F.col("__model"), 2), var)), F.count(value) - 1).alias("chi2"))
 
 
 def synthetic_mag(spectrum: str, response: str, zero_point: float = 23.9) -> Column:

@@ -7,8 +7,10 @@ that the rows are shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,15 +110,23 @@ def sky_fibers(df: DataFrame, keys: Sequence[str], level: str, steps: int = 81,
     that has the most values within one biweight scale, the lowest on a tie;
     levels less than `reach` scales above it are sky.
     """
-    w = Window.partitionBy(*keys)
-    ends = df.groupBy(*keys).agg(F.percentile(level, F.array(F.lit(0.05), F.lit(0.6))).alias("__p"))
-    scales = biweight(df, keys, level, loc="__loc", scale="__scale")
-    grid = ends.join(scales, list(keys)).select(*keys, "__p", "__scale", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("__i"))
-    grid = grid.withColumn("__at", F.col("__p")[0] + (F.col("__p")[1] - F.col("__p")[0]) * F.col("__i") / (steps - 1))
-    votes = (
-        df.join(grid, list(keys))
-        .groupBy(*keys, "__i", "__at", "__scale")
-        .agg(F.count(F.when(F.abs(F.col(level) - F.col("__at")) < F.col("__scale"), 1)).alias("__n"))
-    )
-    mode = votes.withColumn("__r", F.row_number().over(w.orderBy(F.desc("__n"), "__i"))).where("__r = 1").select(*keys, "__at", "__scale")
+    scales = biweight(df, keys, level, loc="__loc", scale="__scale").select(*keys, "__scale")
+    # the fibers of an exposure are as many as the instrument has: one sorted array, and two searches for each level
+    values = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(level).cast("double"))).alias("__v"), F.percentile(level, F.array(F.lit(0.05), F.lit(0.6))).alias("__p"))
+
+    def densest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = []
+            for v, p, scale in zip(b["__v"], b["__p"], b["__scale"]):
+                if p is None or pd.isna(scale):
+                    at.append(None)
+                    continue
+                grid = p[0] + (p[1] - p[0]) * np.arange(steps) / (steps - 1)
+                votes = np.searchsorted(v, grid + scale, "left") - np.searchsorted(v, grid - scale, "right")
+                at.append(float(grid[votes.argmax()]))
+            yield b.drop(columns=["__v", "__p"]).assign(__at=at)
+
+    found = values.join(scales, list(keys))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name not in ("__v", "__p"))
+    mode = found.mapInPandas(densest, f"{schema}, __at double")
     return df.join(mode, list(keys), "left").withColumn(out, F.coalesce(F.col(level) - F.col("__at") < reach * F.col("__scale"), F.lit(False))).drop("__at", "__scale")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def all_queries() -> tuple[dict, dict]:
     """All queries by name, and the SQL of those that have it."""
-    from . import amp_queries, extraction_queries, fit_queries, frame_queries, join_queries, robust_queries, window_queries  # noqa: F401
+    from . import amp_queries, coverage_queries, extraction_queries, fit_queries, frame_queries, join_queries, robust_queries, window_queries  # noqa: F401
     from .registry import QUERIES, SQL
 
     return QUERIES, SQL

@@ -124,11 +124,11 @@ def grd_median_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.median_mosaic(p, [], "label", "vec_id", "x", "y", "v", 0.75, "e"))
 
 
-IMG = f"(SELECT fiber % 25 AS px, fiber // 25 AS py, sum(flux) AS v FROM {SPEC} WHERE idx < 8 GROUP BY 1, 2)"
+IMG = f"(SELECT fiber % 25 AS px, fiber // 25 AS py, sum(flux) AS v FROM {SPEC} GROUP BY 1, 2)"
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spectra(spark, sf_dir).where("idx < 8")
+    s = spectra(spark, sf_dir)
     return s.groupBy((F.col("fiber") % 25).alias("px"), F.floor(F.col("fiber") / 25).alias("py")).agg(F.sum("flux").alias("v"))
 
 
@@ -165,9 +165,17 @@ def grd_weighted_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.weighted_image(points(spark, sf_dir), [], "x", "y", "v", 1.0, 2.0))
 
 
-@query(f"SELECT px, py, {s6('px * 0.5')} AS x, {s6('py * 0.5')} AS y FROM (SELECT c - 20 AS px, d - 20 AS py FROM range(0, 41) a(c), range(0, 41) b(d))".replace("SELECT px, py,", "SELECT px + 20 AS px, py + 20 AS py,"))
+@query(
+    f"""WITH m AS (SELECT 2 * ceil(max(greatest(abs(x), abs(y)))) + 1 AS size FROM {PTS}),
+    n AS (SELECT n + 1 - n % 2 AS n FROM (SELECT CAST(floor(size / 4) AS BIGINT) AS n FROM m)), p AS (SELECT px, py, (px - n // 2) * 4.0 AS x, (py - n // 2) * 4.0 AS y FROM n, range(0, n) a(px), range(0, n) b(py))
+    SELECT p.px, p.py, p.x, p.y, count(q.vec_id) AS n_points FROM p LEFT JOIN {PTS} q ON round(q.x / 4) * 4 = p.x AND round(q.y / 4) * 4 = p.y GROUP BY ALL"""
+)
 def grd_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.grid_setup(spark, 20.0, 0.5))
+    """The square image that holds all points, and how many fall in each of its pixels."""
+    p = points(spark, sf_dir)
+    size = 2 * p.agg(F.ceil(F.max(F.greatest(F.abs("x"), F.abs("y"))))).first()[0] + 1
+    at = p.select((F.round(F.col("x") / 4) * 4).alias("x"), (F.round(F.col("y") / 4) * 4).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+    return grid.grid_setup(spark, size, 4.0).join(at, ["x", "y"], "left").select("px", "py", "x", "y", F.coalesce("n", F.lit(0)).alias("n_points"))
 
 
 @query(
@@ -218,10 +226,10 @@ def win_object_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT a.vec_id AS fiber, f.idx, {s6('any_value(f.flux)')} AS flux FROM {POS} a JOIN {SPEC} f ON f.fiber = a.vec_id JOIN {POS} b ON {SEP} <= 12 JOIN {SPEC} g ON g.fiber = b.vec_id AND g.idx = f.idx
-    WHERE f.idx < 6 GROUP BY 1, 2 HAVING count(g.flux) > 1 AND sum(g.flux) > 0 AND any_value(f.flux) >= 0.5 * sum(g.flux)"""
+    GROUP BY 1, 2 HAVING count(g.flux) > 1 AND sum(g.flux) > 0 AND any_value(f.flux) >= 0.5 * sum(g.flux)"""
 )
 def win_cosmics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spectra(spark, sf_dir).where("idx < 6").join(positions(spark, sf_dir).select(F.col("vec_id").alias("fiber"), "ra", "dec"), "fiber")
+    s = spectra(spark, sf_dir).join(positions(spark, sf_dir).select(F.col("vec_id").alias("fiber"), "ra", "dec"), "fiber")
     return rounded(catalog.cosmics(s, "fiber", "idx", "flux", 12.0))
 
 
@@ -296,10 +304,10 @@ def qa_dark_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(qa.dark_structure(spectra(spark, sf_dir), ["exp"], "fiber", "idx", "flux"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1994-02-27' AND o_orderdate < DATE '1994-04-04' AND o_orderpriority = '2-HIGH'")
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1996-02-28' AND o_orderdate < DATE '1996-04-04' AND o_orderpriority = '2-HIGH'")
 def src_obs_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month of frames of a kind, padded by three days; the bounds reach the scan."""
-    span = scans.date_range(start="1994-03-02", days=30)
+    span = scans.date_range(start="1996-03-02", days=30)
     return scans.scan_obs_log(table(spark, sf_dir, "orders"), "o_orderdate", span, F.col("o_orderpriority") == "2-HIGH", 3).select("o_orderkey")
 
 

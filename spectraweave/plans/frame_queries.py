@@ -37,9 +37,9 @@ def prj_subtract_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("fiber", F.posexplode("flux").alias("idx", "flux")))
 
 
-@query(f"SELECT fiber, list_reverse(CAST(list(flux ORDER BY idx) AS DOUBLE[])) AS flux FROM (SELECT fiber, idx, {s6('flux')} AS flux FROM {SPEC} WHERE exp % 2 = 1) GROUP BY 1")
+@query(f"SELECT fiber, CAST(list(flux ORDER BY CASE WHEN exp % 2 = 1 THEN -idx ELSE idx END) AS DOUBLE[]) AS flux FROM (SELECT fiber, exp, idx, {s6('flux')} AS flux FROM {SPEC}) GROUP BY 1")
 def prj_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("label % 2 = 1")
+    e = table(spark, sf_dir, "embeddings")
     v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x, 6) + F.lit(0.0))
     return e.select(F.col("vec_id").alias("fiber"), frames.flipped(v, F.col("label") % 2 == 1).alias("flux"))
 
@@ -59,9 +59,9 @@ def prj_dither(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(frames.with_dither(li, {1: (0.0, 0.0), 2: (1.27, 0.73), 3: (1.27, -1.46)}, "l_linenumber", "x", "y", "n").drop("n"))
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500) AND s_acctbal <= 6000")
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AND s_acctbal <= 6000")
 def prj_without_bad_amps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = table(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("s_nationkey"))
+    bad = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("s_nationkey"))
     return frames.without_bad_amps(table(spark, sf_dir, "supplier"), bad, ["s_nationkey"], "s_acctbal", 6000).select("s_suppkey")
 
 

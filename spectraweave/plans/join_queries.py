@@ -18,10 +18,10 @@ def jn_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joins.within_radius(p, p, 20.0).where("vec_id_l < vec_id_r").select("vec_id_l", "vec_id_r", "sep"))
 
 
-@query(f"SELECT * FROM (SELECT a.vec_id AS vec_id_l, b.vec_id AS vec_id_r, {s6(SEP)} AS sep FROM {POS} a, {POS} b WHERE a.vec_id % 25 = 0 AND b.label < 5) WHERE sep <= 60")
+@query(f"SELECT * FROM (SELECT a.vec_id AS vec_id_l, b.vec_id AS vec_id_r, {s6(SEP)} AS sep FROM {POS} a, {POS} b WHERE b.label < 5) WHERE sep <= 60")
 def jn_cone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = positions(spark, sf_dir).select("vec_id", "label", "ra", "dec")
-    return rounded(joins.cone_search(p, p.where("vec_id % 25 = 0"), 60.0, keep=F.col("label") < 5).select("vec_id_l", "vec_id_r", "sep"))
+    return rounded(joins.cone_search(p, p, 60.0, keep=F.col("label") < 5).select("vec_id_l", "vec_id_r", "sep"))
 
 
 @query(

@@ -48,11 +48,10 @@ def win_running_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT a.fiber, a.idx, {s6('median(b.flux)')} AS running FROM {SPEC} a JOIN {SPEC} b ON a.exp = b.exp AND b.fiber BETWEEN a.fiber - 30 AND a.fiber + 30
-    AND b.idx BETWEEN a.idx - 1 AND a.idx + 1 WHERE a.exp < 2 GROUP BY 1, 2"""
+    AND b.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY 1, 2"""
 )
 def win_running_median_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spectra(spark, sf_dir).where("exp < 2")
-    return rounded(windows.running_median_2d(df, ["exp"], "fiber", "idx", "flux", 30, 1).select("fiber", "idx", "running"))
+    return rounded(windows.running_median_2d(spectra(spark, sf_dir), ["exp"], "fiber", "idx", "flux", 30, 1).select("fiber", "idx", "running"))
 
 
 KERNEL = [0.05, 0.25, 0.4, 0.25, 0.05]
@@ -201,7 +200,7 @@ SHARE = "greatest(0, least(f.rw + 0.5, trace + 2.5) - greatest(f.rw - 0.5, trace
 
 
 @query(
-    f"""WITH f AS (SELECT * FROM {ROWS}), t AS (SELECT exp, rw AS fiber, idx, rw * 6 + 1 + idx % 10 / 10.0 AS trace FROM f WHERE rw < 7), n AS (SELECT exp, max(rw) AS last FROM f GROUP BY 1)
+    f"""WITH f AS (SELECT * FROM {ROWS}), t AS (SELECT exp, rw AS fiber, idx, rw * 6 + 1 + idx % 10 / 10.0 AS trace FROM f), n AS (SELECT exp, max(rw) AS last FROM f GROUP BY 1)
     SELECT t.exp, t.fiber, t.idx AS col, {s6(f'CASE WHEN any_value(floor(trace - 2) >= 0 AND floor(trace + 3) <= last) THEN sum(flux * {SHARE}) / 5 ELSE 0 END')} AS flux,
     {s6(f'CASE WHEN any_value(floor(trace - 2) >= 0 AND floor(trace + 3) <= last) THEN sqrt(sum(pow((0.1 + abs(flux)) * {SHARE}, 2))) / 5 ELSE 0 END')} AS error
     FROM t JOIN n USING (exp) LEFT JOIN f ON f.exp = t.exp AND f.idx = t.idx AND f.rw BETWEEN trace - 4 AND trace + 4 GROUP BY 1, 2, 3"""
@@ -209,5 +208,5 @@ SHARE = "greatest(0, least(f.rw + 0.5, trace + 2.5) - greatest(f.rw - 0.5, trace
 def arr_aperture_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectra(spark, sf_dir).withColumn("row", F.row_number().over(Window.partitionBy("exp", "idx").orderBy("fiber")) - 1)
     frame = rows.select("exp", "row", F.col("idx").alias("col"), "flux", (0.1 + F.abs("flux")).alias("error"))
-    trace = rows.where("row < 7").select("exp", F.col("row").alias("fiber"), F.col("idx").alias("col"), (F.col("row") * 6 + 1 + F.col("idx") % 10 / 10).alias("trace"))
+    trace = rows.select("exp", F.col("row").alias("fiber"), F.col("idx").alias("col"), (F.col("row") * 6 + 1 + F.col("idx") % 10 / 10).alias("trace"))
     return rounded(arrays.aperture_extract(frame, trace, ["exp"], "flux", "error"))
