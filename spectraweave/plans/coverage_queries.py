@@ -64,11 +64,11 @@ def set_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.union(s)
 
 
-@query("SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-07-01'")
+@query("SELECT o_orderkey, o_custkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS date FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-07-01'")
 def snk_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written in folders by date, and half a year of them scanned again."""
+    """Orders written in folders by month, and half a year of them scanned again."""
     folder = scratch(spark)
-    sinks.write_by_date(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date")), folder)
+    sinks.write_by_date(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.trunc("o_orderdate", "MM").alias("date")), folder)
     return scans.scan_fibers(spark, folder, ["o_orderkey", "o_custkey", "date"], ("1996-01-01", "1996-07-01")).withColumn("date", F.col("date").cast("string"))
 
 

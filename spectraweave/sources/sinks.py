@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_by_date(df: DataFrame, path: str, date: str = "date", mode: str = "overwrite") -> None:
-    """A table in folders by date, each date's rows dealt together, so that it gets few files."""
-    df.repartition(date).write.mode(mode).partitionBy(date).parquet(path)
+    """A table in folders by date, each date's rows dealt together, so that it gets few files; very large dates are split."""
+    df.hint("rebalance", date).write.mode(mode).partitionBy(date).parquet(path)
 
 
 def write_cube(voxels: DataFrame, grid: DataFrame, path: str) -> None:
