@@ -14,10 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "example-key"
+from .common import unused
+
 ROUNDS = 8
-#: First day and number of days (a product of the two) that dates are permuted among: up to 2100-05-01.
-FIRST_DAY, DAY_SIDES = "1900-01-01", (270, 271)
+#: Ranges of dates, each permuted in itself: the first day, and two numbers whose product is the number of days.
+#: Together they are all days of the years 1000 to 9999; those of 1900-01-01 to 2100-05-01 stay among themselves.
+DATE_RANGES = [("1000-01-01", 538, 611), ("1900-01-01", 270, 271), ("2100-05-02", 538, 5363)]
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 # What each kind looks like, in the order in which they are tried.
@@ -26,9 +28,11 @@ PATTERNS = {
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
-    "phone": r"(?<![0-9+])(?:(?:\+1[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}|\+[1-9][0-9]{0,2}(?:[ .\-][0-9]{2,4}){2,4}|(?:1[.\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "phone": r"(?<![0-9+])(?:(?:\+1[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}|\+[1-9][0-9]{0,2}(?:[ .\-][0-9]{2,4}){2,4}|\+[1-9][0-9]{6,14}|[0-9]{3} [0-9]{3} [0-9]{4}|(?:1[.\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
+    # the usual groups first, so that a short number beside them is left out
+    "card": r"(?<![0-9])(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|(?!(?:[0-9]{1,6}[ \-]){1,3}[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9]))[0-9](?:[ \-]?[0-9]){12,18})(?![0-9])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,}|AKIA[0-9A-Z]{16}|sk-[0-9A-Za-z_\-]{20,}|gh[pousr]_[0-9A-Za-z]{36,})(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -94,6 +98,26 @@ def _card(m: Column, key: str, inverse: bool) -> Column:
     return _let(F.regexp_replace(m, "[^0-9]", ""), renew)
 
 
+def _mod97(s: Column) -> Column:
+    """The remainder by 97 of a string of digits and letters, of which A is 10 and Z is 35."""
+    add = lambda n, c: F.when(c.rlike("[0-9]"), (n * 10 + F.ascii(c) - 48) % 97).otherwise((n * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.regexp_extract_all(s, F.lit("[0-9A-Z]"), F.lit(0)), F.lit(0), add)
+
+
+def _iban(m: Column, key: str, inverse: bool) -> Column:
+    """The account's digits, letters as they are, and the check digits that belong to them."""
+    rest = lambda x: F.substring(x, F.lit(5), F.length(x))
+    plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    valid = _mod97(F.concat(rest(plain(m)), F.substring(m, 1, 4))) == 1
+
+    def renew(d: Column) -> Column:
+        checked = lambda x: F.lpad((98 - _mod97(F.concat(rest(plain(_refill(m, F.concat(F.lit("00"), x)))), F.substring(m, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+        new = _let(digits(d, key, "iban", inverse), lambda x: _refill(m, F.concat(checked(x), x)))
+        return F.when(valid & (F.length(d) >= 2), new)
+
+    return _let(F.regexp_replace(rest(m), "[^0-9]", ""), renew)
+
+
 def _phone(m: Column, key: str, inverse: bool) -> Column:
     """The digits after the first of an international number, else all."""
     kept = F.when(m.startswith("+"), 1).otherwise(0)
@@ -128,8 +152,11 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
     year_first = F.length(p[0]) == 4
     month_first = ~year_first & (p[1].cast("int") > 12)
     year, month, day = F.when(year_first, p[0]).otherwise(p[2]), F.when(month_first, p[0]).otherwise(p[1]), F.when(year_first, p[2]).when(month_first, p[1]).otherwise(p[0])
-    days = F.datediff(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
-    a, b = map(F.lit, DAY_SIDES)
+    days = F.datediff(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date"), F.lit(DATE_RANGES[0][0]).cast("date")).cast("long")
+    starts, upto = [], 0
+    for _, x, y in DATE_RANGES:
+        starts.append(upto)
+        upto += x * y
     full = (F.length(month) == 2) & (F.length(day) == 2)
 
     def written(new: Column) -> Column:
@@ -139,8 +166,17 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
         return F.regexp_replace(ymd, "-", mark)
 
     def renew(n: Column) -> Column:
-        moved = _let(feistel(F.floor(n / b), n % b, a, b, key, F.lit("date"), inverse), lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["a"] * b + x["b"]).cast("int")))
-        return F.when((n >= 0) & (n < DAY_SIDES[0] * DAY_SIDES[1]), _let(moved, written))
+        of = F.lit(None)
+        for at, (day, x, y) in zip(starts, DATE_RANGES):
+            of = F.when(n >= at, F.struct(F.lit(day).cast("date").alias("day"), (n - at).alias("n"), F.lit(x).alias("x"), F.lit(y).alias("y"))) if at == 0 else F.when(
+                n >= at, F.struct(F.lit(day).cast("date").alias("day"), (n - at).alias("n"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+            ).otherwise(of)
+
+        def move(r: Column) -> Column:
+            both = feistel(F.floor(r["n"] / r["y"]), r["n"] % r["y"], r["x"], r["y"], key, F.lit("date"), inverse)
+            return _let(both, lambda x: F.date_add(r["day"], (x["a"] * r["y"] + x["b"]).cast("int")))
+
+        return F.when((n >= 0) & (n < upto), _let(_let(of, move), written))
 
     return _let(days, renew)
 
@@ -151,9 +187,12 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    h = lambda k: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lit(k), F.lower(m)), 256)
-    new = F.substring(F.concat(h("0"), h("1")), F.lit(1), F.length(m))
-    return F.when(m == F.upper(m), F.upper(new)).otherwise(new)
+    """A digest of the secret's length, after the mark that names its issuer."""
+    h = lambda k: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), k.cast("string"), F.lower(m)), 256)
+    mark = F.regexp_extract(m, "^(?:AKIA|sk-|gh[pousr]_)", 0)
+    long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(m) / 64).cast("int")), h), "")
+    new = F.substring(long, F.lit(1), F.length(m) - F.length(mark))
+    return F.concat(mark, F.when(m == F.upper(m), F.upper(new)).otherwise(new))
 
 
 def kind_of(m: Column) -> Column:
@@ -163,7 +202,7 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, key: str = KEY, inverse: bool = False) -> Column:
+def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
     """The pseudonym of a found value; the value itself if it fails validation."""
     return _let(kind_of(m), lambda kind: _renewed(m, kind, key, inverse))
 
@@ -174,6 +213,7 @@ def _renewed(m: Column, kind: Column, key: str, inverse: bool) -> Column:
         .when(kind == "ip", _ip(m, key, inverse))
         .when(kind == "date", _date(m, key, inverse))
         .when(kind == "ssn", _ssn(m, key, inverse))
+        .when(kind == "iban", _iban(m, key, inverse))
         .when(kind == "phone", _phone(m, key, inverse))
         .when(kind == "card", _card(m, key, inverse))
         .when(kind == "secret", m if inverse else _secret(m, key))
@@ -181,28 +221,32 @@ def _renewed(m: Column, kind: Column, key: str, inverse: bool) -> Column:
     return F.coalesce(new, m)
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY, found_col: str | None = None, inverse: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None, inverse: bool = False) -> DataFrame:
     """docs with the values in its texts replaced, all other columns as they are.
 
     found_col, if given, names a new column: an array of (kind, pseudonym) of
     the values that were replaced, in the text's order. inverse undoes numbers
     and dates (mail addresses and secrets stay). A null text stays null, and is
     found to hold nothing; a text without values is unchanged, to the byte. No
-    shuffle: each row is worked on alone, and long texts in one pass.
+    shuffle: each row is worked on alone, and long texts in one pass. Equal rows
+    give equal rows; an empty table gives none; other columns may have any name
+    but found_col, whose place it would take. Who has the key can undo the
+    pseudonyms, so there is no default for it.
     """
+    held = unused(docs, "__found")
     text = F.col(text_col)
     none = F.array().cast("array<struct<value:string,kind:string,pseudonym:string>>")
-    values = F.when(text.rlike("[0-9@]|[0-9A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    values = F.when(text.rlike("[0-9@]|[0-9A-Fa-f]{32}|AKIA|sk-|gh[pousr]_"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
     def renewed(m: Column) -> Column:
         return _let(kind_of(m), lambda kind: F.struct(m.alias("value"), kind.alias("kind"), _renewed(m, kind, key, inverse).alias("pseudonym")))
 
     # worked out once a row, as what follows reads it more than once
-    rows = docs.withColumn("__found", F.coalesce(F.transform(values, renewed), none))
-    pieces = F.zip_with(F.split(text, ANY, -1), "__found", lambda a, x: F.concat(a, F.coalesce(x["pseudonym"], F.lit(""))))
-    new = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(text)
+    rows = docs.withColumn(held, F.coalesce(F.transform(values, renewed), none))
+    pieces = F.zip_with(F.split(text, ANY, -1), held, lambda a, x: F.concat(a, F.coalesce(x["pseudonym"], F.lit(""))))
+    new = F.when(F.size(held) > 0, F.array_join(pieces, "")).otherwise(text)
     out = {c: F.col(c) for c in docs.columns} | {text_col: new}
     if found_col:
-        changed = F.filter("__found", lambda x: x["value"] != x["pseudonym"])
+        changed = F.filter(held, lambda x: x["value"] != x["pseudonym"])
         out[found_col] = F.transform(changed, lambda x: F.struct(x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym")))
     return rows.select(*[x.alias(c) for c, x in out.items()])

@@ -48,7 +48,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="found")
+    key = spark.conf.get("spark.spectraweave.pseudonym.key", "a key for trying it out")
+    out = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key, found_col="found")
     kinds = F.transform("found", lambda x: x["kind"])
     count = lambda kind: F.size(F.filter(kinds, lambda x: x == F.lit(kind))).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", "text", *[count(k) for k in pii.PATTERNS])
