@@ -14,7 +14,7 @@ from .fits import evaluate, linear_fit, low_rank_projection, plane_fit, poly_fit
 from .grid import smooth_2d
 from .lineage import cut
 from .robust import MAD_TO_SIGMA, biweight, mad_std, median, percentile_clip, sigma_clip, sky_fibers
-from .windows import chunk, dilate, smooth
+from .windows import chunk, dilate, interpolate_masked, smooth
 
 
 def dated_identity(slot: Column, date: Column, fixes: Sequence[tuple[str, str, int, int]]) -> Column:
@@ -175,7 +175,9 @@ def smooth_continuum(spectra: DataFrame, keys: Sequence[str], i: str, flux: str,
     """Adds continuum and outlier: in turns, outliers from the smooth level and their neighbours are left out of the next smoothing."""
     now = spectra.withColumn("__y", F.col(flux).cast("double"))
     for n in range(rounds):
-        now = smooth(now, keys, i, "__y", kernel, "continuum").withColumn("__r", F.col(flux) - F.col("continuum"))
+        # where all within the kernel is left out, the level is carried over in a line
+        now = interpolate_masked(smooth(now, keys, i, "__y", kernel, "__level"), keys, i, "__level", "continuum").drop("__level")
+        now = now.withColumn("__r", F.col(flux) - F.col("continuum"))
         now = sigma_clip(now, keys, "__r", n_sigma, rounds=3, out="__c").withColumn("outlier", F.coalesce(F.col("__c").isNull() & F.col("__r").isNotNull(), F.lit(False)))
         if n < rounds - 1:
             now = dilate(now, keys, i, "outlier", 1, "__m")

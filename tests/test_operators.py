@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraweave.functions import scalar, sky
-from spectraweave.operators import arrays, calibrate, catalog, fits, grid, joins, qa, robust, windows
+from spectraweave.operators import amps, arrays, calibrate, catalog, extraction, fits, grid, joins, qa, robust, windows
 from spectraweave.sources import scans, sinks
 from spectraweave.streaming import nightly
 
@@ -225,3 +225,63 @@ def test_keys(spark):
     one_row = spark.range(1)
     assert one(one_row.select(scalar.slot_x(F.lit(106)).alias("x"), scalar.slot_y(F.lit(106)).alias("y"))) == (10, 6)
     assert windows.first_per(spark.createDataFrame([], "k int, t int"), ["k"], "t").count() == 0
+
+
+def test_ratio_fit_recovers_both_quadratics(spark):
+    rows = []
+    for k in range(80):
+        x = k / 40 - 1
+        m = 2 + np.sin(k / 5)
+        y = (1 + 0.3 * x - 0.2 * x * x) * m + 0.5 - 0.1 * x + 0.05 * x * x
+        rows.append((0, k, x, float(m), float(y + (30.0 if k % 16 == 3 else 0.0)), float(y)))
+    out = amps.ratio_fit(spark.createDataFrame(rows, "g int, k int, x double, m double, y double, want double"), ["g"], "x", "m", "y", 6).collect()
+    assert max(abs(r.model - r.want) for r in out) < 1e-6
+
+
+def test_smooth_continuum_leaves_spikes_out(spark):
+    rng = np.random.default_rng(2)
+    y = 1 + 0.01 * rng.standard_normal(60)
+    y[[20, 41]] += 5
+    df = spark.createDataFrame([(0, k, float(v)) for k, v in enumerate(y)], "f int, i int, y double")
+    out = amps.smooth_continuum(df, ["f"], "i", "y", [0.1, 0.2, 0.4, 0.2, 0.1], rounds=4, n_sigma=5.0).orderBy("i").collect()
+    assert [r.i for r in out if r.outlier] == [20, 41] and abs(out[20].continuum - 1) < 0.1
+
+
+def test_fiber_to_fiber_recovers_throughputs(spark):
+    own = {f: 0.7 + 0.1 * f for f in range(7)}
+    rows = [(f, k, k + f / 10, own[f] * 3.0, own[f] * 5.0, own[f] * (4.0 + k / 50)) for f in own for k in range(60)]
+    df = spark.createDataFrame(rows, "f int, i int, w double, flat double, sci double, twi double").withColumn("e", F.lit(0))
+    out = amps.fiber_to_fiber(df, ["e"], "f", "i", "w", "flat", "sci", "twi", 40, (5, 8))
+    got = {r.f: r.ftf for r in out.where("i between 10 and 50").groupBy("f").agg(F.avg("ftf").alias("ftf")).collect()}
+    assert all(abs(got[f] / got[3] - own[f] / own[3]) < 0.02 for f in own)
+
+
+def test_two_rounds_take_what_the_sky_left(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, f // 12, f, k, 10.0, float(10 + 0.5 + 0.02 * rng.standard_normal() + (6 if f == 5 else 0))) for f in range(24) for k in range(40)]
+    df = spark.createDataFrame(rows, "e int, a int, f int, i int, sky double, y double")
+    out = amps.two_round_sky(df, "e", "a", "f", "i", "y", "sky", 10, 30, 2.0, 4, least=5).collect()
+    assert abs(np.median([r.skysub for r in out if r.f != 5])) < 0.02
+    assert abs(np.median([r.skysub for r in out if r.f == 5]) - 6) < 0.3
+
+
+def test_planted_line_is_detected(spark):
+    rng = np.random.default_rng(5)
+    cells = [(x, y) for x in range(17) for y in range(17)]
+    line = lambda x, y, k: 40 * np.exp(-0.5 * ((x - 8) ** 2 + (y - 8) ** 2)) * np.exp(-0.5 * ((k - 80.5) / 2) ** 2)
+    rows = [(x, y, k, float(2 + 0.5 * rng.standard_normal() + line(x, y, k)), 0.5) for x, y in cells for k in range(160)]
+    df = spark.createDataFrame(rows, "x long, y long, i int, v double, e double")
+    kernel = [float(np.exp(-0.5 * (j / 2) ** 2)) for j in range(-4, 5)]
+    out = extraction.detect_lines(df, ("x", "y", "i"), "v", "e", 5, kernel, threshold=6.0).collect()
+    assert len(out) == 1
+    r = out[0]
+    assert (r.x, r.y) == (8, 8) and abs(r.centre - 80.5) <= 0.5 and abs(r.width - 2) <= 0.5 and abs(r.flux / (40 * 2 * np.sqrt(2 * np.pi)) - 1) < 0.1
+
+
+def test_modelled_sky_of_an_exposure(spark):
+    k = np.arange(50)
+    mean, b = 2 + np.cos(k / 7), np.sin(k / 3)
+    df = spark.createDataFrame([(e, int(i), float(s * mean[i] + c * b[i])) for e, s, c in ((0, 1.2, 0.3), (1, 0.8, -0.1)) for i in k], "e int, i int, y double")
+    at = lambda v, n: spark.createDataFrame([(int(i), float(v[i])) for i in k], f"i int, {n} double")
+    out = amps.modelled_sky(df, at(mean, "sky"), at(b, "b0"), "e", "i", "y", 1).collect()
+    assert max(abs(r.sky - r.y) for r in out) < 0.1
