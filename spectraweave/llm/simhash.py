@@ -36,6 +36,8 @@ SIMILARITY = 0.8
 SKETCH_BITS = (24, 72)
 #: Candidates a node may have in one pair of tiles in the first round, and the factor from round to round.
 FIRST_CANDIDATES, MORE_CANDIDATES = 16, 8
+#: Shingles of the sets in a block, about, of which each counts as so many more; a pair of blocks is verified at once.
+BLOCK, _NODE = 1 << 16, 64
 
 
 def _digests(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -244,21 +246,71 @@ def _met(nodes: DataFrame, similarity: float, limit: int, tile: int) -> DataFram
     return work.mapInPandas(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _blocked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, tag, block) of the nodes of pairs(u, v), in blocks of about BLOCK shingles of nodes that mostly meet each other.
+
+    A node's label is the least key within two steps; the nodes of one label are dealt into as many blocks as their sizes need.
+    """
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label"))
+    label = both.join(low.select(F.col("u").alias("v"), "label"), "v").groupBy(F.col("u").alias("key")).agg(F.min("label").alias("label"))
+    labelled = checkpointed(nodes.select("key", "tag", "n").join(label, "key"))
+    parts = labelled.groupBy("label").agg(F.ceil(F.sum(F.col("n") + _NODE) / BLOCK).alias("parts"))
+    return labelled.join(parts, "label").select("key", "tag", F.xxhash64("label", F.pmod(F.xxhash64("key"), "parts")).alias("block"))
+
+
+def _sets(rows: np.ndarray) -> dict[int, np.ndarray]:
+    """The sets of a block by key, from key, size and hashes one after the other."""
+    out, at = {}, 0
+    while at < len(rows):
+        key, n = rows[at : at + 2].tolist()
+        out[key] = rows[at + 2 : at + 2 + n]
+        at += 2 + n
+    return out
+
+
+def _verified(u: np.ndarray, v: np.ndarray, sets: dict[int, np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of keys have sets (sorted) that are similar."""
+    order, good = np.argsort(u, kind="stable"), np.zeros(len(u), bool)
+    for run in np.split(order, np.nonzero(np.diff(u[order]))[0] + 1):
+        one, others = sets[int(u[run[0]])], [sets[k] for k in v[run].tolist()]
+        sizes, all_ = np.array([len(o) for o in others]), np.concatenate(others)
+        found = one[np.minimum(np.searchsorted(one, all_), len(one) - 1)] == all_
+        common = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+        good[run] = common / (len(one) + sizes - common) >= similarity
+    return good
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs(u, v) of nodes whose sets of shingles are similar, by the sets themselves."""
-    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    tags = checkpointed(nodes.join(keys, "key").select("key", "tag"))
+    """Those of pairs(u, v) of nodes whose sets of shingles are similar, by the sets themselves.
+
+    A set travels once for each pair of blocks that has work for its block, not once for each of its pairs.
+    """
+    named = checkpointed(_blocked(pairs, nodes))
     text = F.col(text_col).cast("string")
-    texts = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("tag"), text.alias("text")).join(tags, "tag").groupBy("key").agg(F.first("text").alias("text"))
+    texts = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("tag"), text.alias("text")).join(named, "tag").groupBy("key", "block").agg(F.first("text").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "shingles": [shingle_set(t, shingle).view(np.int64) for t in b["text"]]})
+            sets = [np.sort(shingle_set(t, shingle).view(np.int64)) for t in b["text"]]
+            yield pd.DataFrame({"block": b["block"], "row": [np.concatenate(([k, len(h)], h)) for k, h in zip(b["key"], sets)]})
+
+    blocks = checkpointed(texts.mapInPandas(listed, "block long, row array<long>").groupBy("block").agg(F.flatten(F.collect_list("row")).alias("rows")))
+    block = named.select("key", "block")
+    placed = pairs.join(block.select(F.col("key").alias("u"), F.col("block").alias("a")), "u").join(block.select(F.col("key").alias("v"), F.col("block").alias("b")), "v")
+    meet = checkpointed(placed.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs")))
+    first, second = blocks.select(F.col("block").alias("a"), F.col("rows").alias("ra")), blocks.select(F.col("block").alias("b"), F.col("rows").alias("rb"))
+    within = meet.where("a = b").join(first, "a").select("us", "vs", "ra", F.lit(None).cast("array<long>").alias("rb"))
+    across = meet.where("a <> b").join(first, "a").join(second, "b").select("us", "vs", "ra", "rb")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for us, vs, ra, rb in zip(batch["us"], batch["vs"], batch["ra"], batch["rb"]):
+                u, v = np.asarray(us, np.int64), np.asarray(vs, np.int64)
+                good = _verified(u, v, _sets(ra) | ({} if rb is None else _sets(rb)), similarity)
+                yield pd.DataFrame({"u": u[good], "v": v[good]})
 
-    sets = checkpointed(texts.mapInPandas(run, "key long, shingles array<long>"))
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("sv")), "v")
-    sized = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("both"), (F.size("su") + F.size("sv")).alias("sum"))
-    return sized.where(F.col("both") / (F.col("sum") - F.col("both")) >= similarity).select("u", "v")
+    return within.unionByName(across).mapInPandas(verify, "u long, v long")
 
 
 def near_copies(

@@ -46,9 +46,10 @@ def planted(seed=3):
     return [(n, " ".join(words)) for n, words in enumerate(docs)]
 
 
-@pytest.mark.parametrize("limit", [1, 16])
-def test_near_copies_against_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit, block", [(1, 1 << 16), (16, 1 << 16), (16, 600)])
+def test_near_copies_against_brute_force(spark, monkeypatch, limit, block):
     monkeypatch.setattr(simhash, "FIRST_CANDIDATES", limit)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     docs = planted()
     got = simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), tile=32)
     assert sorted(map(tuple, got.collect())) == by_hand(docs)
