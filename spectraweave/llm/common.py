@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_columns_from(df: DataFrame, source: str, find: Callable[[list], dict[str, pa.Array]], schema: str, drop: bool = False) -> DataFrame:
+    """df with columns that find makes from the values of a column, an Arrow batch at a time; they take the place of columns of their names.
+
+    The other columns go along in their Arrow form, so that no value changes. With
+    drop, the source column is left out.
+    """
+    new = StructType.fromDDL(schema)
+    taken = {c.lower() for c in new.names} | ({source.lower()} if drop else set())
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
+    hidden = unused(df, "__from")
+    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias(hidden))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = find(b.column(len(kept)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *[found[n] for n in new.names]], names=[*b.schema.names[: len(kept)], *new.names])
+
+    return rows.mapInArrow(run, StructType([*kept, *new.fields]))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(u, v): root is the smallest node reachable.
 
