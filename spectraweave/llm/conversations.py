@@ -12,6 +12,7 @@ backtraced side by side and the least is taken.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,11 +158,22 @@ def edited(turns: Sequence[Turn], audit: str) -> list[Turn]:
     return out
 
 
+def aligned(roles: str, faulty: Sequence[str]) -> tuple[int, str]:
+    """The least cost, and the least audit of that cost, for turns of these role initials and faults."""
+    table = _Table(roles, faulty)
+    cost, cells = table.best()
+    return cost, table.audit(cells)
+
+
+#: Short conversations are often alike in roles and faults; an alignment depends on nothing else.
+_remembered = lru_cache(maxsize=50_000)(aligned)
+_SHORT = 32
+
+
 def repaired(turns: Sequence[Turn]) -> tuple[int, str, list[Turn]]:
     """(cost, audit, turns) of the cheapest repair with the least audit."""
-    table = _Table("".join(role[:1] or "\0" for role, _ in turns), faults(turns))
-    cost, cells = table.best()
-    audit = table.audit(cells)
+    align = _remembered if len(turns) <= _SHORT else aligned
+    cost, audit = align("".join(role[:1] or "\0" for role, _ in turns), tuple(faults(turns)))
     return cost, audit, edited(turns, audit)
 
 

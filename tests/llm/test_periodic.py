@@ -52,10 +52,10 @@ def test_collapsed():
 
 
 def test_edges(spark):
-    rows = [(1, None, 1, 5), (2, "", 1, 6), (3, " \n", None, 7), (4, "a b " * 8, 1, 8), (4, "a b " * 8, 1, 8), (5, "one two three", 1, 9)]
+    rows = [(1, None, 1, 5), (2, "", 1, 6), (3, " \n", None, 7), (4, "a\u00a0b " * 8, 1, 8), (4, "a\u00a0b " * 8, 1, 8), (5, "one two three", 1, 9)]
     got = periodic.with_runs(spark.createDataFrame(rows, "doc_id long, text string, Runs int, n int")).orderBy("doc_id").collect()
     assert [list(map(tuple, r.runs)) for r in got] == [[], [], [], [(0, 8, 1)], [(0, 8, 1)], []]
-    assert [r.collapsed for r in got] == ["", "", "", "a b", "a b", "one two three"] and [r.n for r in got] == [5, 6, 7, 8, 8, 9]
+    assert [r.collapsed for r in got] == ["", "", "", "a\u00a0b", "a\u00a0b", "one two three"] and [r.n for r in got] == [5, 6, 7, 8, 8, 9]
     assert got[0].text is None and len(got[0]) == 5
     assert periodic.with_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
