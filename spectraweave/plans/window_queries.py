@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import arrays, windows
 from .registry import SPEC, biweight_sql, query, rounded, s6, spectra, table
+from .sql_tools import apart_sql
 
 
 @query(
@@ -130,7 +131,11 @@ def win_interpolate_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows.interpolate_masked(df, ["fiber"], "idx", "f").select("fiber", "idx", "filled"))
 
 
-@query()
+RISING = f"""(SELECT fiber, flux, idx - (b - a) / (2 * (b - 2 * flux + a)) AS peak FROM (SELECT *, lag(flux) OVER w AS a, lead(flux) OVER w AS b FROM {SPEC} WINDOW w AS (PARTITION BY fiber ORDER BY idx))
+    WHERE flux > a AND flux > b AND flux > 0.05)"""
+
+
+@query(f"SELECT fiber, {s6('peak')} AS peak, {s6('flux')} AS flux FROM {apart_sql(RISING, 'fiber', 'peak', 'flux', 8.0, 5)}")
 def win_suppress_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks = windows.local_peaks(spectra(spark, sf_dir), ["fiber"], "idx", "flux", 0.05)
     return rounded(windows.suppress_close(peaks, ["fiber"], "peak", "flux", 8.0, 5))
