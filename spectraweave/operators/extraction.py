@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.scalar import seeing_at
-from ..functions.sky import refraction, refraction_offset
+from ..functions.sky import REFRACTION_SHIFTS, REFRACTION_WAVES, refraction, refraction_offset
 from .arrays import continuum, rectify
-from .calibrate import weighted_extract
+from .calibrate import coadd
 from .fits import evaluate, linear_fit, powers
 from .grid import splat
 from .joins import within_radius
@@ -76,23 +79,155 @@ def fiber_weights(
     return met.withColumn("weight", F.coalesce(low * (1 - fw) + high * fw, F.lit(0.0))).select(*samples.columns, "weight")
 
 
+def aperture_grid(n_cells: int, widths: Sequence[float], beta: float, cell: float, radius: float = FIBER_RADIUS) -> np.ndarray:
+    """aperture_table as an array of widths by cells."""
+    x, y = np.array(aperture_points(radius)).T
+    r2 = (np.arange(n_cells)[:, None] * cell + x) ** 2 + y**2
+    alpha2 = np.array(widths, float)[:, None] ** 2 / (4 * (2 ** (1 / beta) - 1))
+    return np.array([((beta - 1) / (math.pi * a) * (1 + r2 / a) ** -beta).mean(axis=1) * math.pi * radius**2 for a in alpha2])
+
+
+class Profile:
+    """A source's light in fibers: a grid of widths by cells, and the refraction that moves the source with the wavelength.
+
+    widths are first, first + step, ..; between the grid's entries weights are
+    interpolated in both directions. Beyond its widths the last ones hold, beyond
+    its distances the weight is 0.
+    """
+
+    def __init__(self, grid: np.ndarray, waves: Sequence[float], cell: float, first: float, step: float):
+        self.grid, self.cells = np.pad(grid, ((0, 1), (0, 2)))[:, :], grid.shape[1]
+        self.grid[-1, : self.cells] = grid[-1]
+        self.waves, self.cell, self.first, self.step, self.top = np.array(waves, float), cell, first, step, grid.shape[0] - 1
+        knots = [(x - 4500.0) / 1000.0 for x in REFRACTION_WAVES]
+        self.shift = np.polyval(np.polyfit(knots, REFRACTION_SHIFTS, 3), (self.waves - 4500.0) / 1000.0)
+        self.blur = (self.waves / 4500.0) ** -0.2
+
+    def weights(self, dx: np.ndarray, dy: np.ndarray, seeing: np.ndarray, angle: np.ndarray) -> np.ndarray:
+        """The weight of each pair of source and fiber (rows) at each wavelength."""
+        turn = np.radians(angle)[:, None]
+        r = np.hypot(dx[:, None] - self.shift * np.cos(turn), dy[:, None] - self.shift * np.sin(turn)) / self.cell
+        w = np.clip((seeing[:, None] * self.blur - self.first) / self.step, 0, self.top)
+        c, k = np.floor(r), np.minimum(np.floor(w), max(0, self.top - 1))
+        fr, fw = r - c, w - k
+        c, k = np.minimum(c, self.cells).astype(int), k.astype(int)
+        g = self.grid
+        return (g[k, c] * (1 - fr) + g[k, c + 1] * fr) * (1 - fw) + (g[k + 1, c] * (1 - fr) + g[k + 1, c + 1] * fr) * fw
+
+
+_SUMS = ("__fg", "__gg", "__ge", "__g")
+
+
+def _summed(pairs: DataFrame, by: Sequence[str], profile: Profile, flux: str, error: str, seeing: str) -> DataFrame:
+    """(by, arrays of sums): each Arrow batch's weighted sums by source, over pairs that come sorted by it."""
+    bins = len(profile.waves)
+    fields = [pairs.schema[c] for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            number = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)
+            spread = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, bins)
+            f, e = spread(flux), spread(error)
+            g = profile.weights(number("__dx"), number("__dy"), number(seeing), number("__angle"))
+            ok = ~np.isnan(f)
+            g = np.where(ok, g, 0.0)
+            new = np.zeros(b.num_rows, bool)
+            for c in by:
+                v = b.column(c).to_pandas().to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            new[0] = True
+            starts = np.flatnonzero(new)
+            parts = (np.where(ok, f, 0.0) * g, g * g, g * np.nan_to_num(e) ** 2, g)
+            lists = [pa.ListArray.from_arrays(np.arange(0, bins * len(starts) + 1, bins, dtype=np.int32), np.add.reduceat(x, starts).ravel()) for x in parts]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(starts)) for c in by], *lists], names=[*by, *_SUMS])
+
+    sums = [StructField(c, ArrayType(DoubleType())) for c in _SUMS]
+    return pairs.mapInArrow(run, StructType([*fields, *sums]))
+
+
 def extract_sources(
-    fibers: DataFrame, spectra: DataFrame, sources: DataFrame, table: DataFrame, source: str, fiber: str, i: str, wave: Column, flux: str, error: str, seeing: str,
-    radius: float, angle: Column, cell: float, first: float, step: float, n_widths: int, least: float = 0.05, most_masked: float = 0.5,
+    fibers: DataFrame, sources: DataFrame, keys: Sequence[str], source: str, fiber: str, flux: str, error: str, seeing: str, radius: float, profile: Profile, angle: Column,
+    least: float = 0.05, most_masked: float = 0.5, i: str = "idx", parts: int = 4,
 ) -> DataFrame:
-    """(source, i, flux, error, weight): the spectrum of each source of a catalog, from all fibers within `radius` arcseconds.
+    """(keys, source, i, flux, error, weight): the spectrum of each source of a catalog in each shot (or exposure) that the keys name.
+
+    fibers: keys, fiber, ra, dec and arrays of flux and error over the profile's
+    wavelengths; sources: source, ra, dec. The seeing is a column of either, angle
+    an expression over the fibers' columns. Sources that have a key among their
+    columns meet only fibers of that key.
+
+    Pairs within `radius` arcseconds carry ids and distances; the arrays join them
+    once and are weighed and summed in Arrow batches, sorted by source, a source's
+    pairs in `parts` tasks at most. Bins of under `least` weight, and their
+    neighbours, are NULL; a source of which more than `most_masked` of the bins are
+    goes. Fibers without spectra don't count.
+    """
+    own = [k for k in keys if k in sources.columns]
+    there, held = seeing in sources.columns, [*keys, fiber]
+    place = fibers.where(F.col(flux).isNotNull() & F.col(error).isNotNull()).withColumn("__angle", angle.cast("double"))
+    near = within_radius(sources.select(*own, source, "ra", "dec", *([seeing] if there else [])), place.select(*held, "ra", "dec"), radius, flat=True, keys=own)
+    pairs = near.select(
+        *[F.col(f"{k}_r").alias(k) for k in held], F.col(f"{source}_l").alias(source), F.col("dra").alias("__dx"), F.col("ddec").alias("__dy"), *([F.col(f"{seeing}_l").alias(seeing)] if there else [])
+    )
+    by = [*keys, source]
+    spectra = place.select(*held, "__angle", F.col(flux).cast("array<double>").alias(flux), F.col(error).cast("array<double>").alias(error), *([] if there else [seeing]))
+    met = pairs.join(spectra, held).withColumn("__part", F.pmod(F.xxhash64(fiber), F.lit(parts)))
+    sorted_ = met.repartition(*by, "__part").sortWithinPartitions(*by)
+    sums = _summed(sorted_, by, profile, flux, error, seeing)
+    rows = sums.select(*by, F.posexplode(F.arrays_zip(*_SUMS)).alias(i, "s")).groupBy(*by, i).agg(*[F.sum(f"s.{c}").alias(c) for c in _SUMS])
+    rows = rows.select(
+        *by, i, F.try_divide("__fg", "__gg").alias("flux"), F.sqrt(F.try_divide("__ge", "__gg")).alias("error"), F.col("__g").alias("weight"), (F.col("__g") < least).alias("__low")
+    )
+    rows = dilate(rows, by, i, "__low", 1, "__bad").withColumn("__bad", F.col("__bad") | F.col("flux").isNull())
+    share = F.avg(F.col("__bad").cast("int")).over(Window.partitionBy(*by))
+    shown = lambda c: F.when(~F.col("__bad"), F.col(c)).alias(c)
+    return rows.withColumn("__share", share).where(F.col("__share") <= most_masked).select(*by, i, shown("flux"), shown("error"), "weight")
+
+
+def normalised(spectra: DataFrame, keys: Sequence[str], i: str, response: DataFrame, catalog: DataFrame, mag: str, curve: DataFrame | None = None) -> DataFrame:
+    """Spectra (flux, error) scaled to their catalog magnitudes through a response(i, response), after an optional flux curve(i, factor).
+
+    catalog: some of the keys, and the magnitude. A spectrum without a magnitude of
+    its own or in the catalog keeps its scale.
+    """
+    rows = spectra if curve is None else spectra.join(curve.select(i, F.col("factor").alias("__c")), i, "left")
+    if curve is not None:
+        rows = rows.withColumns({c: F.col(c) * F.coalesce("__c", F.lit(1.0)) for c in ("flux", "error")}).drop("__c")
+    shared = [k for k in keys if k in catalog.columns]
+    own = response_magnitude(rows, response, keys, i, "flux").join(catalog.select(*shared, F.col(mag).alias("__mag")), shared, "left")
+    scale = own.select(*keys, F.coalesce(F.pow(F.lit(10.0), 0.4 * (F.col("mag") - F.col("__mag"))), F.lit(1.0)).alias("normalisation"))
+    rows = rows.join(scale, list(keys), "left")
+    return rows.withColumns({c: F.col(c) * F.col("normalisation") for c in ("flux", "error")}).select(*spectra.columns, "normalisation")
+
+
+def tile_cells(tiles: DataFrame, tile: str, half: int, step: float) -> DataFrame:
+    """(tile, cell, cx, cy, ra, dec): the cells of a square grid of 2 half + 1 cells a side, `step` arcseconds apart, about each tile's ra and dec."""
+    side = 2 * half + 1
+    cells = tiles.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
+    cells = cells.withColumn("cx", F.col("cell") % side - half).withColumn("cy", F.floor(F.col("cell") / side).cast("int") - half)
+    ra = F.col("ra") + F.col("cx") * step / 3600 / F.cos(F.radians("dec"))
+    return cells.select(tile, "cell", "cx", "cy", ra.alias("ra"), (F.col("dec") + F.col("cy") * step / 3600).alias("dec"))
+
+
+def tile_cube(
+    fibers: DataFrame, tiles: DataFrame, tile: str, exposure: str, half: int, step: float, fiber: str, flux: str, error: str, seeing: str, radius: float, profile: Profile,
+    angle: Column, least: float = 0.05, i: str = "idx",
+) -> DataFrame:
+    """(tile, cx, cy, i, flux, error): every cell of every tile extracted as a source in each exposure, and the exposures coadded.
 
-    fibers: fiber, ra, dec; spectra: fiber, i, flux, error; sources: source, ra,
-    dec, seeing. Bins of under `least` weight, and their neighbours, are NULL; a
-    source of which more than `most_masked` of the bins are goes.
+    Before that an exposure's errors are scaled by the scatter of its spectrum about
+    the cell's median. A fiber goes to the cells within its reach, whatever tile
+    they belong to, so a cell's values don't depend on how the sky is cut in tiles.
     """
-    near = within_radius(sources.select(source, seeing, "ra", "dec"), fibers.select(fiber, "ra", "dec"), radius, flat=True)
-    pairs = near.select(F.col(f"{source}_l").alias(source), F.col(f"{seeing}_l").alias(seeing), F.col(f"{fiber}_r").alias(fiber), "dra", "ddec")
-    samples = pairs.join(spectra.select(fiber, i, flux, error), fiber).withColumn("__wave", wave)
-    weighed = fiber_weights(samples, table, "dra", "ddec", "__wave", seeing, angle, cell, first, step, n_widths)
-    out = weighted_extract(weighed, source, i, flux, error, "weight", least=least)
-    bad = F.avg(F.col("flux").isNull().cast("int")).over(Window.partitionBy(source))
-    return out.withColumn("__bad", bad).where(F.col("__bad") <= most_masked).drop("__bad")
+    cells = tile_cells(tiles, tile, half, step).withColumn("__cell", F.struct(tile, "cx", "cy"))
+    one = extract_sources(fibers, cells.select("__cell", "ra", "dec"), [exposure], "__cell", fiber, flux, error, seeing, radius, profile, angle, least, 1.0, i)
+    at = Window.partitionBy("__cell", i)
+    one = one.withColumn("__r", F.try_divide(F.col("flux") - median(F.col("flux")).over(at), F.col("error")))
+    scale = mad_std(one, ["__cell", exposure], "__r", out="__scale")
+    ready = one.join(scale, ["__cell", exposure]).withColumn("error", F.col("error") * F.when(F.col("__scale") > 0, F.col("__scale")).otherwise(1.0))
+    return coadd(ready, ["__cell", i], "flux", "error").select(f"__cell.{tile}", "__cell.cx", "__cell.cy", i, "flux", "error")
 
 
 def exposure_extract(
@@ -141,25 +276,25 @@ def weight_mask(spectra: DataFrame, keys: Sequence[str], i: str, weight: str, de
     return rows.withColumn("masked", F.col("__near") | all_of).select(*spectra.columns, "masked")
 
 
-def line_image(spectra: DataFrame, fiber: str, i: str, flux: str, x: str, y: str, center: float, width: float, half: float, side: float, sigma: float, reach: int) -> DataFrame:
-    """(px, py, flux, weight): the image of a line: flux over the side bands' biweight, with Gaussian weights along the line, splatted at the fibers."""
+def line_image(spectra: DataFrame, fiber: str, i: str, flux: str, x: str, y: str, center: float, width: float, half: float, side: float, sigma: float, reach: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, px, py, flux, weight): the images of a line, one by keys: flux over the side bands' biweight, with Gaussian weights along the line, splatted at the fibers."""
     gap = F.abs(F.col(i) - center)
     bands = spectra.withColumn("__band", F.when(gap <= half, "line").when(gap <= half + side, "side"))
-    back = biweight(bands.where("__band = 'side'"), [fiber], flux, loc="__back", scale=None)
+    back = biweight(bands.where("__band = 'side'"), [*keys, fiber], flux, loc="__back", scale=None)
     w = F.exp(-0.5 * F.pow((F.col(i) - center) / width, 2))
-    line = bands.where(F.col("__band") == "line").join(back, fiber).withColumn("__w", F.when(F.col(flux).isNotNull(), w))
-    at = line.groupBy(fiber).agg(
+    line = bands.where(F.col("__band") == "line").join(back, [*keys, fiber]).withColumn("__w", F.when(F.col(flux).isNotNull(), w))
+    at = line.groupBy(*keys, fiber).agg(
         F.first(x).alias("x"), F.first(y).alias("y"), F.try_divide(F.sum((F.col(flux) - F.col("__back")) * F.col("__w")), F.sum(F.col("__w") * F.col("__w"))).alias("flux")
     )
-    return splat(at, [], "x", "y", "flux", sigma, reach, 0.1)
+    return splat(at, list(keys), "x", "y", "flux", sigma, reach, 0.1)
 
 
-def collapse(spectra: DataFrame, keys: Sequence[str], i: str, flux: str, error: str, response: Column, sky: Column | None = None) -> DataFrame:
-    """(keys, flux, error): the broadband value by keys through a response; with `sky`, less the biweight, by bin, of the rows where it holds."""
+def collapse(spectra: DataFrame, keys: Sequence[str], i: str, flux: str, error: str, response: Column, sky: Column | None = None, per: Sequence[str] = ()) -> DataFrame:
+    """(keys, flux, error): the broadband value by keys through a response; with `sky`, less the biweight, by `per` (an exposure, say) and bin, of the rows where it holds."""
     rows = spectra.withColumn("__f", F.col(flux))
     if sky is not None:
-        back = biweight(spectra.where(sky), [i], flux, loc="__back", scale=None)
-        rows = rows.join(back, i, "left").withColumn("__f", F.col(flux) - F.coalesce("__back", F.lit(0.0)))
+        back = biweight(spectra.where(sky), [*per, i], flux, loc="__back", scale=None)
+        rows = rows.join(back, [*per, i], "left").withColumn("__f", F.col(flux) - F.coalesce("__back", F.lit(0.0)))
     ok = F.col(flux).isNotNull() & (F.col(flux) != 0) & (response > 0)
     total = F.sum(F.when(ok, response))
     return rows.groupBy(*keys).agg(
@@ -173,13 +308,16 @@ def without_background(voxels: DataFrame, keys: Sequence[str], i: str, flux: str
     return voxels.join(back, [*keys, i], "left").withColumn(flux, F.col(flux) - F.coalesce("__back", F.lit(0.0))).drop("__back")
 
 
-def sn_cube(voxels: DataFrame, cell: Sequence[str], i: str, flux: str, error: str, bins: int, kernel: Sequence[float]) -> DataFrame:
-    """Adds sn: flux without its continuum over error, both smoothed along the spectrum by the line's kernel, scaled to a 1.4826 MAD of 1 by bin."""
+def sn_cube(voxels: DataFrame, cell: Sequence[str], i: str, flux: str, error: str, bins: int, kernel: Sequence[float], field: Sequence[str] = ()) -> DataFrame:
+    """Adds sn: flux without its continuum over error, both smoothed along the spectrum by the line's kernel, scaled to a 1.4826 MAD of 1 by field and bin.
+
+    cell: the keys of a spectrum, those of its field among them.
+    """
     rows = continuum(voxels, cell, i, flux, bins, "__level").withColumn("__line", F.col(flux) - F.col("__level"))
     rows = smooth(rows, cell, i, "__line", kernel, "__s")
     rows = smooth(rows, cell, i, error, kernel, "__e", error=True).withColumn("__sn", F.try_divide("__s", "__e"))
-    noise = mad_std(rows, [i], "__sn", out="__noise")
-    return rows.join(noise, i).withColumn("sn", F.try_divide("__sn", "__noise")).select(*voxels.columns, "sn")
+    noise = mad_std(rows, [*field, i], "__sn", out="__noise")
+    return rows.join(noise, [*field, i]).withColumn("sn", F.try_divide("__sn", "__noise")).select(*voxels.columns, "sn")
 
 
 def line_fit_grid(

@@ -21,13 +21,16 @@ def _suffixed(df: DataFrame, mark: str) -> DataFrame:
 
 
 def within_radius(
-    left: DataFrame, right: DataFrame, radius: float, pos: tuple[str, str] = ("ra", "dec"), flat: bool = False, marks: tuple[str, str] = ("_l", "_r")
+    left: DataFrame, right: DataFrame, radius: float, pos: tuple[str, str] = ("ra", "dec"), flat: bool = False, marks: tuple[str, str] = ("_l", "_r"), keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Pairs of rows within `radius` arcseconds, columns marked by side, with sep, dra and ddec of right from left."""
+    """Pairs of rows within `radius` arcseconds and of equal keys, columns marked by side, with sep, dra and ddec of right from left."""
     ra, dec = pos
     a = _suffixed(left.withColumn("__cell", F.explode(zone_keys(F.col(ra), F.col(dec), radius, False))), marks[0])
     b = _suffixed(right.withColumn("__cell", F.explode(zone_keys(F.col(ra), F.col(dec), radius, True))), marks[1])
-    met = a.join(b, F.col(f"__cell{marks[0]}") == F.col(f"__cell{marks[1]}"))
+    same = F.col(f"__cell{marks[0]}") == F.col(f"__cell{marks[1]}")
+    for k in keys:
+        same = same & (F.col(f"{k}{marks[0]}") == F.col(f"{k}{marks[1]}"))
+    met = a.join(b, same)
     p = [F.col(f"{c}{m}") for m in marks for c in pos]
     dra, ddec = offsets(*p)
     sep = F.sqrt(dra * dra + ddec * ddec) if flat else separation(*p)

@@ -14,7 +14,7 @@ from .join_queries import PLANE
 from .registry import SPEC, biweight_sql, mad_sql, positions, query, r6, rounded, s6, spectra, table
 from .window_queries import KERNEL, ROWS
 
-CUBIC = np.polyfit([(x - 4500) / 1000 for x in (3500, 4000, 4500, 5000, 5500)], [-0.74, -0.4, -0.08, 0.08, 0.20], 3).tolist()
+CUBIC = np.polyfit([(x - 4500) / 1000 for x in sky.REFRACTION_WAVES], sky.REFRACTION_SHIFTS, 3).tolist()
 
 
 def shift_sql(wave: str) -> str:
@@ -82,20 +82,45 @@ def grd_fiber_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "fiber", "idx", (F.round("weight", 9) + F.lit(0.0)).alias("weight"))
 
 
+def profile() -> extraction.Profile:
+    return extraction.Profile(extraction.aperture_grid(61, WIDTHS, 3.5, 1.0), [3500.0 + 32 * k for k in range(64)], 1.0, 16.0, 4.0)
+
+
+def fiber_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fibers of exposures with their spectra as arrays."""
+    flux = positions(spark, sf_dir).select(F.col("vec_id").alias("fiber"), F.col("label").alias("exp"), "ra", "dec", "flux")
+    return flux.withColumn("error", F.transform("flux", lambda f: 0.1 + F.abs(f) / 10))
+
+
+EXTRACTED = f"""(WITH prof AS {PROFILE}, x AS (SELECT exp, source, idx, sum(flux * g) / nullif(sum(g * g), 0) AS f, sqrt(sum(g * error * error) / nullif(sum(g * g), 0)) AS e, sum(g) AS w
+    FROM {WEIGHTS} JOIN (SELECT vec_id AS fiber, label AS exp FROM embeddings) USING (fiber) GROUP BY 1, 2, 3),
+    b AS (SELECT *, f IS NULL OR max((w < 0.008)::INT) OVER (PARTITION BY exp, source ORDER BY idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS bad FROM x)
+    SELECT exp, source, idx, CASE WHEN NOT bad THEN f END AS flux, CASE WHEN NOT bad THEN e END AS error, w AS weight FROM b
+    QUALIFY avg(bad::INT) OVER (PARTITION BY exp, source) <= 0.5)"""
+
+
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_sources(fiber_arrays(spark, sf_dir), sources(spark, sf_dir), ["exp"], "source", "fiber", "flux", "error", "seeing", 30.0, profile(), F.lit(30.0), least=0.008)
+
+
+@query(f"SELECT exp, source, idx, {s6('flux')} AS flux, {s6('error')} AS error, {s6('weight')} AS weight FROM {EXTRACTED}")
+def grd_extract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectrum of every catalog source in every exposure: fibers near it, profile weights, weighted sums, masks."""
+    return rounded(extracted(spark, sf_dir))
+
+
 @query(
-    f"""WITH prof AS {PROFILE}, x AS (SELECT source, idx, sum(flux * g) / nullif(sum(g * g), 0) AS f, sqrt(sum(g * error * error) / nullif(sum(g * g), 0)) AS e, sum(g) AS w FROM {WEIGHTS} GROUP BY 1, 2),
-    b AS (SELECT *, max((w < 0.008)::INT) OVER (PARTITION BY source ORDER BY idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS bad FROM x)
-    SELECT source, idx, CASE WHEN NOT bad THEN {s6('f')} END AS flux, CASE WHEN NOT bad THEN {s6('e')} END AS error, {s6('w')} AS weight FROM b
-    QUALIFY avg(CASE WHEN bad OR f IS NULL THEN 1.0 ELSE 0 END) OVER (PARTITION BY source) <= 0.5"""
+    f"""WITH c AS (SELECT exp, source, idx, flux * (1 + idx / 100.0) AS flux, error * (1 + idx / 100.0) AS error FROM {EXTRACTED}),
+    m AS (SELECT exp, source, sum(flux * (idx + 1)) FILTER (flux IS NOT NULL) / sum(idx + 1) FILTER (flux IS NOT NULL) AS f FROM c GROUP BY 1, 2),
+    n AS (SELECT exp, source, coalesce(pow(10, 0.4 * (CASE WHEN f > 0 THEN -2.5 * log10(f) + 23.9 END - (18 + s_acctbal / 5000))), 1) AS normalisation FROM m JOIN supplier ON s_suppkey = source)
+    SELECT exp, source, idx, {s6('flux * normalisation')} AS flux, {s6('error * normalisation')} AS error, {s6('normalisation')} AS normalisation FROM c JOIN n USING (exp, source)"""
 )
-def grd_extract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spectrum of every catalog source: fibers near it, profile weights, weighted sums, masks."""
-    fibers = positions(spark, sf_dir).select(F.col("vec_id").alias("fiber"), "ra", "dec")
-    out = extraction.extract_sources(
-        fibers, with_error(spark, sf_dir), sources(spark, sf_dir), profile_table(spark), "source", "fiber", "idx", 3500.0 + 32 * F.col("idx"), "flux", "error", "seeing",
-        30.0, F.lit(30.0), 1.0, 16.0, 4.0, len(WIDTHS), least=0.008,
-    )
-    return rounded(out)
+def grd_normalised_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted spectra after a flux curve, scaled to the catalog's magnitudes."""
+    bins = spectra(spark, sf_dir).select("idx").distinct()
+    response, curve = bins.withColumn("response", (F.col("idx") + 1).cast("double")), bins.withColumn("factor", 1 + F.col("idx") / 100)
+    catalog = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), (18 + F.col("s_acctbal") / 5000).alias("g"))
+    return rounded(extraction.normalised(extracted(spark, sf_dir).drop("weight"), ["exp", "source"], "idx", response, catalog, "g", curve))
 
 
 HOLED = f"(SELECT fiber % 20 AS source, fiber, idx, CASE WHEN (fiber + idx) % 5 > 0 THEN flux END AS flux, 0.1 + abs(flux) / 10 AS error, 1.0 / (1 + fiber % 7) AS g FROM {SPEC})"
