@@ -1,4 +1,4 @@
-"""Source extraction and line detection: profile weights, extracted spectra, signal-to-noise cubes, line fits."""
+"""Source extraction: profile weights, extracted spectra, signal-to-noise cubes, line fits."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from .fits import evaluate, linear_fit, powers
 from .grid import splat
 from .joins import within_radius
 from .robust import biweight, mad_std, median
-from .windows import dilate, local_maxima_3d, smooth
+from .windows import dilate, smooth
 
 #: Radius of a fiber in arcseconds.
 FIBER_RADIUS = 0.75
@@ -221,13 +221,13 @@ def tile_cube(
     the cell's median. A fiber goes to the cells within its reach, whatever tile
     they belong to, so a cell's values don't depend on how the sky is cut in tiles.
     """
-    cells = tile_cells(tiles, tile, half, step).withColumn("__cell", F.struct(tile, "cx", "cy"))
-    one = extract_sources(fibers, cells.select("__cell", "ra", "dec"), [exposure], "__cell", fiber, flux, error, seeing, radius, profile, angle, least, 1.0, i)
-    at = Window.partitionBy("__cell", i)
+    cells = tile_cells(tiles, tile, half, step).withColumn("__spaxel", F.struct(tile, "cx", "cy"))
+    one = extract_sources(fibers, cells.select("__spaxel", "ra", "dec"), [exposure], "__spaxel", fiber, flux, error, seeing, radius, profile, angle, least, 1.0, i)
+    at = Window.partitionBy("__spaxel", i)
     one = one.withColumn("__r", F.try_divide(F.col("flux") - median(F.col("flux")).over(at), F.col("error")))
-    scale = mad_std(one, ["__cell", exposure], "__r", out="__scale")
-    ready = one.join(scale, ["__cell", exposure]).withColumn("error", F.col("error") * F.when(F.col("__scale") > 0, F.col("__scale")).otherwise(1.0))
-    return coadd(ready, ["__cell", i], "flux", "error").select(f"__cell.{tile}", "__cell.cx", "__cell.cy", i, "flux", "error")
+    scale = mad_std(one, ["__spaxel", exposure], "__r", out="__scale")
+    ready = one.join(scale, ["__spaxel", exposure]).withColumn("error", F.col("error") * F.when(F.col("__scale") > 0, F.col("__scale")).otherwise(1.0))
+    return coadd(ready, ["__spaxel", i], "flux", "error").select(f"__spaxel.{tile}", "__spaxel.cx", "__spaxel.cy", i, "flux", "error")
 
 
 def exposure_extract(
@@ -345,20 +345,6 @@ def line_fit_grid(
     return out.select(*keys, (F.col(center) + F.col("__d")).alias("centre"), "width", "amplitude", "chi2", (F.col("amplitude") * F.col("width") * math.sqrt(2 * math.pi)).alias("flux"))
 
 
-def detect_lines(
-    voxels: DataFrame, axes: tuple[str, str, str], flux: str, error: str, bins: int, kernel: Sequence[float], threshold: float = 5.0, reach: float = 2.0, steps: int = 9,
-    widths: Sequence[float] = (1.0, 1.5, 2.0, 2.5, 3.0), half: float = 6.0,
-) -> DataFrame:
-    """(x, y, i, sn, centre, width, amplitude, chi2, flux): emission lines: local maxima of the S/N cube above the threshold, with a fit of their spectrum."""
-    x, y, i = axes
-    cube = sn_cube(voxels, [x, y], i, flux, error, bins, kernel)
-    peaks = local_maxima_3d(cube, axes, "sn", threshold).select(x, y, i, "sn")
-    level = continuum(voxels, [x, y], i, flux, bins, "__level").withColumn("__line", F.col(flux) - F.col("__level"))
-    lines = peaks.select(x, y, F.col(i).alias("__peak"), "sn").join(level.select(x, y, i, "__line", error), [x, y])
-    fits = line_fit_grid(lines, [x, y, "__peak"], i, "__line", error, "__peak", reach, steps, widths, half)
-    return peaks.withColumnRenamed(i, "__peak").join(fits, [x, y, "__peak"]).withColumnRenamed("__peak", i)
-
-
 def moment_spectrum(cube: DataFrame, source: Sequence[str], pixel: Sequence[str], i: str, flux: str, n_chunks: int = 11) -> DataFrame:
     """(source, i, flux): the spectrum of a source's cube, weighted by its collapsed image: the sum over chunks of each pixel's medians."""
     parts = cube.withColumn("__c", F.ntile(n_chunks).over(Window.partitionBy(*source, *pixel).orderBy(i)))

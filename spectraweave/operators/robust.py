@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 MAD_TO_SIGMA = 1.4826
 
 
@@ -103,6 +105,24 @@ def sigma_clip(
     return now.drop("__m", "__s")
 
 
+def sigma_clip_converged(df: DataFrame, keys: Sequence[str], x: str, low: float = 3.0, high: float | None = None, scale: str = "mad", out: str = "clipped") -> DataFrame:
+    """sigma_clip with as many rounds as each group needs: until a round takes nothing more out of it.
+
+    After every round the groups that it left alone are done, and only the others go
+    on, so that a few slow groups don't cost a pass over all.
+    """
+    w, done = Window.partitionBy(*keys), None
+    active = cut(df.withColumn(out, F.col(x).cast("double")))
+    while True:
+        rows = sigma_clip(active.withColumnRenamed(out, "__x"), keys, "__x", low, high, 1, scale, out)
+        rows = cut(rows.withColumn("__more", F.count("__x").over(w) > F.count(out).over(w)).drop("__x"))
+        settled = rows.where("not __more").drop("__more")
+        done = settled if done is None else done.unionByName(settled)
+        active = rows.where("__more").drop("__more")
+        if active.isEmpty():
+            return done.select(*df.columns, out)
+
+
 def sky_fibers(df: DataFrame, keys: Sequence[str], level: str, steps: int = 81, reach: float = 2.0, out: str = "is_sky") -> DataFrame:
     """Adds whether a fiber's level is near its group's mode.
 

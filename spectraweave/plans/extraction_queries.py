@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sky
-from ..operators import extraction
+from ..operators import detection, extraction
 from .fit_queries import PTS, points
 from .join_queries import PLANE
 from .registry import SPEC, biweight_sql, mad_sql, positions, query, r6, rounded, s6, spectra, table
@@ -211,13 +211,48 @@ def grd_sn_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(extraction.sn_cube(voxels(spark, sf_dir), ["x", "y"], "idx", "flux", "error", 8, KERNEL).select("fiber", "idx", "sn"))
 
 
+#: Two fields of spectra as images 25 cells wide; at two of 250 fibers stands a line, 1.2 cells wide, at a bin of its own.
+FIELDS = f"(SELECT fiber % 2 AS field, (fiber // 2) % 25 AS x, fiber // 50 AS y, idx, flux, 0.1 + abs(flux) / 10 AS error FROM {SPEC})"
+PLANTED = f"""(SELECT v.field, v.x, v.y, v.idx, any_value(error) AS error, any_value(flux) + coalesce(sum(6 * exp(-0.5 * (pow(v.x - p.x, 2) + pow(v.y - p.y, 2)) / 1.44) * exp(-0.5 * pow(v.idx - p.i, 2) / 2.25)), 0) AS flux
+    FROM {FIELDS} v LEFT JOIN (SELECT DISTINCT fiber % 2 AS field, (fiber // 2) % 25 AS x, fiber // 50 AS y, 12 + fiber * 7 % 40 AS i FROM {SPEC} WHERE fiber % 250 = 24 OR fiber % 250 = 137) p
+    ON p.field = v.field AND abs(p.x - v.x) <= 4 AND abs(p.y - v.y) <= 4 GROUP BY 1, 2, 3, 4)"""
+
+
+def planted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_error(spark, sf_dir)
+    at = [(F.col("fiber") % 2).alias("field"), (F.floor(F.col("fiber") / 2) % 25).alias("x"), F.floor(F.col("fiber") / 50).alias("y")]
+    lines = rows.where("idx = 0 and fiber % 250 in (24, 137)").select(*at, (12 + F.col("fiber") * 7 % 40).alias("i"))
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-4, 5) for b in range(-4, 5)]))
+    spread = lines.select("field", "i", near.alias("s"), "x", "y").select("field", (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y"), "i", (F.pow("s.a", 2) + F.pow("s.b", 2)).alias("r2"))
+    held = spread.groupBy("field", "x", "y").agg(F.collect_list(F.struct("i", "r2")).alias("lines"))
+    light = F.aggregate(F.coalesce("lines", F.array().cast("array<struct<i:bigint,r2:double>>")), F.lit(0.0), lambda s, p: s + 6 * F.exp(-0.5 * p["r2"] / 1.44) * F.exp(-0.5 * F.pow(F.col("idx") - p["i"], 2) / 2.25))
+    return rows.select(*at, "idx", "flux", "error").join(held, ["field", "x", "y"], "left").select("field", "x", "y", "idx", "error", (F.col("flux") + light).alias("flux"))
+
+
 @query()
 def grd_detect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Emission lines above 4 sigma, with their fits."""
-    out = extraction.detect_lines(voxels(spark, sf_dir), ("x", "y", "idx"), "flux", "error", 8, KERNEL, threshold=4.0)
+    """Emission lines above 6 sigma in both fields, with their places and fits."""
+    out = detection.detect_lines(planted_fields(spark, sf_dir), ("x", "y", "idx"), "flux", "error", 8, KERNEL, threshold=6.0, keys=["field"], sigma=1.2)
     return rounded(out)
 
 
+LINKED = f"(SELECT exp, fiber, idx FROM {SPEC} WHERE flux > 0.28)"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT exp, fiber, idx, row_number() OVER (PARTITION BY exp ORDER BY fiber, idx) AS n FROM {LINKED}),
+    e AS (SELECT a.exp, a.n AS u, b.n AS v FROM p a JOIN p b ON a.exp = b.exp AND pow((a.fiber - b.fiber) / 10.0, 2) + pow(a.idx - b.idx, 2) <= 4),
+    r AS (SELECT exp, n, n AS root FROM p UNION SELECT e.exp, e.v, root FROM r JOIN e ON e.exp = r.exp AND e.u = r.n),
+    g AS (SELECT exp, n, min(root) AS root FROM r GROUP BY 1, 2)
+    SELECT exp, min(fiber) AS fiber, min(idx) AS idx, max(fiber) AS last_fiber, max(idx) AS last_idx, count(*) AS n FROM g JOIN p USING (exp, n) GROUP BY exp, root"""
+)
+def grd_linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bright samples of each exposure, grouped where they lie within two bins or twenty fibers of each other."""
+    bright = spectra(spark, sf_dir).where("flux > 0.28").select("exp", "fiber", "idx")
+    found = detection.linked_groups(bright, ["exp"], ["fiber", "idx"], [0.1, 1.0], 2.0)
+    return found.groupBy("exp", "group").agg(F.min("fiber").alias("fiber"), F.min("idx").alias("idx"), F.max("fiber").alias("last_fiber"), F.max("idx").alias("last_idx"), F.count("*").alias("n")).drop("group")
+
+
 @query(
     f"""WITH s AS (SELECT fiber, idx, flux, 0.1 + abs(flux) / 10 AS e, 10 + fiber % 40 AS c FROM {SPEC} WHERE abs(idx - (10 + fiber % 40)) <= 6),
     g AS (SELECT s.*, d, w, exp(-0.5 * pow((idx - c - d) / w, 2)) AS g FROM s, (VALUES (-2.0), (-1.0), (0.0), (1.0), (2.0)) a(d), (VALUES (1.0), (2.0), (3.0)) b(w)),

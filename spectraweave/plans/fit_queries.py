@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, fits, grid, qa
 from ..sources import scans, sinks
+from .join_queries import PLANE
 from .registry import POS, SPEC, biweight_sql, mad_sql, positions, query, r6, rounded, s6, spectra, table
+from .sql_tools import robust_sql
 
 
 def clipped_line_sql(src: str, keys: str, x: str, y: str) -> str:
@@ -32,16 +34,34 @@ def fit_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_partkey", (F.round("model", 4) + F.lit(0.0)).alias("model"))
 
 
-@query()
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, round(model, 2) + 0.0 AS model FROM {robust_sql('lineitem', ['l_suppkey'], 'l_quantity', 'l_extendedprice', 2, 3, kind='tukey')}")
 def fit_robust_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fits.robust_poly_fit(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", 2, kind="tukey", rounds=3)
-    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "model"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", (F.round("model", 2) + F.lit(0.0)).alias("model"))
 
 
-@query()
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, round(model, 2) + 0.0 AS model FROM {robust_sql('lineitem', ['l_suppkey'], 'l_quantity', 'l_extendedprice', 2, 5)}")
+def fit_huber_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fits.robust_poly_fit(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", 2)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", (F.round("model", 2) + F.lit(0.0)).alias("model"))
+
+
+def plane_sql(src: str) -> str:
+    """z on x and y by l_suppkey: what x leaves of z on what it leaves of y."""
+    w = "OVER (PARTITION BY l_suppkey)"
+    left = f"(SELECT *, CASE WHEN z IS NOT NULL THEN y END AS yz, regr_slope(z, x) {w} AS bz, regr_intercept(z, x) {w} AS az FROM {src})"
+    left = f"(SELECT *, y - regr_slope(yz, x) {w} * x - regr_intercept(yz, x) {w} AS yr, z - az - bz * x AS zr FROM {left})"
+    return f"(SELECT * EXCLUDE (yz, bz, az, yr, zr), az + bz * x + yr * sum(zr * yr) {w} / sum(yr * yr) FILTER (z IS NOT NULL) {w} AS plane FROM {left})"
+
+
+FLAT_PLANE = plane_sql("(SELECT *, l_quantity AS x, l_discount AS y, l_extendedprice AS z FROM lineitem)")
+NEAR_PLANE = f"(SELECT * EXCLUDE (plane, d) REPLACE (CASE WHEN d <= 3.0 * 1.4826 * median(d) OVER (PARTITION BY l_suppkey) THEN z END AS z) FROM (SELECT *, abs(z - plane) AS d FROM {FLAT_PLANE}))"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, round(plane, 2) + 0.0 AS plane FROM {plane_sql(NEAR_PLANE)}")
 def fit_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fits.plane_fit(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_discount", "l_extendedprice")
-    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "plane"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", (F.round("plane", 2) + F.lit(0.0)).alias("plane"))
 
 
 @query(f"SELECT s.fiber, {s6('sum(t.flux * s.flux) / nullif(sum(t.flux * t.flux), 0)')} AS scale FROM {SPEC} s JOIN (SELECT idx, avg(flux) AS flux FROM {SPEC} GROUP BY 1) t USING (idx) GROUP BY 1")
@@ -82,7 +102,15 @@ def fit_offset_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fits.offset_vote(p, ["k"], "x", "y", 1.5))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT p.label, px, py, px * cos(radians(0.2)) - py * sin(radians(0.2)) + 0.01 * CAST(e.embedding[3] AS DOUBLE) AS x,
+        px * sin(radians(0.2)) + py * cos(radians(0.2)) + 0.01 * CAST(e.embedding[4] AS DOUBLE) AS y FROM (SELECT *, (SELECT any_value(label) FROM embeddings q WHERE q.vec_id = z.vec_id) AS label FROM {PLANE} z) p JOIN embeddings e USING (vec_id)),
+    t AS (SELECT label, rotation, px * cos(radians(rotation)) - py * sin(radians(rotation)) - x AS dx, px * sin(radians(rotation)) + py * cos(radians(rotation)) - y AS dy
+        FROM p, (SELECT -1.0 + 2.0 * i / 200 AS rotation FROM range(0, 201) r(i))),
+    m AS (SELECT *, median(dx) OVER w AS mx, median(dy) OVER w AS my FROM t WINDOW w AS (PARTITION BY label, rotation)),
+    s AS (SELECT label, rotation, any_value(mx) AS dx, any_value(my) AS dy, sqrt(median(abs(dx - mx)) * median(abs(dy - my))) * 1.4826 AS scatter FROM m GROUP BY 1, 2)
+    SELECT label, {s6('rotation')} AS rotation, {s6('dx')} AS dx, {s6('dy')} AS dy, {s6('scatter')} AS scatter FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY scatter, abs(rotation), rotation) = 1"""
+)
 def fit_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.sky import to_plane
 
@@ -92,7 +120,13 @@ def fit_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fits.rotation_search(pairs, ["label"], F.lit(150.0), F.lit(2.0)))
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT fiber, idx / 16.0 AS r, exp(-idx / 16.0 * (1 + fiber % 7 / 5.0)) + flux / 50 AS f FROM {SPEC}), a AS (SELECT 1.0::DOUBLE + 0.1::DOUBLE * k AS fwhm, (1.0 + 0.1::DOUBLE * k) / (2 * sqrt(pow(2, 1 / 3.5) - 1)) AS alpha FROM range(0, 30) w(k)),
+    t AS (SELECT fiber, fwhm, f, 2.5 / (pi() * alpha * alpha) * pow(1 + pow(round(r / 0.05) * 0.05 / alpha, 2), -3.5) AS v FROM s, a WHERE round(r / 0.05) < 200),
+    c AS (SELECT fiber, fwhm, (sum(f * f) - pow(sum(f * v), 2) / sum(v * v)) / 0.01 AS chi2 FROM t GROUP BY 1, 2),
+    d AS (SELECT *, lag(chi2) OVER w AS c0, lead(chi2) OVER w AS c2, lead(fwhm) OVER w AS p2 FROM c WINDOW w AS (PARTITION BY fiber ORDER BY fwhm))
+    SELECT fiber, round(fwhm, 4) AS fwhm, round(fwhm + coalesce((c0 - c2) / nullif(2 * (c0 - 2 * chi2 + c2), 0) * (p2 - fwhm), 0), 4) AS refined FROM d QUALIFY row_number() OVER (PARTITION BY fiber ORDER BY chi2, fwhm) = 1"""
+)
 def fit_seeing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectra(spark, sf_dir).withColumn("r", F.col("idx") / 16).withColumn("f", F.exp(-F.col("r") * (1 + F.col("fiber") % 7 / 5)) + F.col("flux") / 50).withColumn("e", F.lit(0.1))
     profiles = fits.moffat_table(spark.range(0, 200), [1.0 + 0.1 * k for k in range(30)], 3.5, 0.05)

@@ -27,12 +27,16 @@ def poly_sql(src: str, keys: Sequence[str], x: str, y: str, degree: int, out: st
     return f"(SELECT * EXCLUDE ({', '.join(gone)}), {model} AS {out} FROM {sql})"
 
 
-def huber_sql(src: str, keys: Sequence[str], x: str, y: str, degree: int, rounds: int, out: str = "model", limit: float = 1.35, span: tuple[str, str] | None = None) -> str:
-    """The same with Huber weights of the residuals over 1.4826 median absolute residual, in so many rounds."""
+def robust_sql(
+    src: str, keys: Sequence[str], x: str, y: str, degree: int, rounds: int, out: str = "model", kind: str = "huber", span: tuple[str, str] | None = None
+) -> str:
+    """The same with Huber (1.35) or Tukey (4.685) weights of the residuals over 1.4826 median absolute residual, in so many rounds."""
     sql = poly_sql(src, keys, x, y, degree, out, span=span)
     over = f"OVER (PARTITION BY {', '.join(keys)})"
+    weight = "least(1.0, 1.35 / nullif(q_, 0))" if kind == "huber" else "CASE WHEN q_ < 4.685 THEN pow(1 - pow(q_ / 4.685, 2), 2) WHEN q_ IS NOT NULL THEN 0 END"
     for _ in range(rounds - 1):
-        weighed = f"(SELECT * EXCLUDE ({out}, r_), coalesce(least(1.0, {limit} / nullif(r_ / nullif(1.4826 * median(r_) {over}, 0), 0)), 1.0) AS h_ FROM (SELECT *, abs({y} - {out}) AS r_ FROM {sql}))"
+        far = f"(SELECT *, r_ / nullif(1.4826 * median(r_) {over}, 0) AS q_ FROM (SELECT *, abs({y} - {out}) AS r_ FROM {sql}))"
+        weighed = f"(SELECT * EXCLUDE ({out}, r_, q_), coalesce({weight}, 1.0) AS h_ FROM {far})"
         sql = f"(SELECT * EXCLUDE (h_) FROM {poly_sql(weighed, keys, x, y, degree, out, 'h_', span)})"
     return sql
 

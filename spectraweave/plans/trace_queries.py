@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import traces
-from .sql_tools import huber_sql, poly_sql
+from .sql_tools import robust_sql, poly_sql
 from .registry import SPEC, query, rounded, s6, spectra
 
 CHUNKS = 8
@@ -72,7 +72,7 @@ def fit_trace_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOTS = f"(SELECT exp, fiber, at_, trace FROM {PLACED} UNION ALL SELECT exp, fiber, i, NULL FROM {PLACES}, range(0, 64) r(i))"
 
 
-@query(f"SELECT exp, fiber, at_::INT AS col, {s6('model')} AS trace FROM {huber_sql(KNOTS, ['exp', 'fiber'], 'at_', 'trace', 4, 5, span=('-0.5', '63.5'))} WHERE trace IS NULL")
+@query(f"SELECT exp, fiber, at_::INT AS col, {s6('model')} AS trace FROM {robust_sql(KNOTS, ['exp', 'fiber'], 'at_', 'trace', 4, 5, span=('-0.5', '63.5'))} WHERE trace IS NULL")
 def fit_fiber_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trace of every fiber of every exposure, from a flat frame."""
     return rounded(traces.fiber_traces(flat_frame(spark, sf_dir), places(spark, sf_dir), ["exp"], "flux", CHUNKS))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraweave.functions import scalar, sky
-from spectraweave.operators import amps, arrays, calibrate, catalog, extraction, fits, grid, joins, qa, robust, windows
+from spectraweave.operators import amps, arrays, calibrate, catalog, detection, extraction, fits, grid, joins, qa, robust, windows
 from spectraweave.sources import scans, sinks
 from spectraweave.streaming import nightly
 
@@ -272,7 +272,7 @@ def test_planted_line_is_detected(spark):
     rows = [(x, y, k, float(2 + 0.5 * rng.standard_normal() + line(x, y, k)), 0.5) for x, y in cells for k in range(160)]
     df = spark.createDataFrame(rows, "x long, y long, i int, v double, e double")
     kernel = [float(np.exp(-0.5 * (j / 2) ** 2)) for j in range(-4, 5)]
-    out = extraction.detect_lines(df, ("x", "y", "i"), "v", "e", 5, kernel, threshold=6.0).collect()
+    out = detection.detect_lines(df, ("x", "y", "i"), "v", "e", 5, kernel, threshold=6.0).collect()
     assert len(out) == 1
     r = out[0]
     assert (r.x, r.y) == (8, 8) and abs(r.centre - 80.5) <= 0.5 and abs(r.width - 2) <= 0.5 and abs(r.flux / (40 * 2 * np.sqrt(2 * np.pi)) - 1) < 0.1
