@@ -102,8 +102,8 @@ def gradient(df: DataFrame, keys: Sequence[str], i: str, y: str, out: str = "gra
     """Adds the mean of the steps to both neighbours, in size; at the ends that of the place next to them."""
     w = ordered(keys, i)
     both = (F.abs(F.col(y) - F.lag(y).over(w)) + F.abs(F.lead(y).over(w) - F.col(y))) / 2
-    rows = df.withColumn("__g", both)
-    return rows.withColumn(out, F.when(F.lag(i).over(w).isNull(), F.lead("__g").over(w)).when(F.lead(i).over(w).isNull(), F.lag("__g").over(w)).otherwise(F.col("__g"))).drop("__g")
+    rows = df.withColumn("__step", both)
+    return rows.withColumn(out, F.when(F.lag(i).over(w).isNull(), F.lead("__step").over(w)).when(F.lead(i).over(w).isNull(), F.lag("__step").over(w)).otherwise(F.col("__step"))).drop("__step")
 
 
 def smooth_grid(grid: DataFrame, keys: Sequence[str], row: str, col: str, value: str, sigma: float, out: str = "smoothed") -> DataFrame:
