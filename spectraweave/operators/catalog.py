@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from .joins import within_radius
 from .lineage import cut
+from .ordering import numbered
 from .robust import MAD_TO_SIGMA, biweight, with_deviation
 
 
@@ -97,10 +98,7 @@ def object_ids(sources: DataFrame, prefix: str, *by: str, out: str = "name") ->
 
     The order is dealt by range; only the partitions' counts are gathered.
     """
-    rows = sources.repartitionByRange(*[F.col(c) for c in by]).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id())
-    sizes = rows.groupBy("__p").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = F.row_number().over(Window.partitionBy("__p").orderBy(*by)) + F.col("__before")
-    return rows.join(F.broadcast(sizes.drop("count")), "__p").withColumn(out, F.format_string(f"{prefix}%09d", n)).drop("__p", "__before")
+    return numbered(sources, *by, out="__n").withColumn(out, F.format_string(f"{prefix}%09d", F.col("__n") + 1)).drop("__n")
 
 
 def cosmics(fibers: DataFrame, fiber: str, i: str, flux: str, radius: float, share: float = 0.5) -> DataFrame:

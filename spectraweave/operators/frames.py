@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import global_biweight
 from .robust import MAD_TO_SIGMA, biweight, median, sigma_clip
 
 # What a frame's header falls back to.
@@ -76,7 +77,7 @@ def without_bad_amps(df: DataFrame, listed: DataFrame, keys: Sequence[str], sigm
 def residual_throughput(fibers: DataFrame, fiber: str, value: str, n_sigma: float = 2.0) -> DataFrame:
     """By fiber the biweight location and scale over exposures, and whether it is off by n_sigma of all fibers' scale."""
     by = biweight(fibers, [fiber], value)
-    whole = biweight(by.withColumn("__one", F.lit(1)), ["__one"], "location", loc="__loc", scale="__scale").drop("__one")
+    whole = global_biweight(by, F.col("location"), loc="__loc", scale="__scale")
     both = by.crossJoin(F.broadcast(whole))
     return both.select(fiber, "location", "scale", (F.abs(F.col("location") - F.col("__loc")) > n_sigma * F.col("__scale")).alias("flagged"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import global_mad_std
 from .robust import MAD_TO_SIGMA, median, with_deviation
 
 RANKS = ("pass", "warn", "fail")
@@ -71,9 +72,7 @@ def histogram(df: DataFrame, x: Column, low: float, high: float, bins: int) -> D
 
 def error_rescale(df: DataFrame, flux: str, error: str) -> DataFrame:
     """Adds the error scaled by one factor so that flux / error has a MAD deviation of 1."""
-    sn = df.select(F.try_divide(F.col(flux), F.col(error)).alias("__sn"))
-    mid = sn.agg(median(F.col("__sn")).alias("__mid"))
-    factor = sn.crossJoin(F.broadcast(mid)).agg((median(F.abs(F.col("__sn") - F.col("__mid"))) * MAD_TO_SIGMA).alias("__factor"))
+    factor = global_mad_std(df, F.try_divide(F.col(flux), F.col(error)), "__factor")
     return df.crossJoin(F.broadcast(factor)).withColumn("rescaled", F.col(error) * F.col("__factor")).drop("__factor")
 
 

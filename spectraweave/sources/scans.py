@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordering import numbered
+from ..operators.traces import even_chunk
+
 
 def scan_fibers(spark: SparkSession, path: str, columns: Sequence[str], dates: tuple[str, str] | None = None, date: str = "date") -> DataFrame:
     """Named columns of fiber tables; dates [start, end) prune partitions or row groups."""
@@ -37,7 +40,8 @@ def scan_obs_log(log: DataFrame, ts: str, span: tuple[Column, Column], kind: Col
 
 def program_batches(log: DataFrame, program: Column, n: int, *order: str) -> DataFrame:
     """A program's observations in n near-equal batches, in order; earlier batches take the extra ones."""
-    return log.where(program).withColumn("batch", F.ntile(n).over(Window.orderBy(*order)))
+    rows = numbered(log.where(program), *order, out="__k", total="__all")
+    return rows.withColumn("batch", even_chunk(F.col("__k"), F.col("__all"), n) + 1).drop("__k", "__all")
 
 
 def scan_keyed_text(spark: SparkSession, path: str, pattern: str, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
