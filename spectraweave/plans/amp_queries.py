@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import amps
 from .join_queries import PLANE
 from .registry import SPEC, biweight_sql, mad_sql, positions, query, rounded, s6, spectra, table
+from .sql_tools import poly_sql, terms_sql, tukey_terms_sql
 from .robust_queries import clip_sql
 
 FIXES = [("1994-01-01", "1995-06-01", 24, 15), ("1994-01-01", "1995-06-01", 15, 24), ("1996-01-14", "1996-08-28", 7, 9)]
@@ -188,9 +189,31 @@ def win_collapsed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amps.collapsed_flags(s.join(mean, ["exp", "idx"]), [], "exp", "fiber", "idx", "flux", "a", 0.003)
 
 
-@query()
+def continuum_sql(rounds: int) -> str:
+    """Rounds of: smooth, carry over gaps, clip the residuals three times, leave outliers and their neighbours out."""
+    by, kernel = "PARTITION BY fiber ORDER BY idx", [0.1, 0.2, 0.4, 0.2, 0.1]
+    at = [f"lag(y, {2 - j}) OVER w" if j < 2 else f"lead(y, {j - 2}) OVER w" if j > 2 else "y" for j in range(5)]
+    weight = " + ".join(f"(CASE WHEN {x} IS NOT NULL THEN {k} ELSE 0 END)" for x, k in zip(at, kernel))
+    total = " + ".join(f"coalesce({x} * {k}, 0)" for x, k in zip(at, kernel))
+    sql = f"(SELECT fiber, idx, flux, flux AS y FROM {SPEC})"
+    for n in range(rounds):
+        sql = f"(SELECT *, ({total}) / nullif({weight}, 0) AS v FROM {sql} WINDOW w AS ({by}))"
+        sql = f"""(SELECT *, last_value(CASE WHEN v IS NOT NULL THEN {{'i': idx, 'v': v}} END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+            first_value(CASE WHEN v IS NOT NULL THEN {{'i': idx, 'v': v}} END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM {sql} WINDOW w AS ({by}))"""
+        sql = f"(SELECT * EXCLUDE (v, a, b), coalesce(v, a.v + (b.v - a.v) * (idx - a.i) / nullif(b.i - a.i, 0), a.v, b.v) AS continuum FROM {sql})"
+        sql = f"(SELECT *, flux - continuum AS r, flux - continuum AS c FROM {sql})"
+        for _ in range(3):
+            sql = f"(SELECT *, c - median(c) OVER (PARTITION BY fiber) AS d FROM {sql})"
+            sql = f"(SELECT * EXCLUDE (d) REPLACE (CASE WHEN abs(d) <= 3.0 * 1.4826 * median(abs(d)) OVER (PARTITION BY fiber) THEN c END AS c) FROM {sql})"
+        sql = f"(SELECT * EXCLUDE (r, c), c IS NULL AND r IS NOT NULL AS outlier FROM {sql})"
+        if n < rounds - 1:
+            sql = f"(SELECT fiber, idx, flux, CASE WHEN max(outlier::INT) OVER ({by} RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 0 THEN flux END AS y FROM {sql})"
+    return f"SELECT fiber, idx, {s6('continuum')} AS continuum, outlier FROM {sql}"
+
+
+@query(continuum_sql(6))
 def win_smooth_continuum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = amps.smooth_continuum(spectra(spark, sf_dir), ["fiber"], "idx", "flux", [0.1, 0.2, 0.4, 0.2, 0.1], rounds=3)
+    out = amps.smooth_continuum(spectra(spark, sf_dir), ["fiber"], "idx", "flux", [0.1, 0.2, 0.4, 0.2, 0.1])
     return rounded(out.select("fiber", "idx", "continuum", "outlier"))
 
 
@@ -214,7 +237,11 @@ def agg_two_round_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("fiber", "idx", "skysub"))
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT exp, idx, avg(flux) AS flux FROM {SPEC} GROUP BY 1, 2), m AS (SELECT idx, avg(flux) AS sky FROM e GROUP BY 1),
+    a AS (SELECT *, sum(flux * sky) OVER w / sum(sky * sky) OVER w * sky AS base FROM e JOIN m USING (idx) WINDOW w AS (PARTITION BY exp))
+    SELECT exp, idx, {s6('flux')} AS flux, {s6('base + model')} AS sky FROM {terms_sql('a', ['exp'], ['cos(idx / 10.0)', 'sin(idx / 10.0)'], 'flux - base')}"""
+)
 def fit_modelled_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spectra(spark, sf_dir)
     exposures = s.groupBy("exp", "idx").agg(F.avg("flux").alias("flux"))
@@ -223,22 +250,23 @@ def fit_modelled_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(amps.modelled_sky(exposures, mean, basis, "exp", "idx", "flux", 2))
 
 
-@query()
+MEANS = f"(SELECT fiber, idx, flux, idx / 32.0 - 1 AS x, avg(flux) OVER (PARTITION BY exp, idx) AS m FROM {SPEC})"
+
+
+@query(f"SELECT fiber, idx, {s6('model')} AS model FROM {tukey_terms_sql(MEANS, ['fiber'], ['m', 'x * m', 'x * x * m', '1', 'x', 'x * x'], 'flux', 5)}")
 def fit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flux as a quadratic times the exposure's mean spectrum, plus a quadratic."""
     s = spectra(spark, sf_dir)
     mean = s.groupBy("exp", "idx").agg(F.avg("flux").alias("m"))
     rows = s.join(mean, ["exp", "idx"]).withColumn("x", F.col("idx") / 32 - 1)
-    return rounded(amps.ratio_fit(rows, ["fiber"], "x", "m", "flux", 3).select("fiber", "idx", "model"))
+    return rounded(amps.ratio_fit(rows, ["fiber"], "x", "m", "flux").select("fiber", "idx", "model"))
 
 
-KEPT = "(SELECT *, abs(r) <= 3.0 * 1.4826 * median(abs(r)) OVER (PARTITION BY l_suppkey) AS kept FROM (SELECT *, l_extendedprice - (regr_slope(l_extendedprice, l_quantity) OVER w * l_quantity + regr_intercept(l_extendedprice, l_quantity) OVER w) AS r FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)))"
+FIRST_FIT = poly_sql("lineitem", ["l_suppkey"], "l_quantity", "l_extendedprice", 4, "m1")
+KEPT = f"(SELECT *, CASE WHEN kept THEN l_extendedprice END AS y FROM (SELECT *, abs(r) <= 3.0 * 1.4826 * median(abs(r)) OVER (PARTITION BY l_suppkey) AS kept FROM (SELECT *, l_extendedprice - m1 AS r FROM {FIRST_FIT})))"
 
 
-@query(
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, kept, round(regr_slope(y, l_quantity) OVER w * l_quantity + regr_intercept(y, l_quantity) OVER w, 4) + 0.0 AS model
-    FROM (SELECT *, CASE WHEN kept THEN l_extendedprice END AS y FROM {KEPT}) WINDOW w AS (PARTITION BY l_suppkey)"""
-)
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, kept, round(model, 2) + 0.0 AS model FROM {poly_sql(KEPT, ['l_suppkey'], 'l_quantity', 'y', 4)}")
 def fit_refit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = amps.refit_matches(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", 1)
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "kept", (F.round("model", 4) + F.lit(0.0)).alias("model"))
+    out = amps.refit_matches(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "kept", (F.round("model", 2) + F.lit(0.0)).alias("model"))

@@ -157,7 +157,7 @@ def agg_flat_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH f AS (SELECT exp, rw, idx, flux + 1 AS v, 0.05 + abs(flux) / 10 AS e, 1 + rw % 5 / 10.0 + idx % 3 / 10.0 AS g FROM {ROWS}), t AS (SELECT exp, rw AS fiber, idx, round(rw * 4 + 1 + idx % 10 / 20.0) AS at FROM f),
+    f"""WITH f AS (SELECT exp, rw, idx, flux + 1 AS v, 0.05 + abs(flux) / 10 AS e, 1 + rw % 5 / 10.0 + idx % 3 / 10.0 AS g FROM {ROWS}), t AS (SELECT exp, rw AS fiber, idx, round((rw * (n - 5))::DOUBLE / n + 2 + (idx % 10)::DOUBLE / 20) AS at FROM f JOIN (SELECT exp, max(rw) + 1 AS n FROM f GROUP BY 1) USING (exp)),
     m AS (SELECT t.exp, t.fiber, t.idx, v, e, g, g * sum(v) OVER w / sum(g) OVER w AS model FROM t JOIN f ON f.exp = t.exp AND f.idx = t.idx AND f.rw BETWEEN t.at - 2 AND t.at + 2 WINDOW w AS (PARTITION BY t.exp, t.fiber, t.idx))
     SELECT exp, fiber, idx AS col, {s6('sum(pow(v - model, 2) / (e * e + pow(0.01 * model, 2))) / nullif(count(v) - 1, 0)')} AS chi2 FROM m GROUP BY 1, 2, 3"""
 )
@@ -165,7 +165,8 @@ def arr_profile_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectra(spark, sf_dir).withColumn("row", (F.row_number().over(Window.partitionBy("exp", "idx").orderBy("fiber")) - 1).cast("int"))
     frame = rows.select("exp", "row", F.col("idx").alias("col"), (F.col("flux") + 1).alias("v"), (0.05 + F.abs("flux") / 10).alias("e"))
     flat = rows.select("exp", "row", F.col("idx").alias("col"), (1 + F.col("row") % 5 / 10 + F.col("idx") % 3 / 10).alias("v"))
-    trace = rows.select("exp", F.col("row").alias("fiber"), F.col("idx").alias("col"), (F.col("row") * 4 + 1 + F.col("idx") % 10 / 20).alias("trace"))
+    n = F.max("row").over(Window.partitionBy("exp")) + 1
+    trace = rows.select("exp", F.col("row").alias("fiber"), F.col("idx").alias("col"), (F.col("row") * (n - 5) / n + 2 + F.col("idx") % 10 / 20).alias("trace"))
     return rounded(arrays.profile_chi2(frame, flat, trace, ["exp"], "v", "e"))
 
 

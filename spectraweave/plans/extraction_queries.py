@@ -12,6 +12,7 @@ from ..operators import detection, extraction
 from .fit_queries import PTS, points
 from .join_queries import PLANE
 from .registry import SPEC, biweight_sql, mad_sql, positions, query, r6, rounded, s6, spectra, table
+from .sql_tools import poly_sql
 from .window_queries import KERNEL, ROWS
 
 CUBIC = np.polyfit([(x - 4500) / 1000 for x in sky.REFRACTION_WAVES], sky.REFRACTION_SHIFTS, 3).tolist()
@@ -131,26 +132,30 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("flux", F.when((F.col("fiber") + F.col("idx")) % 5 > 0, F.col("flux")))
 
 
+HELD = f"(SELECT source, idx, sum(flux * g / pow(error, 2)) / sum(g * g / pow(error, 2)) AS f, sqrt(sum(g) / sum(g * g / pow(error, 2))) AS e, coalesce(sum(g) FILTER (flux IS NOT NULL), 0) AS w FROM {HOLED} GROUP BY 1, 2)"
+KNOTS = f"""(SELECT source, idx, f, e, w, idx::DOUBLE AS a, NULL AS y FROM {HELD} UNION ALL
+    SELECT source, NULL, NULL, NULL, NULL, avg(idx), median(w) FROM (SELECT *, ntile(8) OVER (PARTITION BY source ORDER BY idx) AS k FROM {HELD}) GROUP BY source, k)"""
+
+
 @query(
-    f"""WITH s AS (SELECT source, idx, sum(flux * g / pow(error, 2)) / sum(g * g / pow(error, 2)) AS f, sqrt(sum(g) / sum(g * g / pow(error, 2))) AS e, coalesce(sum(g) FILTER (flux IS NOT NULL), 0) AS w FROM {HOLED} GROUP BY 1, 2),
-    c AS (SELECT source, k, avg(idx) AS a, median(w) AS y FROM (SELECT *, ntile(8) OVER (PARTITION BY source ORDER BY idx) AS k FROM s) GROUP BY 1, 2),
-    m AS (SELECT s.*, l * idx + b AS smooth FROM s JOIN (SELECT source, regr_slope(y, a) AS l, regr_intercept(y, a) AS b FROM c GROUP BY 1) USING (source)),
-    o AS (SELECT *, w / nullif(smooth, 0) >= 0.9 AND median(smooth) OVER (PARTITION BY source) >= 0.1 AS keep FROM m)
+    f"""WITH m AS (SELECT * FROM {poly_sql(KNOTS, ['source'], 'a', 'y', 3, 'smooth')} WHERE y IS NULL), o AS (SELECT *, w / nullif(smooth, 0) >= 0.9 AND median(smooth) OVER (PARTITION BY source) >= 0.1 AS keep FROM m)
     SELECT source, idx, CASE WHEN keep THEN {s6('f')} END AS flux, CASE WHEN keep THEN {s6('e')} END AS error, {s6('w')} AS weight, {s6('smooth')} AS smooth FROM o"""
 )
 def agg_exposure_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(extraction.exposure_extract(holed(spark, sf_dir), ["source"], "idx", "flux", "error", "g", n_chunks=8, degree=1, least=0.9))
+    return rounded(extraction.exposure_extract(holed(spark, sf_dir), ["source"], "idx", "flux", "error", "g", n_chunks=8, least=0.9))
+
+
+WEIGHED = f"(SELECT *, CASE WHEN w > 0.3 * m THEN w END AS y FROM (SELECT *, median(w) OVER (PARTITION BY fiber) AS m FROM (SELECT fiber, idx, abs(flux) AS w FROM {SPEC})))"
 
 
 @query(
-    f"""WITH s AS (SELECT fiber, idx, abs(flux) AS w FROM {SPEC}), m AS (SELECT *, median(w) OVER (PARTITION BY fiber) AS m FROM s), y AS (SELECT *, CASE WHEN w > 0.3 * m THEN w END AS y FROM m),
-    f AS (SELECT *, regr_slope(y, idx) OVER v * idx + regr_intercept(y, idx) OVER v AS fit, count(y) OVER v AS n FROM y WINDOW v AS (PARTITION BY fiber)),
+    f"""WITH f AS (SELECT *, count(y) OVER (PARTITION BY fiber) AS n FROM {poly_sql(WEIGHED, ['fiber'], 'idx', 'y', 3, 'fit')}),
     d AS (SELECT *, max((w < 0.8 * fit)::INT) OVER (PARTITION BY fiber ORDER BY idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS near FROM f)
     SELECT fiber, count(*) FILTER (near OR n < 50 OR m < 0.08) AS masked FROM d GROUP BY 1"""
 )
 def arr_weight_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spectra(spark, sf_dir).withColumn("w", F.abs("flux"))
-    out = extraction.weight_mask(s, ["fiber"], "idx", "w", degree=1, faint=0.08, least=50)
+    out = extraction.weight_mask(s, ["fiber"], "idx", "w", faint=0.08, least=50)
     return out.groupBy("fiber").agg(F.count(F.when(F.col("masked"), 1)).alias("masked"))
 
 
@@ -274,7 +279,7 @@ def grd_moment_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH f AS (SELECT *, 0.1 + abs(flux) AS e, 1 + idx % 5 / 10.0 + rw % 3 / 10.0 AS flat FROM {ROWS}), t AS (SELECT exp, rw AS fiber, idx, rw * 6 + 1 + idx % 10 / 10.0 AS trace FROM f), n AS (SELECT exp, max(rw) AS last FROM f GROUP BY 1),
+    f"""WITH f AS (SELECT *, 0.1 + abs(flux) AS e, 1 + idx % 5 / 10.0 + rw % 3 / 10.0 AS flat FROM {ROWS}), n AS (SELECT exp, max(rw) AS last FROM f GROUP BY 1), t AS (SELECT exp, rw AS fiber, idx, (rw * (last - 2))::DOUBLE / (last + 1) + 1 + (idx % 10)::DOUBLE / 10 AS trace FROM f JOIN n USING (exp)),
     k AS (SELECT t.* FROM t JOIN n USING (exp) QUALIFY max(ceil(trace)) OVER (PARTITION BY exp, fiber) <= any_value(last) OVER (PARTITION BY exp))
     SELECT k.exp, k.fiber, k.idx AS col, {s6('sum(flux / flat) / 2')} AS flux, {s6('sqrt(sum(e * e / flat)) / 2')} AS error, {s6('sum(flat) / 2')} AS twilight
     FROM (SELECT *, floor(trace) AS r FROM k UNION ALL SELECT *, ceil(trace) AS r FROM k) k JOIN f ON f.exp = k.exp AND f.idx = k.idx AND f.rw = k.r GROUP BY 1, 2, 3"""
@@ -282,7 +287,8 @@ def grd_moment_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arr_two_pixel_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectra(spark, sf_dir).withColumn("row", F.row_number().over(Window.partitionBy("exp", "idx").orderBy("fiber")) - 1)
     frame = rows.select("exp", "row", F.col("idx").alias("col"), "flux", (0.1 + F.abs("flux")).alias("error"), (1 + F.col("idx") % 5 / 10 + F.col("row") % 3 / 10).alias("flat"))
-    trace = rows.select("exp", F.col("row").alias("fiber"), F.col("idx").alias("col"), (F.col("row") * 6 + 1 + F.col("idx") % 10 / 10).alias("trace"))
+    n = F.max("row").over(Window.partitionBy("exp")) + 1
+    trace = rows.select("exp", F.col("row").alias("fiber"), F.col("idx").alias("col"), (F.col("row") * (n - 3) / n + 1 + F.col("idx") % 10 / 10).alias("trace"))
     return rounded(extraction.two_pixel_extract(frame, trace, ["exp"], "flux", "error", "flat"))
 
 

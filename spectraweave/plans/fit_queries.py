@@ -9,7 +9,7 @@ from ..operators import catalog, fits, grid, qa
 from ..sources import scans, sinks
 from .join_queries import PLANE
 from .registry import POS, SPEC, biweight_sql, mad_sql, positions, query, r6, rounded, s6, spectra, table
-from .sql_tools import robust_sql
+from .sql_tools import poly_sql, robust_sql
 
 
 def clipped_line_sql(src: str, keys: str, x: str, y: str) -> str:
@@ -25,13 +25,10 @@ def fit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fits.line_fit(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice"))
 
 
-@query(
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, round(regr_slope(l_extendedprice, l_quantity) OVER w * l_quantity + regr_intercept(l_extendedprice, l_quantity) OVER w, 4) + 0.0 AS model
-    FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)"""
-)
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, round(model, 2) + 0.0 AS model FROM {poly_sql('lineitem', ['l_suppkey'], 'l_quantity', 'l_extendedprice', 4)}")
 def fit_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fits.poly_fit(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", 1)
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", (F.round("model", 4) + F.lit(0.0)).alias("model"))
+    out = fits.poly_fit(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", 4)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", (F.round("model", 2) + F.lit(0.0)).alias("model"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, round(model, 2) + 0.0 AS model FROM {robust_sql('lineitem', ['l_suppkey'], 'l_quantity', 'l_extendedprice', 2, 3, kind='tukey')}")

@@ -46,3 +46,25 @@ def apart_sql(src: str, keys: str, x: str, height: str, separation: float, most:
     near = f"len(list_filter(acc, lambda q: abs(q.x - p[1].x) <= {separation})) > 0"
     return f"""(SELECT {keys}, k.x AS {x}, k.h AS {height} FROM (SELECT {keys}, unnest(list_reduce(list([{{'x': {x}, 'h': {height}}}] ORDER BY {height} DESC, {x}),
     lambda acc, p: CASE WHEN len(acc) >= {most} OR {near} THEN acc ELSE list_concat(acc, p) END)) AS k FROM {src} GROUP BY {keys}))"""
+
+
+def terms_sql(src: str, keys: Sequence[str], terms: Sequence[str], y: str, out: str = "model", weight: str = "1.0") -> str:
+    """src with the least-squares combination of the terms by keys: each is taken off the later ones and what is left of y, in turn."""
+    over = f"OVER (PARTITION BY {', '.join(keys)})"
+    n = len(terms)
+    sql = f"(SELECT *, ({weight})::DOUBLE AS w_, ({y})::DOUBLE AS y_, 0::DOUBLE AS {out}, {', '.join(f'({t})::DOUBLE AS t{k}_' for k, t in enumerate(terms))} FROM {src})"
+    for k in range(n):
+        share = lambda x: f"sum(w_ * {x} * t{k}_) FILTER (y_ IS NOT NULL) {over} / nullif(sum(w_ * t{k}_ * t{k}_) FILTER (y_ IS NOT NULL) {over}, 0)"  # noqa: B023, E731
+        later = "".join(f", t{j}_ - t{k}_ * {share(f't{j}_')} AS t{j}_" for j in range(k + 1, n))
+        sql = f"(SELECT * REPLACE (y_ - t{k}_ * {share('y_')} AS y_, {out} + t{k}_ * {share('y_')} AS {out}{later}) FROM {sql})"
+    return f"(SELECT * EXCLUDE (w_, y_, {', '.join(f't{k}_' for k in range(n))}) FROM {sql})"
+
+
+def tukey_terms_sql(src: str, keys: Sequence[str], terms: Sequence[str], y: str, rounds: int, out: str = "model", limit: float = 4.685) -> str:
+    """The same with Tukey weights of the residuals over 1.4826 median absolute residual, in so many rounds."""
+    sql, over = terms_sql(src, keys, terms, y, out), f"OVER (PARTITION BY {', '.join(keys)})"
+    for _ in range(rounds - 1):
+        far = f"(SELECT *, r_ / nullif(1.4826 * median(r_) {over}, 0) AS q_ FROM (SELECT *, abs({y} - {out}) AS r_ FROM {sql}))"
+        weighed = f"(SELECT * EXCLUDE ({out}, r_, q_), coalesce(CASE WHEN q_ < {limit} THEN pow(1 - pow(q_ / {limit}, 2), 2) WHEN q_ IS NOT NULL THEN 0 END, 1.0) AS h_ FROM {far})"
+        sql = f"(SELECT * EXCLUDE (h_) FROM {terms_sql(weighed, keys, terms, y, out, 'h_')})"
+    return sql

@@ -205,7 +205,7 @@ SHARE = "greatest(0, least(f.rw + 0.5, trace + 2.5) - greatest(f.rw - 0.5, trace
 
 
 @query(
-    f"""WITH f AS (SELECT * FROM {ROWS}), t AS (SELECT exp, rw AS fiber, idx, rw * 6 + 1 + idx % 10 / 10.0 AS trace FROM f), n AS (SELECT exp, max(rw) AS last FROM f GROUP BY 1)
+    f"""WITH f AS (SELECT * FROM {ROWS}), n AS (SELECT exp, max(rw) AS last FROM f GROUP BY 1), t AS (SELECT exp, rw AS fiber, idx, (rw * (last - 1))::DOUBLE / (last + 1) + 1 + (idx % 10)::DOUBLE / 10 AS trace FROM f JOIN n USING (exp))
     SELECT t.exp, t.fiber, t.idx AS col, {s6(f'CASE WHEN any_value(floor(trace - 2) >= 0 AND floor(trace + 3) <= last) THEN sum(flux * {SHARE}) / 5 ELSE 0 END')} AS flux,
     {s6(f'CASE WHEN any_value(floor(trace - 2) >= 0 AND floor(trace + 3) <= last) THEN sqrt(sum(pow((0.1 + abs(flux)) * {SHARE}, 2))) / 5 ELSE 0 END')} AS error
     FROM t JOIN n USING (exp) LEFT JOIN f ON f.exp = t.exp AND f.idx = t.idx AND f.rw BETWEEN trace - 4 AND trace + 4 GROUP BY 1, 2, 3"""
@@ -213,5 +213,6 @@ SHARE = "greatest(0, least(f.rw + 0.5, trace + 2.5) - greatest(f.rw - 0.5, trace
 def arr_aperture_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectra(spark, sf_dir).withColumn("row", F.row_number().over(Window.partitionBy("exp", "idx").orderBy("fiber")) - 1)
     frame = rows.select("exp", "row", F.col("idx").alias("col"), "flux", (0.1 + F.abs("flux")).alias("error"))
-    trace = rows.select("exp", F.col("row").alias("fiber"), F.col("idx").alias("col"), (F.col("row") * 6 + 1 + F.col("idx") % 10 / 10).alias("trace"))
+    n = F.max("row").over(Window.partitionBy("exp")) + 1
+    trace = rows.select("exp", F.col("row").alias("fiber"), F.col("idx").alias("col"), (F.col("row") * (n - 2) / n + 1 + F.col("idx") % 10 / 10).alias("trace"))
     return rounded(arrays.aperture_extract(frame, trace, ["exp"], "flux", "error"))
