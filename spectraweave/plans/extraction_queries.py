@@ -234,7 +234,31 @@ def planted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*at, "idx", "flux", "error").join(held, ["field", "x", "y"], "left").select("field", "x", "y", "idx", "error", (F.col("flux") + light).alias("flux"))
 
 
-@query()
+def detected_sql() -> str:
+    """Detections in the planted fields: S/N, linked voxels, centroids, spectra extracted again, the best of the tried Gaussians."""
+    run = "SELECT *, ntile(8) OVER (PARTITION BY fiber ORDER BY idx) AS c FROM v"
+    sn = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT field + 2 * x + 50 * y AS fiber, * FROM {PLANTED}), runs AS ({run}),
+    k AS (SELECT fiber, c, avg(idx) AS a, any_value(lv) AS lv FROM runs JOIN {biweight_sql('runs', ['fiber', 'c'], 'flux', loc='lv')} USING (fiber, c) GROUP BY 1, 2),
+    s AS (SELECT *, lead(a) OVER w AS a2, lead(lv) OVER w AS lv2, row_number() OVER w = 1 AS one FROM k WINDOW w AS (PARTITION BY fiber ORDER BY a)),
+    l AS MATERIALIZED (SELECT v.*, flux - (lv + coalesce((lv2 - lv) * greatest(0, (idx - a) / (a2 - a)), 0)) AS line FROM v JOIN s USING (fiber) WHERE (one OR idx >= a) AND (a2 IS NULL OR idx < a2)),
+    q AS (SELECT *, {conv_sql('line')} / ({conv_sql('error', True)}) AS q FROM l WINDOW w AS (PARTITION BY fiber ORDER BY idx)),
+    cube AS MATERIALIZED (SELECT field, x, y, idx, q.q / m.mad_std AS sn FROM q JOIN {mad_sql('q', ['field', 'idx'], 'q')} m USING (field, idx)),
+    b AS (SELECT *, row_number() OVER (ORDER BY field, x, y, idx) AS n FROM cube WHERE sn > 6),"""
+    return f"""{sn}
+    e AS (SELECT i.n AS u, j.n AS v FROM b i JOIN b j ON i.field = j.field AND pow(i.x - j.x, 2) + pow(i.y - j.y, 2) + pow(i.idx - j.idx, 2) <= 6.25),
+    r AS (SELECT n, n AS root FROM b UNION SELECT e.v, root FROM r JOIN e ON e.u = r.n),
+    g AS (SELECT n, min(root) AS root FROM r GROUP BY 1),
+    f AS (SELECT field, root, arg_max(b, [sn, -x, -y, -idx]) AS top, count(*) AS n_voxels, sum(x * sn) / sum(sn) AS cx, sum(y * sn) / sum(sn) AS cy, round(sum(idx * sn) / sum(sn)) AS ci FROM g JOIN b USING (n) GROUP BY 1, 2),
+    p AS (SELECT f.*, sum(x * greatest(sn, 0)) / sum(greatest(sn, 0)) AS xc, sum(y * greatest(sn, 0)) / sum(greatest(sn, 0)) AS yc FROM f JOIN cube c ON c.field = f.field AND c.idx = f.ci AND pow(x - cx, 2) + pow(y - cy, 2) <= 6.25 GROUP BY ALL),
+    w AS (SELECT p.root, l.idx, top.idx AS peak, line, 1 / (error * error) AS iv, exp(-0.5 * (pow(l.x - xc, 2) + pow(l.y - yc, 2)) / 1.44) AS w FROM p JOIN l ON l.field = p.field AND pow(l.x - xc, 2) + pow(l.y - yc, 2) <= 6.25 AND abs(l.idx - top.idx) <= 6),
+    o AS (SELECT root, idx, peak, sum(line * w * iv) / sum(w * w * iv) AS f, sum(w * w * iv) / sum(w) AS iv FROM w GROUP BY 1, 2, 3),
+    t AS (SELECT root, peak, -2 + 0.5::DOUBLE * i AS d, s, f, iv, exp(-0.5 * pow((idx - peak - (-2 + 0.5::DOUBLE * i)) / s, 2)) AS m FROM o, range(0, 9) a(i), (VALUES (1.0::DOUBLE), (1.5), (2.0), (2.5), (3.0)) b(s)),
+    z AS (SELECT root, peak, d, s, sum(f * m * iv) / sum(m * m * iv) AS amp, (sum(f * f * iv) - pow(sum(f * m * iv), 2) / sum(m * m * iv)) / (count(*) - 3) AS chi2 FROM t GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY root ORDER BY chi2, d, s) = 1)
+    SELECT field, top.x AS x, top.y AS y, top.idx AS idx, {s6('top.sn')} AS sn, n_voxels, {s6('xc')} AS xc, {s6('yc')} AS yc, {s6('peak + d')} AS centre, {s6('s')} AS width, {s6('amp')} AS amplitude, {s6('chi2')} AS chi2,
+    {s6('amp * s * sqrt(2 * pi())')} AS flux FROM p JOIN z USING (root)"""
+
+
+@query(detected_sql())
 def grd_detect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emission lines above 6 sigma in both fields, with their places and fits."""
     out = detection.detect_lines(planted_fields(spark, sf_dir), ("x", "y", "idx"), "flux", "error", 8, KERNEL, threshold=6.0, keys=["field"], sigma=1.2)
