@@ -13,11 +13,11 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.scalar import seeing_at
-from ..functions.sky import REFRACTION_SHIFTS, REFRACTION_WAVES, refraction, refraction_offset
+from ..functions.sky import REFRACTION_SHIFTS, REFRACTION_WAVES, refracted, refraction, refraction_offset, to_plane
 from .arrays import continuum, rectify
 from .calibrate import coadd
 from .fits import evaluate, linear_fit, powers
-from .grid import splat
+from .grid import median_mosaic, splat
 from .joins import within_radius
 from .robust import biweight, mad_std, median
 from .windows import dilate, smooth
@@ -202,6 +202,19 @@ def normalised(spectra: DataFrame, keys: Sequence[str], i: str, response: DataFr
     return rows.withColumns({c: F.col(c) * F.col("normalisation") for c in ("flux", "error")}).select(*spectra.columns, "normalisation")
 
 
+def refracted_cube(
+    fibers: DataFrame, i: str, wave: Column, shot: str, order: str, value: str, angle: Column, center: tuple[Column, Column], scale: float, area: float = 1.0, error: str | None = None
+) -> DataFrame:
+    """(i, px, py, value, coverage, error): the cube of all shots, each fiber at the place where it looks at each wavelength.
+
+    fibers has a row for each bin, with ra, dec and the value; pixels are `scale`
+    arcseconds wide and counted from the center.
+    """
+    ra, dec = refracted(F.col("ra"), F.col("dec"), wave, angle, *center)
+    x, y = to_plane(ra, dec, *center, scale=scale)
+    return median_mosaic(fibers.withColumn("__px", x).withColumn("__py", y), [i], shot, order, "__px", "__py", value, area, error)
+
+
 def tile_cells(tiles: DataFrame, tile: str, half: int, step: float) -> DataFrame:
     """(tile, cell, cx, cy, ra, dec): the cells of a square grid of 2 half + 1 cells a side, `step` arcseconds apart, about each tile's ra and dec."""
     side = 2 * half + 1

@@ -77,12 +77,17 @@ def slot_neighbors(slots: DataFrame, distance: int, x: str = "x", y: str = "y",
     return cells.join(near, ["cx", "cy"]).where(close).select("slot", "neighbor")
 
 
-def box_cutout(fibers: DataFrame, half: float, buffer: float, step: float, x: str = "x", y: str = "y", out: str = "tile") -> DataFrame:
+def box_cutout(
+    fibers: DataFrame, half: float, buffer: float, step: float, x: str = "x", y: str = "y", out: str = "tile", spectrum: str | None = None, least: int = 50
+) -> DataFrame:
     """A row for each overlapping tile (number of column, of row) that a fiber lies in.
 
-    Tiles have their centers every `step` and reach half + buffer from them.
+    Tiles have their centers every `step` and reach half + buffer from them. With
+    spectrum, an array, only fibers of more than `least` valid bins count.
     """
     reach = half + buffer
+    if spectrum is not None:
+        fibers = fibers.where(F.size(F.filter(spectrum, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")))) > least)
 
     def covering(c: str) -> Column:
         low, high = F.ceil((F.col(c) - reach) / step), F.floor((F.col(c) + reach) / step)

@@ -72,6 +72,21 @@ def snk_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.scan_fibers(spark, folder, ["o_orderkey", "o_custkey", "date"], ("1996-01-01", "1996-07-01")).withColumn("date", F.col("date").cast("string"))
 
 
+@query(
+    """SELECT 'all' AS part, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier UNION ALL SELECT 'unique', count(*), round(sum(s_acctbal), 2) FROM (SELECT * FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1)
+    UNION ALL SELECT 'shots', count(*), CAST(sum(n_nationkey) AS DOUBLE) FROM nation"""
+)
+def snk_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources, unique ones and the shots written as a combined catalog, and read again."""
+    from ..operators.windows import first_per
+
+    s, folder = table(spark, sf_dir, "supplier"), scratch(spark)
+    unique = first_per(s, ["s_nationkey"], "s_suppkey")
+    written = list(catalog.catalog_writer(s, unique, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("double").alias("s_acctbal")), folder))
+    parts = [spark.read.parquet(path).agg(F.lit(path.rpartition("/")[2]).alias("part"), F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total")) for path in written]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(f"SELECT fiber, exp, idx, {s6('flux')} AS flux FROM {SPEC}")
 def snk_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attribute written by exposure and read again."""

@@ -191,6 +191,19 @@ def grd_without_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(extraction.without_background(spectra(spark, sf_dir), ["exp"], "idx", "flux", F.col("fiber") % 3 == 0).select("fiber", "idx", "flux"))
 
 
+@query(
+    f"""WITH p AS (SELECT s.*, px + ({shift_sql('(3500 + 32 * idx)')}) * cos(radians(exp * 10)) AS x, py + ({shift_sql('(3500 + 32 * idx)')}) * sin(radians(exp * 10)) AS y FROM {SPEC} s JOIN {PLANE} p ON p.vec_id = s.fiber),
+    o AS (SELECT idx, exp, CAST(round(x / 20) AS BIGINT) AS px, CAST(round(y / 20) AS BIGINT) AS py, arg_max(flux, fiber) AS v, arg_max(0.1 + abs(flux) / 10, fiber) AS e FROM p GROUP BY 1, 2, 3, 4)
+    SELECT idx, px, py, {s6('median(v)')} AS flux, count(*) AS coverage, {s6('sqrt(sum(e * e)) / count(*)')} AS error FROM o GROUP BY 1, 2, 3"""
+)
+def grd_refracted_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube of all exposures, with the fibers where they look at each wavelength."""
+    at = positions(spark, sf_dir).select(F.col("vec_id").alias("fiber"), "ra", "dec")
+    rows = with_error(spark, sf_dir).join(at, "fiber")
+    out = extraction.refracted_cube(rows, "idx", 3500 + 32 * F.col("idx"), "exp", "fiber", "flux", F.col("exp") * 10, (F.lit(150.0), F.lit(2.0)), 20.0, error="error")
+    return rounded(out)
+
+
 PARTS = f"(SELECT *, ntile(8) OVER (PARTITION BY fiber ORDER BY idx) AS c FROM {SPEC})"
 LEVEL = f"""(WITH k AS (SELECT fiber, c, avg(idx) AS a, any_value(lv) AS lv FROM {PARTS} JOIN {biweight_sql(PARTS, ['fiber', 'c'], 'flux', loc='lv')} USING (fiber, c) GROUP BY 1, 2),
     s AS (SELECT *, lead(a) OVER w AS a2, lead(lv) OVER w AS lv2, row_number() OVER w = 1 AS one FROM k WINDOW w AS (PARTITION BY fiber ORDER BY a))

@@ -63,6 +63,18 @@ def jn_box_cutout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.box_cutout(f, 3.0, 0.5, 6.0).select("l_orderkey", "l_linenumber", "l_partkey", "tile_x", "tile_y")
 
 
+@query(
+    """SELECT fiber, tx AS tile_x, ty AS tile_y FROM (SELECT vec_id AS fiber, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings WHERE len(list_filter(embedding, lambda v: v > -0.15)) > 58),
+    range(-40, 41) a(tx), range(-40, 41) b(ty) WHERE x BETWEEN tx * 6 - 3.5 AND tx * 6 + 3.5 AND y BETWEEN ty * 6 - 3.5 AND ty * 6 + 3.5"""
+)
+def jn_box_cutout_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of the fibers that have enough valid bins."""
+    e = table(spark, sf_dir, "embeddings")
+    flux = F.transform("embedding", lambda v: F.when(v > -0.15, v))
+    f = e.select(F.col("vec_id").alias("fiber"), (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"), flux.alias("flux"))
+    return joins.box_cutout(f, 3.0, 0.5, 6.0, spectrum="flux", least=58).select("fiber", "tile_x", "tile_y")
+
+
 ASOF = "SELECT user_id, ts, min(event_id) AS id FROM events WHERE event_type = 'signup' GROUP BY 1, 2"
 
 
@@ -163,6 +175,13 @@ def prj_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {s6('1e15 * l_extendedprice * (1 + l_discount) * (1e-29 * 2.99792458e18) / pow(3500 + 40 * l_quantity, 2)')} AS density FROM lineitem")
+def mth_flux_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    density = 1e15 * scalar.flux_density(c("l_extendedprice"), 1 + c("l_discount"), 3500 + 40 * c("l_quantity"))
+    return rounded(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", density.alias("density")))
+
+
 @query(
     f"""SELECT l_orderkey, l_linenumber, l_partkey, {s6('CASE WHEN l_extendedprice - 30000 > 0 THEN -2.5 * log10(l_extendedprice - 30000) + 23.9 ELSE 99 END')} AS mag,
     {s6('pow(10, -0.4 * (l_quantity - 23.9))')} AS flux, {s6('1.8 * pow((3500 + l_quantity * 40) / 4500, -0.2)')} AS seeing, {s6('0.05 / (1 + 2 * pow(l_quantity / 3, 1.5))')} AS scatter FROM lineitem"""
