@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .robust import median
+from .robust import biweight, mad_std, median, sigma_clip_converged
 
 
 def grid_setup(spark: SparkSession, size: float, scale: float) -> DataFrame:
@@ -116,3 +116,11 @@ def cube_stats(voxels: DataFrame, flux: str, error: str, least: int = 1, share:
     out = out.where(F.col("n") >= least).crossJoin(F.broadcast(whole))
     covered = F.col("n") / F.col("__bins")
     return out.select("x", "y", "n", covered.alias("coverage"), (covered >= share).alias("covered"), "continuum", "sn_mad", *[F.col("__p")[k].alias(f"sn_p{p}") for k, p in enumerate((16, 50, 84))])
+
+
+def clipped_stats(voxels: DataFrame, flux: str, error: str, n_sigma: float = 5.0, cell: Sequence[str] = ("x", "y")) -> DataFrame:
+    """By spaxel: how many bins are left after clipping S/N at n_sigma * 1.4826 MAD until nothing more goes, their biweight and their MAD deviation."""
+    rows = sigma_clip_converged(voxels.withColumn("__sn", F.try_divide(F.col(flux), F.col(error))), cell, "__sn", n_sigma, out="__kept")
+    counts = rows.groupBy(*cell).agg(F.count("__kept").alias("n_kept"))
+    level = biweight(rows, list(cell), "__kept", loc="sn_location", scale=None)
+    return counts.join(level, list(cell), "left").join(mad_std(rows, list(cell), "__kept", out="sn_mad"), list(cell), "left")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import grid as grid_ops
 from ..operators import models, robust, traces
-from .registry import SPEC, query, rounded, s6, spectra
+from .registry import SPEC, biweight_sql, mad_sql, query, rounded, s6, spectra
 from .sql_tools import poly_sql
 from .trace_queries import FLAT, ORDERED, TRACE, flat_frame
 
@@ -21,9 +22,9 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = f"(SELECT exp, rw AS row, idx AS col, fiber, flux FROM {ORDERED})"
 
 
-def clip_round(src: str) -> str:
+def clip_round(src: str, n_sigma: float = 2.0) -> str:
     over = "OVER (PARTITION BY fiber)"
-    return f"(SELECT * EXCLUDE (c, m, s), CASE WHEN abs(c - m) <= 2.0 * s THEN c END AS c FROM (SELECT *, 1.4826 * median(abs(c - m)) {over} AS s FROM (SELECT *, median(c) {over} AS m FROM {src})))"
+    return f"(SELECT * EXCLUDE (c, m, s), CASE WHEN abs(c - m) <= {n_sigma} * s THEN c END AS c FROM (SELECT *, 1.4826 * median(abs(c - m)) {over} AS s FROM (SELECT *, median(c) {over} AS m FROM {src})))"
 
 
 CLIPPED = f"(SELECT fiber, idx, flux AS c FROM {SPEC})"
@@ -37,6 +38,22 @@ def rob_sigma_clip_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(robust.sigma_clip_converged(spectra(spark, sf_dir), ["fiber"], "flux", 2.0).select("fiber", "idx", "clipped"))
 
 
+RATIOS = f"(SELECT fiber, idx, flux / (0.1 + abs(flux) / 10) AS c FROM {SPEC})"
+for _ in range(12):
+    RATIOS = clip_round(RATIOS, 3.0)
+
+
+@query(
+    f"""SELECT fiber % 25 AS x, fiber // 25 AS y, n_kept, {s6('location')} AS sn_location, {s6('mad_std')} AS sn_mad FROM (SELECT fiber, count(c) AS n_kept FROM {RATIOS} GROUP BY 1)
+    JOIN {biweight_sql(RATIOS, ['fiber'], 'c')} USING (fiber) JOIN {mad_sql(RATIOS, ['fiber'], 'c')} USING (fiber)"""
+)
+def agg_clipped_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S/N of every spaxel after clipping to convergence."""
+    rows = spectra(spark, sf_dir).withColumn("e", 0.1 + F.abs("flux") / 10)
+    rows = rows.withColumn("x", F.col("fiber") % 25).withColumn("y", F.floor(F.col("fiber") / 25))
+    return rounded(grid_ops.clipped_stats(rows, "flux", "e", 3.0))
+
+
 LEVELS = f"""(WITH s AS (SELECT exp, CASE WHEN idx < 24 THEN idx // 6 ELSE 4 + (idx - 24) // 5 END AS chunk, fiber % 4 AS amp, fiber, 1 + abs(flux) AS f FROM {SPEC}),
     m AS (SELECT exp, chunk, median(f) AS mid FROM s GROUP BY 1, 2) SELECT exp, chunk, amp, fiber, x, mid, mid AS y FROM (SELECT exp, chunk, amp, fiber, median(f) AS x FROM s GROUP BY ALL) JOIN m USING (exp, chunk))"""
 for _ in range(3):
