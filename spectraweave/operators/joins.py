@@ -106,23 +106,34 @@ def asof(
     mode: str = "backward",
     tolerance: float | None = None,
     out: str = "match",
+    bucket: float | None = None,
 ) -> DataFrame:
     """Adds to left the id of the right row before it in time (backward) or nearest to it (nearest).
 
     tolerance is in seconds. Of right rows at one time the smallest id counts;
-    a nearest tie goes to the earlier row. One shuffle by the keys; if a key may
-    hold very many rows, add a coarser time to the keys.
+    a nearest tie goes to the earlier row. One shuffle by the keys; where a key may
+    hold very many rows, give a bucket in seconds: rows are then dealt by key and
+    bucket, and the last and first right rows of the others are carried over.
     """
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     a = left.withColumn("__t", seconds).withColumn("__r", F.lit(None).cast("struct<t:double,id:bigint>")).withColumn("__side", F.lit(1))
     b = right.groupBy(*keys, seconds.alias("__t")).agg(F.min(F.col(right_id).cast("bigint")).alias("id"))
     b = b.withColumn("__r", F.struct(F.col("__t").alias("t"), "id")).drop("id").withColumn("__side", F.lit(0))
     both = a.unionByName(b, allowMissingColumns=True)
-    past = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.withColumn("__b", F.last("__r", True).over(past))
+    group = [*keys] if bucket is None else [*keys, "__bucket"]
+    if bucket is not None:
+        both = both.withColumn("__bucket", F.floor(F.col("__t") / bucket))
+        row = F.when(F.col("__side") == 0, F.col("__r"))
+        ends = both.groupBy(*group).agg(F.max(row).alias("__last"), F.min(row).alias("__first"))
+        along = Window.partitionBy(*keys).orderBy("__bucket")
+        ends = ends.withColumn("__before", F.last("__last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+        ends = ends.withColumn("__after", F.first("__first", True).over(along.rowsBetween(1, Window.unboundedFollowing))).drop("__last", "__first")
+        both = both.join(ends, group, "left")
+    line = Window.partitionBy(*group).orderBy("__t", "__side")
+    before, after = F.last("__r", True).over(line.rowsBetween(Window.unboundedPreceding, 0)), F.first("__r", True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    rows = both.withColumn("__b", before if bucket is None else F.coalesce(before, F.col("__before")))
     if mode == "nearest":
-        ahead = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
-        rows = rows.withColumn("__f", F.first("__r", True).over(ahead))
+        rows = rows.withColumn("__f", after if bucket is None else F.coalesce(after, F.col("__after")))
         later = F.col("__f.t") - F.col("__t") < F.col("__t") - F.col("__b.t")
         rows = rows.withColumn("__b", F.when(F.col("__b").isNull() | later, F.col("__f")).otherwise(F.col("__b")))
     gap = F.abs(F.col("__t") - F.col("__b.t"))

@@ -29,5 +29,5 @@ def fiber_names(df: DataFrame, shot: str, amp: str, ordinal: str, out: str = "fi
 
 
 def write_attribute(df: DataFrame, path: str, order: str, exp: str = "exp") -> None:
-    """One attribute, ordered within each exposure's folder."""
-    df.repartition(exp).sortWithinPartitions(exp, order).write.mode("overwrite").partitionBy(exp).parquet(path)
+    """One attribute, ordered within each exposure's folder; a large exposure's files hold one stretch of the order each."""
+    df.repartitionByRange(exp, order).sortWithinPartitions(exp, order).write.mode("overwrite").partitionBy(exp).parquet(path)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectraweave.operators import ordering
+from spectraweave.operators import joins, ordering
 
 
 def test_numbers_follow_the_order(spark):
@@ -33,3 +33,16 @@ def test_statistics_of_all_rows(spark, values):
         assert r.location == pytest.approx(np.median(x) + (d * (1 - u) ** 2).sum() / ((1 - u) ** 2).sum())
         assert r.scale == pytest.approx(np.sqrt(len(d) * (d**2 * (1 - u) ** 4).sum()) / abs(((1 - u) * (1 - 5 * u)).sum()))
         assert ordering.global_mad_std(df, F.col("v")).first()[0] == pytest.approx(1.4826 * np.median(np.abs(x - np.median(x))))
+
+
+@pytest.mark.parametrize("mode,tolerance", [("backward", None), ("backward", 40.0), ("nearest", None), ("nearest", 25.0)])
+def test_asof_by_buckets_is_asof(spark, mode, tolerance):
+    rng = np.random.default_rng(4)
+    at = lambda n: [(int(k), int(u), float(t)) for k, (u, t) in enumerate(zip(rng.integers(0, 3, n), rng.integers(0, 900, n)))]
+    left, right = (spark.createDataFrame(at(n), "id long, u int, s double").withColumn("ts", F.timestamp_seconds("s")) for n in (150, 25))
+    # a key of which all right rows lie in far buckets
+    right = right.unionByName(spark.createDataFrame([(99, 7, 0.0)], "id long, u int, s double").withColumn("ts", F.timestamp_seconds("s")))
+    left = left.unionByName(spark.createDataFrame([(999, 7, 880.0)], "id long, u int, s double").withColumn("ts", F.timestamp_seconds("s")))
+    found = lambda bucket: {r.id: r.match for r in joins.asof(left, right, ["u"], "ts", "id", "id", mode, tolerance, bucket=bucket).collect()}
+    want = found(None)
+    assert len(want) == 151 and found(60.0) == want and found(1e6) == want and (tolerance or want[999] == 99)
