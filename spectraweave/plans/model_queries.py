@@ -22,25 +22,24 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = f"(SELECT exp, rw AS row, idx AS col, fiber, flux FROM {ORDERED})"
 
 
-def clip_round(src: str, n_sigma: float = 2.0) -> str:
-    over = "OVER (PARTITION BY fiber)"
-    return f"(SELECT * EXCLUDE (c, m, s), CASE WHEN abs(c - m) <= {n_sigma} * s THEN c END AS c FROM (SELECT *, 1.4826 * median(abs(c - m)) {over} AS s FROM (SELECT *, median(c) {over} AS m FROM {src})))"
+def clipped_sql(src: str, n_sigma: float) -> str:
+    """(fiber, idx, c) of src, c NULL where a round clipped it: each fiber's list in as many rounds as it needs, until one takes nothing more out."""
+    return f"""(WITH RECURSIVE r AS (SELECT fiber, list(idx ORDER BY idx) AS place, list(c ORDER BY idx) AS v, true AS more FROM {src} GROUP BY 1
+    UNION ALL SELECT fiber, place, w, list_aggregate(w, 'count') < list_aggregate(v, 'count') FROM (SELECT fiber, place, v, list_transform(v, lambda x: CASE WHEN abs(x - m) <= {n_sigma} * s THEN x END) AS w
+    FROM (SELECT *, 1.4826 * list_aggregate(list_transform(v, lambda x: abs(x - m)), 'median') AS s FROM (SELECT *, list_aggregate(v, 'median') AS m FROM r WHERE more))))
+    SELECT fiber, unnest(place) AS idx, unnest(v) AS c FROM r WHERE NOT more)"""
 
 
-CLIPPED = f"(SELECT fiber, idx, flux AS c FROM {SPEC})"
-for _ in range(16):
-    CLIPPED = clip_round(CLIPPED)
+CLIPPED = clipped_sql(f"(SELECT fiber, idx, flux AS c FROM {SPEC})", 2.0)
 
 
 @query(f"SELECT fiber, idx, {s6('c')} AS clipped FROM {CLIPPED}")
 def rob_sigma_clip_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sigma clips of every spectrum until nothing more goes; the SQL takes more rounds than any needs."""
+    """Two sigma clips of every spectrum until nothing more goes."""
     return rounded(robust.sigma_clip_converged(spectra(spark, sf_dir), ["fiber"], "flux", 2.0).select("fiber", "idx", "clipped"))
 
 
-RATIOS = f"(SELECT fiber, idx, flux / (0.1 + abs(flux) / 10) AS c FROM {SPEC})"
-for _ in range(12):
-    RATIOS = clip_round(RATIOS, 3.0)
+RATIOS = clipped_sql(f"(SELECT fiber, idx, flux / (0.1 + abs(flux) / 10) AS c FROM {SPEC})", 3.0)
 
 
 @query(

@@ -39,3 +39,11 @@ def test_pairs_at_the_radius(spark, tmp_path, name, radius):
     got = sorted((r.vec_id_l, r.vec_id_r) for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert not [p for p in got if 0 in p and p != (0, 0)]
     assert got == sorted(r[:2] for r in con.sql(f"select vec_id_l, vec_id_r from ({SQL[name]})").fetchall())
+
+
+def test_clip_needs_many_rounds(spark, tmp_path):
+    # x(n) is little more than three times x(n / 2): a round takes out the last of them only
+    v = [(-1.0) ** k * k**1.65 for k in range(64)]
+    con = embeddings(tmp_path, [v], [0])
+    got = sorted((r.fiber, r.idx, r.clipped) for r in QUERIES["rob_sigma_clip_converged"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(f"select fiber, idx, clipped from ({SQL['rob_sigma_clip_converged']})").fetchall())
