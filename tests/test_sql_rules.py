@@ -47,3 +47,16 @@ def test_clip_needs_many_rounds(spark, tmp_path):
     con = embeddings(tmp_path, [v], [0])
     got = sorted((r.fiber, r.idx, r.clipped) for r in QUERIES["rob_sigma_clip_converged"](spark, str(tmp_path)).collect())
     assert got == sorted(con.sql(f"select fiber, idx, clipped from ({SQL['rob_sigma_clip_converged']})").fetchall())
+
+
+def test_mean_on_a_limit(spark, tmp_path):
+    # the mean of these is the limit itself, however they are added
+    discounts = [0.01, 0.09, 0.02, 0.08, 0.03, 0.07, 0.04, 0.06, 0.05, 0.1, 0.0] * 7
+    orders = [discounts, discounts[::-1], sorted(discounts), sorted(discounts, reverse=True)]
+    n = sum(map(len, orders))
+    rows = pa.table({"l_suppkey": [k for k, o in enumerate(orders) for _ in o], "l_quantity": [1.0] * n, "l_discount": [d for o in orders for d in o]})
+    pq.write_table(rows, f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet')")
+    got = {r.l_suppkey: r.d for r in QUERIES["qa_report"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.sql(f"select l_suppkey, d from ({SQL['qa_report']})").fetchall()) == dict.fromkeys(range(4), "warn")
