@@ -54,3 +54,12 @@ def test_nearest_match_in_a_dense_field(spark, pairs):
         else:
             assert r.match is None and r.sep is None and r.dra is None
     assert sum(pairs) < 60 * n
+
+
+def test_flag_near_in_a_dense_field(spark, pairs):
+    n = 1500
+    (a, ra, dec), (b, ra2, dec2) = field(spark, n, 3), field(spark, n, 4)
+    sep, near = nearest(ra, dec, ra2, dec2, 30.0)
+    got = {r.id: r.near for r in joins.flag_near(a, b, 30.0, "id").collect()}
+    assert got == {k: bool(near[k].any()) for k in range(n)}
+    assert sum(pairs) < 60 * n
