@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from .arrays import continuum
 from .fits import poly_fit
+from .lineage import cut
 from .robust import median
 from .traces import even_chunk, gaussian_kernel
 from .windows import ordered, running_median_2d
@@ -201,20 +202,38 @@ def model_image(waves: DataFrame, fibers: DataFrame, spectrum: DataFrame, levels
 def nearest_filled(grid: DataFrame, keys: Sequence[str], row: str, col: str, value: str, missing: Column | None = None, out: str = "filled") -> DataFrame:
     """Adds the value, and for a missing cell that of the nearest cell that has one (ties: the smaller row, then column).
 
-    Each row gives its nearest valid cell to either side of every column; a column's
-    missing cells then choose among those of all rows. So a group is a column of a
-    frame, with two candidates a row. A frame without values stays NULL.
+    Each row gives its nearest valid cell to either side of every column; a hole
+    looks among those of the rows close to it, and of ever more rows only while
+    what it found may not be the nearest. A frame without values stays NULL.
     """
     gone = F.col(value).isNull() if missing is None else missing | F.col(value).isNull()
     seen = F.when(~gone, F.struct(F.col(col).alias("c"), F.col(value).alias("v")))
     w = ordered([*keys, row], col)
     rows = grid.withColumn("__gone", gone).withColumn("__s", seen)
     rows = rows.withColumn("__l", F.last("__s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__r", F.first("__s", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    one = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(row).alias("r"), F.col(f"{c}.c").alias("c"), F.col(f"{c}.v").alias("v")))
-    lists = rows.groupBy(*keys, col).agg(F.concat(F.collect_set(one("__l")), F.collect_set(one("__r"))).alias("__all"))
-    holes = rows.where("__gone").select(*keys, row, col).join(lists, [*keys, col])
-    near = F.array_min(F.transform("__all", lambda s: F.struct((F.pow(s["r"] - F.col(row), 2) + F.pow(s["c"] - F.col(col), 2)).alias("d"), s["r"].alias("r"), s["c"].alias("c"), s["v"].alias("v"))))
-    filled = holes.select(*keys, row, col, near["v"].alias("__fill"))
+    rows = cut(rows.drop("__s"))
+    ends = F.filter(F.array("__l", "__r"), lambda s: s.isNotNull())
+    seen_from = rows.select(*keys, F.col(row).alias("__row"), col, ends.alias("__ends")).where(F.size("__ends") > 0)
+    frames = rows.where("not __gone").select(*keys).distinct()
+    todo = cut(rows.where("__gone").select(*keys, row, col).join(frames, list(keys), "left_semi"))
+    height = rows.agg(F.max(row) - F.min(row)).first()[0] or 0
+    reach, filled = 4, None
+    while True:
+        band = F.floor(F.col(row) / reach)
+        holes = todo.withColumn("__band", F.explode(F.array(band - 1, band, band + 1)))
+        near = seen_from.withColumn("__band", F.floor(F.col("__row") / reach))
+        met = holes.join(near, [*keys, col, "__band"])
+        best = F.array_min(F.transform("__ends", lambda s: F.struct((F.pow(F.col("__row") - F.col(row), 2) + F.pow(s["c"] - F.col(col), 2)).alias("d"), F.col("__row").alias("r"), s["c"].alias("c"), s["v"].alias("v"))))
+        found = met.groupBy(*keys, row, col).agg(F.min(best).alias("__n"))
+        tried = cut(todo.join(found, [*keys, row, col], "left"))
+        # rows that weren't looked at are farther off than the reach
+        sure = F.coalesce(F.col("__n.d") <= reach * reach, F.lit(False)) if reach <= height else F.lit(True)
+        hit = tried.where(sure).select(*keys, row, col, F.col("__n.v").alias("__fill"))
+        filled = hit if filled is None else filled.unionByName(hit)
+        todo = tried.where(~sure).drop("__n")
+        if reach > height or todo.isEmpty():
+            break
+        reach *= 2
     met = rows.join(filled, [*keys, row, col], "left")
     return met.withColumn(out, F.when(F.col("__gone"), F.col("__fill")).otherwise(F.col(value))).select(*grid.columns, out)
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spectraweave.operators import joins
+from spectraweave.operators import joins, models
 
 
 @pytest.fixture()
@@ -63,3 +63,16 @@ def test_flag_near_in_a_dense_field(spark, pairs):
     got = {r.id: r.near for r in joins.flag_near(a, b, 30.0, "id").collect()}
     assert got == {k: bool(near[k].any()) for k in range(n)}
     assert sum(pairs) < 60 * n
+
+
+def test_nearest_filled_looks_close_by_first(spark):
+    # a stretch without values that takes several reaches, and a frame with none
+    g = np.random.default_rng(6)
+    rows = [(0, r, c, None if 10 <= r < 60 or g.random() < 0.4 else float(g.normal())) for r in range(90) for c in range(4)] + [(1, r, 0, None) for r in range(3)]
+    df = models.nearest_filled(spark.createDataFrame(rows, "k int, r int, c int, v double"), ["k"], "r", "c", "v")
+    known = [(r, c, v) for k, r, c, v in rows if v is not None]
+    for x in df.collect():
+        want = x.v if x.v is not None else min(((r - x.r) ** 2 + (c - x.c) ** 2, r, c, v) for r, c, v in known)[3] if x.k == 0 else None
+        assert x.filled == want
+    # no list of a whole column
+    assert "collect_" not in df._jdf.queryExecution().toString()
