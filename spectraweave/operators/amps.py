@@ -132,8 +132,9 @@ def at_wavelengths(spectra: DataFrame, knots: DataFrame, keys: Sequence[str], wa
     b = knots.select(*keys, F.col(wave).cast("double").alias("__w"), k.alias("__k")).withColumn("__knot", F.lit(True))
     both = a.unionByName(b, allowMissingColumns=True)
     past = Window.partitionBy(*keys).orderBy("__w").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*keys).orderBy("__w").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = both.withColumn("__a", F.last("__k", True).over(past)).withColumn("__b", F.first("__k", True).over(ahead)).where("__knot is null")
+    # looked at from the end: a frame that runs to the last row would be gone through again for every row
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("__w")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.withColumn("__a", F.last("__k", True).over(past)).withColumn("__b", F.last("__k", True).over(ahead)).where("__knot is null")
     share = F.coalesce(F.try_divide(F.col("__w") - F.col("__a.w"), F.col("__b.w") - F.col("__a.w")), F.lit(0.0))
     return rows.select(*spectra.columns, *[(F.col(f"__a.{v}") + (F.col(f"__b.{v}") - F.col(f"__a.{v}")) * share).alias(f"{mark}{v}") for v in values])
 

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spectraweave.operators import joins, models
+from spectraweave.operators import amps, joins, models
+from spectraweave.plans import all_queries
 
 
 @pytest.fixture()
@@ -76,3 +77,25 @@ def test_nearest_filled_looks_close_by_first(spark):
         assert x.filled == want
     # no list of a whole column
     assert "collect_" not in df._jdf.queryExecution().toString()
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString().lower()
+
+
+def test_no_frame_to_the_last_row(spark):
+    # Spark goes through such a frame anew for every row
+    s = spark.createDataFrame([(0, float(w), 2.0 * w) for w in range(20)], "k int, w double, v double")
+    out = amps.at_wavelengths(s.withColumn("w", F.col("w") + 0.25), s, ["k"], "w", ["v"])
+    assert "currentrow$(), unboundedfollowing" not in plan(out)
+    assert [r["__tv"] for r in sorted(out.collect())] == [pytest.approx(2 * w + 0.5) for w in range(19)] + [None]
+    rows = [(0, r, c, None if 4 <= r < 8 and c == 1 else 1.0) for r in range(12) for c in range(2)]
+    out = models.readout_gaps(spark.createDataFrame(rows, "k int, r int, c int, v double"), ["k"], "r", "c", "v")
+    assert "currentrow$(), unboundedfollowing" not in plan(out)
+    assert {(r.r, r.c) for r in out.collect() if r.kept is None} == {(r, 1) for r in range(4, 12)}
+
+
+def test_small_inputs_are_dealt_to_all_tasks(spark, sf):
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    for name in ("grd_fiber_weights", "grd_extract_sources", "grd_normalised_sources"):
+        assert f", {tasks}), repartition_by_num" in plan(all_queries()[0][name](spark, sf))
