@@ -127,7 +127,8 @@ def readout_gaps(grid: DataFrame, keys: Sequence[str], row: str, col: str, value
     Rows are those of a frame from 0 on, counted from the readout side. What lies
     behind a defect was read through it. The last two rows begin no gap.
     """
-    ahead = ordered([*keys, col], row).rowsBetween(0, Window.unboundedFollowing)
+    # counted from the end: a frame that runs to the last row would be gone through again for every row
+    ahead = ordered([*keys, col], F.desc(row)).rowsBetween(Window.unboundedPreceding, 0)
     column = Window.partitionBy(*keys, col)
     missing = F.count(F.when(F.col(value).isNull(), 1)).over(ahead)
     rest = F.max(row).over(column) + 1 - F.col(row)
