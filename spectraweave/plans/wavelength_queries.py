@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import wavelengths, windows
+from ..operators.lineage import dealt
 from .sql_tools import apart_sql, poly_sql
 from .registry import SPEC, query, rounded, s6, spectra
 from .trace_queries import ORDERED
@@ -34,7 +35,9 @@ ARCS = f"(SELECT exp, fiber, col, {PEAKS_LIGHT} + {FALSE_LIGHT} AS flux FROM (SE
 
 def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectra(spark, sf_dir).where("idx = 0").withColumn("fiber", F.row_number().over(Window.partitionBy("exp").orderBy("fiber")) - 1)
-    rows = rows.select("exp", "fiber", F.abs("flux").alias("f"), F.explode(F.sequence(F.lit(0), F.lit(COLUMNS - 1))).alias("col"))
+    # a fiber's row becomes a spectrum of many: few small rows are else left to one task
+    rows = dealt(rows.select("exp", "fiber", F.abs("flux").alias("f")), "exp", "fiber")
+    rows = rows.select("exp", "fiber", "f", F.explode(F.sequence(F.lit(0), F.lit(COLUMNS - 1))).alias("col"))
     return rows.select("exp", "fiber", "col", F.expr(f"{PEAKS_LIGHT} + {FALSE_LIGHT}").alias("flux"))
 
 

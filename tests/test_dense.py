@@ -99,3 +99,7 @@ def test_small_inputs_are_dealt_to_all_tasks(spark, sf):
     tasks = spark.conf.get("spark.sql.shuffle.partitions")
     for name in ("grd_fiber_weights", "grd_extract_sources", "grd_normalised_sources"):
         assert f", {tasks}), repartition_by_num" in plan(all_queries()[0][name](spark, sf))
+
+
+def test_arcs_are_dealt_to_all_tasks(spark, sf):
+    assert f", {spark.conf.get('spark.sql.shuffle.partitions')}), repartition_by_num" in plan(all_queries()[0]["fit_arc_subsets"](spark, sf))
