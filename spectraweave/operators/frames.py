@@ -108,12 +108,16 @@ def single_pass_sky(spectra: DataFrame, exp: str, fiber: str, i: str, flux: str,
 
 
 def image_background(pixels: DataFrame, keys: Sequence[str], value: str, levels: int = 26) -> DataFrame:
-    """The background with the least relative scatter: of `levels` equal steps between the 5th and 60th percentile, the values below which vary least."""
-    ends = pixels.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.6))).alias("__p"))
+    """The background with the least relative scatter: of `levels` equal steps between the 5th and 60th percentile, the values below which vary least.
+
+    Equal values are counted first, so that a level's copy is one of distinct values.
+    """
+    pixels = pixels.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__times"))
+    ends = pixels.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.6)), F.col("__times")).alias("__p"))
     grid = ends.select(*keys, "__p", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("__i"))
     grid = grid.withColumn("__top", F.col("__p")[0] + (F.col("__p")[1] - F.col("__p")[0]) * F.col("__i") / levels)
     below = pixels.join(grid, list(keys)).where(F.col(value) <= F.col("__top")) if keys else pixels.crossJoin(F.broadcast(grid)).where(F.col(value) <= F.col("__top"))
-    stats = biweight(below, [*keys, "__i"], value)
+    stats = biweight(below, [*keys, "__i"], value, times="__times")
     rel = F.try_divide(F.col("scale"), F.abs("location"))
     best = stats.where(rel.isNotNull()).withColumn("__rel", rel).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("__rel", "__i")))
     return best.where("__r = 1").select(*keys, F.col("location").alias("background"), F.col("scale").alias("noise"))

@@ -30,11 +30,12 @@ def null_bad(x: Column, sentinel: float = -999.0) -> Column:
     return F.when(~F.isnan(x) & (x > sentinel), x)
 
 
-def with_deviation(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """Adds __m (group median), __d (deviation from it) and __mad (its median size)."""
+def with_deviation(df: DataFrame, keys: Sequence[str], x: str, times: str | None = None) -> DataFrame:
+    """Adds __m (group median), __d (deviation from it) and __mad (its median size); times: how many rows a row stands for."""
     w = Window.partitionBy(*keys)
-    out = df.withColumn("__m", median(F.col(x)).over(w)).withColumn("__d", F.col(x) - F.col("__m"))
-    return out.withColumn("__mad", median(F.abs("__d")).over(w))
+    n = F.lit(1) if times is None else F.col(times)
+    out = df.withColumn("__m", F.percentile(F.col(x), 0.5, n).over(w)).withColumn("__d", F.col(x) - F.col("__m"))
+    return out.withColumn("__mad", F.percentile(F.abs("__d"), 0.5, n).over(w))
 
 
 def _weights(c: float) -> tuple[Column, Column]:
@@ -43,17 +44,18 @@ def _weights(c: float) -> tuple[Column, Column]:
     return u2, inside
 
 
-def biweight(df: DataFrame, keys: Sequence[str], x: str, c: float = 9.0, loc: str = "location", scale: str | None = "scale") -> DataFrame:
-    """Biweight location and scale of x by keys; a MAD of 0 gives the median and a NULL scale."""
+def biweight(df: DataFrame, keys: Sequence[str], x: str, c: float = 9.0, loc: str = "location", scale: str | None = "scale", times: str | None = None) -> DataFrame:
+    """Biweight location and scale of x by keys; a MAD of 0 gives the median and a NULL scale; times: how many rows a row stands for."""
     u2, inside = _weights(c)
     d, w = F.col("__d"), F.pow(1 - u2, 2)
-    sums = with_deviation(df, keys, x).groupBy(*keys).agg(
+    n = F.lit(1) if times is None else F.col(times)
+    sums = with_deviation(df, keys, x, times).groupBy(*keys).agg(
         F.first("__m", True).alias("__m"),
-        F.sum(F.when(inside, d * w)).alias("__dw"),
-        F.sum(F.when(inside, w)).alias("__w"),
-        F.count(F.when(inside, 1)).alias("__n"),
-        F.sum(F.when(inside, d * d * F.pow(1 - u2, 4))).alias("__top"),
-        F.abs(F.sum(F.when(inside, (1 - u2) * (1 - 5 * u2)))).alias("__bottom"),
+        F.sum(F.when(inside, n * d * w)).alias("__dw"),
+        F.sum(F.when(inside, n * w)).alias("__w"),
+        F.coalesce(F.sum(F.when(inside, n)), F.lit(0)).alias("__n"),
+        F.sum(F.when(inside, n * d * d * F.pow(1 - u2, 4))).alias("__top"),
+        F.abs(F.sum(F.when(inside, n * (1 - u2) * (1 - 5 * u2)))).alias("__bottom"),
     )
     out = [*keys, (F.col("__m") + F.coalesce(F.try_divide("__dw", "__w"), F.lit(0.0))).alias(loc)]
     if scale:

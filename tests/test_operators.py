@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraweave.functions import scalar, sky
-from spectraweave.operators import amps, arrays, calibrate, catalog, detection, extraction, fits, grid, joins, qa, robust, windows
+from spectraweave.operators import amps, arrays, calibrate, catalog, detection, extraction, fits, frames, grid, joins, qa, robust, windows
 from spectraweave.sources import scans, sinks
 from spectraweave.streaming import nightly
 
@@ -328,3 +328,32 @@ def test_cosmics_of_a_crowd_without_a_row_for_each_pair(spark):
     assert {(r.fiber, r.idx) for r in out.collect()} == want and len(want) > 50
     # no join of fibers with fibers: what is shuffled is a row for each fiber and cell
     assert "Join" not in out._jdf.queryExecution().toString()
+
+
+def test_image_background_copies_distinct_values_only(spark):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(100, 5, 400), 1).tolist()
+    df = spark.createDataFrame([(k % 2, x) for k, x in enumerate(v)], "k int, v double")
+    many = df.crossJoin(spark.range(20).select(F.lit(1).alias("one"))).drop("one")
+
+    def widest(d):  # rows of the largest table that a window or level's copy sees
+        calls, plain = [], frames.biweight
+        frames.biweight = lambda below, *a, **k: calls.append(below.count()) or plain(below, *a, **k)
+        try:
+            rows = {r.k: (r.background, r.noise) for r in frames.image_background(d, ["k"], "v").collect()}
+        finally:
+            frames.biweight = plain
+        return rows, calls[0]
+
+    (once, few), (again, same) = widest(df), widest(many)
+    assert few == same and set(once) == {0, 1}
+    levels = np.linspace(np.quantile(v[::2], 0.05), np.quantile(v[::2], 0.6), 27)[1:]
+    best = []
+    for n, top in enumerate(levels):
+        x = np.repeat([a for a in v[::2] if a <= top], 20)
+        d = x - np.median(x)
+        u = d / (9 * np.median(abs(d)))
+        w, i = (1 - u**2) ** 2, abs(u) < 1
+        loc, scale = np.median(x) + (d * w)[i].sum() / w[i].sum(), math.sqrt(i.sum() * (d**2 * (1 - u**2) ** 4)[i].sum()) / abs(((1 - u**2) * (1 - 5 * u**2))[i].sum())
+        best.append((scale / abs(loc), n, loc, scale))
+    assert once[0] == pytest.approx(min(best)[2:], rel=1e-6)
