@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .lineage import dealt
 from .robust import median
 
 
@@ -133,9 +136,59 @@ def curve_of_growth(df: DataFrame, keys: Sequence[str], radius: str, flux: str,
     return df.withColumn(out, F.try_divide(F.sum(flux).over(upto), F.sum(flux).over(Window.partitionBy(*keys))))
 
 
+#: Cells of a tile along x and y, and values of their boxes that are sorted together.
+_TILE, _SORTED = (256, 512), 4_000_000
+
+
+def _box_medians(f: pd.DataFrame, half: tuple[int, int]) -> pd.DataFrame:
+    """(x, y, median) of a tile's own cells, from all cells (x, y, v) that their boxes reach."""
+    tile = [int(f[c].iloc[0]) for c in ("__tx", "__ty")]
+    # the place within the tile, whose own cells begin behind the reach of the box
+    x, y = (f[c].to_numpy() - t * size + h for c, t, size, h in zip("xy", tile, _TILE, half))
+    shape = [min(size + 2 * h, int(p.max()) + h + 1) for size, h, p in zip(_TILE, half, (x, y))]
+    f = f.assign(px=x, py=y)
+    some = f[f["v"].notna() | f["nan"]]
+    layer = some.groupby(["px", "py"]).cumcount().to_numpy()  # a cell may be there several times
+    # what is absent is sorted last, as NaN is
+    values, there = np.full((max(1, layer.max(initial=0) + 1), *shape), np.nan), np.zeros(shape, int)
+    values[layer, some["px"], some["py"]] = some["v"]
+    np.add.at(there, (some["px"], some["py"]), 1)
+    box = [2 * h + 1 for h in half]
+    views = np.lib.stride_tricks.sliding_window_view(values, box, axis=(1, 2))
+    counts = np.lib.stride_tricks.sliding_window_view(there, box)
+    inside = (x >= half[0]) & (x < half[0] + _TILE[0]) & (y >= half[1]) & (y < half[1] + _TILE[1])
+    own = np.unique(np.stack([x, y], 1)[inside] - half, axis=0)
+    out, empty, step = np.empty(len(own)), np.zeros(len(own), bool), max(1, _SORTED // (len(values) * box[0] * box[1]))
+    for k in range(0, len(own), step):
+        i, j = own[k : k + step].T
+        boxes = np.sort(np.moveaxis(views[:, i, j], 0, 1).reshape(len(i), -1), axis=1)
+        n, at = counts[i, j].sum((1, 2)), np.arange(len(i))
+        out[k : k + step] = 0.5 * boxes[at, np.maximum(n - 1, 0) // 2] + 0.5 * boxes[at, np.minimum(n // 2, boxes.shape[1] - 1)]
+        empty[k : k + step] = n == 0
+    return pd.DataFrame({"x": own[:, 0] + tile[0] * _TILE[0], "y": own[:, 1] + tile[1] * _TILE[1], "m": out, "empty": empty})
+
+
 def running_median_2d(df: DataFrame, keys: Sequence[str], x: str, y: str, value: str, half_x: int, half_y: int, out: str = "running") -> DataFrame:
-    """Adds the median of the cells in a box about each; absent cells don't count."""
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-half_x, half_x + 1) for b in range(-half_y, half_y + 1)])
-    spread = df.select(*keys, x, y, F.col(value).alias("__v"), F.explode(offsets).alias("o"))
-    spread = spread.select(*keys, (F.col(x) + F.col("o.a")).alias(x), (F.col(y) + F.col("o.b")).alias(y), "__v")
-    return df.join(spread.groupBy(*keys, x, y).agg(median(F.col("__v")).alias(out)), [*keys, x, y])
+    """Adds the median of the cells in a box about each; absent cells don't count, and a box without values has NULL.
+
+    Cells meet in tiles, each with the cells about it that its boxes reach, so
+    that few cells are in more than one tile. x and y are whole numbers.
+    """
+    half, v = (half_x, half_y), F.col(value).cast("double")
+    named = [F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)]
+    cells = df.select(*named, F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"), v.alias("v"), F.coalesce(F.isnan(v), F.lit(False)).alias("nan"))
+    for c, h, size in zip("xy", half, _TILE):
+        cells = cells.withColumn(f"__t{c}", F.explode(F.sequence(F.floor((F.col(c) - h) / size), F.floor((F.col(c) + h) / size))))
+    groups = [*[f"__k{n}" for n in range(len(keys))], "__tx", "__ty"]
+
+    def solve(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        found = _box_medians(f, half)
+        for n in range(len(keys)):
+            found[f"__k{n}"] = key[n]
+        return found
+
+    types = dict(cells.dtypes)
+    schema = ", ".join(["x long", "y long", "m double", "empty boolean", *[f"__k{n} {types[f'__k{n}']}" for n in range(len(keys))]])
+    found = dealt(cells, *groups).groupBy(*groups).applyInPandas(solve, schema)
+    found = found.select(*[F.col(f"__k{n}").alias(k) for n, k in enumerate(keys)], F.col("x").alias(x), F.col("y").alias(y), F.when(~F.col("empty"), F.col("m")).alias(out))
+    return df.join(found, [*keys, x, y])

@@ -357,3 +357,18 @@ def test_image_background_copies_distinct_values_only(spark):
         loc, scale = np.median(x) + (d * w)[i].sum() / w[i].sum(), math.sqrt(i.sum() * (d**2 * (1 - u**2) ** 4)[i].sum()) / abs(((1 - u**2) * (1 - 5 * u**2))[i].sum())
         best.append((scale / abs(loc), n, loc, scale))
     assert once[0] == pytest.approx(min(best)[2:], rel=1e-6)
+
+
+def test_running_median_2d_meets_in_tiles(spark):
+    rng = np.random.default_rng(6)
+    # across tiles' borders, with gaps, nulls, NaN, a cell that is there twice, and places below 0
+    rows = [(k, x, y, None if rng.random() < 0.2 else float(rng.normal())) for k in (1, 2) for x in [*range(-4, 4), *range(252, 262), 1000] for y in range(509, 515) if rng.random() < 0.8]
+    rows += [(1, 255, 511, 7.0), (1, 255, 511, 8.0), (2, 256, 512, math.nan), (2, 5000, 0, None)]
+    df = spark.createDataFrame(rows, "k int, x long, y int, v double").repartition(3)
+    got = windows.running_median_2d(df, ["k"], "x", "y", "v", 3, 1)
+    # no row for each cell of each box
+    assert "explode" in got._jdf.queryExecution().toString() and got.count() == len(rows)
+    for r in {(r.k, r.x, r.y, r.running) for r in got.collect() if not (r.running is not None and math.isnan(r.running))}:
+        near = sorted((v for k, x, y, v in rows if k == r[0] and abs(x - r[1]) <= 3 and abs(y - r[2]) <= 1 and v is not None), key=lambda v: (math.isnan(v), v))
+        want = 0.5 * near[(len(near) - 1) // 2] + 0.5 * near[len(near) // 2] if near else None
+        assert r[3] == (want if want is None else pytest.approx(want))
