@@ -303,8 +303,9 @@ def near_earlier(distinct: DataFrame, bands: list[Band]) -> DataFrame:
     # a bucket counts if it holds a line's own segment and another line
     bucket = Window.partitionBy("seg")
     some, lines = F.max(F.col("meta") % 2).over(bucket) == 1, F.min("h").over(bucket) != F.max("h").over(bucket)
-    shared = rows.withColumn("__met", some & lines).withColumn("many", F.count("*").over(bucket) > 2)
-    shared = checkpointed(shared.where("__met").select("h", "seg", "meta", "many"))
+    # a line whose words repeat has one segment at several places; it counts once
+    shared = rows.withColumn("__met", some & lines).where("__met").groupBy("seg", "h").agg(F.max("meta").alias("meta"))
+    shared = checkpointed(shared.select("h", "seg", "meta", (F.count("*").over(bucket) > 2).alias("many")))
     ids = checkpointed(shared.select("h").distinct())
     words = _words(F.col("norm")) if of("words") else F.array().cast("array<string>")
     signs = [F.size(words).alias("n_words"), _counts(F.col("norm"), F.col("n")).alias("chars"), _parities(words, 0).alias("odd0"), _parities(words, 7, 0).alias("odd1"), _parities(words, 7, 1).alias("odd2")]
@@ -321,7 +322,6 @@ def near_earlier(distinct: DataFrame, bands: list[Band]) -> DataFrame:
     apart = F.when(in_words, odd > 2 * k).otherwise(_apart(F.col("sign.a"), F.col("sign2.a"), k))
     close = (F.abs(F.col("sign.n") - F.col("sign2.n")) <= k) & ~apart
     earlier = F.col("first") > F.col("first2")
-    other = lambda df: df.select("seg", F.col("h").alias("h2"), F.col("own").alias("own2"), F.col("first").alias("first2"), F.col("sign").alias("sign2"))
     lead = counted.groupBy("seg").agg(F.min(F.struct("first", "h", "own", "sign")).alias("l"))
     lead = lead.select("seg", F.col("l.h").alias("h2"), F.col("l.own").alias("own2"), F.col("l.first").alias("first2"), F.col("l.sign").alias("sign2"))
     led = checkpointed(counted.join(lead, "seg").where((F.col("own") | F.col("own2")) & earlier & close).select("h", "h2", "band").distinct())
@@ -329,9 +329,28 @@ def near_earlier(distinct: DataFrame, bands: list[Band]) -> DataFrame:
     # where two lines meet, that was all
     more = counted.where("many")
     left = checkpointed(more.join(_met(settled), "h", "left_anti"))
-    near = left.where("own").join(other(more).where("not own2"), "seg").where(earlier & close).select("h", "h2", "band")
-    near = near.unionByName(left.join(other(more).where("own2"), "seg").where(earlier & close).select("h", "h2", "band"))
-    return settled.unionByName(_verified(checkpointed(near.distinct().join(led, ["h", "h2", "band"], "left_anti")), texts, bands))
+    more = more.join(_met(checkpointed(left.select("seg").distinct())), "seg", "left_semi")
+    near = _met_once(left, more, lambda df: df.where(earlier & close))
+    return settled.unionByName(_verified(checkpointed(near.join(led, ["h", "h2", "band"], "left_anti")), texts, bands))
+
+
+def _met_once(left: DataFrame, more: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(h, h2, band): the pairs of a line of left and one of more that have a segment in common, which one of them has as its own, each once.
+
+    left and more(h, seg, band, own, first, sign) hold a line's segment once, and
+    more has all of left. kept leaves out pairs by first, sign and band. Lines that
+    are near, or end in the same words, meet in many segments: a pair is made in
+    the smallest of them only.
+    """
+    lists = more.groupBy("h", "band").agg(F.collect_list("seg").alias("every"), F.collect_list(F.when(F.col("own"), F.col("seg"))).alias("owned"))
+    lists = checkpointed(lists)
+    # rows of one line, of at most all its segments
+    left, more = (df.join(lists, ["h", "band"]) for df in (left, more))
+    other = more.select("seg", *[F.col(c).alias(f"{c}2") for c in ("h", "own", "first", "sign", "every", "owned")])
+    common = F.concat(F.array_intersect("every", "owned2"), F.array_intersect("owned", "every2"))
+    least = F.col("seg") == F.array_min(common)
+    pairs = lambda mine, yours: kept(mine.join(yours, "seg")).where(least).select("h", "h2", "band")
+    return pairs(left.where("own"), other.where("not own2")).unionByName(pairs(left, other.where("own2")))
 
 
 def _words_within(a: Column, b: Column, k: int) -> Column:

@@ -92,3 +92,17 @@ def test_short_lines(spark):
 def test_query_takes_short_lines(spark, tmp_path):
     spark.createDataFrame([(1, "short\nnew"), (2, "Short\nother")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.doc_id, r.removed) for r in op1_line_dedup(spark, str(tmp_path)).collect()} == {(1, ""), (2, "0")}
+
+
+def test_lines_that_end_alike(spark):
+    # nine words apart, so not near, but alike in every segment of the tail
+    docs = [(n, " ".join([f"head{n}x{i}" for i in range(9)] + ["onhe."] * 181)) for n in range(6)]
+    docs.append((6, " ".join([f"head0x{i}" for i in range(8)] + ["other"] + ["onhe."] * 181)))
+    assert [t != "" for _, t in sorted(check(spark, docs).items())] == [True] * 6 + [False]
+
+
+def test_met_once(spark):
+    rows = [(h, seg, 5, own, h) for h in (1, 2, 3) for seg, own in ((10, True), (20, False), (30, True))] + [(4, 20, 5, True, 4), (4, 40, 5, True, 4)]
+    df = spark.createDataFrame(rows, "h long, seg long, band int, own boolean, first long").withColumn("sign", F.lit(0))
+    got = line_dedup._met_once(df, df, lambda x: x.where("first > first2"))
+    assert sorted(map(tuple, got.collect())) == [(2, 1, 5), (3, 1, 5), (3, 2, 5), (4, 1, 5), (4, 2, 5), (4, 3, 5)]
