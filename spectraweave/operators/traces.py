@@ -47,7 +47,7 @@ def chunk_profiles(frame: DataFrame, keys: Sequence[str], value: str, chunks: in
 
 def without_pedestal(profiles: DataFrame, keys: Sequence[str], value: str, window: int = 201, p: float = 0.05, degree: int = 2, sigma: float = 1.5, out: str = "clean") -> DataFrame:
     """Adds the profile less its pedestal, smoothed: a polynomial through the running low percentile, then a Gaussian kernel."""
-    rows = running_percentile(profiles, keys, "row", value, window, p, "__low")
+    rows = cut(running_percentile(profiles, keys, "row", value, window, p, "__low"))  # the fit reads it three times
     rows = poly_fit(rows, keys, "row", "__low", degree, out="__base").withColumn("__c", F.col(value) - F.coalesce("__base", F.lit(0.0)))
     return smooth(rows, keys, "row", "__c", gaussian_kernel(sigma), out).select(*profiles.columns, out)
 
@@ -93,12 +93,14 @@ def fiber_peaks(peaks: DataFrame, locations: DataFrame, keys: Sequence[str]) ->
     good = every.where("dead = 0").select(*keys, "fiber", "__n_good", F.lit("good").alias("__kind"), F.row_number().over(line).alias("__k"))
     whole = every.where("__n_all > __n_good").select(*keys, "fiber", "__n_all", F.lit("all").alias("__kind"), F.row_number().over(line).alias("__k"))
     ranks = good.withColumnRenamed("__n_good", "__n").unionByName(whole.withColumnRenamed("__n_all", "__n"))
+    peaks = cut(peaks)  # read once for the good fibers and once for the dead
     found = peaks.withColumn("__k", F.row_number().over(here.orderBy("row"))).withColumn("__n", F.count("*").over(here))
     seen = found.join(ranks, [*keys, "__n", "__k"])
     # a dead fiber's nearest good one
     place = F.when(F.col("dead") == 0, F.struct("fiber", "position"))
     near = every.withColumn("__a", F.last(place, True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    near = near.withColumn("__b", F.first(place, True).over(line.rowsBetween(0, Window.unboundedFollowing))).where("dead <> 0")
+    # from the end: a frame that runs to the last fiber would be gone through again for every fiber
+    near = near.withColumn("__b", F.last(place, True).over(w.orderBy(F.desc("fiber")).rowsBetween(Window.unboundedPreceding, 0))).where("dead <> 0")
     lower = F.coalesce(F.col("fiber") - F.col("__a.fiber") <= F.col("__b.fiber") - F.col("fiber"), F.col("__b").isNull())
     from_ = F.when(lower, F.col("__a")).otherwise(F.col("__b"))
     near = near.select(*keys, F.col("fiber").alias("__dead"), from_["fiber"].alias("fiber"), (F.col("position") - from_["position"]).alias("__off"))
@@ -158,6 +160,6 @@ def fiber_traces(
     """
     profiles = cut(chunk_profiles(frame, keys, value, chunks))  # a chunk's width smaller than the frame, and read several times
     clean = without_pedestal(profiles, [*keys, "chunk"], value, window)
-    peaks = cut(profile_peaks(clean, [*keys, "chunk"], value, "clean", expected(locations, keys), keys))
+    peaks = profile_peaks(clean, [*keys, "chunk"], value, "clean", expected(locations, keys), keys)
     columns = frame.groupBy(*keys).agg((F.max("col") + 1).cast("long").alias("n"))
     return curves(fiber_peaks(peaks, locations, keys), [*keys, "fiber"], "at", "trace", columns, keys, degree)

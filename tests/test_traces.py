@@ -83,3 +83,15 @@ def test_wavelength_map_from_an_eighth_of_the_fibers(spark, sf):
     sizes = [r[0] for r in places(spark, sf).groupBy("exp").count().select("count").collect()]
     enough = [n for n in sizes if len({*range(2, n, 8), n - 3}) >= 7]  # with fewer seeds an exposure has no map
     assert r.n == sum(enough) and len(enough) >= 8 and r.worst < 0.1
+
+
+def test_pedestal_is_measured_once_and_dead_fibers_look_from_the_end(spark):
+    rows = [("a", 0, 0.0, r, 1.0 + r % 8) for r in range(40)]
+    profiles = spark.createDataFrame(rows, "amp string, chunk int, at double, row int, flux double")
+    clean = traces.without_pedestal(profiles, ["amp", "chunk"], "flux", window=9)
+    assert "percentile" not in clean._jdf.queryExecution().optimizedPlan().toString()  # else for each of the fit's three readings
+    peaks = spark.createDataFrame([("a", 0, 0.5, r, 2.0, float(r)) for r in (8, 24)], "amp string, chunk int, at double, row int, height double, peak double")
+    where = spark.createDataFrame([("a", 0, 0.0, 1), ("a", 1, 8.0, 0), ("a", 2, 16.5, 1), ("a", 3, 24.0, 0), ("a", 4, 32.0, 1)], "amp string, fiber int, position double, dead int")
+    out = traces.fiber_peaks(peaks, where, ["amp"])
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.fiber, r.trace) for r in out.collect()) == [(0, 0.0), (1, 8.0), (2, 16.5), (3, 24.0), (4, 32.0)]
