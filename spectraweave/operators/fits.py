@@ -68,15 +68,25 @@ def poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int, we
 def robust_poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int, kind: str = "huber", rounds: int = 5, out: str = "model") -> DataFrame:
     """poly_fit reweighted in fixed rounds: Huber (1.35) or Tukey (4.685) weights of residuals over 1.4826 MAD."""
     limit = {"huber": 1.35, "tukey": 4.685}[kind]
-    now, w = cut(df.withColumn("__w", F.lit(1.0))), Window.partitionBy(*keys)
-    for _ in range(rounds):
-        now = cut(poly_fit(now.drop(out), keys, x, y, degree, F.col("__w"), out))
-        now = now.withColumn("__r", F.col(y) - F.col(out))
-        now = now.withColumn("__s", median(F.abs("__r")).over(w) * MAD_TO_SIGMA)
-        u = F.abs(F.try_divide(F.col("__r"), F.col("__s")))
-        weight = F.when(u <= limit, 1.0).otherwise(limit / u) if kind == "huber" else F.when(u < limit, F.pow(1 - F.pow(u / limit, 2), 2)).otherwise(0.0)
-        now = now.withColumn("__w", F.coalesce(weight, F.lit(1.0))).drop("__r", "__s")
-    return now.select(*df.columns, out)
+    keys, w, terms = list(keys), Window.partitionBy(*keys), powers(F.col("__u"), degree)
+    met = lambda rows, few: rows.join(few, keys, "left") if keys else rows.crossJoin(few)
+    ends = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    scaled = F.coalesce(F.try_divide(2 * (F.col(x) - F.col("__lo")), F.col("__hi") - F.col("__lo")) - 1, F.lit(0.0))
+    # the rounds carry only what the fit reads; all other columns meet the last coefficients once
+    read = list(dict.fromkeys([*keys, x, y]))
+    now = met(df.select(*read).where(F.col(y).isNotNull()), ends).select(*keys, scaled.alias("__u"), F.col(y).alias("__y"), F.lit(1.0).alias("__w"))
+    now = cut(now)
+    for n in range(rounds):
+        fit = linear_fit(now, keys, terms, F.col("__y"), F.col("__w")).select(*keys, F.col("coef").alias("__coef"))
+        if n < rounds - 1:
+            now = met(now, fit).withColumn("__r", F.abs(F.col("__y") - evaluate(F.col("__coef"), terms)))
+            u = F.try_divide(F.col("__r"), median(F.col("__r")).over(w) * MAD_TO_SIGMA)
+            now = now.withColumn("__q", u).drop("__w")
+            u = F.col("__q")
+            weight = F.when(u <= limit, 1.0).otherwise(limit / u) if kind == "huber" else F.when(u < limit, F.pow(1 - F.pow(u / limit, 2), 2)).otherwise(0.0)
+            now = cut(now.select(*keys, "__u", "__y", F.coalesce(weight, F.lit(1.0)).alias("__w")))
+    curve = met(ends, fit)
+    return met(df, cut(curve)).withColumn("__u", scaled).withColumn(out, evaluate(F.col("__coef"), terms)).select(*df.columns, out)
 
 
 def plane_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str, clip: float | None = 3.0, rounds: int = 2, out: str = "plane") -> DataFrame:

@@ -372,3 +372,13 @@ def test_running_median_2d_meets_in_tiles(spark):
         near = sorted((v for k, x, y, v in rows if k == r[0] and abs(x - r[1]) <= 3 and abs(y - r[2]) <= 1 and v is not None), key=lambda v: (math.isnan(v), v))
         want = 0.5 * near[(len(near) - 1) // 2] + 0.5 * near[len(near) // 2] if near else None
         assert r[3] == (want if want is None else pytest.approx(want))
+
+
+def test_robust_poly_carries_only_what_it_fits(spark, monkeypatch):
+    seen, cut = [], fits.cut
+    monkeypatch.setattr(fits, "cut", lambda df: seen.append(df.columns) or cut(df))
+    rows = [("a", float(i), 2.0 + 3 * i + (90.0 if i == 4 else 0.01 * (-1) ** i), f"note {i}") for i in range(12)] + [("b", None, 1.0, "n"), (None, 1.0, 2.0, "m"), ("a", 3.0, None, "p")]
+    out = fits.robust_poly_fit(spark.createDataFrame(rows, "k string, x double, y double, note string"), ["k"], "x", "y", 1, kind="tukey").collect()
+    assert seen and all("note" not in columns for columns in seen)
+    assert len(out) == len(rows) and all(abs(r.model - (2 + 3 * r.x)) < 0.05 for r in out if r.k == "a")
+    assert all(r.model is None for r in out if r.k != "a")
