@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -162,9 +163,14 @@ def stacked_profile(samples: DataFrame, keys: Sequence[str], offset: str, value:
 
 def profile_samples(frame: DataFrame, trace: DataFrame, spectra: DataFrame, keys: Sequence[str], value: str, flux: str, reach: float = 6.0) -> DataFrame:
     """(keys, fiber, col, offset, share): the pixels within reach of each trace, over the fiber's own flux there."""
-    near = trace.withColumn("row", F.explode(F.sequence(F.ceil(F.col("trace") - reach), F.floor(F.col("trace") + reach))))
-    met = near.join(frame.select(*keys, F.col("row").cast("long").alias("row"), "col", value), [*keys, "row", "col"]).join(spectra.select(*keys, "fiber", "col", flux), [*keys, "fiber", "col"])
-    return met.select(*keys, "fiber", "col", (F.col("row") - F.col("trace")).alias("offset"), F.try_divide(value, flux).alias("share"))
+    # a trace meets the pixels of its stretches of rows: one or two copies of it, where one for each pixel would be a dozen
+    stretch = max(1, math.ceil(4 * reach))
+    lit = trace.join(spectra.select(*keys, "fiber", "col", F.col(flux).alias("__flux")), [*keys, "fiber", "col"])
+    lit = lit.withColumn("__low", F.ceil(F.col("trace") - reach)).withColumn("__high", F.floor(F.col("trace") + reach))
+    near = lit.withColumn("__part", F.explode(F.sequence(F.floor(F.col("__low") / stretch), F.floor(F.col("__high") / stretch))))
+    pixels = frame.select(*keys, F.col("row").cast("long").alias("row"), "col", F.col(value).alias("__value")).withColumn("__part", F.floor(F.col("row") / stretch))
+    met = near.join(pixels, [*keys, "col", "__part"]).where(F.col("row").between(F.col("__low"), F.col("__high")))
+    return met.select(*keys, "fiber", "col", (F.col("row") - F.col("trace")).alias("offset"), F.try_divide("__value", "__flux").alias("share"))
 
 
 def column_surface(points: DataFrame, pixels: DataFrame, keys: Sequence[str], at: str, value: str, degree: int = 7, out: str = "surface") -> DataFrame:

@@ -119,6 +119,19 @@ def test_profile_from_many_phases(spark):
     assert len(got) == 25 and all(abs(r.y - shape(r.x)) < 0.02 for r in got)
 
 
+def test_samples_without_a_copy_of_the_trace_for_each_pixel(spark):
+    frame = spark.createDataFrame([(0, r, 0, float(r)) for r in range(-30, 80)], "k int, row int, col int, v double")
+    places = [-20.5, 5.5, 23.0, 24.0, 41.7, 79.2]
+    trace = spark.createDataFrame([(0, n, 0, t) for n, t in enumerate(places)] + [(0, 9, 0, None)], "k int, fiber int, col int, trace double")
+    spec = spark.createDataFrame([(0, n, 0, 2.0) for n in range(6)], "k int, fiber int, col int, flux double")
+    out = models.profile_samples(frame, trace, spec, ["k"], "v", "flux")
+    got = sorted((r.fiber, round(r.offset + places[r.fiber]), r.share) for r in out.collect())
+    assert got == [(n, r, r / 2) for n, t in enumerate(places) for r in range(-30, 80) if abs(r - t) <= 6]
+    # what is exploded are the stretches of rows, not the rows
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Generate" in line] and all("__part" in line for line in plan.splitlines() if "Generate" in line)
+
+
 def test_model_image(spark):
     rows, cols = 40, 6
     wave = lambda r, c: 100 + 2 * c + 0.3 * r + 0.002 * r * r
