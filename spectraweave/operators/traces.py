@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .fits import poly_fit
-from .lineage import cut
+from .lineage import cut, dealt
 from .robust import MAD_TO_SIGMA, median
 from .windows import ordered, running_percentile, smooth
 
@@ -47,7 +47,7 @@ def chunk_profiles(frame: DataFrame, keys: Sequence[str], value: str, chunks: in
 
 def without_pedestal(profiles: DataFrame, keys: Sequence[str], value: str, window: int = 201, p: float = 0.05, degree: int = 2, sigma: float = 1.5, out: str = "clean") -> DataFrame:
     """Adds the profile less its pedestal, smoothed: a polynomial through the running low percentile, then a Gaussian kernel."""
-    rows = cut(running_percentile(profiles, keys, "row", value, window, p, "__low"))  # the fit reads it three times
+    rows = cut(running_percentile(dealt(profiles, *keys), keys, "row", value, window, p, "__low"))  # the fit reads it three times
     rows = poly_fit(rows, keys, "row", "__low", degree, out="__base").withColumn("__c", F.col(value) - F.coalesce("__base", F.lit(0.0)))
     return smooth(rows, keys, "row", "__c", gaussian_kernel(sigma), out).select(*profiles.columns, out)
 
