@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Narrow rows (a few numbers each) that a task of its own is worth.
+ROWS_A_TASK = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,6 +55,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame, rows: int, each: int = ROWS_A_TASK) -> DataFrame:
+    """df, of about so many narrow rows, in no more partitions than these need: a task for each shuffle partition costs more than few rows do.
+
+    Two at least, as what follows one partition would not be dealt out again.
+    """
+    return df.coalesce(max(2, -(-rows // each)))
+
+
 def with_columns_from(df: DataFrame, source: str, find: Callable[[list], dict[str, pa.Array]], schema: str, drop: bool = False) -> DataFrame:
     """df with columns that find makes from the values of a column, an Arrow batch at a time; they take the place of columns of their names.
 
@@ -87,15 +99,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # no step makes more links than these and their mirror images
+        few = partial(sized, rows=2 * state[0])
+        now = few(now)
         if state[0] == 0 or tuple(state) == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+                few(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
             )
         before = tuple(state)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = checkpointed(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        both = few(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        low = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        large = checkpointed(few(large))
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = checkpointed(few(few(small.unionByName(low.select("u", F.col("m").alias("v")))).distinct()))

@@ -15,6 +15,7 @@ similar.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components
+from .common import checkpointed, connected_components, sized
 
 SEED = 42
 #: Fingerprints in a tile, about; a pair of tiles is one unit of work.
@@ -214,8 +215,8 @@ def _candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, limit: i
         yield again, again
 
 
-def _met(nodes: DataFrame, similarity: float, limit: int, tile: int) -> DataFrame:
-    """(u, v): candidates among nodes(key, n, group, sketch), and (u, u) for nodes that have more of them.
+def _met(nodes: DataFrame, count: int, similarity: float, limit: int, tile: int) -> DataFrame:
+    """(u, v): candidates among `count` nodes(key, n, group, sketch), and (u, u) for nodes that have more of them.
 
     Sets of one band of sizes and of the next are compared: others differ too much in size.
     """
@@ -224,9 +225,8 @@ def _met(nodes: DataFrame, similarity: float, limit: int, tile: int) -> DataFram
     # a row for each band, whose number grows with the logarithm of the longest text
     cells = banded.groupBy("band").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     dealt = banded.join(F.broadcast(cells), "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("long"))
-    tiles = checkpointed(
-        dealt.groupBy("band", "part").agg(F.flatten(F.collect_list("row")).alias("rows")).withColumn("tile", F.col("band") * (1 << 40) + F.col("part"))
-    )
+    filled = dealt.groupBy("band", "part").agg(F.flatten(F.collect_list("row")).alias("rows")).withColumn("tile", F.col("band") * (1 << 40) + F.col("part"))
+    tiles = checkpointed(sized(filled, count))
     left = tiles.select(F.col("tile").alias("a"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     pairs = left.join(tiles.select(F.col("tile").alias("b"), "band"), "band").where("a <= b").select("a", "b")
     work = (
@@ -246,17 +246,18 @@ def _met(nodes: DataFrame, similarity: float, limit: int, tile: int) -> DataFram
     return work.mapInPandas(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _blocked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, tag, block) of the nodes of pairs(u, v), in blocks of about BLOCK shingles of nodes that mostly meet each other.
+def _blocked(pairs: DataFrame, count: int, nodes: DataFrame) -> DataFrame:
+    """(key, tag, block) of the nodes of `count` pairs(u, v), in blocks of about BLOCK shingles of nodes that mostly meet each other.
 
     A node's label is the least key within two steps; the nodes of one label are dealt into as many blocks as their sizes need.
     """
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label"))
-    label = both.join(low.select(F.col("u").alias("v"), "label"), "v").groupBy(F.col("u").alias("key")).agg(F.min("label").alias("label"))
-    labelled = checkpointed(nodes.select("key", "tag", "n").join(label, "key"))
-    parts = labelled.groupBy("label").agg(F.ceil(F.sum(F.col("n") + _NODE) / BLOCK).alias("parts"))
-    return labelled.join(parts, "label").select("key", "tag", F.xxhash64("label", F.pmod(F.xxhash64("key"), "parts")).alias("block"))
+    few = partial(sized, rows=2 * count)
+    both = few(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    low = few(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")))
+    label = few(few(both.join(low.select(F.col("u").alias("v"), "label"), "v")).groupBy(F.col("u").alias("key")).agg(F.min("label").alias("label")))
+    labelled = checkpointed(few(nodes.select("key", "tag", "n").join(label, "key")))
+    parts = few(labelled.groupBy("label").agg(F.ceil(F.sum(F.col("n") + _NODE) / BLOCK).alias("parts")))
+    return few(labelled.join(parts, "label").select("key", "tag", F.xxhash64("label", F.pmod(F.xxhash64("key"), "parts")).alias("block")))
 
 
 def _sets(rows: np.ndarray) -> dict[int, np.ndarray]:
@@ -281,12 +282,12 @@ def _verified(u: np.ndarray, v: np.ndarray, sets: dict[int, np.ndarray], similar
     return good
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs(u, v) of nodes whose sets of shingles are similar, by the sets themselves.
+def _similar(pairs: DataFrame, count: int, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of `count` pairs(u, v) of nodes whose sets of shingles are similar, by the sets themselves.
 
     A set travels once for each pair of blocks that has work for its block, not once for each of its pairs.
     """
-    named = checkpointed(_blocked(pairs, nodes))
+    named = checkpointed(_blocked(pairs, count, nodes))
     text = F.col(text_col).cast("string")
     texts = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("tag"), text.alias("text")).join(named, "tag").groupBy("key", "block").agg(F.first("text").alias("text"))
 
@@ -297,8 +298,10 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
 
     blocks = checkpointed(texts.mapInPandas(listed, "block long, row array<long>").groupBy("block").agg(F.flatten(F.collect_list("row")).alias("rows")))
     block = named.select("key", "block")
-    placed = pairs.join(block.select(F.col("key").alias("u"), F.col("block").alias("a")), "u").join(block.select(F.col("key").alias("v"), F.col("block").alias("b")), "v")
-    meet = checkpointed(placed.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs")))
+    few = partial(sized, rows=count)
+    placed = few(pairs.join(block.select(F.col("key").alias("u"), F.col("block").alias("a")), "u"))
+    placed = few(placed.join(block.select(F.col("key").alias("v"), F.col("block").alias("b")), "v"))
+    meet = checkpointed(few(placed.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs"))))
     first, second = blocks.select(F.col("block").alias("a"), F.col("rows").alias("ra")), blocks.select(F.col("block").alias("b"), F.col("rows").alias("rb"))
     within = meet.where("a = b").join(first, "a").select("us", "vs", "ra", F.lit(None).cast("array<long>").alias("rb"))
     across = meet.where("a <> b").join(first, "a").join(second, "b").select("us", "vs", "ra", "rb")
@@ -329,21 +332,27 @@ def near_copies(
     """
     rows = checkpointed(_sketched(docs, id_col, text_col, shingle))
     nodes = checkpointed(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    looked, limit = nodes.where("n > 0").select("key", "n", F.col("key").alias("group"), "sketch"), FIRST_CANDIDATES
+    total = nodes.count()
+    nodes = sized(nodes, total)
+    looked, count, limit = nodes.where("n > 0").select("key", "n", F.col("key").alias("group"), "sketch"), total, FIRST_CANDIDATES
     tested = linked = roots = None
+    made = 0
     while True:
-        met = checkpointed(_met(looked, similarity, limit, tile))
+        met = checkpointed(_met(looked, count, similarity, limit, tile))
+        new, open_ = met.agg(F.count_if(F.col("u") != F.col("v")), F.count_if(F.col("u") == F.col("v"))).first()
+        met, made = sized(met, new + open_), made + new
         fresh = met.where("u <> v")
-        fresh = checkpointed(fresh.join(tested, ["u", "v"], "left_anti")) if tested is not None else fresh
-        near = checkpointed(_similar(fresh, nodes, docs, text_col, shingle, similarity))
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        linked = near if linked is None else linked.unionByName(near)
+        fresh = checkpointed(sized(fresh.join(tested, ["u", "v"], "left_anti"), new)) if tested is not None else fresh
+        near = checkpointed(_similar(fresh, new, nodes, docs, text_col, shingle, similarity))
+        tested = fresh if tested is None else sized(tested.unionByName(fresh), made)
+        linked = sized(near if linked is None else linked.unionByName(near), made)
         roots = connected_components(linked).select(F.col("node").alias("key"), "root")
-        again = met.where("u = v").select(F.col("u").alias("key"))
-        if again.isEmpty():
+        if not open_:
             break
-        looked = nodes.join(again, "key").join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("group"), "sketch")
+        again = met.where("u = v").select(F.col("u").alias("key"))
+        joined = sized(sized(nodes.join(again, "key"), open_).join(roots, "key", "left"), open_)
+        looked, count = checkpointed(joined.select("key", "n", F.coalesce("root", "key").alias("group"), "sketch")), open_
         limit *= MORE_CANDIDATES
-    named = nodes.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    named = sized(nodes.join(roots, "key", "left"), total).select("key", "least", F.coalesce("root", "key").alias("root"))
     lows = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.select("key", "root").join(lows, "root"), "key").select("doc_id", "component_id")

@@ -80,3 +80,17 @@ def test_components_of_a_chain(spark):
     got = connected_components(edges.union(edges).union(spark.createDataFrame([(900, 900), (901, 905)], "u long, v long")))
     rows = {r.node: r.root for r in got.collect()}
     assert rows == {**{i: 0 for i in range(301)}, 901: 901, 905: 901}
+
+
+def test_few_links_take_few_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        roots = connected_components(spark.createDataFrame([(k, k + 1) for k in range(40) if k % 10 != 9], "u long, v long"))
+        assert roots.rdd.getNumPartitions() <= 8
+        assert sorted(map(tuple, roots.collect())) == [(k, k - k % 10) for k in range(40)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
