@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import dealt
 from .robust import biweight, mad_std, median, sigma_clip_converged
 
 
@@ -51,14 +52,20 @@ def median_mosaic(points: DataFrame, keys: Sequence[str], shot: str, order: str,
 
 
 def smooth_2d(image: DataFrame, keys: Sequence[str], value: str, sigma: float, reach: int, variance: bool = False, out: str = "smoothed") -> DataFrame:
-    """(keys, px, py, out) for the pixels present: a Gaussian mean over those present; variance: of independent variances, by squared weights."""
-    steps = [(a, b, math.exp(-0.5 * (a * a + b * b) / sigma**2)) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
-    stamp = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in steps])
-    spread = image.where(F.col(value).isNotNull()).select(*keys, "px", "py", F.col(value).alias("__v"), F.explode(stamp).alias("s"))
-    spread = spread.select(*keys, (F.col("px") + F.col("s.a")).alias("px"), (F.col("py") + F.col("s.b")).alias("py"), "__v", F.col("s.w").alias("__w"))
-    w = F.col("__w") * F.col("__w") if variance else F.col("__w")
-    total = F.pow(F.sum("__w"), 2) if variance else F.sum("__w")
-    sums = spread.groupBy(*keys, "px", "py").agg((F.sum(F.col("__v") * w) / total).alias(out))
+    """(keys, px, py, out) for the pixels present: a Gaussian mean over those present; variance: of independent variances, by squared weights.
+
+    The Gaussian is the product of one along each axis, so sums are taken along
+    px, then along py, each on rows dealt by the other axis: a pixel is shuffled
+    once for each, and copied along one axis at a time.
+    """
+    weights = [(a, math.exp(-0.5 * a * a / sigma**2)) for a in range(-reach, reach + 1)]
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(w).alias("w"), F.lit(w * w if variance else w).alias("v")) for a, w in weights]))
+    sums = image.where(F.col(value).isNotNull()).select(*keys, "px", "py", F.col(value).alias("__v"), F.lit(1.0).alias("__w"))
+    for along, other in (("px", "py"), ("py", "px")):
+        spread = dealt(sums, *keys, other).select(*keys, along, other, "__v", "__w", steps.alias("s"))
+        spread = spread.withColumn(along, F.col(along) + F.col("s.a"))
+        sums = spread.groupBy(*keys, "px", "py").agg(F.sum(F.col("__v") * F.col("s.v")).alias("__v"), F.sum(F.col("__w") * F.col("s.w")).alias("__w"))
+    sums = sums.select(*keys, "px", "py", (F.col("__v") / (F.pow("__w", 2) if variance else F.col("__w"))).alias(out))
     return image.select(*keys, "px", "py").join(sums, [*keys, "px", "py"], "left")
 
 

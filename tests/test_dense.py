@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spectraweave.operators import amps, joins, models
+from spectraweave.operators import amps, grid, joins, models
 from spectraweave.plans import all_queries
 
 
@@ -103,3 +103,26 @@ def test_small_inputs_are_dealt_to_all_tasks(spark, sf):
 
 def test_arcs_are_dealt_to_all_tasks(spark, sf):
     assert f", {spark.conf.get('spark.sql.shuffle.partitions')}), repartition_by_num" in plan(all_queries()[0]["fit_arc_subsets"](spark, sf))
+
+
+@pytest.mark.parametrize("variance", [False, True])
+def test_smooth_2d_copies_along_one_axis_at_a_time(spark, monkeypatch, variance):
+    copies, plain = [], F.explode
+
+    def counted(array):
+        copies.append(spark.range(1).select(F.size(array)).first()[0])
+        return plain(array)
+
+    monkeypatch.setattr(F, "explode", counted)
+    r, reach, sigma = np.random.default_rng(4), 3, 1.2
+    cells = [(k % 2, int(x), int(y), None if x == y else float(r.normal())) for k, (x, y) in enumerate(r.integers(0, 12, (90, 2)))]
+    cells = list({c[:3]: c for c in cells}.values())
+    image = spark.createDataFrame(cells, "k int, px int, py int, v double")
+    got = {tuple(row[:3]): row.smoothed for row in grid.smooth_2d(image, ["k"], "v", sigma, reach, variance=variance).collect()}
+    assert len(got) == len(cells)
+    for k, x, y, _ in cells:
+        near = [(v, np.exp(-0.5 * ((a - x) ** 2 + (b - y) ** 2) / sigma**2)) for j, a, b, v in cells if j == k and v is not None and abs(a - x) <= reach and abs(b - y) <= reach]
+        w = np.array([n[1] for n in near])
+        want = (np.array([n[0] for n in near]) * (w * w if variance else w)).sum() / (w.sum() ** 2 if variance else w.sum()) if near else None
+        assert got[k, x, y] == (None if want is None else pytest.approx(want, abs=1e-9))
+    assert max(copies) == 2 * reach + 1
