@@ -145,6 +145,9 @@ def _box_medians(f: pd.DataFrame, half: tuple[int, int]) -> pd.DataFrame:
     tile = [int(f[c].iloc[0]) for c in ("__tx", "__ty")]
     # the place within the tile, whose own cells begin behind the reach of the box
     x, y = (f[c].to_numpy() - t * size + h for c, t, size, h in zip("xy", tile, _TILE, half))
+    inside = (x >= half[0]) & (x < half[0] + _TILE[0]) & (y >= half[1]) & (y < half[1] + _TILE[1])
+    if not inside.any():  # only cells that the boxes of others reach, of which there are none: less than a box
+        return pd.DataFrame({"x": x[:0], "y": y[:0], "m": np.empty(0), "empty": np.zeros(0, bool)})
     shape = [min(size + 2 * h, int(p.max()) + h + 1) for size, h, p in zip(_TILE, half, (x, y))]
     f = f.assign(px=x, py=y)
     some = f[f["v"].notna() | f["nan"]]
@@ -156,7 +159,6 @@ def _box_medians(f: pd.DataFrame, half: tuple[int, int]) -> pd.DataFrame:
     box = [2 * h + 1 for h in half]
     views = np.lib.stride_tricks.sliding_window_view(values, box, axis=(1, 2))
     counts = np.lib.stride_tricks.sliding_window_view(there, box)
-    inside = (x >= half[0]) & (x < half[0] + _TILE[0]) & (y >= half[1]) & (y < half[1] + _TILE[1])
     own = np.unique(np.stack([x, y], 1)[inside] - half, axis=0)
     out, empty, step = np.empty(len(own)), np.zeros(len(own), bool), max(1, _SORTED // (len(values) * box[0] * box[1]))
     for k in range(0, len(own), step):

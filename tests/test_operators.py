@@ -374,6 +374,14 @@ def test_running_median_2d_meets_in_tiles(spark):
         assert r[3] == (want if want is None else pytest.approx(want))
 
 
+def test_running_median_2d_where_a_tile_has_only_what_others_reach(spark):
+    # the last cells lie so near a tile's end that the next tile gets them, and less than a box of them
+    rows = [(x, y, float((7 * x + 3 * y) % 11)) for x in range(248, 255) for y in (3, 4)]
+    got = windows.running_median_2d(spark.createDataFrame(rows, "x long, y long, v double"), [], "x", "y", "v", 3, 1).collect()
+    assert len(got) == len(rows)
+    assert all(r.running == np.median([v for x, y, v in rows if abs(x - r.x) <= 3 and abs(y - r.y) <= 1]) for r in got)
+
+
 def test_robust_poly_carries_only_what_it_fits(spark, monkeypatch):
     seen, cut = [], fits.cut
     monkeypatch.setattr(fits, "cut", lambda df: seen.append(df.columns) or cut(df))
