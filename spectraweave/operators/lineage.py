@@ -6,6 +6,10 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a table of a few numbers that is broadcast.
+FEW = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +39,14 @@ def dealt(df: DataFrame, *columns: str) -> DataFrame:
     else merged by size, or come from one file, and leave all to one task.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A written copy of df for the right side of a join that has many rows for each of its own: broadcast if its rows are few, else the hashed side of a shuffle.
+
+    Without it the adaptive planner may broadcast the many rows instead, if they
+    are finished first: it goes by their bytes as compressed in shuffle files, and
+    in the driver repetitive rows are ten times that and more.
+    """
+    small = cut(df)
+    return F.broadcast(small) if small.limit(FEW + 1).count() <= FEW else small.hint("shuffle_hash")

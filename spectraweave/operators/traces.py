@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .fits import poly_fit
-from .lineage import cut, dealt
+from .lineage import cut, dealt, few
 from .robust import MAD_TO_SIGMA, median
 from .windows import ordered, running_percentile, smooth
 
@@ -41,7 +41,7 @@ def chunk_profiles(frame: DataFrame, keys: Sequence[str], value: str, chunks: in
     frame: keys, row, col and the value. Frames may differ in their numbers of columns.
     """
     wide = frame.groupBy(*keys).agg((F.max("col") + 1).alias("__n"))
-    rows = frame.join(wide, list(keys)).withColumn("chunk", even_chunk(F.col("col"), F.col("__n"), chunks))
+    rows = frame.join(few(wide), list(keys)).withColumn("chunk", even_chunk(F.col("col"), F.col("__n"), chunks))
     return rows.groupBy(*keys, "chunk", "row").agg(F.avg("col").alias("at"), median(F.col(value)).alias(value))
 
 
@@ -65,7 +65,7 @@ def profile_peaks(profiles: DataFrame, keys: Sequence[str], value: str, clean: s
     at = F.col("row") - F.try_divide(b - a, 2 * (b - 2 * y + a))
     rows = profiles.withColumn("__up", up & down).withColumn("peak", at).where("__up").withColumn("height", F.col(clean))
     whole = Window.partitionBy(*keys)
-    rows = rows.join(most, list(per)).withColumn("__r", F.row_number().over(whole.orderBy(F.desc("height"), "row")))
+    rows = rows.join(few(most), list(per)).withColumn("__r", F.row_number().over(whole.orderBy(F.desc("height"), "row")))
     rows = rows.withColumn("__mid", F.max(F.when(F.col("__r") == F.ceil(F.col("n_good") / 2), F.col("height"))).over(whole))
     rows = rows.withColumn("__high", F.count(F.when((F.col("__r") <= F.col("n_all")) & (F.col("height") >= F.col("__mid") / 2), 1)).over(whole))
     kept = F.when(F.col("__high") >= F.col("n_all"), F.col("n_all")).otherwise(F.col("n_good"))
@@ -95,7 +95,8 @@ def fiber_peaks(peaks: DataFrame, locations: DataFrame, keys: Sequence[str]) ->
     ranks = good.withColumnRenamed("__n_good", "__n").unionByName(whole.withColumnRenamed("__n_all", "__n"))
     peaks = cut(peaks)  # read once for the good fibers and once for the dead
     found = peaks.withColumn("__k", F.row_number().over(here.orderBy("row"))).withColumn("__n", F.count("*").over(here))
-    seen = found.join(ranks, [*keys, "__n", "__k"])
+    # both sides follow the fibers, so neither is to be broadcast
+    seen = found.join(ranks.hint("shuffle_hash"), [*keys, "__n", "__k"])
     # a dead fiber's nearest good one
     place = F.when(F.col("dead") == 0, F.struct("fiber", "position"))
     near = every.withColumn("__a", F.last(place, True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
@@ -104,7 +105,7 @@ def fiber_peaks(peaks: DataFrame, locations: DataFrame, keys: Sequence[str]) ->
     lower = F.coalesce(F.col("fiber") - F.col("__a.fiber") <= F.col("__b.fiber") - F.col("fiber"), F.col("__b").isNull())
     from_ = F.when(lower, F.col("__a")).otherwise(F.col("__b"))
     near = near.select(*keys, F.col("fiber").alias("__dead"), from_["fiber"].alias("fiber"), (F.col("position") - from_["position"]).alias("__off"))
-    filled = seen.where("__kind = 'good'").join(near, [*keys, "fiber"])
+    filled = seen.where("__kind = 'good'").join(near.hint("shuffle_hash"), [*keys, "fiber"])
     kept = seen.select(*keys, "chunk", "at", "fiber", F.col("peak").alias("trace"), F.lit(False).alias("filled"))
     return kept.unionByName(filled.select(*keys, "chunk", "at", F.col("__dead").alias("fiber"), (F.col("peak") + F.col("__off")).alias("trace"), F.lit(True).alias("filled")))
 
@@ -132,7 +133,7 @@ def curves(points: DataFrame, keys: Sequence[str], x: str, y: str, at: DataFrame
     polynomial of as high a degree as they allow; a key without points has no rows.
     """
     packed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.collect_list(F.col(x).cast("double")).alias("__x"), F.collect_list(F.col(y).cast("double")).alias("__y"))
-    packed = packed.join(at, list(per))
+    packed = packed.join(few(at), list(per))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .fits import evaluate, linear_fit, poly_fit, powers
-from .lineage import cut
+from .lineage import cut, few
 from .robust import median
 from .windows import local_peaks, suppress_close, top_n
 
@@ -124,7 +124,7 @@ def seed_spectra(arcs: DataFrame, keys: Sequence[str], flux: str, every: int = 8
     size = arcs.groupBy(*keys).agg(F.max("fiber").alias("__last"))
     near = F.array(*[F.col("fiber") + d for d in range(-around, around + 1)])
     is_seed = lambda s: (s >= first) & (s <= F.col("__last")) & ((F.pmod(s - first, F.lit(every)) == 0) | (s == F.greatest(F.col("__last") - first, F.lit(0))))
-    dealt = arcs.join(size, list(keys)).withColumn("__seed", F.explode(F.array_distinct(F.filter(near, is_seed))))
+    dealt = arcs.join(few(size), list(keys)).withColumn("__seed", F.explode(F.array_distinct(F.filter(near, is_seed))))
     return dealt.groupBy(*keys, F.col("__seed").alias("fiber"), "col").agg(median(F.col(flux)).alias(flux))
 
 
@@ -143,12 +143,12 @@ def wavelength_map(
     peaks = local_peaks(seeds, [*keys, "fiber"], "col", flux, threshold).select(*keys, "fiber", "peak", flux)
     found, _ = identify_arc(peaks, [*keys, "fiber"], "peak", flux, lines, brightest, separation, most, tolerance, degree)
     good = found.where((F.col("rms") > 0) & (F.col("rms") < limit)).withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("__n") >= least)
-    last = traces.groupBy(*keys).agg(F.max("col").alias("__last"))
+    last = few(traces.groupBy(*keys).agg(F.max("col").alias("__last")))
     grid = traces.join(last, list(keys)).where((F.col("col") % columns == 0) | (F.col("col") == F.col("__last"))).select(*keys, "fiber", "col", "trace")
     seen = grid.join(good.select(*keys, "fiber", "mid", "half", "coef"), [*keys, "fiber"], "left")
     seen = seen.withColumn("__wave", evaluate(F.col("coef"), _terms(F.col("col"), degree))).select(*keys, "fiber", "col", "trace", "__wave")
     across = poly_fit(cut(seen), [*keys, "col"], "trace", "__wave", degree, out="__across").where("__across > 0")
     place = 2 * F.col("col") / F.greatest(F.col("n_last"), F.lit(1)) - 1
     along = linear_fit(across.join(last.withColumnRenamed("__last", "n_last"), list(keys)), [*keys, "fiber", "n_last"], powers(place, degree), F.col("__across")).where("coef is not null")
-    rows = traces.select(*keys, "fiber", "col").join(along, [*keys, "fiber"])
+    rows = traces.select(*keys, "fiber", "col").join(few(along), [*keys, "fiber"])
     return rows.select(*keys, "fiber", "col", evaluate(F.col("coef"), powers(place, degree)).alias("wave"))

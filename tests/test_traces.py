@@ -1,10 +1,12 @@
 """Planted traces, arcs and wavelengths come back."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectraweave.operators import traces, wavelengths
+from spectraweave.operators import lineage, traces, wavelengths
 from spectraweave.plans.trace_queries import TRACE, fit_fiber_traces, places
 from spectraweave.plans.wavelength_queries import LINES, at_column, fit_wavelength_map
 
@@ -95,3 +97,22 @@ def test_pedestal_is_measured_once_and_dead_fibers_look_from_the_end(spark):
     out = traces.fiber_peaks(peaks, where, ["amp"])
     assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.fiber, r.trace) for r in out.collect()) == [(0, 0.0), (1, 8.0), (2, 16.5), (3, 24.0), (4, 32.0)]
+
+
+def hints(df):
+    """The strategies of the joins' sides, as asked for."""
+    return re.findall(r"(left|right)Hint=\(strategy=(\w+)\)", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_profiles_and_traces_broadcast_no_table_that_follows_the_frames(spark, monkeypatch):
+    frame = spark.createDataFrame([(a, r, c, float(r + c)) for a in "ab" for r in range(5) for c in range(8)], "amp string, row int, col int, flux double")
+    profiles = traces.chunk_profiles(frame, ["amp"], "flux", 2)
+    assert hints(profiles) == [("right", "broadcast")]  # the one row a frame; else the planner may take the frame itself
+    want = sorted(map(tuple, profiles.collect()))
+    monkeypatch.setattr(lineage, "FEW", 1)
+    many = traces.chunk_profiles(frame, ["amp"], "flux", 2)
+    assert hints(many) == [("right", "shuffle_hash")] and sorted(map(tuple, many.collect())) == want and len(want) == 20
+    peaks = spark.createDataFrame([("a", 0, 0.5, r, 2.0, float(r)) for r in (8, 24)], "amp string, chunk int, at double, row int, height double, peak double")
+    where = spark.createDataFrame([("a", 1, 8.0, 0), ("a", 2, 16.5, 1), ("a", 3, 24.0, 0)], "amp string, fiber int, position double, dead int")
+    out = traces.fiber_peaks(peaks, where, ["amp"])
+    assert {h for _, h in hints(out)} == {"shuffle_hash"} and out.count() == 3
