@@ -87,7 +87,7 @@ def model_matches(peaks: DataFrame, models: DataFrame, keys: Sequence[str], x: s
     """
     terms = _terms(F.col(x), degree)
     slope = sum((F.get("coef", F.lit(k)) * k * terms[k - 1] for k in range(1, degree + 1)), F.lit(0.0)) / F.col("half")
-    rows = peaks.select(*keys, x).join(models.select(*keys, "mid", "half", "coef"), list(keys)).where("coef is not null")
+    rows = peaks.select(*keys, x).join(models.select(*keys, "mid", "half", "coef").hint("shuffle_hash"), list(keys)).where("coef is not null")
     rows = rows.withColumn("__wave", evaluate(F.col("coef"), terms)).withColumn("__s", F.when(F.abs(slope) < _FLAT, _USUAL).otherwise(F.abs(slope)))
     rows = rows.withColumn("line", F.explode(F.array(*map(F.lit, sorted(map(float, lines)))))).withColumn("residual", F.col("__wave") - F.col("line"))
     nearest = top_n(rows, [*keys, "line"], 1, F.abs("residual"), x).where(F.abs("residual") / F.col("__s") <= tolerance)
@@ -112,7 +112,7 @@ def identify_arc(
     fit = cut(linear_fit(first, [*keys, "mid", "half"], _terms(F.col(x), degree), F.col("line")).where("coef is not null").drop("n"))
     matches = model_matches(apart, fit, keys, x, lines, degree, tolerance)
     found = matches.groupBy(*keys).agg(F.count("*").alias("n_match"), F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rms"))
-    return fit.join(found, list(keys)).select(*keys, "mid", "half", "coef", "n_match", "rms"), matches.select(*keys, "line", x, "residual")
+    return fit.join(found.hint("shuffle_hash"), list(keys)).select(*keys, "mid", "half", "coef", "n_match", "rms"), matches.select(*keys, "line", x, "residual")
 
 
 def seed_spectra(arcs: DataFrame, keys: Sequence[str], flux: str, every: int = 8, first: int = 2, around: int = 2) -> DataFrame:

@@ -116,3 +116,13 @@ def test_profiles_and_traces_broadcast_no_table_that_follows_the_frames(spark, m
     where = spark.createDataFrame([("a", 1, 8.0, 0), ("a", 2, 16.5, 1), ("a", 3, 24.0, 0)], "amp string, fiber int, position double, dead int")
     out = traces.fiber_peaks(peaks, where, ["amp"])
     assert {h for _, h in hints(out)} == {"shuffle_hash"} and out.count() == 3
+
+
+def test_wavelength_map_broadcasts_no_pixels(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", f, c, float(c % 7)) for f in range(6) for c in range(8)], "amp string, fiber int, col int, flux double")
+    assert hints(wavelengths.seed_spectra(rows, ["amp"], "flux")) == [("right", "broadcast")]
+    named = []
+    monkeypatch.setattr(wavelengths, "few", lambda df: named.append(df.columns) or lineage.few(df))
+    out = wavelengths.wavelength_map(rows, rows.withColumn("trace", F.col("fiber") + 0.5), ["amp"], "flux", LINES)
+    assert named == [["amp", "__last"], ["amp", "__last"], ["amp", "fiber", "n_last", "coef", "n"]]
+    assert set(hints(out)) == {("right", "broadcast")} and out.count() == 0
