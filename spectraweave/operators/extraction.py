@@ -19,7 +19,7 @@ from .calibrate import coadd
 from .fits import evaluate, linear_fit, powers
 from .grid import median_mosaic, splat
 from .joins import within_radius
-from .lineage import dealt
+from .lineage import FEW, cut, dealt, few
 from .robust import biweight, mad_std, median
 from .windows import dilate, smooth
 
@@ -161,18 +161,24 @@ def extract_sources(
 
     Pairs within `radius` arcseconds carry ids and distances; the arrays join them
     once and are weighed and summed in Arrow batches, sorted by source, a source's
-    pairs in `parts` tasks at most. Bins of under `least` weight, and their
+    pairs in `parts` tasks at most. Sources of one place (and seeing) have one
+    spectrum, which is made once. Bins of under `least` weight, and their
     neighbours, are NULL; a source of which more than `most_masked` of the bins are
     goes. Fibers without spectra don't count.
     """
     own = [k for k in keys if k in sources.columns]
     there, held = seeing in sources.columns, [*keys, fiber]
+    at = F.struct("ra", "dec", *([F.col(seeing).alias("seeing")] if there else []))
+    named = sources.groupBy(*own, source).agg(F.array_sort(F.collect_list(at)).alias("__at"))
+    named = cut(named.withColumn("__one", F.min(F.struct(F.col(source).alias("id"))).over(Window.partitionBy(*own, "__at"))["id"]))
+    ones = named.where(F.col(source).eqNullSafe(F.col("__one"))).select(*own, "__one", F.explode("__at").alias("at"))
+    ones = ones.select(*own, "__one", "at.ra", "at.dec", *([F.col("at.seeing").alias(seeing)] if there else []))
     place = fibers.where(F.col(flux).isNotNull() & F.col(error).isNotNull()).withColumn("__angle", angle.cast("double"))
-    near = within_radius(sources.select(*own, source, "ra", "dec", *([seeing] if there else [])), place.select(*held, "ra", "dec"), radius, flat=True, keys=own)
+    near = within_radius(ones, place.select(*held, "ra", "dec"), radius, flat=True, keys=own)
     pairs = near.select(
-        *[F.col(f"{k}_r").alias(k) for k in held], F.col(f"{source}_l").alias(source), F.col("dra").alias("__dx"), F.col("ddec").alias("__dy"), *([F.col(f"{seeing}_l").alias(seeing)] if there else [])
+        *[F.col(f"{k}_r").alias(k) for k in held], F.col("__one_l").alias("__one"), F.col("dra").alias("__dx"), F.col("ddec").alias("__dy"), *([F.col(f"{seeing}_l").alias(seeing)] if there else [])
     )
-    by = [*keys, source]
+    by = [*keys, "__one"]
     spectra = place.select(*held, "__angle", F.col(flux).cast("array<double>").alias(flux), F.col(error).cast("array<double>").alias(error), *([] if there else [seeing]))
     met = pairs.join(spectra, held).withColumn("__part", F.pmod(F.xxhash64(fiber), F.lit(parts)))
     sorted_ = dealt(met, *by, "__part").sortWithinPartitions(*by)
@@ -184,7 +190,15 @@ def extract_sources(
     rows = dilate(rows, by, i, "__low", 1, "__bad").withColumn("__bad", F.col("__bad") | F.col("flux").isNull())
     share = F.avg(F.col("__bad").cast("int")).over(Window.partitionBy(*by))
     shown = lambda c: F.when(~F.col("__bad"), F.col(c)).alias(c)
-    return rows.withColumn("__share", share).where(F.col("__share") <= most_masked).select(*by, i, shown("flux"), shown("error"), "weight")
+    rows = rows.withColumn("__share", share).where(F.col("__share") <= most_masked)
+    whole = rows.groupBy(*by).agg(F.collect_list(F.struct(i, shown("flux"), shown("error"), "weight")).alias("__bins"))
+    # a few dozen numbers a bin; dealt by the sources, which may be many of one place
+    whole = few(whole, FEW * 30 // len(profile.waves))
+    ids = dealt(named.select(*[F.col(k).alias(f"__own_{k}") for k in own], F.col(source).alias("__id"), F.col("__one").alias("__of")), "__id")
+    same = F.col("__of").eqNullSafe(F.col("__one"))
+    for k in own:
+        same = same & (F.col(f"__own_{k}") == F.col(k))
+    return ids.join(whole, same).select(*keys, F.col("__id").alias(source), F.inline("__bins"))
 
 
 def normalised(spectra: DataFrame, keys: Sequence[str], i: str, response: DataFrame, catalog: DataFrame, mag: str, curve: DataFrame | None = None) -> DataFrame:
@@ -193,13 +207,13 @@ def normalised(spectra: DataFrame, keys: Sequence[str], i: str, response: DataFr
     catalog: some of the keys, and the magnitude. A spectrum without a magnitude of
     its own or in the catalog keeps its scale.
     """
-    rows = spectra if curve is None else spectra.join(curve.select(i, F.col("factor").alias("__c")), i, "left")
+    rows = spectra if curve is None else spectra.join(few(curve.select(i, F.col("factor").alias("__c"))), i, "left")
     if curve is not None:
         rows = rows.withColumns({c: F.col(c) * F.coalesce("__c", F.lit(1.0)) for c in ("flux", "error")}).drop("__c")
     shared = [k for k in keys if k in catalog.columns]
-    own = response_magnitude(rows, response, keys, i, "flux").join(catalog.select(*shared, F.col(mag).alias("__mag")), shared, "left")
+    own = response_magnitude(rows, few(response), keys, i, "flux").join(catalog.select(*shared, F.col(mag).alias("__mag")), shared, "left")
     scale = own.select(*keys, F.coalesce(F.pow(F.lit(10.0), 0.4 * (F.col("mag") - F.col("__mag"))), F.lit(1.0)).alias("normalisation"))
-    rows = rows.join(scale, list(keys), "left")
+    rows = rows.join(few(scale), list(keys), "left")
     return rows.withColumns({c: F.col(c) * F.col("normalisation") for c in ("flux", "error")}).select(*spectra.columns, "normalisation")
 
 

@@ -41,12 +41,12 @@ def dealt(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """A written copy of df for the right side of a join that has many rows for each of its own: broadcast if its rows are few, else the hashed side of a shuffle.
+def few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written copy of df for the right side of a join that has many rows for each of its own: broadcast if its rows are few (FEW, or `most`), else the hashed side of a shuffle.
 
     Without it the adaptive planner may broadcast the many rows instead, if they
     are finished first: it goes by their bytes as compressed in shuffle files, and
     in the driver repetitive rows are ten times that and more.
     """
-    small = cut(df)
-    return F.broadcast(small) if small.limit(FEW + 1).count() <= FEW else small.hint("shuffle_hash")
+    small, most = cut(df), FEW if most is None else most
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small.hint("shuffle_hash")

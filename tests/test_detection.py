@@ -118,6 +118,26 @@ def test_sources_by_shot(spark):
         assert (r.flux, r.error, r.weight) == pytest.approx((f[r.idx], e[r.idx], w[r.idx]))
 
 
+def test_sources_of_one_place_are_extracted_once(spark, monkeypatch):
+    df, pairs, summed = fibers(spark), [], extraction._summed
+    monkeypatch.setattr(extraction, "_summed", lambda rows, *a: pairs.append(rows.count()) or summed(rows, *a))
+    extract = lambda where: {
+        (r.shot, r.source, r.idx): (r.flux, r.error, r.weight)
+        for r in extraction.extract_sources(
+            df, spark.createDataFrame(where, "source int, ra double, dec double"), ["shot"], "source", "fiber", "flux", "error", "seeing", 5.0, PROFILE, F.lit(20.0), least=0.01
+        ).collect()
+    }
+    a, b = (150.0, 0.0), (150 + 3 / 3600, -2 / 3600)
+    # 4 stands at both places, which are summed; a source without a number is one of its own
+    one = extract([(1, *a), (2, *b), (4, *a), (4, *b)])
+    many = extract([(k, *a) for k in (1, 11, 12, 13, None)] + [(2, *b), (21, *b), (4, *a), (4, *b), (44, *b), (44, *a), (5, None, 0.0)])
+    assert pairs[1] == pairs[0]
+    of = {None: 1, 11: 1, 12: 1, 13: 1, 21: 2, 44: 4}
+    assert {k[1] for k in many} == {None, 1, 2, 4, 11, 12, 13, 21, 44} and len(many) == 9 * 2 * 8
+    for (shot, source, i), v in many.items():
+        assert v == pytest.approx(one[shot, of.get(source, source), i])
+
+
 def test_tiles_join_to_one_grid(spark):
     df = fibers(spark)
     at = lambda rows: spark.createDataFrame(rows, "tile int, ra double, dec double")
