@@ -138,6 +138,19 @@ def test_sources_of_one_place_are_extracted_once(spark, monkeypatch):
         assert v == pytest.approx(one[shot, of.get(source, source), i])
 
 
+def test_normalised_spectra_meet_counted_tables(spark, monkeypatch):
+    named, few = [], extraction.few
+    monkeypatch.setattr(extraction, "few", lambda df: named.append(df.columns) or few(df, 1))  # the larger ones by a shuffle
+    spectra = spark.createDataFrame([("s", k, i, 1.0 + k, 0.5) for k in range(3) for i in range(4)], "shot string, source int, idx int, flux double, error double")
+    response, curve = (spark.createDataFrame([(i, v) for i in range(4)], f"idx int, {c} double") for c, v in (("response", 0.25), ("factor", 2.0)))
+    catalog = spark.createDataFrame([(0, 20.0), (1, 21.0)], "source int, g double")
+    out = extraction.normalised(spectra, ["shot", "source"], "idx", response, catalog, "g", curve).collect()
+    assert named == [["idx", "__c"], ["idx", "response"], ["shot", "source", "normalisation"]] and len(out) == 12
+    for r in out:
+        want = 10 ** (-0.4 * (20 + r.source - 23.9)) if r.source < 2 else 2 * (1 + r.source)
+        assert r.flux == pytest.approx(want) and r.flux / r.error == pytest.approx(2 * (1 + r.source))
+
+
 def test_tiles_join_to_one_grid(spark):
     df = fibers(spark)
     at = lambda rows: spark.createDataFrame(rows, "tile int, ra double, dec double")
