@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spectraweave.operators import amps, grid, joins, models
+from spectraweave.operators import amps, extraction, grid, joins, models
 from spectraweave.plans import all_queries
 
 
@@ -126,3 +126,17 @@ def test_smooth_2d_copies_along_one_axis_at_a_time(spark, monkeypatch, variance)
         want = (np.array([n[0] for n in near]) * (w * w if variance else w)).sum() / (w.sum() ** 2 if variance else w.sum()) if near else None
         assert got[k, x, y] == (None if want is None else pytest.approx(want, abs=1e-9))
     assert max(copies) == 2 * reach + 1
+
+
+def test_weights_of_one_place_are_made_once(spark, sf, tmp_path, monkeypatch):
+    spark.read.parquet(f"{sf}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    copies = spark.range(1101).withColumnRenamed("id", "copy")  # more than are copied at a time
+    supplier = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey < 3").crossJoin(copies)
+    supplier.withColumn("s_suppkey", F.col("s_suppkey") + 10 * F.col("copy")).drop("copy").write.parquet(f"{tmp_path}/supplier.parquet")
+    samples, plain = [], extraction.fiber_weights
+    monkeypatch.setattr(extraction, "fiber_weights", lambda rows, *a: samples.append(rows.count()) or plain(rows, *a))
+    one = all_queries()[0]["grd_fiber_weights"](spark, sf).where("source < 3")
+    many = all_queries()[0]["grd_fiber_weights"](spark, str(tmp_path))
+    n, sums = one.count(), lambda df: sorted(map(tuple, df.groupBy((F.col("source") % 10).alias("s"), "fiber", "idx").agg(F.min("weight"), F.max("weight")).collect()))
+    assert n and many.count() == 1101 * n and sums(many) == sums(one)
+    assert samples[1] == n and many.select("source").distinct().count() == 1101 * one.select("source").distinct().count()
