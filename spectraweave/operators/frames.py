@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordering import global_biweight
-from .robust import MAD_TO_SIGMA, biweight, median, sigma_clip
+from .lineage import cut, few
+from .ordering import global_biweight, quantiles
+from .robust import MAD_TO_SIGMA, biweight, biweight_of, median, sigma_clip
 
 # What a frame's header falls back to.
 DEFAULT_GAIN, DEFAULT_READ_NOISE = 0.85, 3.0
@@ -111,18 +112,53 @@ def image_background(pixels: DataFrame, keys: Sequence[str], value: str, levels:
     """The background with the least relative scatter: of `levels` equal steps between the 5th and 60th percentile, the values below which vary least.
 
     Equal values are counted first, so that a level's copy is one of distinct values.
+    Keys of more than _CROWDED values are left where they are: their percentiles are
+    found by counting, and only sums are shuffled.
     """
-    pixels = pixels.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__times"))
-    ends = pixels.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.6)), F.col("__times")).alias("__p"))
+    if not keys:
+        return image_background(pixels.withColumn("__all", F.lit(0)), ["__all"], value, levels).drop("__all")
+    pixels = pixels.where(F.col(value).isNotNull()).select(*keys, value)
+    crowded = cut(pixels.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > _CROWDED).drop("__n"))
+    if crowded.isEmpty():
+        return _counted_background(pixels, keys, value, levels)
+    rest = _counted_background(pixels.join(crowded, list(keys), "left_anti"), keys, value, levels)
+    return rest.unionByName(_crowded_background(pixels.join(few(crowded), list(keys)), keys, value, levels))
+
+
+#: Most values of a key that windows are laid over.
+_CROWDED = 1_000_000
+
+
+def _levels(ends: DataFrame, keys: Sequence[str], levels: int) -> DataFrame:
+    """(keys, __i, __top): the equal steps between both of __p."""
     grid = ends.select(*keys, "__p", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("__i"))
-    grid = grid.withColumn("__top", F.col("__p")[0] + (F.col("__p")[1] - F.col("__p")[0]) * F.col("__i") / levels)
-    below = pixels.join(grid, list(keys)).where(F.col(value) <= F.col("__top")) if keys else pixels.crossJoin(F.broadcast(grid)).where(F.col(value) <= F.col("__top"))
-    stats = biweight(below, [*keys, "__i"], value, times="__times")
+    return grid.select(*keys, "__i", (F.col("__p")[0] + (F.col("__p")[1] - F.col("__p")[0]) * F.col("__i") / levels).alias("__top"))
+
+
+def _steadiest(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     rel = F.try_divide(F.col("scale"), F.abs("location"))
     best = stats.where(rel.isNotNull()).withColumn("__rel", rel).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("__rel", "__i")))
     return best.where("__r = 1").select(*keys, F.col("location").alias("background"), F.col("scale").alias("noise"))
 
 
+def _counted_background(pixels: DataFrame, keys: Sequence[str], value: str, levels: int) -> DataFrame:
+    pixels = pixels.groupBy(*keys, value).agg(F.count("*").alias("__times"))
+    ends = pixels.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.6)), F.col("__times")).alias("__p"))
+    below = pixels.join(_levels(ends, keys, levels), list(keys)).where(F.col(value) <= F.col("__top"))
+    return _steadiest(biweight(below, [*keys, "__i"], value, times="__times"), keys)
+
+
+def _crowded_background(pixels: DataFrame, keys: Sequence[str], value: str, levels: int) -> DataFrame:
+    group, x = [*keys, "__i"], F.col(value).cast("double")
+    grid = cut(_levels(quantiles(pixels, keys, x, [0.05, 0.6]).withColumnRenamed("q", "__p"), keys, levels))
+    below = lambda grid: pixels.join(few(grid), list(keys)).where(F.col(value) <= F.col("__top"))
+    middle = quantiles(below(grid), group, x, [0.5]).select(*group, F.col("q")[0].alias("__m"))
+    grid = cut(grid.join(middle.hint("shuffle_hash"), group))
+    apart = quantiles(below(grid), group, F.abs(x - F.col("__m")), [0.5]).select(*group, F.col("q")[0].alias("__mad"))
+    grid = grid.join(apart.hint("shuffle_hash"), group)
+    return _steadiest(biweight_of(below(grid).withColumn("__d", x - F.col("__m")), group), keys)
+
+
 def contrast(profiles: DataFrame, keys: Sequence[str], peak: str, valley: str) -> DataFrame:
     """Percentiles 5, 50 and 95 of (peak - 2 valley) / (peak + 2 valley)."""
     c = F.try_divide(F.col(peak) - 2 * F.col(valley), F.col(peak) + 2 * F.col(valley))

@@ -46,10 +46,15 @@ def _weights(c: float) -> tuple[Column, Column]:
 
 def biweight(df: DataFrame, keys: Sequence[str], x: str, c: float = 9.0, loc: str = "location", scale: str | None = "scale", times: str | None = None) -> DataFrame:
     """Biweight location and scale of x by keys; a MAD of 0 gives the median and a NULL scale; times: how many rows a row stands for."""
+    return biweight_of(with_deviation(df, keys, x, times), keys, c, loc, scale, times)
+
+
+def biweight_of(df: DataFrame, keys: Sequence[str], c: float = 9.0, loc: str = "location", scale: str | None = "scale", times: str | None = None) -> DataFrame:
+    """biweight of rows that have their __m, __d and __mad already."""
     u2, inside = _weights(c)
     d, w = F.col("__d"), F.pow(1 - u2, 2)
     n = F.lit(1) if times is None else F.col(times)
-    sums = with_deviation(df, keys, x, times).groupBy(*keys).agg(
+    sums = df.groupBy(*keys).agg(
         F.first("__m", True).alias("__m"),
         F.sum(F.when(inside, n * d * w)).alias("__dw"),
         F.sum(F.when(inside, n * w)).alias("__w"),

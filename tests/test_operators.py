@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraweave.functions import scalar, sky
-from spectraweave.operators import amps, arrays, calibrate, catalog, detection, extraction, fits, frames, grid, joins, qa, robust, windows
+from spectraweave.operators import amps, arrays, calibrate, catalog, detection, extraction, fits, frames, grid, joins, ordering, qa, robust, windows
 from spectraweave.sources import scans, sinks
 from spectraweave.streaming import nightly
 
@@ -359,6 +359,22 @@ def test_image_background_copies_distinct_values_only(spark):
     assert once[0] == pytest.approx(min(best)[2:], rel=1e-6)
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_image_background_of_crowded_keys_holds_none_of_them(spark, monkeypatch, keys):
+    rng = np.random.default_rng(12)
+    rows = [(k, round(float(v), 2)) for k, n in ((0, 900), (1, 300), (2, 40), (None, 20)) for v in rng.normal(10 + (k or 0), 2, n)] + [(0, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(3)
+    want = {r[:-2]: r[-2:] for r in map(tuple, frames.image_background(df, keys, "v").collect())}
+    windows_over, plain = [], frames.biweight
+    monkeypatch.setattr(frames, "biweight", lambda below, *a, **k: windows_over.extend(r.k for r in below.select("k").distinct().collect()) or plain(below, *a, **k) if keys else plain(below, *a, **k))
+    monkeypatch.setattr(frames, "_CROWDED", 100)
+    monkeypatch.setattr(ordering, "_SORTED", 10)
+    got = {r[:-2]: r[-2:] for r in map(tuple, frames.image_background(df, keys, "v").collect())}
+    assert got.keys() == want.keys() == ({(0,), (1,), (2,)} if keys else {()}) and set(windows_over) <= {2}
+    for k, v in got.items():
+        assert v == pytest.approx(want[k], rel=1e-9)
+
+
 def test_running_median_2d_meets_in_tiles(spark):
     rng = np.random.default_rng(6)
     # across tiles' borders, with gaps, nulls, NaN, a cell that is there twice, and places below 0

@@ -1,5 +1,7 @@
 """One order of a whole table, and medians from it, equal those of sorted lists."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +48,20 @@ def test_asof_by_buckets_is_asof(spark, mode, tolerance):
     found = lambda bucket: {r.id: r.match for r in joins.asof(left, right, ["u"], "ts", "id", "id", mode, tolerance, bucket=bucket).collect()}
     want = found(None)
     assert len(want) == 151 and found(60.0) == want and found(1e6) == want and (tolerance or want[999] == 99)
+
+
+def test_quantiles_are_counted_not_sorted(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    wide = [float(v) for v in rng.lognormal(0, 6, 400)]
+    groups = {1: wide, 2: [3.0] * 300, 3: [1.0, 2.0] * 150 + [9.0], 4: [7.0], 5: [-math.inf, *wide[:50], math.inf], 6: [], 7: [*wide[:40], math.nan], None: [1.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in [*vs, None]]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    monkeypatch.setattr(ordering, "_BINS", 7)
+    monkeypatch.setattr(ordering, "_SORTED", 5)
+    out = ordering.quantiles(df, ["k"], F.col("v"), [0.0, 0.05, 0.5, 1.0])
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    got = {r.k: r.q for r in out.collect()}
+    want = {r.k: r.q for r in df.where("k is not null and v is not null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.05, 0.5, 1.0)))).alias("q")).collect()}
+    assert set(got) == set(want) == {1, 2, 3, 4, 5, 7}
+    for k, q in got.items():
+        assert q == pytest.approx(want[k], nan_ok=True)
